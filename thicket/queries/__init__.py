@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["logs"]
+MODULES = ["logs", "access", "hierarchy", "changes"]
 
 
 def load():
