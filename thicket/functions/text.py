@@ -83,9 +83,14 @@ def clean_response(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"^(?i)json\n", ""), r"^\s+|\s+$", "")
 
 
+def decimals(value: Column, pattern: str = "0.00") -> Column:
+    """Fixed decimals, rounded on the exact binary value as printf does."""
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
+
+
 def byte_size(size: Column) -> Column:
     """Bytes as text with KB, MB, GB from 1024 up."""
-    scaled = lambda n, unit: F.concat(F.format_string("%.2f", size / n), F.lit(f" {unit}"))
+    scaled = lambda n, unit: F.concat(decimals(size / n), F.lit(f" {unit}"))
     return (
         F.when(size.isNull() | (size == 0), "0 bytes")
         .when(size >= 1 << 30, scaled(1 << 30, "GB"))
@@ -99,8 +104,8 @@ def duration_text(us: Column) -> Column:
     """Microseconds as μs, ms or s."""
     return (
         F.when(us < 1000, F.concat(us.cast("long").cast("string"), F.lit("μs")))
-        .when(us < 1_000_000, F.concat(F.format_string("%.2f", us / 1000), F.lit("ms")))
-        .otherwise(F.concat(F.format_string("%.2f", us / 1_000_000), F.lit("s")))
+        .when(us < 1_000_000, F.concat(decimals(us / 1000), F.lit("ms")))
+        .otherwise(F.concat(decimals(us / 1_000_000), F.lit("s")))
     )
 
 
@@ -123,7 +128,7 @@ def counters_map(text: Column) -> Column:
 
 
 def capitalized(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.expr("''"), text.substr(F.lit(2), F.length(text)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), text.substr(F.lit(2), F.length(text)))
 
 
 def lower_first(text: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.functions.text import decimals
 from thicket.ordering import blocked, dense_index, unblocked
 from thicket.operators.logstats import percent
 
@@ -51,9 +52,9 @@ def ranking(df: DataFrame, name: str, value: str) -> DataFrame:
     ranked = dense_index(
         df.select(F.col(name).alias("name"), F.col(value).alias("value")), [], [F.desc("value"), "name"], "rank"
     )
-    compact = F.concat(F.format_string("%.1f", F.col("value") / 10000), F.lit("万"))
+    compact = F.concat(decimals(F.col("value") / 10000, "0.0"), F.lit("万"))
     return ranked.withColumn(
-        "display", F.when(F.col("value") >= 10000, compact).otherwise(F.format_string("%.0f", F.col("value")))
+        "display", F.when(F.col("value") >= 10000, compact).otherwise(decimals(F.col("value"), "#,##0.###"))
     )
 
 

@@ -229,7 +229,13 @@ UNION ALL SELECT 2000000000 + s_suppkey, concat('S', s_suppkey), 'in_nation', co
 UNION ALL SELECT 3000000000 + c_custkey, concat('C', c_custkey), 'has_attribute', concat('A', c_mktsegment) FROM {customer}
 UNION ALL SELECT 4000000000 + p_partkey, concat('P', p_partkey), 'has_attribute', concat('B', p_brand) FROM {part}
 UNION ALL SELECT 10000000000 + l_orderkey * 10 + l_linenumber, concat('P', l_partkey), CASE l_returnflag WHEN 'R' THEN 'contains' ELSE 'supplied_by' END, concat('S', l_suppkey)
-FROM {lineitem} WHERE l_returnflag <> 'N'
+FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_returnflag) AS l_returnflag
+      FROM {lineitem} WHERE l_returnflag <> 'N' GROUP BY l_orderkey, l_linenumber) l
+"""
+# the same graph as written relationships, both ends with label, name and type
+STANDINS["kg_triples"] = """
+SELECT e.seq, s.label AS s_label, s.name AS s_name, s.schema_type AS s_type, e.relation, t.label AS t_label, t.name AS t_name, t.schema_type AS t_type
+FROM {kg_edges} e JOIN {kg_nodes} s ON e.src = s.node_id JOIN {kg_nodes} t ON e.dst = t.node_id
 """
 # unit vectors of the graph's nodes; edge vectors are the normalized sum of the ends
 STANDINS["node_vec"] = """
