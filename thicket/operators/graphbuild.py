@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions.text import clean_response, tokens
 from thicket.ordering import first_per_key
+from thicket.session import stage
 
 SEPARATOR = "\u0001"
 RESPONSE = (
@@ -71,7 +72,8 @@ def chunks(
     long_enough = lambda c: (c["n_tokens"] >= 5) & (F.length(F.trim(c["text"])) >= 5)
     pieces = F.filter(F.transform("_starts", piece), long_enough)
     cut = F.when(F.col("_n") > size, pieces).otherwise(whole) if split else whole
-    out = base.select("doc_id", F.inline(cut))
+    # the outer form keeps the optimizer from testing the array first, which would cut twice
+    out = base.select("doc_id", F.inline_outer(cut)).where(F.col("ordinal").isNotNull())
     return out.select(
         F.sha2(F.concat_ws(":", "doc_id", "ordinal"), 256).alias("chunk_id"), "doc_id", "ordinal", "text", "n_tokens"
     )
@@ -110,7 +112,15 @@ def extract(pieces: DataFrame, fn: Callable[[str], str]) -> DataFrame:
 
 
 def parse(responses: DataFrame) -> DataFrame:
-    """Responses with their parsed content in ``r``; null when the text is not the expected JSON."""
+    """Responses with their parsed content in ``r``; null when the text is not the expected JSON.
+
+    The result is staged: entities, attributes, edges and counts all read it, and extraction is
+    the dear step that a lost executor must not repeat.
+    """
+    return stage(_parse(responses))
+
+
+def _parse(responses: DataFrame) -> DataFrame:
     return responses.withColumn("r", F.from_json(clean_response(F.col("response")), RESPONSE)).withColumn(
         "r",
         F.when(
@@ -146,27 +156,34 @@ def _seq(phase: int, i: str, j: Column) -> Column:
 
 def attribute_rows(parsed: DataFrame) -> DataFrame:
     """(seq, chunk_id, entity, attribute, type): one row per attribute occurrence."""
-    entries = accepted(parsed).select(
-        "doc_id", "ordinal", "chunk_id", F.col("r.entity_types").alias("types"),
-        F.posexplode(F.map_entries("r.attributes")).alias("i", "e"),
+    typed = F.transform(
+        F.map_entries("r.attributes"),
+        lambda e: F.struct(
+            e["key"].alias("entity"), e["value"].alias("values"), F.try_element_at("r.entity_types", e["key"]).alias("type")
+        ),
     )
-    return entries.select(
-        "doc_id", "ordinal", "chunk_id", "types", "i", F.col("e.key").alias("entity"), F.posexplode("e.value").alias("j", "attribute")
-    ).select(
-        _seq(0, "i", F.col("j")), "chunk_id", "entity", "attribute", F.try_element_at("types", F.col("entity")).alias("type")
+    entries = parsed.select("doc_id", "ordinal", "chunk_id", F.posexplode_outer(typed).alias("i", "e"))
+    flat = entries.select(
+        "doc_id", "ordinal", "chunk_id", "i", "e.entity", "e.type", F.posexplode_outer("e.values").alias("j", "attribute")
     )
+    return flat.where(F.col("j").isNotNull()).select(_seq(0, "i", F.col("j")), "chunk_id", "entity", "attribute", "type")
 
 
 def triple_rows(parsed: DataFrame) -> DataFrame:
     """(seq, chunk_id, h, r, t, h_type, t_type): one row per valid triple."""
-    rows = accepted(parsed).select(
-        "doc_id", "ordinal", "chunk_id", F.col("r.entity_types").alias("types"),
-        F.posexplode("r.triples").alias("i", "parts"),
+    kind = lambda name: F.try_element_at("r.entity_types", name)
+    typed = F.transform(
+        "r.triples",
+        lambda p: F.struct(
+            p.alias("parts"), kind(F.get(p, F.lit(0))).alias("h_type"), kind(F.get(p, F.lit(2))).alias("t_type")
+        ),
+    )
+    rows = parsed.select("doc_id", "ordinal", "chunk_id", F.posexplode_outer(typed).alias("i", "e"))
+    rows = rows.where(F.col("i").isNotNull()).select(
+        "doc_id", "ordinal", "chunk_id", "i", "e.parts", "e.h_type", "e.t_type"
     )
     return valid_triples(rows, "parts").select(
-        _seq(1, "i", F.lit(0)), "chunk_id", "h", "r", "t",
-        F.try_element_at("types", F.col("h")).alias("h_type"),
-        F.try_element_at("types", F.col("t")).alias("t_type"),
+        _seq(1, "i", F.lit(0)), "chunk_id", "h", "r", "t", "h_type", "t_type"
     )
 
 
