@@ -1,12 +1,425 @@
-"""Batch retrieval over a graph."""
+"""Batch retrieval over a graph: a table of queries in, ranked rows out.
 
-from pyspark.sql import DataFrame
+Frames: ``nodes`` (node_id, label, name, description, schema_type, chunk_id), ``edges`` (seq,
+src, relation, dst) without duplicates, vectors (id, emb), ``queries`` (query_id, text, emb,
+types as an array), seeds (query_id, node_id, …). Every join is an equi-join on ids, so hubs
+are handled by the join's skew splitting, and lists are cut by group limits before the shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.functions.text import decimals, node_text, property_list, valid_node_text
+from thicket.functions.vector import add, cosine, similarity, triple_score
+from thicket.operators.graphbuild import first_relations
+from thicket.operators.search import top_k
+from thicket.ordering import first_per_key, top_per_key
+
+MIN_SCORE = 0.05
+TRIPLE_THRESHOLD = 0.1
+PER_WORD = 50
+STOP_AFTER = 200
+
+# Words that are no keywords.
+STOP_WORDS = (
+    "a about above after again all also am an and any are as at be because been before being below between both but by "
+    "can could did do does doing down during each few for from further had has have having he her here hers him his how "
+    "i if in into is it its just me more most my no nor not of off on once only or other our out over own same she so "
+    "some such than that the their them then there these they this those through to too under until up very was we were "
+    "what when where which while who whom why will with would you your"
+).split()
+
+
+# ---- text of nodes and keywords
+
+
+def node_texts(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node_id", node_text(F.col("name"), F.col("description"), F.col("node_id")).alias("txt"))
+
 
 def nodes_of_types(nodes: DataFrame, types: list[str]) -> DataFrame:
     """Nodes of the given types, and entities without a type; all nodes when no type is given."""
     if not types:
         return nodes
+    return nodes.where(F.array_contains(F.lit([*types, ""]), type_tag()))
+
+
+def type_tag() -> Column:
+    """What a type filter sees: the type, '' for an entity without one, null for anything else."""
     untyped = F.coalesce("schema_type", F.lit("")) == ""
-    return nodes.where(F.col("schema_type").isin(types) | (untyped & (F.col("label") == "entity")))
+    return F.when(~untyped, F.col("schema_type")).when(F.col("label") == "entity", F.lit(""))
+
+
+def keywords(queries: DataFrame) -> DataFrame:
+    """(query_id, word): lower-cased words over two letters that are no stop words."""
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}#]+")
+    kept = F.filter(F.array_distinct(words), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
+    return queries.select("query_id", F.explode(kept).alias("word"))
+
+
+def text_index(nodes: DataFrame) -> DataFrame:
+    """Inverted index (word, node_id) of lower-cased blank-separated words over two letters."""
+    words = F.array_distinct(F.split(F.lower("txt"), r"\s+"))
+    rows = node_texts(nodes).select(F.explode(words).alias("word"), "node_id")
+    return rows.where(F.length("word") > 2)
+
+
+def keyword_hits(asked: DataFrame, index: DataFrame, per_word: int = PER_WORD, stop_after: int = STOP_AFTER) -> DataFrame:
+    """Nodes whose text has a query's keyword.
+
+    At most ``per_word`` nodes per word count (by id). Words are taken in order until more than
+    ``stop_after`` nodes are found. The per-word limit is on the index, before the join, so a
+    word in a third of all nodes sends few rows.
+    """
+    used = index.join(asked.select("word").distinct(), "word", "left_semi")
+    hits = asked.join(top_per_key(used, ["word"], ["node_id"], per_word), "word")
+    first = hits.groupBy("query_id", "node_id").agg(F.min("word").alias("word"))
+    new = first.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("query_id").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
+    reached = new.withColumn("found", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("found") <= stop_after)
+    return first.join(reached.select("query_id", "word"), ["query_id", "word"], "left_semi").select("query_id", "node_id")
+
+
+def substring_hits(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes whose text contains any of a query's keywords as a substring.
+
+    The distinct keywords are few words of questions; they go to the scan as one array per
+    text, and only matching (word, node) rows are made.
+    """
+    words = asked.select("word").distinct().agg(F.collect_set("word")).scalar()
+    texts = node_texts(nodes).withColumn("words", F.filter(words, lambda w: F.contains(F.lower("txt"), w)))
+    found = texts.select("node_id", F.explode("words").alias("word"))
+    return asked.join(found, "word").select("query_id", "node_id").distinct()
+
+
+# ---- neighbourhoods
+
+
+def named(triples: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Triples with the names of both ends."""
+    names = nodes.select("node_id", "name")
+    h = names.select(F.col("node_id").alias("src"), F.col("name").alias("src_name"))
+    t = names.select(F.col("node_id").alias("dst"), F.col("name").alias("dst_name"))
+    return triples.join(h, "src").join(t, "dst")
+
+
+def touching(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, seq, src, relation, dst): edges with a seed at either end, once per query."""
+    s = seeds.select("query_id", F.col("node_id").alias("_n")).distinct()
+    out = edges.join(s, F.col("src") == F.col("_n"))
+    into = edges.join(s, F.col("dst") == F.col("_n"))
+    return out.unionByName(into).select("query_id", "seq", "src", "relation", "dst").distinct()
+
+
+def one_hop(seeds: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` edges that touch a query's seeds."""
+    return top_per_key(touching(seeds, edges), ["query_id"], ["seq"], k)
+
+
+def expand_neighbours(seeds: DataFrame, edges: DataFrame, cumulative: bool = False) -> DataFrame:
+    """Edges both ways between seeds and their out-neighbours, one parallel edge per pair.
+
+    ``cumulative`` pairs a seed (by ``rank``) with the out-neighbours of earlier seeds as well.
+    """
+    first = first_relations(edges)
+    rank = F.col("rank") if "rank" in seeds.columns else F.lit(1)
+    s = seeds.select("query_id", "node_id", rank.alias("rank"))
+    near = s.join(first.select(F.col("src").alias("node_id"), F.col("dst").alias("near")), "node_id")
+    if cumulative:
+        seen = near.groupBy("query_id", "near").agg(F.min("rank").alias("_since"))
+        pairs = s.join(seen, "query_id").where(F.col("_since") <= F.col("rank"))
+    else:
+        pairs = near
+    both = F.array(
+        F.struct(F.col("node_id").alias("src"), F.col("near").alias("dst")),
+        F.struct(F.col("near").alias("src"), F.col("node_id").alias("dst")),
+    )
+    wanted = pairs.select("query_id", F.inline(both)).distinct()
+    return wanted.join(first, ["src", "dst"]).where(F.coalesce("relation", F.lit("")) != "").select(
+        "query_id", "src", "relation", "dst"
+    )
+
+
+def relation_matched(seeds: DataFrame, edges: DataFrame, relations: DataFrame) -> DataFrame:
+    """Edges that touch a query's seeds and have one of its relations (query_id, relation)."""
+    wanted = relations.select("query_id", "relation").distinct()
+    return touching(seeds, edges).join(wanted, ["query_id", "relation"], "left_semi").select(
+        "query_id", "src", "relation", "dst"
+    )
+
+
+def out_neighbourhood(centers: DataFrame, edges: DataFrame, known: DataFrame, hops: int = 3) -> DataFrame:
+    """(center, node_id, hop): nodes within ``hops`` out-edges, the center at hop 0.
+
+    Only nodes in ``known`` count. Each hop joins the distinct frontier with distinct adjacency
+    and drops what was visited, so a hub is entered once per center.
+    """
+    ids = known.select(F.col("id").alias("dst")).distinct()
+    steps = edges.select("src", "dst").distinct().join(ids, "dst", "left_semi")
+    visited = centers.select("center").distinct().join(
+        known.select(F.col("id").alias("center")), "center", "left_semi"
+    ).select("center", F.col("center").alias("node_id"), F.lit(0).alias("hop"))
+    frontier = visited
+    for hop in range(1, hops + 1):
+        reached = (
+            frontier.select("center", F.col("node_id").alias("src"))
+            .join(steps, "src")
+            .select("center", F.col("dst").alias("node_id"))
+            .distinct()
+        )
+        frontier = reached.join(visited, ["center", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
+        visited = visited.unionByName(frontier)
+    return visited
+
+
+def neighbour_triples(around: DataFrame, edges: DataFrame, known: DataFrame, key: str = "center") -> DataFrame:
+    """(key, src, relation, dst): in- and out-edges of the nodes around each key, other end known."""
+    ids = known.select("id").distinct()
+    near = around.select(key, F.col("node_id").alias("_n")).distinct()
+    out = near.join(edges, F.col("_n") == F.col("src")).join(ids, F.col("dst") == F.col("id"), "left_semi")
+    into = near.join(edges, F.col("_n") == F.col("dst")).join(ids, F.col("src") == F.col("id"), "left_semi")
+    return out.unionByName(into).select(key, "src", "relation", "dst").distinct()
+
+
+def community_nodes(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(comm_id, node_id): members given by name; of equal names the first node counts."""
+    ids = first_per_key(nodes.select("name", "node_id"), ["name"], ["node_id"])
+    wanted = members.select("comm_id", F.trim("member").alias("name")).distinct()
+    return wanted.join(ids, "name").select("comm_id", "node_id")
+
+
+def chunk_ids(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of found nodes."""
+    chunked = nodes.where(F.col("chunk_id").isNotNull()).select("node_id", "chunk_id")
+    return found.select("query_id", "node_id").join(chunked, "node_id").select("query_id", "chunk_id").distinct()
+
+
+def triple_ends(triples: DataFrame) -> DataFrame:
+    """(query_id, node_id): both ends of a query's triples."""
+    return triples.select("query_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+
+
+def chunk_texts(ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Texts of chunk ids; ids without a chunk are dropped."""
+    return ids.join(chunks.select("chunk_id", "text"), "chunk_id")
+
+
+# ---- vectors of edges, searches
+
+
+def edge_vectors(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """A stand-in for embedded triples: the sum of the vectors of both ends, id = seq."""
+    h = vectors.select(F.col("id").alias("src"), F.col("emb").alias("_h"))
+    t = vectors.select(F.col("id").alias("dst"), F.col("emb").alias("_t"))
+    return edges.join(h, "src").join(t, "dst").select(F.col("seq").alias("id"), add(F.col("_h"), F.col("_t")).alias("emb"))
+
+
+def search_nodes(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Vector hits, ``min(3k, 50)`` per query."""
+    return top_k(queries, vectors, min(3 * k, 50)).withColumnRenamed("id", "node_id")
+
+
+def search_filtered(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Vector hits among the nodes a query's types admit (untyped entities always)."""
+    tagged = vectors.join(nodes.select(F.col("node_id").alias("id"), type_tag().alias("tag")), "id")
+    asked = queries.withColumn("_tags", F.array_append("types", F.lit("")))
+    return top_k(asked, tagged, k, tag="tag", tags="_tags").withColumnRenamed("id", "node_id")
+
+
+def scored_nodes(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, node_id, score): clipped cosine of given pairs."""
+    v = vectors.select(F.col("id").alias("node_id"), F.col("emb").alias("_v"))
+    q = queries.select("query_id", F.col("emb").alias("_q"))
+    joined = pairs.select("query_id", "node_id").distinct().join(v, "node_id").join(q, "query_id")
+    return joined.select("query_id", "node_id", F.round(similarity(F.col("_q"), F.col("_v")), 9).alias("score"))
+
+
+def triple_path(queries, edges, edge_vecs, node_vecs, k: int = 5) -> DataFrame:
+    """Scored triples near the best ones: (query_id, seq, src, relation, dst, score).
+
+    The best ``k`` triples seed a three-hop neighbourhood; of the best ``min(2n, 50)`` triples
+    overall, those that lie in it (``n`` triples) and score at least 0.1 are kept, ``k`` of them.
+    The wide search is cut to 50 first, so only those are tested.
+    """
+    wide = top_k(queries, edge_vecs, 50).withColumnRenamed("id", "seq").join(edges, "seq")
+    seeds = wide.where(F.col("rank") <= k).select("query_id", "src", "relation", "dst")
+    ends = triple_ends(seeds).withColumnRenamed("node_id", "center")
+    around = out_neighbourhood(ends, edges, node_vecs)
+    per_query = ends.join(around, "center").select("query_id", "node_id").distinct()
+    near = neighbour_triples(per_query, edges, node_vecs, key="query_id").unionByName(seeds).distinct()
+    counts = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = (
+        wide.join(near, ["query_id", "src", "relation", "dst"], "left_semi")
+        .join(counts, "query_id")
+        .where((F.col("rank") <= F.least(F.col("n") * 2, F.lit(50))) & (F.col("score") >= TRIPLE_THRESHOLD))
+        .select("query_id", "seq", "src", "relation", "dst", "score")
+    )
+    return top_per_key(kept, ["query_id"], [F.desc("score"), "seq"], k)
+
+
+def community_path(queries, comm_vecs, members, nodes, node_vecs, k: int = 3) -> DataFrame:
+    """(query_id, node_id): members, with a vector, of the best communities."""
+    best = top_k(queries, comm_vecs, k).select("query_id", F.col("id").alias("comm_id"))
+    inside = best.join(community_nodes(members, nodes), "comm_id").select("query_id", "node_id").distinct()
+    return inside.join(node_vecs.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+
+
+def dual_path(queries, scored: DataFrame, inside: DataFrame, node_vecs: DataFrame) -> DataFrame:
+    """Nodes of the triple path and the community path with scores and where they came from."""
+    a = triple_ends(scored).select("query_id", "node_id", F.lit(True).alias("by_triple"), F.lit(False).alias("by_community"))
+    b = inside.select("query_id", "node_id", F.lit(False).alias("by_triple"), F.lit(True).alias("by_community"))
+    merged = a.unionByName(b).groupBy("query_id", "node_id").agg(
+        F.max("by_triple").alias("by_triple"), F.max("by_community").alias("by_community")
+    )
+    return merged.join(scored_nodes(merged, queries, node_vecs), ["query_id", "node_id"])
+
+
+def candidate_nodes(queries, nodes, node_vecs, k: int = 5) -> DataFrame:
+    """(query_id, node_id, score, rank): vector hits and keyword hits merged, the best ``k`` above 0.05."""
+    hits = search_nodes(queries, node_vecs, k).select("query_id", "node_id", F.greatest(F.lit(0.0), "score").alias("score"))
+    worded = keyword_hits(keywords(queries), text_index(nodes))
+    extra = worded.join(hits, ["query_id", "node_id"], "left_anti")
+    scored = scored_nodes(extra, queries, node_vecs).where(F.col("score") > MIN_SCORE)
+    best = top_per_key(hits.unionByName(scored), ["query_id"], [F.desc("score"), "node_id"], k, rank="rank")
+    return best.where(F.col("score") > MIN_SCORE)
+
+
+def paths_to_keywords(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, asked: DataFrame, depth: int = 2) -> DataFrame:
+    """Edges on paths of up to ``depth`` out-steps from seeds to nodes whose text has a keyword."""
+    first = first_relations(edges)
+    words = asked.groupBy("query_id").agg(F.collect_set("word").alias("words"))
+    texts = node_texts(nodes).select("node_id", F.lower("txt").alias("txt"))
+    path = seeds.select("query_id", F.array("node_id").alias("path"), F.col("node_id").alias("end")).distinct()
+    hop = F.array().cast("array<struct<src:string,relation:string,dst:string>>")
+    path = path.withColumn("hops", hop)
+    found = None
+    for _ in range(depth):
+        step = F.struct(F.col("end").alias("src"), "relation", F.col("dst").alias("dst"))
+        path = (
+            path.join(first, F.col("end") == F.col("src"))
+            .where(~F.array_contains("path", F.col("dst")))
+            .select(
+                "query_id",
+                F.array_append("path", F.col("dst")).alias("path"),
+                F.array_append("hops", step).alias("hops"),
+                F.col("dst").alias("end"),
+            )
+        )
+        found = path if found is None else found.unionByName(path)
+    hit = F.exists("words", lambda w: F.contains(F.col("txt"), w))
+    ended = found.join(texts, F.col("end") == F.col("node_id")).join(words, "query_id").where(hit)
+    return ended.select("query_id", F.inline("hops")).distinct()
+
+
+def rerank_triples(triples: DataFrame, queries, nodes, edges, edge_vecs) -> DataFrame:
+    """(query_id, seq, src, relation, dst, score): triples with usable text, scored, above 0.05."""
+    usable = node_texts(nodes).where(valid_node_text(F.col("txt"))).select("node_id")
+    seqs = edges.groupBy("src", "relation", "dst").agg(F.min("seq").alias("seq"))
+    v = edge_vecs.select(F.col("id").alias("seq"), F.col("emb").alias("_v"))
+    joined = (
+        triples.select("query_id", "src", "relation", "dst").distinct()
+        .join(seqs, ["src", "relation", "dst"])
+        .join(usable.select(F.col("node_id").alias("src")), "src", "left_semi")
+        .join(usable.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+        .join(v, "seq")
+        .join(queries.select("query_id", F.col("emb").alias("_q")), "query_id")
+    )
+    score = F.round(triple_score(cosine(F.col("_q"), F.col("_v")), F.col("relation")), 9)
+    return joined.select("query_id", "seq", "src", "relation", "dst", score.alias("score")).where(F.col("score") > MIN_SCORE)
+
+
+def node_relation_path(queries, nodes, edges, node_vecs, relation_vecs, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(top nodes, triples): candidates and everything expanded from them."""
+    best = candidate_nodes(queries, nodes, node_vecs, k)
+    relations = top_k(queries, relation_vecs, k).select("query_id", F.col("id").alias("relation"))
+    parts = [
+        expand_neighbours(best, edges),
+        paths_to_keywords(best, edges, nodes, keywords(queries)),
+        relation_matched(best, edges, relations),
+    ]
+    return best, parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+def typed_path(queries, nodes, edges, node_vecs, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(top nodes, triples) with the search held to a query's types."""
+    best = search_filtered(queries, nodes, node_vecs, k)
+    return best, one_hop(best, edges, k).select("query_id", "src", "relation", "dst")
+
+
+def route_by_type(queries, nodes, edges, node_vecs, relation_vecs, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Typed path for queries whose types exist in the graph, plain path for the rest."""
+    present = nodes.where(type_tag().isNotNull()).select(type_tag().alias("t")).distinct()
+    asked = queries.select("query_id", F.explode(F.array_append("types", F.lit(""))).alias("t"))
+    served = asked.join(present, "t", "left_semi").select("query_id").distinct()
+    wants = queries.where(F.size("types") > 0)
+    typed = wants.join(served, "query_id", "left_semi")
+    plain = queries.where(F.size("types") == 0).unionByName(wants.join(served, "query_id", "left_anti"))
+    a, b = typed_path(typed, nodes, edges, node_vecs, k), node_relation_path(plain, nodes, edges, node_vecs, relation_vecs, k)
+    cols = ["query_id", "node_id", "score", "rank"]
+    return a[0].select(*cols).unionByName(b[0].select(*cols)), a[1].unionByName(b[1])
+
+
+def search_chunks(queries, chunk_vecs, k: int = 20) -> DataFrame:
+    """Chunks by raw inner product."""
+    return top_k(queries, chunk_vecs, k, normalize=False).withColumnRenamed("id", "chunk_id")
+
+
+def rerank_chunks(found: DataFrame, queries, chunk_vecs, k: int = 10) -> DataFrame:
+    """Mean of the index score and the clipped cosine, the best ``k`` per query."""
+    v = chunk_vecs.select(F.col("id").alias("chunk_id"), F.col("emb").alias("_v"))
+    joined = found.join(v, "chunk_id").join(queries.select("query_id", F.col("emb").alias("_q")), "query_id")
+    score = F.round((F.col("score") + similarity(F.col("_q"), F.col("_v"))) / 2, 9)
+    out = joined.select("query_id", "chunk_id", score.alias("score"))
+    return top_per_key(out, ["query_id"], [F.desc("score"), "chunk_id"], k, rank="rank")
+
+
+def merge_scored(parts: list[DataFrame], k: int) -> DataFrame:
+    """Scored triples of all paths, the best score per triple, the best ``k`` per query."""
+    merged = parts[0]
+    for p in parts[1:]:
+        merged = merged.unionByName(p)
+    best = merged.groupBy("query_id", "seq", "src", "relation", "dst").agg(F.max("score").alias("score"))
+    return top_per_key(best, ["query_id"], [F.desc("score"), "seq"], k, rank="rank")
+
+
+def format_triples(scored: DataFrame, nodes: DataFrame, props: Column | None = None) -> DataFrame:
+    """Readable triples; keyword edges and ends without usable text are left out."""
+    shown = property_list(props) if props is not None else F.lit("")
+    texts = nodes.select(
+        "node_id", node_text(F.col("name"), F.col("description"), F.col("node_id")).alias("txt"), shown.alias("props")
+    ).where(valid_node_text(F.col("txt")))
+    h = texts.select(F.col("node_id").alias("src"), F.concat_ws(" ", "txt", "props").alias("h"))
+    t = texts.select(F.col("node_id").alias("dst"), F.concat_ws(" ", "txt", "props").alias("t"))
+    rows = scored.where(~F.col("relation").isin("represented_by", "kw_filter_by")).join(h, "src").join(t, "dst")
+    text = F.concat(
+        F.lit("("), "h", F.lit(", "), "relation", F.lit(", "), "t", F.lit(") [score: "), decimals(F.col("score"), "0.000"), F.lit("]")
+    )
+    return rows.select("query_id", "rank", text.alias("txt"))
+
+
+def format_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunk previews: id, first 200 characters, score."""
+    text = F.concat(
+        F.lit("[Chunk "), "chunk_id", F.lit("] "), F.substring("text", 1, 200), F.lit("... [score: "),
+        decimals(F.col("score"), "0.000"), F.lit("]"),
+    )
+    return chunk_texts(ranked, chunks).select("query_id", "rank", "chunk_id", text.alias("preview"))
+
+
+def merge_questions(parts: DataFrame, owner: str, key: str, order: list, k: int) -> DataFrame:
+    """Results of sub-questions under their question: distinct, the first ``k`` as context."""
+    best = parts.groupBy(owner, key).agg(F.min(F.struct(*order)).alias("_o"))
+    return top_per_key(best, [owner], ["_o", key], k, rank="position").drop("_o")
+
+
+def sub_questions(answers: DataFrame, column: str) -> DataFrame:
+    """(…, position, sub_question) of decompositions, given as an object or as a bare list."""
+    item = "array<struct<`sub-question`: string>>"
+    plain = F.from_json(column, item)
+    wrapped = F.from_json(column, f"struct<sub_questions: {item}>")
+    listed = F.when(F.trim(column).startswith("["), plain).otherwise(wrapped["sub_questions"])
+    rest = [c for c in answers.columns if c != column]
+    rows = answers.select(*rest, F.posexplode(listed).alias("position", "q"))
+    return rows.select(*rest, "position", F.col("q").getField("sub-question").alias("sub_question"))

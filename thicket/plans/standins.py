@@ -241,6 +241,20 @@ FROM {kg_edges} e JOIN {kg_nodes} s ON e.src = s.node_id JOIN {kg_nodes} t ON e.
 STANDINS["node_vec"] = """
 SELECT node_id AS id, embedding AS emb FROM {kg_nodes} JOIN {embeddings} USING (vec_id)
 """
+# edges without duplicates, and communities: the customers of a nation
+STANDINS["kg_unique"] = """
+SELECT src, relation, dst, min(seq) AS seq FROM {kg_edges} GROUP BY src, relation, dst
+"""
+STANDINS["comm_member"] = """
+SELECT concat('M', c_nationkey) AS comm_id, c_name AS member FROM {customer}
+"""
+STANDINS["comm_vec"] = """
+SELECT concat('M', n_nationkey) AS id, embedding AS emb FROM (SELECT n_nationkey, n_nationkey + 200 AS vec_id FROM {nation}) n JOIN {embeddings} USING (vec_id)
+"""
+STANDINS["relation_vec"] = """
+SELECT relation AS id, embedding AS emb
+FROM (SELECT relation, row_number() OVER (ORDER BY relation) * 7 AS vec_id FROM (SELECT DISTINCT relation FROM {kg_edges}) r) n JOIN {embeddings} USING (vec_id)
+"""
 # one question per label: its words and its vector
 STANDINS["question"] = """
 SELECT CAST(label AS BIGINT) AS query_id, embedding AS emb,
