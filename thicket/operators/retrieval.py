@@ -16,6 +16,7 @@ from thicket.functions.vector import add, cosine, similarity, triple_score
 from thicket.operators.graphbuild import first_relations
 from thicket.operators.search import top_k
 from thicket.ordering import first_per_key, top_per_key
+from thicket.session import stage
 
 MIN_SCORE = 0.05
 TRIPLE_THRESHOLD = 0.1
@@ -85,12 +86,19 @@ def keyword_hits(asked: DataFrame, index: DataFrame, per_word: int = PER_WORD, s
 def substring_hits(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes whose text contains any of a query's keywords as a substring.
 
-    The distinct keywords are few words of questions; they go to the scan as one array per
-    text, and only matching (word, node) rows are made.
+    A keyword has at least three letters, so a text that contains it has its first three in a
+    row: texts and keywords join on that, and only those pairs are compared in full.
     """
-    words = asked.select("word").distinct().agg(F.collect_set("word")).scalar()
-    texts = node_texts(nodes).withColumn("words", F.filter(words, lambda w: F.contains(F.lower("txt"), w)))
-    found = texts.select("node_id", F.explode("words").alias("word"))
+    words = asked.select("word").distinct().withColumn("gram", F.substring("word", 1, 3))
+    texts = node_texts(nodes).select("node_id", F.lower("txt").alias("txt"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("txt") - 2, F.lit(1)))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.col("txt").substr(i, F.lit(3))))
+    found = (
+        texts.select("node_id", "txt", F.explode(grams).alias("gram"))
+        .join(words, "gram")
+        .where(F.contains("txt", F.col("word")))
+        .select("node_id", "word")
+    )
     return asked.join(found, "word").select("query_id", "node_id").distinct()
 
 
@@ -154,13 +162,16 @@ def out_neighbourhood(centers: DataFrame, edges: DataFrame, known: DataFrame, ho
     """(center, node_id, hop): nodes within ``hops`` out-edges, the center at hop 0.
 
     Only nodes in ``known`` count. Each hop joins the distinct frontier with distinct adjacency
-    and drops what was visited, so a hub is entered once per center.
+    and drops what was visited, so a hub is entered once per center. Hops are staged: the next
+    one reads the frontier and everything visited, and would run them again.
     """
     ids = known.select(F.col("id").alias("dst")).distinct()
     steps = edges.select("src", "dst").distinct().join(ids, "dst", "left_semi")
-    visited = centers.select("center").distinct().join(
-        known.select(F.col("id").alias("center")), "center", "left_semi"
-    ).select("center", F.col("center").alias("node_id"), F.lit(0).alias("hop"))
+    visited = stage(
+        centers.select("center").distinct().join(
+            known.select(F.col("id").alias("center")), "center", "left_semi"
+        ).select("center", F.col("center").alias("node_id"), F.lit(0).alias("hop"))
+    )
     frontier = visited
     for hop in range(1, hops + 1):
         reached = (
@@ -169,7 +180,7 @@ def out_neighbourhood(centers: DataFrame, edges: DataFrame, known: DataFrame, ho
             .select("center", F.col("dst").alias("node_id"))
             .distinct()
         )
-        frontier = reached.join(visited, ["center", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = stage(reached.join(visited, ["center", "node_id"], "left_anti").withColumn("hop", F.lit(hop)))
         visited = visited.unionByName(frontier)
     return visited
 
@@ -243,7 +254,7 @@ def triple_path(queries, edges, edge_vecs, node_vecs, k: int = 5) -> DataFrame:
     overall, those that lie in it (``n`` triples) and score at least 0.1 are kept, ``k`` of them.
     The wide search is cut to 50 first, so only those are tested.
     """
-    wide = top_k(queries, edge_vecs, 50).withColumnRenamed("id", "seq").join(edges, "seq")
+    wide = stage(top_k(queries, edge_vecs, 50).withColumnRenamed("id", "seq").join(edges, "seq"))
     seeds = wide.where(F.col("rank") <= k).select("query_id", "src", "relation", "dst")
     ends = triple_ends(seeds).withColumnRenamed("node_id", "center")
     around = out_neighbourhood(ends, edges, node_vecs)
@@ -256,7 +267,7 @@ def triple_path(queries, edges, edge_vecs, node_vecs, k: int = 5) -> DataFrame:
         .where((F.col("rank") <= F.least(F.col("n") * 2, F.lit(50))) & (F.col("score") >= TRIPLE_THRESHOLD))
         .select("query_id", "seq", "src", "relation", "dst", "score")
     )
-    return top_per_key(kept, ["query_id"], [F.desc("score"), "seq"], k)
+    return stage(top_per_key(kept, ["query_id"], [F.desc("score"), "seq"], k))
 
 
 def community_path(queries, comm_vecs, members, nodes, node_vecs, k: int = 3) -> DataFrame:
@@ -332,7 +343,7 @@ def rerank_triples(triples: DataFrame, queries, nodes, edges, edge_vecs) -> Data
 
 def node_relation_path(queries, nodes, edges, node_vecs, relation_vecs, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(top nodes, triples): candidates and everything expanded from them."""
-    best = candidate_nodes(queries, nodes, node_vecs, k)
+    best = stage(candidate_nodes(queries, nodes, node_vecs, k))
     relations = top_k(queries, relation_vecs, k).select("query_id", F.col("id").alias("relation"))
     parts = [
         expand_neighbours(best, edges),

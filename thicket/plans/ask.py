@@ -1,8 +1,8 @@
-"""From a table of questions to triples, chunks and previews, in one plan per result."""
+"""From a table of questions to triples, chunks and previews."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,46 +12,80 @@ from thicket.ordering import top_per_key
 from thicket.session import stage
 
 
-@dataclass
 class Answer:
-    triples: DataFrame  # (query_id, seq, src, relation, dst, score, rank)
-    triple_texts: DataFrame  # (query_id, rank, txt)
-    path_chunks: DataFrame  # (query_id, chunk_id) of both paths, cut to top_k
-    chunks: DataFrame  # (query_id, chunk_id, text)
-    previews: DataFrame  # (query_id, rank, chunk_id, preview)
-
-
-def ask(
-    queries: DataFrame,
-    nodes: DataFrame,
-    edges: DataFrame,
-    node_vecs: DataFrame,
-    relation_vecs: DataFrame,
-    edge_vecs: DataFrame,
-    chunk_vecs: DataFrame,
-    chunks: DataFrame,
-    k: int = 5,
-    keep: int = 20,
-) -> Answer:
-    """Both retrieval paths, merged and cut. The two searched lists are staged, since every
-    result below reads them."""
-    top_nodes, expanded = rt.node_relation_path(queries, nodes, edges, node_vecs, relation_vecs, k)
-    by_triple = stage(rt.triple_path(queries, edges, edge_vecs, node_vecs, k))
-    reranked = rt.rerank_triples(expanded, queries, nodes, edges, edge_vecs)
-    merged = stage(rt.merge_scored([by_triple, reranked], keep))
-    found = rt.search_chunks(queries, chunk_vecs, keep)
-    ranked = rt.rerank_chunks(found, queries, chunk_vecs)
-    path_ids = (
-        rt.chunk_ids(top_nodes, nodes)
-        .unionByName(rt.chunk_ids(rt.triple_ends(by_triple), nodes))
-        .unionByName(found.where(F.col("rank") <= k).select("query_id", "chunk_id"))
-        .distinct()
-    )
-    all_ids = rt.chunk_ids(rt.triple_ends(merged), nodes).unionByName(ranked.select("query_id", "chunk_id")).distinct()
-    return Answer(
-        triples=merged,
-        triple_texts=rt.format_triples(merged, nodes),
-        path_chunks=top_per_key(path_ids, ["query_id"], ["chunk_id"], k),
-        chunks=rt.chunk_texts(all_ids, chunks).select("query_id", "chunk_id", "text"),
-        previews=rt.format_chunks(ranked, chunks),
-    )
+    """Both retrieval paths for every question, merged and cut; each result is made when asked for.
+
+    ``k`` is the depth of the paths, ``keep`` the number of merged triples and searched chunks.
+    Lists that several results read are staged once.
+    """
+
+    def __init__(
+        self,
+        queries: DataFrame,
+        nodes: DataFrame,
+        edges: DataFrame,
+        node_vecs: DataFrame,
+        relation_vecs: DataFrame,
+        edge_vecs: DataFrame,
+        chunk_vecs: DataFrame,
+        chunks: DataFrame,
+        k: int = 5,
+        keep: int = 20,
+    ):
+        self.queries, self.nodes, self.edges, self.chunk_table = stage(queries), nodes, edges, chunks
+        self.node_vecs, self.relation_vecs = node_vecs, relation_vecs
+        self.edge_vecs, self.chunk_vecs = edge_vecs, chunk_vecs
+        self.k, self.keep = k, keep
+
+    @cached_property
+    def by_node(self) -> tuple[DataFrame, DataFrame]:
+        """Top nodes and the triples expanded from them."""
+        return rt.node_relation_path(
+            self.queries, self.nodes, self.edges, self.node_vecs, self.relation_vecs, self.k
+        )
+
+    @cached_property
+    def by_triple(self) -> DataFrame:
+        """Scored triples near the best triples."""
+        return rt.triple_path(self.queries, self.edges, self.edge_vecs, self.node_vecs, self.k)
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        """(query_id, seq, src, relation, dst, score, rank) of both paths."""
+        reranked = rt.rerank_triples(self.by_node[1], self.queries, self.nodes, self.edges, self.edge_vecs)
+        return stage(rt.merge_scored([self.by_triple, reranked], self.keep))
+
+    @property
+    def triple_texts(self) -> DataFrame:
+        """(query_id, rank, txt)."""
+        return rt.format_triples(self.triples, self.nodes)
+
+    @cached_property
+    def found_chunks(self) -> DataFrame:
+        return stage(rt.search_chunks(self.queries, self.chunk_vecs, self.keep))
+
+    @property
+    def ranked_chunks(self) -> DataFrame:
+        return rt.rerank_chunks(self.found_chunks, self.queries, self.chunk_vecs)
+
+    @property
+    def path_chunks(self) -> DataFrame:
+        """(query_id, chunk_id) of both paths and the chunk search, cut to ``k``."""
+        ids = (
+            rt.chunk_ids(self.by_node[0], self.nodes)
+            .unionByName(rt.chunk_ids(rt.triple_ends(self.by_triple), self.nodes))
+            .unionByName(self.found_chunks.where(F.col("rank") <= self.k).select("query_id", "chunk_id"))
+        )
+        return top_per_key(ids.distinct(), ["query_id"], ["chunk_id"], self.k)
+
+    @property
+    def chunks(self) -> DataFrame:
+        """(query_id, chunk_id, text) behind the merged triples and the best chunks."""
+        of_triples = rt.chunk_ids(rt.triple_ends(self.triples), self.nodes)
+        ids = of_triples.unionByName(self.ranked_chunks.select("query_id", "chunk_id")).distinct()
+        return rt.chunk_texts(ids, self.chunk_table).select("query_id", "chunk_id", "text")
+
+    @property
+    def previews(self) -> DataFrame:
+        """(query_id, rank, chunk_id, preview)."""
+        return rt.format_chunks(self.ranked_chunks, self.chunk_table)

@@ -7,6 +7,7 @@ from thicket.operators import retrieval as rt
 from thicket.operators import search
 from thicket.queries.registry import query
 from thicket.queries.shapes import NODE_TEXT
+from thicket.session import stage
 from thicket.sources import vectorstore as vs
 
 K = 5
@@ -17,6 +18,21 @@ def asked(t):
     return t.question.select("query_id", "emb", "text", types.alias("types"))
 
 
+def one_vector(t, query_id):
+    """The vector of one question as a literal."""
+    return F.lit([float(x) for x in t.question.where(F.col("query_id") == query_id).first()["emb"]])
+
+
+class Graph:
+    """The graph's tables as a retrieval service keeps them: built once, stored, then read."""
+
+    def __init__(self, t):
+        self.nodes = stage(t.kg_nodes)
+        self.edges = stage(t.kg_unique)
+        self.node_vecs = stage(t.node_vec)
+        self.edge_vecs = stage(rt.edge_vectors(self.edges, self.node_vecs))
+
+
 def edge_vecs(t):
     return rt.edge_vectors(t.kg_unique, t.node_vec)
 
@@ -163,20 +179,20 @@ def _(t):
 
 @query("x13_similarity", sql("SELECT id, round(greatest(0, list_cosine_similarity(qe, e)), 6) AS score FROM nv, q WHERE query_id = 0", Q, NV))
 def _(t):
-    one = t.question.where(F.col("query_id") == 0).agg(F.first("emb")).scalar()
+    one = one_vector(t, 0)
     return t.node_vec.select("id", F.round(similarity(one, F.col("emb")), 6).alias("score"))
 
 
 @query("x14_entity_similarity", sql("SELECT node_id, round(greatest(0, list_cosine_similarity(qe, e)), 6) AS score FROM tx JOIN nv ON id = node_id, q WHERE query_id = 3 AND txt <> ''", Q, NV, TX))
 def _(t):
-    one = t.question.where(F.col("query_id") == 3).agg(F.first("emb")).scalar()
+    one = one_vector(t, 3)
     usable = rt.node_texts(t.kg_nodes).where(rt.valid_node_text(F.col("txt"))).select(F.col("node_id").alias("id"))
     return t.node_vec.join(usable, "id").select(F.col("id").alias("node_id"), F.round(similarity(one, F.col("emb")), 6).alias("score"))
 
 
 @query("x15_triple_score", sql(f"SELECT seq, relation, round({RR_SCORE}, 6) AS score FROM ev, q WHERE query_id = 1", Q, NV, EV))
 def _(t):
-    one = t.question.where(F.col("query_id") == 1).agg(F.first("emb")).scalar()
+    one = one_vector(t, 1)
     edges = t.kg_unique.join(edge_vecs(t).withColumnRenamed("id", "seq"), "seq")
     return edges.select("seq", "relation", F.round(triple_score(cosine(one, F.col("emb")), F.col("relation")), 6).alias("score"))
 
@@ -248,11 +264,12 @@ def _(t):
 
 @query("j13_neighbour_triples", sql("SELECT query_id, src, relation, dst FROM near", Q, NV, EV, WIDE, AROUND))
 def _(t):
-    wide = search.top_k(asked(t), edge_vecs(t), K).withColumnRenamed("id", "seq").join(t.kg_unique, "seq")
-    seeds = wide.select("query_id", "src", "relation", "dst")
+    g = Graph(t)
+    wide = search.top_k(asked(t), g.edge_vecs, K).withColumnRenamed("id", "seq").join(g.edges, "seq")
+    seeds = stage(wide.select("query_id", "src", "relation", "dst"))
     ends = rt.triple_ends(seeds).withColumnRenamed("node_id", "center")
-    around = ends.join(rt.out_neighbourhood(ends, t.kg_unique, t.node_vec), "center").select("query_id", "node_id").distinct()
-    return rt.neighbour_triples(around, t.kg_unique, t.node_vec, key="query_id").unionByName(seeds).distinct()
+    around = ends.join(rt.out_neighbourhood(ends, g.edges, g.node_vecs), "center").select("query_id", "node_id").distinct()
+    return rt.neighbour_triples(around, g.edges, g.node_vecs, key="query_id").unionByName(seeds).distinct()
 
 
 @query("j14_community_nodes", "SELECT comm_id, node_id FROM (SELECT DISTINCT comm_id, member FROM comm_member) JOIN (SELECT name, min(node_id) AS node_id FROM kg_nodes GROUP BY 1) ON name = member")
@@ -267,13 +284,15 @@ def _(t):
 
 @query("j16_chunk_ids", sql("SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, unnest([src, dst]) AS node_id FROM tp) JOIN kg_nodes USING (node_id) WHERE chunk_id IS NOT NULL", Q, NV, EV, WIDE, AROUND, TP))
 def _(t):
-    scored = rt.triple_path(asked(t), t.kg_unique, edge_vecs(t), t.node_vec, K)
-    return rt.chunk_ids(rt.triple_ends(scored), t.kg_nodes)
+    g = Graph(t)
+    scored = rt.triple_path(asked(t), g.edges, g.edge_vecs, g.node_vecs, K)
+    return rt.chunk_ids(rt.triple_ends(scored), g.nodes)
 
 
 @query("r04_triple_path", sql("SELECT query_id, seq, src, relation, dst, round(score, 6) AS score FROM tp", Q, NV, EV, WIDE, AROUND, TP))
 def _(t):
-    return rt.triple_path(asked(t), t.kg_unique, edge_vecs(t), t.node_vec, K).withColumn("score", F.round("score", 6))
+    g = Graph(t)
+    return rt.triple_path(asked(t), g.edges, g.edge_vecs, g.node_vecs, K).withColumn("score", F.round("score", 6))
 
 
 @query("r05_community_path", sql("SELECT query_id, node_id FROM cp", Q, NV, CV, CS, CP))
@@ -286,10 +305,10 @@ SELECT query_id, node_id, bool_or(a) AS by_triple, bool_or(NOT a) AS by_communit
 FROM (SELECT query_id, unnest([src, dst]) AS node_id, true AS a FROM tp UNION ALL SELECT query_id, node_id, false FROM cp) JOIN q USING (query_id) JOIN nv ON nv.id = node_id
 GROUP BY query_id, node_id, qe, e""", Q, NV, EV, WIDE, AROUND, TP, CV, CS, CP))
 def _(t):
-    q = asked(t)
-    scored = rt.triple_path(q, t.kg_unique, edge_vecs(t), t.node_vec, K)
-    inside = rt.community_path(q, t.comm_vec, t.comm_member, t.kg_nodes, t.node_vec)
-    return rt.dual_path(q, scored, inside, t.node_vec).withColumn("score", F.round("score", 6))
+    q, g = asked(t), Graph(t)
+    scored = rt.triple_path(q, g.edges, g.edge_vecs, g.node_vecs, K)
+    inside = stage(rt.community_path(q, t.comm_vec, t.comm_member, g.nodes, g.node_vecs))
+    return rt.dual_path(q, scored, inside, g.node_vecs).withColumn("score", F.round("score", 6))
 
 
 @query("r07_candidate_nodes", sql("SELECT query_id, node_id, round(score, 6) AS score, rank FROM cand", Q, NV, TX, HITS, KW, IDX, KH, CAND))
@@ -350,9 +369,9 @@ def _(t):
 
 @query("r14_rerank_triples", sql("SELECT query_id, seq, src, relation, dst, round(score, 6) AS score FROM rr", *NODE_PATH, RR))
 def _(t):
-    q, e = asked(t), edge_vecs(t)
-    triples = rt.node_relation_path(q, t.kg_nodes, t.kg_unique, t.node_vec, t.relation_vec, K)[1]
-    return rt.rerank_triples(triples, q, t.kg_nodes, t.kg_unique, e).withColumn("score", F.round("score", 6))
+    q, g = asked(t), Graph(t)
+    triples = rt.node_relation_path(q, g.nodes, g.edges, g.node_vecs, t.relation_vec, K)[1]
+    return rt.rerank_triples(triples, q, g.nodes, g.edges, g.edge_vecs).withColumn("score", F.round("score", 6))
 
 
 RC = """rc AS (SELECT * FROM (SELECT query_id, id AS chunk_id, round((score + greatest(0, list_cosine_similarity(qe, e))) / 2, 9) AS score,
@@ -367,9 +386,10 @@ def _(t):
 
 
 def final(t):
-    from thicket.plans.ask import ask
+    from thicket.plans.ask import Answer
 
-    return ask(asked(t), t.kg_nodes, t.kg_unique, t.node_vec, t.relation_vec, edge_vecs(t), t.chunk_vec, t.chunk, K)
+    g = Graph(t)
+    return Answer(asked(t), g.nodes, g.edges, g.node_vecs, t.relation_vec, g.edge_vecs, t.chunk_vec, t.chunk, K)
 
 
 @query("f03_merged_triples", sql("SELECT query_id, seq, rank, round(score, 6) AS score FROM lim", *BOTH))
