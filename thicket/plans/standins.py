@@ -248,6 +248,10 @@ SELECT src, relation, dst, min(seq) AS seq FROM {kg_edges} GROUP BY src, relatio
 STANDINS["comm_member"] = """
 SELECT concat('M', c_nationkey) AS comm_id, c_name AS member FROM {customer}
 """
+# a fixed community per customer that has a vector: its nation
+STANDINS["assigned"] = """
+SELECT CAST(c_nationkey AS BIGINT) AS comm_id, concat('C', c_custkey) AS node_id FROM {customer} JOIN {embeddings} ON c_custkey = vec_id
+"""
 STANDINS["comm_vec"] = """
 SELECT concat('M', n_nationkey) AS id, embedding AS emb FROM (SELECT n_nationkey, n_nationkey + 200 AS vec_id FROM {nation}) n JOIN {embeddings} USING (vec_id)
 """
