@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["logs", "access", "hierarchy", "changes", "shapes", "graphs", "search", "communities"]
+MODULES = ["logs", "access", "hierarchy", "changes", "shapes", "graphs", "search", "communities", "storage"]
 
 
 def load():
