@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 from thicket.operators.filters import since
 
-OK = F.col("status") == 1
-FAILED = F.col("status") == 0
+
+def succeeded() -> Column:
+    return F.col("status") == 1
+
+
+def failed() -> Column:
+    return F.col("status") == 0
+
 
 # Labels of login states and failure reasons.
 STATUS_LABELS = {0: "失败", 1: "成功"}
@@ -37,7 +43,7 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
 def login_kpis(log: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     counts = since(log, "ts", as_of, days=days).agg(
         F.count(F.lit(1)).alias("total_logins"),
-        F.count_if(OK).alias("success_logins"),
+        F.count_if(succeeded()).alias("success_logins"),
         F.countDistinct("user_id").alias("unique_users"),
         F.countDistinct("login_ip").alias("unique_ips"),
     )
@@ -56,8 +62,8 @@ def ip_stats(log: DataFrame, days: int = 30, limit: int = 10, as_of=None) -> Dat
         since(log, "ts", as_of, days=days)
         .groupBy("login_ip", "ip_location")
         .agg(
-            F.count_if(OK).alias("login_count"),
-            F.count_if(FAILED).alias("failed_count"),
+            F.count_if(succeeded()).alias("login_count"),
+            F.count_if(failed()).alias("failed_count"),
             F.max("ts").alias("last_login_time"),
         )
         .orderBy(F.desc("login_count"), "login_ip", "ip_location")
@@ -68,7 +74,7 @@ def ip_stats(log: DataFrame, days: int = 30, limit: int = 10, as_of=None) -> Dat
 def device_stats(log: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     return (
         since(log, "ts", as_of, days=days)
-        .where(OK)
+        .where(succeeded())
         .groupBy("device_type", "browser_type", "os_type")
         .agg(F.count(F.lit(1)).alias("login_count"), F.max("ts").alias("last_login_time"))
         .orderBy(F.desc("login_count"))
@@ -81,11 +87,11 @@ def user_stats(log: DataFrame, days: int = 30, limit: int = 10, as_of=None) -> D
         since(log, "ts", as_of, days=days)
         .groupBy("user_id", "username")
         .agg(
-            F.count_if(OK).alias("total_logins"),
-            F.count_if(FAILED).alias("failed_logins"),
-            F.max(F.when(OK, F.col("ts"))).alias("last_login_time"),
-            F.max(F.when(OK, F.col("login_ip"))).alias("max_ip"),
-            F.max_by("login_ip", F.when(OK, F.struct("ts", "id"))).alias("last_ip"),
+            F.count_if(succeeded()).alias("total_logins"),
+            F.count_if(failed()).alias("failed_logins"),
+            F.max(F.when(succeeded(), F.col("ts"))).alias("last_login_time"),
+            F.max(F.when(succeeded(), F.col("login_ip"))).alias("max_ip"),
+            F.max_by("login_ip", F.when(succeeded(), F.struct("ts", "id"))).alias("last_ip"),
         )
         .orderBy(F.desc("total_logins"), "user_id", "username")
         .limit(limit)
@@ -98,8 +104,8 @@ def daily_stats(log: DataFrame, days: int = 30, as_of=None) -> DataFrame:
         .groupBy(F.to_date("ts").alias("date"))
         .agg(
             F.count(F.lit(1)).alias("total_logins"),
-            F.count_if(OK).alias("success_logins"),
-            F.count_if(FAILED).alias("failed_logins"),
+            F.count_if(succeeded()).alias("success_logins"),
+            F.count_if(failed()).alias("failed_logins"),
             F.countDistinct("user_id").alias("unique_users"),
         )
         .orderBy("date")
@@ -109,7 +115,7 @@ def daily_stats(log: DataFrame, days: int = 30, as_of=None) -> DataFrame:
 def suspicious_logins(log: DataFrame, threshold: int = 5, hours: int = 1, as_of=None) -> DataFrame:
     return (
         since(log, "ts", as_of, hours=hours)
-        .where(FAILED)
+        .where(failed())
         .groupBy("username", "login_ip")
         .agg(F.count(F.lit(1)).alias("failures"), F.max("ts").alias("last_attempt"))
         .where(F.col("failures") >= threshold)
@@ -120,13 +126,13 @@ def login_counts(log: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     return (
         since(log, "ts", as_of, days=days)
         .groupBy("user_id")
-        .agg(F.count_if(OK).alias("success_count"), F.count_if(FAILED).alias("failed_count"))
+        .agg(F.count_if(succeeded()).alias("success_count"), F.count_if(failed()).alias("failed_count"))
     )
 
 
 def locked_users(log: DataFrame, threshold: int = 5, hours: int = 1, as_of=None) -> DataFrame:
     """Lock decision for every user seen in the log, not only those with failures."""
-    recent = since(log, "ts", as_of, hours=hours).where(FAILED).select("username", F.lit(1).alias("_f"))
+    recent = since(log, "ts", as_of, hours=hours).where(failed()).select("username", F.lit(1).alias("_f"))
     everyone = log.select("username", F.lit(0).alias("_f"))
     return (
         everyone.unionByName(recent)
@@ -143,7 +149,7 @@ def login_ips(log: DataFrame, days: int = 30, as_of=None) -> DataFrame:
 def last_login(log: DataFrame) -> DataFrame:
     """Latest success per user; ``max_by`` combines on the map side, no per-user sort."""
     return (
-        log.where(OK)
+        log.where(succeeded())
         .groupBy("user_id")
         .agg(F.max_by(F.struct("id", "ts", "login_ip", "device_type"), F.struct("ts", "id")).alias("r"))
         .select("user_id", "r.*")

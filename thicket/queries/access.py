@@ -7,10 +7,13 @@ from thicket.ordering import first_per_key, page, top
 from thicket.queries.registry import query
 
 AS_OF = "1999-06-01 00:00:00"
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
 LIVE = f"status = 'published' AND (expire_time IS NULL OR expire_time > TIMESTAMP '{AS_OF}')"
 
 
+def now():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
 @query("p08_login_filter", """
 SELECT id, ts, username, login_ip, status FROM login_log
 WHERE username ILIKE '%USER1%' AND status = 0 AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'""")
@@ -142,13 +145,13 @@ WITH seen AS (
 @query("p21_audience_sizes", _SEEN + f"""
 SELECT a.id AS announcement_id, count(s.user_id) AS reached FROM announcement a LEFT JOIN seen s ON s.announcement_id = a.id WHERE {LIVE} GROUP BY 1""")
 def _(t):
-    return inbox.audience_sizes(t.announcement, t.users, NOW)
+    return inbox.audience_sizes(t.announcement, t.users, now())
 
 
 @query("p21_visible_counts", _SEEN + """
 SELECT u.id AS user_id, count(s.announcement_id) AS visible FROM users u LEFT JOIN seen s ON s.user_id = u.id GROUP BY 1""")
 def _(t):
-    return inbox.visible_counts(t.announcement, t.users, NOW)
+    return inbox.visible_counts(t.announcement, t.users, now())
 
 
 @query("p21_visible_to_one", f"""
@@ -156,7 +159,7 @@ SELECT id, title, target_type, priority FROM announcement
 WHERE {LIVE} AND (target_type = 'all' OR (target_type = 'dept' AND list_has_any(target_ids, ['N4', 'N9']))
   OR (target_type = 'role' AND list_contains(target_ids, 'FURNITURE')) OR (target_type = 'user' AND list_contains(target_ids, '42')))""")
 def _(t):
-    return inbox.visible_to(t.announcement, 42, ["N4", "N9"], ["FURNITURE"], NOW).select("id", "title", "target_type", "priority")
+    return inbox.visible_to(t.announcement, 42, ["N4", "N9"], ["FURNITURE"], now()).select("id", "title", "target_type", "priority")
 
 
 _FAIL_CASE = " ".join(f"WHEN {k} THEN '{v}'" for k, v in logstats.FAILURE_LABELS.items())
@@ -294,12 +297,12 @@ def _(t):
 SELECT u.id AS user_id, count(s.announcement_id) AS unread FROM users u
 LEFT JOIN (SELECT * FROM seen ANTI JOIN announcement_read USING (announcement_id, user_id)) s ON s.user_id = u.id GROUP BY 1""")
 def _(t):
-    return inbox.unread_per_user(t.announcement, t.users, t.announcement_read, NOW)
+    return inbox.unread_per_user(t.announcement, t.users, t.announcement_read, now())
 
 
 @query("j04_visible_receipts", _SEEN + " SELECT announcement_id, user_id FROM seen SEMI JOIN announcement_read USING (announcement_id, user_id)")
 def _(t):
-    return inbox.visible_receipts(t.announcement_read, t.announcement, t.users, NOW)
+    return inbox.visible_receipts(t.announcement_read, t.announcement, t.users, now())
 
 
 @query("j05_read_flag", f"""
@@ -307,7 +310,7 @@ SELECT id, title, id IN (SELECT announcement_id FROM announcement_read WHERE use
 WHERE {LIVE} AND (target_type = 'all' OR (target_type = 'dept' AND list_has_any(target_ids, ['N4', 'N9']))
   OR (target_type = 'role' AND list_contains(target_ids, 'FURNITURE')) OR (target_type = 'user' AND list_contains(target_ids, '42')))""")
 def _(t):
-    seen = inbox.visible_to(t.announcement, 42, ["N4", "N9"], ["FURNITURE"], NOW).select("id", "title")
+    seen = inbox.visible_to(t.announcement, 42, ["N4", "N9"], ["FURNITURE"], now()).select("id", "title")
     return inbox.with_read_flag(seen, t.announcement_read, 42)
 
 

@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 from thicket.operators import access, changes, inbox, trees
 from thicket.queries.registry import query
 
-NOW = F.lit("1999-06-01 00:00:00").cast("timestamp_ntz")
 NOW_SQL = "TIMESTAMP '1999-06-01 00:00:00'"
 
 
+def now():
+    return F.lit("1999-06-01 00:00:00").cast("timestamp_ntz")
+
+
 @query("m01_insert", """
 SELECT CAST(id AS VARCHAR) AS id, name, code, status FROM post
 UNION ALL SELECT md5('new-' || r_name), r_name, 'new-' || r_name, true FROM region""")
@@ -101,14 +104,14 @@ def _(t):
 @query("m08_expire_jobs", f"""
 SELECT id, code, is_deleted OR coalesce(trigger_type = 'date' AND run_date < {NOW_SQL}, false) AS is_deleted FROM scheduler_job""")
 def _(t):
-    return changes.expire_jobs(t.scheduler_job, NOW).select("id", "code", "is_deleted")
+    return changes.expire_jobs(t.scheduler_job, now()).select("id", "code", "is_deleted")
 
 
 @query("m09_mark_all_read", f"""
 SELECT id, recipient_id, CASE WHEN recipient_id = 77 AND msg_type = '2-HIGH' THEN 'read' ELSE status END AS status,
        CASE WHEN recipient_id = 77 AND msg_type = '2-HIGH' AND status = 'unread' THEN {NOW_SQL} END AS read_at FROM message""")
 def _(t):
-    return changes.mark_all_read(t.message, 77, "2-HIGH", NOW).select("id", "recipient_id", "status", "read_at")
+    return changes.mark_all_read(t.message, 77, "2-HIGH", now()).select("id", "recipient_id", "status", "read_at")
 
 
 @query("m09_delete_read", "SELECT id, recipient_id, status FROM message WHERE NOT (recipient_id = 77 AND status = 'read')")
@@ -212,7 +215,7 @@ SELECT id, CASE WHEN a.id IS NULL THEN 'missing' WHEN status = 'draft' THEN 'cha
 FROM (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_discount > 0.05) w LEFT JOIN announcement a USING (id)""".replace("a.id IS NULL", "title IS NULL"))
 def _(t):
     ids = t.lineitem.where(F.col("l_discount") > 0.05).select("l_partkey")
-    out = changes.guarded(t.announcement, ids, F.col("status") == "draft", {"publish_time": NOW, "status": "published"})
+    out = changes.guarded(t.announcement, ids, F.col("status") == "draft", {"publish_time": now(), "status": "published"})
     return out.select("id", "outcome", "status", "publish_time")
 
 

@@ -49,19 +49,18 @@ def _(t):
     return preview_source(t.spark, source, {}, {"scheduler_log": t.scheduler_log})
 
 
-_RESPONSES = F.to_json(
-    F.struct(
-        F.lit(0).alias("code"),
-        F.struct(F.array(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state")),
-                         F.struct((F.col("o_orderkey") * 2).alias("id"), F.col("o_orderpriority").alias("state"))).alias("items")).alias("data"),
-    )
-)
+def api_response():
+    """An order as an API would answer: a code and two items under ``data``."""
+    first = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))
+    second = F.struct((F.col("o_orderkey") * 2).alias("id"), F.col("o_orderpriority").alias("state"))
+    data = F.struct(F.array(first, second).alias("items"))
+    return F.to_json(F.struct(F.lit(0).alias("code"), data.alias("data")))
 
 
 @query("s05_api_rows", """
 SELECT o_orderkey AS response, o_orderkey AS id, o_orderstatus AS state FROM orders UNION ALL SELECT o_orderkey, o_orderkey * 2, o_orderpriority FROM orders""")
 def _(t):
-    responses = t.orders.select(F.col("o_orderkey").alias("response"), _RESPONSES.alias("body"))
+    responses = t.orders.select(F.col("o_orderkey").alias("response"), api_response().alias("body"))
     source = DataSource("api", "api", data_path="data.items", row_schema="id bigint, state string", order=("response",), result_type="rows")
     return run_source(t.spark, source, {}, {"responses": responses})
 
@@ -83,7 +82,7 @@ def _(t):
 
 @query("p03_index_path", "SELECT o_orderkey, o_orderpriority AS state, o_orderkey * 2 AS id FROM orders")
 def _(t):
-    body = t.orders.select("o_orderkey", _RESPONSES.alias("body"))
+    body = t.orders.select("o_orderkey", api_response().alias("body"))
     return body.select(
         "o_orderkey",
         jsonpath.value_at(F.col("body"), "data.items[1].state").alias("state"),
@@ -101,7 +100,7 @@ def _(t):
 @query("p04_map_over_defaults", """
 SELECT o_orderkey, o_orderstatus AS label, 'none' AS color, o_orderpriority AS second FROM orders""")
 def _(t):
-    body = t.orders.select("o_orderkey", _RESPONSES.alias("body"))
+    body = t.orders.select("o_orderkey", api_response().alias("body"))
     cols = jsonpath.map_fields(
         F.col("body"),
         {"data.items[0].state": "label", "data.color": "color", "data.items[1].state": "second"},

@@ -245,10 +245,10 @@ def drained(t, stream, name, mode="complete"):
 @query("n01_refresh_kpis", """
 SELECT count(*) AS total, count(*) FILTER (status = 1) AS success FROM login_log""")
 def _(t):
-    from thicket.operators.logstats import OK
+    from thicket.operators.logstats import succeeded
 
     parts = folder(t, "kpi")
-    stat = lambda batch: batch.agg(F.count(F.lit(1)).alias("total"), F.count_if(OK).alias("success"))
+    stat = lambda batch: batch.agg(F.count(F.lit(1)).alias("total"), F.count_if(succeeded()).alias("success"))
     publish = lambda df, number: df.write.mode("overwrite").parquet(f"{parts}/batch={number}")
     log = t.login_log.select("id", "ts", "status")
     twins.refresh(stream_of(t, log, "log"), stat, publish, folder(t, "ck"), once=True).awaitTermination()
