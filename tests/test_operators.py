@@ -354,13 +354,13 @@ def test_user_agents(spark):
 
 def test_request_matching_prefers_exact(spark, rows):
     perms = spark.createDataFrame(
-        [(1, "/api/{id}", 5, True, False), (2, "/api/me", 5, True, False), (3, "/api/me", 0, True, False), (4, "/api/{a}/x", 0, True, False), (5, "/api/off", 0, False, False)],
+        [(1, "/api/{id}", 5, True, False), (2, "/api/me", 5, True, False), (3, "/api/me", 0, True, False), (4, "/api/{a}/x", 0, True, False), (5, "/api/off", 0, False, False), (6, "/v{n}/all", 5, True, False)],
         "id long, api_path string, http_method int, is_active boolean, is_deleted boolean",
     )
-    asked = spark.createDataFrame([("/api/me", 0), ("/api/me", 1), ("/api/7", 1), ("/api/7/x", 0), ("/api/7/x", 1), ("/no", 0)], "path string, method int")
+    asked = spark.createDataFrame([("/api/me", 0), ("/api/me", 1), ("/api/7", 1), ("/api/7/x", 0), ("/api/7/x", 1), ("/no", 0), ("/v2/all", 3), ("/v/all", 3)], "path string, method int")
     got = access.match_requests(asked, perms)
     assert rows(got, "path", "method", "priority", "permission_id") == sorted(
-        [("/api/me", 0, 1, 3), ("/api/me", 1, 2, 2), ("/api/7", 1, 3, 1), ("/api/7/x", 0, 3, 4)], key=repr
+        [("/api/me", 0, 1, 3), ("/api/me", 1, 2, 2), ("/api/7", 1, 3, 1), ("/api/7/x", 0, 3, 4), ("/v2/all", 3, 3, 6)], key=repr
     )
 
 

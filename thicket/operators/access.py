@@ -18,24 +18,23 @@ def path_matches(path: Column, template: Column) -> Column:
 def match_requests(requests: DataFrame, permissions: DataFrame) -> DataFrame:
     """Permission of each distinct (path, method): exact, else any-method, else template.
 
-    A template is an equality after blanking segments, so the match is an equi-join: a template
-    becomes its path with ``*`` for placeholders, and a request joins under each blanking that
-    some template uses. No request is compared with every template. Requests are reduced to
+    Templates are found by an equi-join: segments that hold a placeholder are blanked in the
+    template, and a request joins under each blanking that some template uses; only those pairs
+    are tested in full. No request is compared with every template. Requests are reduced to
     distinct (path, method) first, so a hot path costs one row. Among several matches, exact
     wins, then any-method, then the smallest permission id.
     """
     usable = permissions.where(F.col("is_active") & ~F.col("is_deleted"))
     has_slot = F.col("api_path").contains("{")
-    slots = F.transform(
-        F.split("api_path", "/"), lambda p: F.when(p.rlike("^" + PLACEHOLDER + "$"), "*").otherwise(p)
-    )
-    exact = usable.where(~has_slot).select(
+    slots = F.transform(F.split("api_path", "/"), lambda p: F.when(p.contains("{"), "*").otherwise(p))
+    exact = usable.select(
         F.col("api_path").alias("k"), F.col("http_method").alias("m"), F.col("id").alias("permission_id")
     )
     templates = usable.where(has_slot).select(
         F.array_join(slots, "/").alias("k"),
         F.transform(slots, lambda p: p == "*").alias("mask"),
         F.col("http_method").alias("m"),
+        "api_path",
         F.col("id").alias("permission_id"),
     )
     asked = requests.select("path", "method").distinct()
@@ -43,17 +42,15 @@ def match_requests(requests: DataFrame, permissions: DataFrame) -> DataFrame:
     direct = tried.join(exact, (F.col("path") == F.col("k")) & (tried["m"] == exact["m"])).select(
         "path", "method", F.when(tried["m"] == F.col("method"), 1).otherwise(2).alias("priority"), "permission_id"
     )
-    # the masks in use: few, and their number does not grow with requests
+    # the blankings in use: a handful of shapes, whatever the number of templates or requests
     masks = templates.select("mask").distinct().withColumn("n", F.size("mask"))
     shaped = tried.withColumn("n", F.size(F.split("path", "/"))).join(masks, "n")
-    shaped = shaped.withColumn(
-        "k",
-        F.array_join(
-            F.zip_with(F.split("path", "/"), "mask", lambda p, hidden: F.when(hidden, "*").otherwise(p)), "/"
-        ),
-    )
-    by_template = shaped.join(templates.drop("mask"), ["k", "m"]).select(
-        "path", "method", F.lit(3).alias("priority"), "permission_id"
+    blanked = F.zip_with(F.split("path", "/"), "mask", lambda p, hidden: F.when(hidden, "*").otherwise(p))
+    shaped = shaped.withColumn("k", F.array_join(blanked, "/"))
+    by_template = (
+        shaped.join(templates.drop("mask"), ["k", "m"])
+        .where(path_matches(F.col("path"), F.col("api_path")))
+        .select("path", "method", F.lit(3).alias("priority"), "permission_id")
     )
     return (
         direct.unionByName(by_template)

@@ -102,7 +102,11 @@ class _Rate(StatefulProcessor):
 
 
 def counter_rates(samples: DataFrame) -> DataFrame:
-    """Rate of change per host with the previous sample kept as state between micro-batches."""
+    """Rate of change per host with the previous sample kept as state between micro-batches.
+
+    A host's rows of one micro-batch are handled together, so bound the batch at the source
+    (``per_trigger``) when hosts report a lot.
+    """
     rows = timed(samples).select("host", "id", "ts", F.col("counter").cast("double").alias("value"))
     return rows.groupBy("host").transformWithStateInPandas(
         statefulProcessor=_Rate(),
