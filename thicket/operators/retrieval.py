@@ -121,9 +121,25 @@ def touching(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(into).select("query_id", "seq", "src", "relation", "dst").distinct()
 
 
+def first_touching(nodes: DataFrame, edges: DataFrame, order: list, k: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``k`` out-edges and in-edges of each listed node.
+
+    Enough to find the first ``k`` edges of any set of these nodes, or to tell whether the set
+    touches ``k`` edges at all, and a hub gives ``k`` rows instead of all its edges.
+    """
+    ids = nodes.select("node_id").distinct()
+    out = edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi")
+    into = edges.join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    return top_per_key(out, ["src"], order, k), top_per_key(into, ["dst"], order, k)
+
+
 def one_hop(seeds: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """The first ``k`` edges that touch a query's seeds."""
-    return top_per_key(touching(seeds, edges), ["query_id"], ["seq"], k)
+    out, into = first_touching(seeds, edges, ["seq"], k)
+    s = seeds.select("query_id", F.col("node_id").alias("_n")).distinct()
+    found = out.join(s, F.col("src") == F.col("_n")).unionByName(into.join(s, F.col("dst") == F.col("_n")))
+    rows = found.select("query_id", "seq", "src", "relation", "dst").distinct()
+    return top_per_key(rows, ["query_id"], ["seq"], k)
 
 
 def expand_neighbours(seeds: DataFrame, edges: DataFrame, cumulative: bool = False) -> DataFrame:
@@ -252,19 +268,42 @@ def triple_path(queries, edges, edge_vecs, node_vecs, k: int = 5) -> DataFrame:
 
     The best ``k`` triples seed a three-hop neighbourhood; of the best ``min(2n, 50)`` triples
     overall, those that lie in it (``n`` triples) and score at least 0.1 are kept, ``k`` of them.
-    The wide search is cut to 50 first, so only those are tested.
+    Only the best 50 are tested for lying in it, by their ends; and ``n`` is counted up to 25,
+    above which ``min(2n, 50)`` does not change, so hubs are not expanded.
     """
-    wide = stage(top_k(queries, edge_vecs, 50).withColumnRenamed("id", "seq").join(edges, "seq"))
-    seeds = wide.where(F.col("rank") <= k).select("query_id", "src", "relation", "dst")
+    limit = 50
+    wide = stage(top_k(queries, edge_vecs, limit).withColumnRenamed("id", "seq").join(edges, "seq"))
+    key = ["query_id", "src", "relation", "dst"]
+    seeds = wide.where(F.col("rank") <= k).select(*key)
     ends = triple_ends(seeds).withColumnRenamed("node_id", "center")
     around = out_neighbourhood(ends, edges, node_vecs)
-    per_query = ends.join(around, "center").select("query_id", "node_id").distinct()
-    near = neighbour_triples(per_query, edges, node_vecs, key="query_id").unionByName(seeds).distinct()
-    counts = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    near = stage(ends.join(around, "center").select("query_id", "node_id").distinct())
+    src_near = near.select("query_id", F.col("node_id").alias("src"))
+    dst_near = near.select("query_id", F.col("node_id").alias("dst"))
+    src_known = node_vecs.select(F.col("id").alias("src"))
+    dst_known = node_vecs.select(F.col("id").alias("dst"))
+    inside = (
+        wide.join(src_near, ["query_id", "src"], "left_semi").join(dst_known, "dst", "left_semi").select(*key)
+        .unionByName(wide.join(dst_near, ["query_id", "dst"], "left_semi").join(src_known, "src", "left_semi").select(*key))
+        .unionByName(seeds)
+        .distinct()
+    )
+    triples = edges.select("src", "relation", "dst").distinct()
+    known = triples.join(dst_known, "dst", "left_semi"), triples.join(src_known, "src", "left_semi")
+    out = first_touching(near, known[0], ["relation", "dst"], limit // 2)[0]
+    into = first_touching(near, known[1], ["relation", "src"], limit // 2)[1]
+    counts = (
+        out.join(src_near, "src").select(*key)
+        .unionByName(into.join(dst_near, "dst").select(*key))
+        .unionByName(seeds)
+        .distinct()
+        .groupBy("query_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     kept = (
-        wide.join(near, ["query_id", "src", "relation", "dst"], "left_semi")
+        wide.join(inside, key, "left_semi")
         .join(counts, "query_id")
-        .where((F.col("rank") <= F.least(F.col("n") * 2, F.lit(50))) & (F.col("score") >= TRIPLE_THRESHOLD))
+        .where((F.col("rank") <= F.least(F.col("n") * 2, F.lit(limit))) & (F.col("score") >= TRIPLE_THRESHOLD))
         .select("query_id", "seq", "src", "relation", "dst", "score")
     )
     return stage(top_per_key(kept, ["query_id"], [F.desc("score"), "seq"], k))

@@ -215,14 +215,14 @@ SELECT l_partkey, l_orderkey, l_linenumber, cents,
        CASE WHEN count(*) OVER w = 5 THEN round(sum(cents) OVER w / 5, 2) END AS ma5,
        CASE WHEN count(*) OVER v = 10 THEN round(sum(cents) OVER v / 10, 2) END AS ma10
 FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)
-WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
-       v AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, cents ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+       v AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, cents ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def _(t):
     cents = F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents")
-    bars = t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", cents)
+    bars = t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", cents)
     return monitor.moving_averages(
-        bars, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], "cents"
-    ).drop("l_shipdate")
+        bars, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "cents"], "cents"
+    ).drop("l_shipdate", "l_suppkey")
 
 
 @query("w03_ranking", """

@@ -167,11 +167,11 @@ def _(t):
 
 
 @query("c04_axis", """
-SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS position, l_shipdate AS x, CAST(unnest([0, 1, 2]) AS INTEGER) AS series_no,
+SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_discount) AS position, l_shipdate AS x, CAST(unnest([0, 1, 2]) AS INTEGER) AS series_no,
   unnest(['Qty', 'l_discount', 'gone']) AS series, unnest([l_quantity, l_discount, 0.0]) AS value FROM lineitem""")
 def _(t):
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = t.lineitem.select(*key, "l_shipdate", "l_quantity", "l_discount")
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_discount"]
+    rows = t.lineitem.select(*key)
     return charts.axis(rows, key, "l_shipdate", ["l_quantity", "l_discount", "gone"], ["Qty"])
 
 
