@@ -230,6 +230,40 @@ def test_three_hops(spark, rows):
     assert rows(retrieval.out_neighbourhood(spark.createDataFrame([("n0",)], "center string"), edges, some), "node_id") == [("n0",), ("n1",)]
 
 
+@pytest.mark.parametrize("seed, n_nodes, n_edges", [(1, 8, 6), (2, 12, 14), (3, 9, 40)])
+def test_triple_path_equals_brute_force(spark, rows, seed, n_nodes, n_edges):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    ids = [f"n{i:02d}" for i in range(n_nodes)]
+    vec = {i: rng.normal(size=4).astype("float32") for i in ids}
+    known = set(ids[:-1])  # the last node has no vector
+    triples = sorted({(ids[rng.integers(n_nodes)], f"r{rng.integers(2)}", ids[rng.integers(n_nodes)]) for _ in range(n_edges)})
+    edges = [(k, *t) for k, t in enumerate(triples)]
+    asked = [(q, [float(x) for x in rng.normal(size=4)]) for q in range(4)]
+    e = spark.createDataFrame(edges, "seq long, src string, relation string, dst string")
+    v = spark.createDataFrame([(i, [float(x) for x in vec[i]]) for i in sorted(known)], "id string, emb array<float>")
+    q = spark.createDataFrame(asked, "query_id int, emb array<float>")
+    got = rows(retrieval.triple_path(q, e, retrieval.edge_vectors(e, v), v, 3), "query_id", "seq")
+
+    unit = lambda x: x / np.linalg.norm(x)
+    want = []
+    for qid, emb in asked:
+        qv = unit(np.array(emb, dtype="float32").astype("float64"))
+        scored = sorted(
+            (-round(float(qv @ unit(vec[s].astype("float64") + vec[d].astype("float64"))), 9), k, s, r, d)
+            for k, s, r, d in edges if s in known and d in known
+        )
+        near = {x for _, _, s, _, d in scored[:3] for x in (s, d)}
+        for _ in range(3):
+            near |= {d for _, s, _, d in edges if s in near and d in known}
+        inside = {(s, r, d) for _, s, r, d in edges if (s in near and d in known) or (d in near and s in known)}
+        inside |= {(s, r, d) for _, _, s, r, d in scored[:3]}
+        kept = [(qid, k) for sc, k, s, r, d in scored[: min(2 * len(inside), 50)] if (s, r, d) in inside and -sc >= 0.1]
+        want += kept[:3]
+    assert got == sorted(want, key=repr)
+
+
 # ---- communities
 
 

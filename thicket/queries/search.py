@@ -224,7 +224,7 @@ def _(t):
 
 
 def best(t):
-    return rt.candidate_nodes(asked(t), t.kg_nodes, t.node_vec, K)
+    return stage(rt.candidate_nodes(asked(t), t.kg_nodes, t.node_vec, K))
 
 
 @query("j07_one_hop", sql("""
