@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from thicket.operators import access, filters, inbox, logstats
-from thicket.ordering import first_per_key, page, top
+from thicket.ordering import first_per_key
 from thicket.queries.registry import query
 
 AS_OF = "1999-06-01 00:00:00"
@@ -100,7 +100,7 @@ def _(t):
 
 
 @query("p17_permission_search", """
-SELECT id, name, code, api_path FROM permission WHERE NOT is_deleted AND (name ILIKE '%gear%' OR code ILIKE '%gear%' OR api_path ILIKE '%gear%' OR name ILIKE '%gear%')""".replace("gear", "red"))
+SELECT id, name, code, api_path FROM permission WHERE NOT is_deleted AND (name ILIKE '%red%' OR code ILIKE '%red%' OR api_path ILIKE '%red%')""")
 def _(t):
     return filters.keyword_any(filters.alive(t.permission), "red", ["name", "code", "api_path"]).select("id", "name", "code", "api_path")
 

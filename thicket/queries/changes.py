@@ -210,9 +210,9 @@ def _(t):
 
 
 @query("m18_publish", f"""
-SELECT id, CASE WHEN a.id IS NULL THEN 'missing' WHEN status = 'draft' THEN 'changed' ELSE 'refused' END AS outcome,
+SELECT id, CASE WHEN title IS NULL THEN 'missing' WHEN status = 'draft' THEN 'changed' ELSE 'refused' END AS outcome,
        CASE WHEN status = 'draft' THEN 'published' ELSE status END AS status, CASE WHEN status = 'draft' THEN {NOW_SQL} ELSE publish_time END AS publish_time
-FROM (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_discount > 0.05) w LEFT JOIN announcement a USING (id)""".replace("a.id IS NULL", "title IS NULL"))
+FROM (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_discount > 0.05) w LEFT JOIN announcement a USING (id)""")
 def _(t):
     ids = t.lineitem.where(F.col("l_discount") > 0.05).select("l_partkey")
     out = changes.guarded(t.announcement, ids, F.col("status") == "draft", {"publish_time": now(), "status": "published"})
@@ -226,7 +226,7 @@ def _(t):
 
 
 @query("m20_add_counts", """
-SELECT p_partkey AS id, p_size + (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS downloads FROM part""".replace("p_size +", "CAST(p_size AS BIGINT) +"))
+SELECT p_partkey AS id, CAST(p_size AS BIGINT) + (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS downloads FROM part""")
 def _(t):
     files = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("downloads"))
     return changes.add_counts(files, t.lineitem, "l_partkey", "downloads")

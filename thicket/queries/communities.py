@@ -103,7 +103,7 @@ def _(t):
     return cm.member_edges(t.assigned)
 
 
-@query("k22_keyword_nodes", sql("SELECT 'kw_' || comm_id || '_' || node_id AS node_id, 'keyword' AS label, 3 AS level, name FROM key5 JOIN kg_nodes USING (node_id) WHERE size >= 2", NV, KEYS).replace("JOIN kg_nodes USING (node_id)", "JOIN (SELECT node_id, name FROM kg_nodes) USING (node_id)"))
+@query("k22_keyword_nodes", sql("SELECT 'kw_' || comm_id || '_' || node_id AS node_id, 'keyword' AS label, 3 AS level, name FROM key5 JOIN (SELECT node_id, name FROM kg_nodes) USING (node_id) WHERE size >= 2", NV, KEYS))
 def _(t):
     return cm.keyword_nodes(cm.large_keywords(t.assigned, t.kg_edges, t.node_vec), t.kg_nodes)
 

@@ -146,9 +146,9 @@ def _(t):
 @query("a25_fold_executions", """
 SELECT code, count(l.id) AS total_run_count, count(*) FILTER (l.status = 'success') AS success_count,
        count(*) FILTER (l.status = 'failed') AS failure_count, max(start_time) AS last_run_time,
-       arg_max(l.status, start_time * 1) AS last_run_status, arg_max(result, start_time * 1) AS last_run_result
-FROM scheduler_job j LEFT JOIN (SELECT *, epoch(start_time) * 100000000 + id AS start_time_id FROM scheduler_log) l ON j.code = l.job_code
-GROUP BY 1""".replace("start_time * 1", "start_time_id"))
+       arg_max(l.status, latest) AS last_run_status, arg_max(result, latest) AS last_run_result
+FROM scheduler_job j LEFT JOIN (SELECT *, epoch(start_time) * 100000000 + id AS latest FROM scheduler_log) l ON j.code = l.job_code
+GROUP BY 1""")
 def _(t):
     return logstats.fold_executions(t.scheduler_job, t.scheduler_log)
 
@@ -228,8 +228,7 @@ def _(t):
 @query("w03_ranking", """
 SELECT row_number() OVER (ORDER BY v DESC, c_name) AS rank, c_name AS name, v AS value,
        CASE WHEN v >= 10000 THEN printf('%.1f', v / 10000) || '万' ELSE printf('%.0f', v) END AS display
-FROM (SELECT c_name, sum(o_totalprice) AS v FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name)
-""".replace("sum(o_totalprice)", "round(sum(o_totalprice), 2)"))
+FROM (SELECT c_name, round(sum(o_totalprice), 2) AS v FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name)""")
 def _(t):
     spent = (
         t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"))
@@ -334,8 +333,8 @@ def _(t):
     )
 
 
-@query("w14_key_search", """
-SELECT id, path, size FROM file_item WHERE regexp_matches(path, '^/e./src1.*\\.txt$') AND type = 'file' ORDER BY path LIMIT 20""".replace("\\\\", "\\"))
+@query("w14_key_search", r"""
+SELECT id, path, size FROM file_item WHERE regexp_matches(path, '^/e./src1.*\.txt$') AND type = 'file' ORDER BY path LIMIT 20""")
 def _(t):
     found = monitor.key_search(t.file_item, "/e?/src1*.txt", "path", "file")
     return page(found.select("id", "path", "size"), ["path"])

@@ -45,8 +45,8 @@ def _(t):
 
 
 @query("s08_ingest_files", """
-SELECT 'base' AS kb_id, '.csv' AS file_type, false AS has_graph, sum(length(n_nationkey || '') + length(n_name) + 3) AS characters
-FROM nation GROUP BY n_regionkey""".replace("sum(", "CAST(sum(").replace("+ 3)", "+ 3) AS BIGINT)"))
+SELECT 'base' AS kb_id, '.csv' AS file_type, false AS has_graph, CAST(sum(length(n_nationkey || '') + length(n_name) + 3) AS BIGINT) AS characters
+FROM nation GROUP BY n_regionkey""")
 def _(t):
     path = folder(t, "batch")
     rows = t.nation.repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey")
@@ -289,7 +289,7 @@ def _(t):
     return drained(t, twins.daily_counts(stream_of(t, log, "log")), "ck").drop("unique_users")
 
 
-@query("n05_file_chunks", "SELECT n_regionkey, string_agg(n_name || ' is a nation', chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM nation GROUP BY 1".replace("SELECT n_regionkey, ", "SELECT ").replace("GROUP BY 1", "GROUP BY n_regionkey"))
+@query("n05_file_chunks", "SELECT string_agg(n_name || ' is a nation', chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM nation GROUP BY n_regionkey")
 def _(t):
     path = folder(t, "arriving")
     rows = t.nation.repartition(F.col("n_regionkey")).sortWithinPartitions("n_regionkey", "n_nationkey")
