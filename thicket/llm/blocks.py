@@ -93,7 +93,8 @@ def split_groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cogroup(left: DataFrame, right: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(fn, schema)
+    """Work on each block's rows of two frames. The lambda hides ``self`` from Spark's count of arguments."""
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(lambda a, b: fn(a, b), schema)
 
 
 def batched(batches: Iterator[pa.RecordBatch], limit: int, column: str) -> Iterator[pa.Table]:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thicket.llm.jaccard_join import jaccard_groups
 from thicket.llm.substring_dedup import dedup_substrings
+from thicket.llm.suffix_dedup import dedup_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +49,34 @@ ORACLES["op2_substring_dedup"] = f"""WITH {later_windows_sql(20)}
 SELECT words.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
   sha256(coalesce(kept_text, '')) AS kept_sha256
 FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id"""
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_groups(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op5_jaccard_join"] = r"""WITH RECURSIVE
+words AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS k FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2),
+links AS (SELECT shared.a, shared.b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * i >= 90 * (x.n + y.n - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(reach.b) AS component_id
+FROM documents LEFT JOIN sizes ON documents.doc_id = sizes.doc_id JOIN reach ON reach.a = documents.doc_id GROUP BY 1, 2"""
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_passages(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op6_suffix_dedup"] = ORACLES["op2_substring_dedup"].replace(later_windows_sql(20), later_windows_sql(50))
