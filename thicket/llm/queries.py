@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thicket.llm.decontaminate import find_benchmark
 from thicket.llm.jaccard_join import jaccard_groups
 from thicket.llm.substring_dedup import dedup_substrings
 from thicket.llm.suffix_dedup import dedup_passages
@@ -80,3 +81,31 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_suffix_dedup"] = ORACLES["op2_substring_dedup"].replace(later_windows_sql(20), later_windows_sql(50))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.concat_ws(",", F.array_sort("items")), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+ORACLES["op4_decontamination"] = r"""WITH
+texts AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+items AS (SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+phrases AS (SELECT DISTINCT item_id, size, array_to_string(ws[s:s + size - 1], ' ') AS k FROM (
+  SELECT item_id, ws, least(len(ws), 10) AS size, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS s FROM items WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT size FROM phrases),
+windows AS (SELECT doc_id, size, s, array_to_string(ws[s:s + size - 1], ' ') AS k FROM (
+  SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS s FROM texts, sizes WHERE len(ws) >= size)),
+hits AS (SELECT DISTINCT doc_id, s, windows.size AS size, item_id FROM windows JOIN phrases ON windows.k = phrases.k AND windows.size = phrases.size),
+hit_words AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + size)) AS i FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (
+  SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT texts.doc_id, len(ws)::BIGINT AS n_words, coalesce(hit_words.n, 0)::BIGINT AS n_hit, coalesce(hit_items.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, hit_words.n IS NOT NULL AS contaminated
+FROM texts LEFT JOIN hit_words ON hit_words.doc_id = texts.doc_id LEFT JOIN hit_items ON hit_items.doc_id = texts.doc_id"""
