@@ -9,19 +9,16 @@ agree. Every pair of parts of every partition is a signature; a set also signs f
 a partner can lie there. So every similar pair shares a signature.
 
 **Pivots.** A signature shared by many sets is not expanded into pairs: each member is compared with
-the first one, its pivot. What a member does not share with its pivot is its *difference*. If ``x``
-and ``y`` are similar and not both similar to the pivot, then either they are so close to it that
-similarity follows from the triangle inequality, or their differences share an element, and even
-one among the first elements of each in a fixed order (new shingles first, by hash; a prefix filter).
-Members that share such an element form the groups of the next round, with their own pivot. Pivots
-grow from round to round, so the rounds end. Each link is checked on the whole sets. Links between
-two members that are both linked to a common pivot are implied and not listed.
+the first one, its pivot, on the whole sets, and keeps its *difference* from it: shingles it has more
+and shingles it lacks. Two members of one pivot differ by the symmetric difference of their
+differences, so whether they are linked follows exactly from the sizes of these and of what they
+share, counted with one sparse product per pivot. A pivot with very many members has them dealt over
+parts; each two parts meet in a task of bounded size. Tasks return who is joined, not all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +32,10 @@ from thicket.session import stage
 
 #: Upper over lower size of a band.
 BAND_RATIO = 1.5
+#: Members, and bytes of their differences, of one part of a pivot's members.
+MEMBERS, MEMBER_BYTES = 768, 8 << 20
+#: Elements in more differences than this are counted by a matrix product.
+FREQUENT = 24
 _SEEDS = tuple(U64(x) for x in (0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165))
 DELTA = "p long, x long, p_id long, x_id long, n_p long, n_x long, ins binary, del binary, linked boolean"
 
@@ -234,63 +235,72 @@ class Join:
                 out.append((p, x, p_id, named[row], len(other), len(mine), ins.tobytes(), gone.tobytes(), link))
         return _delta_table(out)
 
-    def prefix(self, n_p: int, n_x: int, differ: int, linked: bool) -> tuple[int, int]:
-        """How many leading elements of a difference can meet a larger, and any, partner's."""
-        up, down = self.den - self.num, self.den + self.num
-        most = (n_x + n_x * self.den // self.num) * up // down
-        least = differ
-        if linked:  # only partners that are not linked to the pivot matter
-            least = max(differ, (-(-n_x * self.num // self.den) + n_p) * up // down + 1)
-        index = differ - max(1, -(-(differ + least - most) // 2)) + 1
-        probe = differ - max(1, -(-(differ + max(differ - most, 0) - most) // 2)) + 1
-        return max(index, 0), max(index, probe, 0)
-
-    def entries(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The leading elements of every difference, with the part they play."""
-        for batch in batches:
-            p, x, e, index, free = [], [], [], [], []
-            for r in batch.to_pylist():
-                ins, gone = np.frombuffer(r["ins"], np.int64), np.frombuffer(r["del"], np.int64)
-                short, long = self.prefix(r["n_p"], r["n_x"], len(ins) + len(gone), r["linked"])
-                lead = np.concatenate([ins, gone])[:long]
-                p.append(np.full(len(lead), r["p"])), x.append(np.full(len(lead), r["x"])), e.append(lead)
-                index.append(np.arange(len(lead)) < short), free.append(np.full(len(lead), not r["linked"]))
-            if p:
-                names = ("p", "x", "e", "index", "free")
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (p, x, e, index, free)], names=list(names))
-
-    def combine(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Differences of ``x`` and ``v`` to a common pivot, as the difference of ``x`` to ``v``."""
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                a, b, c, d = (np.frombuffer(r[k], U64) for k in ("ins", "del", "v_ins", "v_del"))
-                ins = np.union1d(np.setdiff1d(a, c, True), np.setdiff1d(d, b, True))
-                gone = np.union1d(np.setdiff1d(b, d, True), np.setdiff1d(c, a, True))
-                link = self.linked(r["n_x"], r["n_v"], len(ins) + len(gone))
-                out.append((r["v"], r["x"], r["v_id"], r["x_id"], r["n_v"], r["n_x"], ins.tobytes(), gone.tobytes(), link))
-            yield from _delta_table(out).to_batches()
-
-    def next_round(self, deltas: DataFrame) -> DataFrame:
-        """Members that share a leading element of their differences, compared with the first of them."""
-        lead = deltas.select("p", "x", "n_p", "n_x", "ins", "del", "linked").mapInArrow(self.entries, "p long, x long, e long, index boolean, free boolean")
-        groups = lead.groupBy("p", "e").agg(F.min("x").alias("v"), F.max("x").alias("_x"), F.max("index").alias("_i"), F.max("free").alias("_f"))
-        groups = groups.where("v < _x AND _i AND _f").select("p", "e", "v")
-        pairs = lead.select("p", "e", "x").join(groups, ["p", "e"]).where("x <> v").select("p", "v", "x").distinct()
-        first = deltas.select(
-            "p", F.col("x").alias("v"), F.col("x_id").alias("v_id"), F.col("n_x").alias("n_v"), F.col("ins").alias("v_ins"), F.col("del").alias("v_del")
-        )
-        both = pairs.join(deltas.select("p", "x", "x_id", "n_x", "ins", "del"), ["p", "x"]).join(first, ["p", "v"])
-        return both.mapInArrow(self.combine, DELTA)
-
-    def implied(self, deltas: DataFrame) -> DataFrame:
-        """Links that follow from the triangle inequality: a member far from the pivot and the one nearest to it."""
-        up, down = self.den - self.num, self.den + self.num
-        slack = F.col("n_x") * up - F.floor((F.octet_length("ins") + F.octet_length("del")) / 8) * down
-        rated = deltas.select("p", "x_id", "linked", slack.alias("slack"))
-        best = rated.where("linked").groupBy("p").agg(F.max_by("x_id", "slack").alias("best_id"), F.max("slack").alias("best"))
-        close = rated.where("NOT linked").join(best, "p").where("slack + best >= 0")
-        return close.select(F.col("x_id").alias("u"), F.col("best_id").alias("v"))
+    def relate(self, table: pa.Table) -> pa.Table:
+        """Of some members of one pivot: who is linked, from the sizes of their differences and of what these share."""
+        n, linked = table["n_x"].to_numpy(), np.array(table["linked"].to_pylist(), dtype=bool)
+        differences = [np.concatenate([np.frombuffer(i, U64), np.frombuffer(d, U64)]) for i, d in zip(table["ins"].to_pylist(), table["del"].to_pylist(), strict=True)]
+        d = np.array([len(x) for x in differences])
+        differ = d[:, None] + d[None, :] - 2 * shared_elements(differences)
+        link = (n[:, None] + n[None, :]) * (self.den - self.num) >= differ * (self.den + self.num)
+        label = np.arange(len(n))
+        if linked.any():  # all linked to the pivot, so to each other
+            label[linked] = np.flatnonzero(linked)[0]
+        a, b = np.nonzero(np.triu(link, 1))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, label[a], low)
+            np.minimum.at(new, label[b], low)
+            new = new[new][label]
+            if (new == label).all():
+                break
+            label = new
+        ids = table["x_id"].to_numpy()
+        u, v = [ids, ids[linked]], [ids[label], table["p_id"].to_numpy()[linked]]
+        u, v = np.concatenate(u), np.concatenate(v)
+        return pa.table({"u": pa.array(u[u != v], pa.int64()), "v": pa.array(v[u != v], pa.int64())})
+
+    def edges(self, deltas: DataFrame) -> DataFrame:
+        """Pairs of ids that links join, from all members of every pivot.
+
+        A pivot with many members has them dealt over parts, and each two parts meet in a task of
+        their own, so a task holds at most about ``2 * MEMBERS`` differences.
+        """
+        weight = F.octet_length("ins") + F.octet_length("del")
+        parts = deltas.groupBy("p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum(weight) / MEMBER_BYTES)).cast("int").alias("parts"))
+        dealt = deltas.join(parts, "p").withColumn("own", F.pmod(F.xxhash64("x"), "parts").cast("int"))
+        other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        dealt = dealt.withColumn("other", F.explode(other)).where("parts = 1 OR own <> other")
+        dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        return dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.relate(t), "u long, v long")
+
+
+def shared_elements(lists: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two lists share. Frequent elements go through a matrix product, others pair by pair."""
+    m = len(lists)
+    owner = np.repeat(np.arange(m), [len(x) for x in lists])
+    value = np.concatenate(lists) if lists else np.empty(0, U64)
+    order = np.lexsort((owner, value))
+    owner, value = owner[order], value[order]
+    start = np.flatnonzero(np.diff(value, prepend=value[:1] ^ U64(1)) != 0) if len(value) else np.empty(0, np.int64)
+    length = np.diff(np.append(start, len(value)))
+    out = np.zeros((m, m), dtype=np.int64)
+    often = np.flatnonzero(length > FREQUENT)
+    for k in range(0, len(often), 2048):
+        some = often[k : k + 2048]
+        grid = np.zeros((m, len(some)), dtype=np.float32)
+        for column, g in enumerate(some):
+            grid[owner[start[g] : start[g] + length[g]], column] = 1
+        out += np.rint(grid @ grid.T).astype(np.int64)
+    rare = np.repeat((length > 1) & (length <= FREQUENT), length)
+    owner, group = owner[rare], np.repeat(np.arange(len(length)), length)[rare]
+    for shift in range(1, FREQUENT):
+        same = np.flatnonzero(group[shift:] == group[:-shift])
+        if not len(same):
+            break
+        np.add.at(out, (owner[same], owner[same + shift]), 1)
+        np.add.at(out, (owner[same + shift], owner[same]), 1)
+    return out
 
 
 def _delta_table(rows: list[tuple]) -> pa.Table:
@@ -305,8 +315,7 @@ def jaccard_groups(
     """Link documents whose sets of ``shingle``-word shingles have a Jaccard similarity of ``num / den`` or more.
 
     Returns one row per input row: ``id_col``, ``n_shingles``, ``component_id`` (smallest id that
-    links reach), ``class_id`` (smallest id with the same set) and ``n_links`` (verified links of the class to others;
-    links implied by a common pivot are not listed). A text with fewer words than a shingle has one
+    links reach) and ``class_id`` (smallest id with the same set). A text with fewer words than a shingle has one
     shingle, its whole word sequence; a null or blank text has none and is linked with nothing. A
     repeated id names one document. A row without id has the group of its class, if any row of the
     class has an id, else null. Other columns are ignored. An empty table gives an empty result.
@@ -327,20 +336,9 @@ def jaccard_groups(
     pairs = sent.groupBy("bucket").applyInArrow(star_pairs, "block int, kind int, a binary, b binary")
     sets = B.cogroup(texts, pairs, join.answer, "block int, p long, p_id long, data binary")
     deltas = stage(B.cogroup(texts, sets, join.differences, DELTA))
-    links, more = [], deltas.count()
-    while more:
-        links += [deltas.where("linked").select(F.col("p_id").alias("u"), F.col("x_id").alias("v")), join.implied(deltas)]
-        deltas = stage(join.next_round(deltas))
-        more = deltas.count()
-    out = rows.join(classes.select(*same, "class_id"), same, "left")
-    if links:
-        edges = stage(reduce(DataFrame.unionByName, links).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        groups = components(edges).select(F.col("node").alias("class_id"), "component")
-        degree = edges.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-        out = out.join(groups.join(degree, "class_id"), "class_id", "left")
-    else:
-        out = out.withColumns({"component": F.lit(None).cast("long"), "n_links": F.lit(None).cast("long")})
+    groups = components(join.edges(deltas)).select(F.col("node").alias("class_id"), "component")
+    out = rows.join(classes.select(*same, "class_id"), same, "left").join(groups, "class_id", "left")
     return out.select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "class_id", "id").alias("component_id"),
-        F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("class_id", "id").alias("class_id"),
     )
