@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thicket.llm.decontaminate import find_benchmark
 from thicket.llm.jaccard_join import jaccard_groups
+from thicket.llm.quality import apply_policy, ledger
 from thicket.llm.substring_dedup import dedup_substrings
 from thicket.llm.suffix_dedup import dedup_passages
 
@@ -109,3 +110,29 @@ hit_items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item)
 SELECT texts.doc_id, len(ws)::BIGINT AS n_words, coalesce(hit_words.n, 0)::BIGINT AS n_hit, coalesce(hit_items.n, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, hit_words.n IS NOT NULL AS contaminated
 FROM texts LEFT JOIN hit_words ON hit_words.doc_id = texts.doc_id LEFT JOIN hit_items ON hit_items.doc_id = texts.doc_id"""
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = apply_policy(ledger(table(spark, sf_dir, "documents")), "v1")
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "failed", "base_failed", "kept"
+    )
+
+
+ORACLES["op8_quality_rules"] = r"""WITH
+words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(ws[s:s + 2], ' ') AS k FROM (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS s FROM words)),
+often AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT s + o) AS n FROM (SELECT doc_id, s, unnest([0, 1, 2]) AS o FROM often) GROUP BY doc_id),
+measured AS (SELECT words.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN repeats ON repeats.doc_id = words.doc_id),
+bits AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+  + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 15 * n_words)::BIGINT
+  + 64 * (n_words > 1000000)::BIGINT)::BIGINT AS failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed,
+  (failed & 3) <> 0 AS base_failed, (failed & 55) = 0 AS kept FROM bits"""
