@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thicket.llm.bpe import encode_texts
 from thicket.llm.decontaminate import find_benchmark
 from thicket.llm.jaccard_join import jaccard_groups
 from thicket.llm.quality import apply_policy, ledger
@@ -22,6 +23,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def word_bpe() -> str:
+    """Path of the public word-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -136,3 +144,9 @@ bits AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_
   + 64 * (n_words > 1000000)::BIGINT)::BIGINT AS failed FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed,
   (failed & 3) <> 0 AS base_failed, (failed & 55) = 0 AS kept FROM bits"""
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_texts(table(spark, sf_dir, "documents"), word_bpe())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
