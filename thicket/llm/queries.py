@@ -13,6 +13,7 @@ from thicket.llm.jaccard_join import jaccard_groups
 from thicket.llm.quality import apply_policy, ledger
 from thicket.llm.substring_dedup import dedup_substrings
 from thicket.llm.suffix_dedup import dedup_passages
+from thicket.llm.warc import lookup_captures, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +151,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_texts(table(spark, sf_dir, "documents"), word_bpe())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = lookup_captures(write_archive(pages), pages)
+    # the digest of a response is taken anew from the payload that was read back
+    digest = F.when(F.col("record_type") == "response", F.sha1("payload")).alias("payload_sha1")
+    return out.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", digest)
