@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thicket.llm.bpe import encode_texts
 from thicket.llm.decontaminate import find_benchmark
 from thicket.llm.jaccard_join import jaccard_groups
+from thicket.llm.pii import pseudonymise
 from thicket.llm.quality import apply_policy, ledger
 from thicket.llm.substring_dedup import dedup_substrings
 from thicket.llm.suffix_dedup import dedup_passages
@@ -160,3 +161,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the digest of a response is taken anew from the payload that was read back
     digest = F.when(F.col("record_type") == "response", F.sha1("payload")).alias("payload_sha1")
     return out.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", digest)
+
+
+#: The key of the registered query; a real run passes its own secret.
+PSEUDONYM_KEY = b"registered query"
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_found", "found")
