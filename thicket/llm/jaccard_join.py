@@ -9,11 +9,15 @@ agree. Every pair of parts of every partition is a signature; a set also signs f
 a partner can lie there. So every similar pair shares a signature.
 
 **Pivots.** A signature shared by many sets is not expanded into pairs: each member is compared with
-the first one, its pivot, on the whole sets, and keeps its *difference* from it: shingles it has more
-and shingles it lacks. Two members of one pivot differ by the symmetric difference of their
-differences, so whether they are linked follows exactly from the sizes of these and of what they
-share, counted with one sparse product per pivot. A pivot with very many members has them dealt over
-parts; each two parts meet in a task of bounded size. Tasks return who is joined, not all pairs.
+the first one, its pivot. A parity sketch (a few bits per ten shingles, which bounds the difference
+from below) first tells near members from far ones, so unrelated sets that share a weak signature
+cost some bytes, not a set. Near members keep their *difference* from the pivot: shingles they have
+more and shingles they lack. Two near members of one pivot differ by the symmetric difference of
+their differences, so whether they are linked follows exactly from the sizes of these and of what
+they share, counted with one sparse product per pivot. Pairs with a far member are settled by the
+sketches, by another pivot near to both, by being in one group already, or else by comparing the
+texts. A pivot with very many members has them dealt over parts; each two parts meet in a task of
+bounded size. Tasks return who is joined, not all pairs.
 """
 
 from __future__ import annotations
@@ -37,7 +41,9 @@ MEMBERS, MEMBER_BYTES = 768, 8 << 20
 #: Elements in more differences than this are counted by a matrix product.
 FREQUENT = 24
 _SEEDS = tuple(U64(x) for x in (0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165))
-DELTA = "p long, x long, p_id long, x_id long, n_p long, n_x long, ins binary, del binary, linked boolean"
+#: A member is far from its pivot if more than this share of the bits of their sketches differ.
+FAR = 0.38
+DELTA = "p long, x long, p_id long, x_id long, n_p long, n_x long, ins binary, del binary, linked boolean, far boolean, sketch binary"
 
 
 class Sets:
@@ -145,7 +151,11 @@ def star_pairs(table: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.diff(key, prepend=key[:1] ^ U64(1)) != 0) if len(key) else np.empty(0, np.int64)
     pivot = np.repeat(node[start], np.diff(np.append(start, len(key))))
     pairs = np.unique(np.stack([node, pivot], axis=1)[node != pivot], axis=0)
-    x, p = pairs[:, 0], pairs[:, 1]
+    return _requests(pairs[:, 0], pairs[:, 1])
+
+
+def _requests(x: np.ndarray, p: np.ndarray) -> pa.Table:
+    """Pairs for the block of ``x`` (kind 0), and who asks for ``p`` for the block of ``p`` (kind 1)."""
     ask = np.unique(np.stack([p, x >> 32], axis=1), axis=0)
     mine = B.to_blocks(x >> 32, a=x, b=p)
     asked = B.to_blocks(ask[:, 0] >> 32, a=ask[:, 0], b=ask[:, 1])
@@ -154,6 +164,21 @@ def star_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"block": both["block"], "kind": kind, "a": both["a"], "b": both["b"]})
 
 
+def _columns(table: pa.Table, kind: int, *names: str) -> np.ndarray:
+    """The packed numbers of the rows of one kind, as the distinct rows of a matrix."""
+    some = table.filter(pa.array(np.array(table["kind"].to_pylist(), dtype=np.int64) == kind))
+    return np.unique(np.stack([B.gather(some, n, np.int64) for n in names], axis=1), axis=0)
+
+
+def sketch(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Parity of how many hashes fall on each bit; sets that differ in ``d`` hashes differ in ``d`` bits at most.
+
+    The number of bits follows ``n``, the size of the pivot's set.
+    """
+    bits = max(64, 1 << int(n - 1).bit_length())
+    return np.packbits((np.bincount((mix(hashes ^ _SEEDS[1]) >> U64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(bool))
+
+
 def _taken(table: pa.Table, nodes: np.ndarray, size: int) -> tuple[pa.Table, Sets, dict[int, int]]:
     """The rows of a block that ``nodes`` name, their sets, and the place of every node."""
     rows = np.unique(nodes & 0xFFFFFFFF)
@@ -194,45 +219,81 @@ class Join:
         key, owner = signatures(sets, np.array(rows, dtype=np.int64), self.bands)
         return B.pack(block, self.buckets, key, row=owner.astype(np.uint32))
 
-    def answer(self, table: pa.Table, asked: pa.Table) -> pa.Table:
-        """Pass a block's pairs on to itself, and send the sets of its pivots to the blocks that ask."""
-        kind = np.array(asked["kind"].to_pylist(), dtype=np.int64)
-        pairs, asks = asked.filter(pa.array(kind == 0)), asked.filter(pa.array(kind == 1))
-        own = np.unique(np.stack([B.gather(pairs, "a", np.int64), B.gather(pairs, "b", np.int64)], axis=1), axis=0)
-        want = np.unique(np.stack([B.gather(asks, "a", np.int64), B.gather(asks, "b", np.int64)], axis=1), axis=0)
-        block, node, ids, data = [], [], [], []
+    def answer(self, table: pa.Table, asked: pa.Table, short: bool) -> pa.Table:
+        """Pass a block's pairs on to itself, and send the sets of its pivots, or in short their sketches, to the blocks that ask."""
+        own, want = _columns(asked, 0, "a", "b"), _columns(asked, 1, "a", "b")
+        away = asked.filter(pa.array(np.array(asked["kind"].to_pylist(), dtype=np.int64) == 3))
+        block, kind, node, ids, size, data = [], [], [], [], [], []
+
+        def send(*values) -> None:
+            for column, value in zip((block, kind, node, ids, size, data), values, strict=True):
+                column.append(value)
+
         if len(own):
-            block.append(asked["block"][0].as_py())
-            node.append(None), ids.append(None), data.append(own.tobytes())
+            send(asked["block"][0].as_py(), 0, None, None, None, own.tobytes())
+        for b, a in zip(away["block"].to_pylist(), away["a"].to_pylist(), strict=True):
+            send(b, 3, None, None, None, a)
         if len(want):
             some, sets, place = _taken(table, want[:, 0], self.size)
             named = some["id"].to_pylist()
             for p, to in want.tolist():
                 row = place[p & 0xFFFFFFFF]
-                block.append(to), node.append(p), ids.append(named[row]), data.append(sets.of(row).tobytes())
-        return pa.table({"block": pa.array(block, pa.int32()), "p": pa.array(node, pa.int64()), "p_id": pa.array(ids, pa.int64()), "data": pa.array(data, pa.binary())})
+                mine = sets.of(row)
+                send(to, 1, p, named[row], len(mine), (sketch(mine, len(mine)) if short else mine).tobytes())
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "kind", "p", "p_id", "n_p", "data"), (block, kind, node, ids, size, data), kinds, strict=True)})
+
+    def triage(self, table: pa.Table, got: pa.Table) -> pa.Table:
+        """Part a block's pairs by the sketches: near ones ask for whole sets, far ones are only noted (kind 3)."""
+        pairs, pivots = self._received(got, 0, np.uint8)
+        near, far = [], []
+        if len(pairs):
+            _, sets, place = _taken(table, pairs[:, 0], self.size)
+            for x, p in pairs.tolist():
+                mine, (_, n, other) = sets.of(place[x & 0xFFFFFFFF]), pivots[p]
+                differ = int(np.bitwise_count(sketch(mine, n) ^ other).sum())
+                if differ > FAR * 8 * len(other) and not self.linked(len(mine), n, differ):
+                    far.append((x, p, n))
+                else:
+                    near.append((x, p))
+        near = np.array(near, dtype=np.int64).reshape(-1, 2)
+        out = _requests(near[:, 0], near[:, 1])
+        if far:
+            note = pa.table({"block": pa.array([got["block"][0].as_py()], pa.int32()), "kind": pa.array([3], pa.int32()),
+                             "a": pa.array([np.array(far, dtype=np.int64).tobytes()], pa.binary()), "b": pa.array([None], pa.binary())})
+            out = pa.concat_tables([out, note])
+        return out
+
+    @staticmethod
+    def _received(got: pa.Table, kind: int, dtype: type) -> tuple[np.ndarray, dict]:
+        pairs, pivots = [], {}
+        for k, p, p_id, n, data in zip(*(got[c].to_pylist() for c in ("kind", "p", "p_id", "n_p", "data")), strict=True):
+            if k == 1:
+                pivots[p] = (p_id, n, np.frombuffer(data, dtype))
+            elif k == kind:
+                pairs.append(np.frombuffer(data, np.int64).reshape(-1, 2 if kind == 0 else 3))
+        return np.concatenate(pairs) if pairs else np.empty((0, 2 if kind == 0 else 3), np.int64), pivots
 
     def differences(self, table: pa.Table, got: pa.Table) -> pa.Table:
-        """Compare a block's members with their pivots."""
-        pairs, pivots = [], {}
-        for p, p_id, data in zip(got["p"].to_pylist(), got["p_id"].to_pylist(), got["data"].to_pylist(), strict=True):
-            if p is None:
-                pairs.append(np.frombuffer(data, np.int64).reshape(-1, 2))
-            else:
-                pivots[p] = (p_id, np.frombuffer(data, U64))
-        pairs = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
+        """Compare a block's near members with their pivots; note the far ones."""
+        pairs, pivots = self._received(got, 0, U64)
+        far, _ = self._received(got, 3, U64)
         out = []
-        if len(pairs):
-            some, sets, place = _taken(table, pairs[:, 0], self.size)
+        if len(pairs) or len(far):
+            some, sets, place = _taken(table, np.concatenate([pairs[:, 0], far[:, 0]]), self.size)
             named = some["id"].to_pylist()
             for x, p in pairs.tolist():
                 row = place[x & 0xFFFFFFFF]
-                mine, (p_id, other) = sets.of(row), pivots[p]
+                mine, (p_id, n, other) = sets.of(row), pivots[p]
                 shared = np.intersect1d(mine, other, assume_unique=True)
                 ins = np.setdiff1d(mine, shared, assume_unique=True)
                 gone = np.setdiff1d(other, shared, assume_unique=True)
-                link = self.linked(len(mine), len(other), len(ins) + len(gone))
-                out.append((p, x, p_id, named[row], len(other), len(mine), ins.tobytes(), gone.tobytes(), link))
+                link = self.linked(len(mine), n, len(ins) + len(gone))
+                out.append((p, x, p_id, named[row], n, len(mine), ins.tobytes(), gone.tobytes(), link, False, sketch(mine, n).tobytes()))
+            for x, p, n in far.tolist():
+                row = place[x & 0xFFFFFFFF]
+                mine = sets.of(row)
+                out.append((p, x, None, named[row], n, len(mine), b"", b"", False, True, sketch(mine, n).tobytes()))
         return _delta_table(out)
 
     def relate(self, table: pa.Table) -> pa.Table:
@@ -260,20 +321,60 @@ class Join:
         u, v = np.concatenate(u), np.concatenate(v)
         return pa.table({"u": pa.array(u[u != v], pa.int64()), "v": pa.array(v[u != v], pa.int64())})
 
-    def edges(self, deltas: DataFrame) -> DataFrame:
-        """Pairs of ids that links join, from all members of every pivot.
-
-        A pivot with many members has them dealt over parts, and each two parts meet in a task of
-        their own, so a task holds at most about ``2 * MEMBERS`` differences.
+    def unresolved(self, table: pa.Table) -> pa.Table:
+        """Of some members of one pivot: pairs that may be linked by their sketches and have no near pivot in common."""
+        n, ids = table["n_x"].to_numpy(), table["x_id"].to_numpy()
+        near = [frozenset(x or ()) for x in table["near"].to_pylist()]
+        label = np.array([min(x, default=-1 - i) for i, x in enumerate(near)])
+        rows = np.stack([np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()])
+        rows = rows.view(np.uint64) if rows.shape[1] % 8 == 0 else rows
+        u, v = [], []
+        for i in range(len(n) - 1):
+            differ = np.bitwise_count(rows[i + 1 :] ^ rows[i]).sum(axis=1, dtype=np.int64)
+            maybe = (n[i + 1 :] + n[i]) * (self.den - self.num) >= differ * (self.den + self.num)
+            for j in (np.flatnonzero(maybe & (label[i + 1 :] != label[i])) + i + 1).tolist():
+                if near[i].isdisjoint(near[j]):
+                    u.append(ids[i]), v.append(ids[j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    @staticmethod
+    def parted(deltas: DataFrame, weight) -> DataFrame:
+        """Deal the members of every pivot over parts so that each two parts meet under one ``(p, i, j)``.
+
+        A task then holds at most about ``2 * MEMBERS`` members or ``2 * MEMBER_BYTES``.
         """
-        weight = F.octet_length("ins") + F.octet_length("del")
-        parts = deltas.groupBy("p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum(weight) / MEMBER_BYTES)).cast("int").alias("parts"))
+        parts = deltas.groupBy("p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum(weight) / MEMBER_BYTES), F.lit(1)).cast("int").alias("parts"))
         dealt = deltas.join(parts, "p").withColumn("own", F.pmod(F.xxhash64("x"), "parts").cast("int"))
         other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
         dealt = dealt.withColumn("other", F.explode(other)).where("parts = 1 OR own <> other")
-        dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def edges(self, deltas: DataFrame) -> DataFrame:
+        """Pairs of ids that links join, from the near members of every pivot."""
+        dealt = self.parted(deltas.where("NOT far"), F.octet_length("ins") + F.octet_length("del"))
         return dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.relate(t), "u long, v long")
 
+    def leftovers(self, deltas: DataFrame) -> DataFrame:
+        """Pairs with a far member that no common near pivot has settled and that sketches cannot exclude."""
+        near = deltas.where("NOT far").groupBy("x").agg(F.collect_set("p").alias("near"))
+        touched = deltas.where("far").select("p").distinct()
+        members = deltas.join(touched, "p", "left_semi").select("p", "x", "x_id", "n_x", "sketch").join(near, "x", "left")
+        dealt = self.parted(members, F.octet_length("sketch"))
+        return dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.unresolved(t), "u long, v long")
+
+    def verify(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keep pairs of texts that are linked."""
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = pa.Table.from_batches([batch.slice(at, 64)])
+                a, b = Sets(part.column("a"), self.size), Sets(part.column("b"), self.size)
+                keep = []
+                for row in range(len(part)):
+                    shared = len(np.intersect1d(a.of(row), b.of(row), assume_unique=True))
+                    n, m = len(a.of(row)), len(b.of(row))
+                    keep.append(n > 0 and m > 0 and self.linked(n, m, n + m - 2 * shared))
+                yield from part.filter(pa.array(keep)).select(["u", "v"]).to_batches()
+
 
 def shared_elements(lists: list[np.ndarray]) -> np.ndarray:
     """How many elements each two lists share. Frequent elements go through a matrix product, others pair by pair."""
@@ -304,11 +405,19 @@ def shared_elements(lists: list[np.ndarray]) -> np.ndarray:
 
 
 def _delta_table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64()] * 6 + [pa.binary()] * 2 + [pa.bool_()]
-    names = ["p", "x", "p_id", "x_id", "n_p", "n_x", "ins", "del", "linked"]
+    kinds = [pa.int64()] * 6 + [pa.binary()] * 2 + [pa.bool_()] * 2 + [pa.binary()]
+    names = ["p", "x", "p_id", "x_id", "n_p", "n_x", "ins", "del", "linked", "far", "sketch"]
     return pa.table({n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)})
 
 
+def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Distinct pairs whose ends are not in one group yet, as a written table."""
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    left, right = groups.select(F.col("node").alias("u"), F.col("component").alias("cu")), groups.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    joined = pairs.join(left, "u", "left").join(right, "v", "left")
+    return stage(joined.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v"))
+
+
 def jaccard_groups(
     docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES
 ) -> DataFrame:
@@ -334,9 +443,20 @@ def jaccard_groups(
 
     sent = B.cogroup(texts, reps, join.sign, "bucket int, block int, key binary, row binary")
     pairs = sent.groupBy("bucket").applyInArrow(star_pairs, "block int, kind int, a binary, b binary")
-    sets = B.cogroup(texts, pairs, join.answer, "block int, p long, p_id long, data binary")
-    deltas = stage(B.cogroup(texts, sets, join.differences, DELTA))
-    groups = components(join.edges(deltas)).select(F.col("node").alias("class_id"), "component")
+    sets = "block int, kind int, p long, p_id long, n_p long, data binary"
+    hints = B.cogroup(texts, pairs, lambda a, b: join.answer(a, b, short=True), sets)
+    near = B.cogroup(texts, hints, join.triage, "block int, kind int, a binary, b binary")
+    given = B.cogroup(texts, near, lambda a, b: join.answer(a, b, short=False), sets)
+    deltas = stage(B.cogroup(texts, given, join.differences, DELTA))
+    edges = stage(join.edges(deltas))
+    groups = components(edges)
+    open_ = _across(join.leftovers(deltas), groups)
+    if open_.count():  # rare: links that only unrelated pivots have seen
+        named = docs.where("id IS NOT NULL").dropDuplicates(["id"])
+        both = open_.join(named.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(named.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+        more = both.select("u", "v", "a", "b").mapInArrow(join.verify, "u long, v long")
+        groups = components(edges.unionByName(more))
+    groups = groups.select(F.col("node").alias("class_id"), "component")
     out = rows.join(classes.select(*same, "class_id"), same, "left").join(groups, "class_id", "left")
     return out.select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "class_id", "id").alias("component_id"),

@@ -30,7 +30,7 @@ DIGITS, UPPER, LOWER, HEX = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefg
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
 NUMBER = re.compile(
-    r"""(?<![\w@+])(?:
+    r"""(?<![\w@+])(?<!\d[.-])(?:
     (?P<ipv4>\d{1,3}(?:\.\d{1,3}){3})
     |(?P<iso_date>\d{4}([-/.])\d{2}\3\d{2})
     |(?P<date>\d{2}([-/.])\d{2}\5\d{4})
