@@ -27,6 +27,7 @@ from tokenizers import Tokenizer
 
 from thicket.llm import blocks as B
 from thicket.llm.shared_files import mapped, new_folder, write
+from thicket.session import stage
 
 #: Words in the automaton, and their longest length in bytes. Neither changes a result.
 LEXICON_WORDS, LEXICON_BYTES = 1 << 16, 40
@@ -257,11 +258,18 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text_col: str = "text") -> str:
-    """Compile the ``size`` most frequent words of ``docs``; returns the file's URI.
+    """Compile the most frequent words of ``docs``, at most ``size`` of them; returns the file's URI.
 
-    The driver holds at most ``size`` words of at most 40 bytes, whatever the corpus.
+    The least count comes from a histogram of counts on a logarithmic scale, so the driver gets some
+    hundred rows and then at most ``size`` words of at most 40 bytes, whatever the corpus.
     """
-    top = word_counts(docs, path, text_col).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    counts = stage(word_counts(docs, path, text_col).withColumn("rank", F.floor(F.log2("n") * 16).cast("int")))
+    least, taken = 0, 0
+    for r in sorted(counts.groupBy("rank").count().collect(), reverse=True):
+        if taken + r["count"] > size:
+            break
+        least, taken = r["rank"], taken + r["count"]
+    top = counts.where(F.col("rank") >= least).select("word").collect() if taken else []
     words = sorted(w for r in top if 0 < len(w := r.word.encode()) <= LEXICON_BYTES)
     v = vocabulary(path)
     uri = f"{new_folder(docs.sparkSession, 'lexicon')}/words.arrow"
