@@ -124,7 +124,10 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     bits = F.lit(0).cast("long")
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(BIT[rule.name])).otherwise(F.lit(0)).cast("long"))
-    return measure(docs, text_col).withColumn("failed", bits)
+    out = measure(docs, text_col).withColumn("failed", bits)
+    # A generated column stops later filters from being pushed into, and repeating, the measurements.
+    rest = [c for c in out.columns if c != "failed"]
+    return out.select(*rest, F.explode(F.array("failed")).alias("failed"))
 
 
 def apply_policy(entries: DataFrame, policy: str = "v1") -> DataFrame:
