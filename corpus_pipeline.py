@@ -1,4 +1,76 @@
-"""placeholder"""
+"""A training-data pipeline: five stages over ``documents``, each written and read again.
+
+Stages take ``(spark, docs, sf_dir)`` and return a frame; all but the last keep the columns of their
+input, so that extra columns and empty tables pass through. Parameters are those of production runs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from thicket.llm.bpe import encode_texts
+from thicket.llm.decontaminate import find_benchmark
+from thicket.llm.jaccard_join import jaccard_groups
+from thicket.llm.pii import pseudonymise
+from thicket.llm.quality import apply_policy, ledger
+from thicket.llm.queries import PSEUDONYM_KEY, word_bpe
+from thicket.session import stage
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that policy v1 keeps. A null or empty text has too few words and goes."""
+    return apply_policy(ledger(docs), "v1").where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at 0.8: the one with the smallest id.
+
+    Of repeated rows one stays; rows without id are in no group and stay.
+    """
+    groups = jaccard_groups(docs.select("doc_id", "text"), shingle=5, num=80, den=100)
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
+    kept = docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+    twice = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that occur in any ten-word window of the benchmark; texts that lose all words go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = find_benchmark(docs, benchmark, window=10, carry=rest).where("n_hit = 0 OR n_hit < n_words")
+    return found.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and credentials replaced by keyed pseudonyms of the same format."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return pseudonymise(docs, PSEUDONYM_KEY, carry=rest).select(*docs.columns)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text and what they decode to."""
+    return encode_texts(docs, word_bpe()).select("doc_id", "n_tokens", "ids", "decoded")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("bpe_encoding", bpe_encoding),
+]
+#: BPE and keyed permutations have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each from the written result of the one before."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

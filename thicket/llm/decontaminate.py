@@ -13,7 +13,7 @@ collected, measured and broadcast by itself, so neither the driver nor a task ho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -217,7 +217,10 @@ def find(w: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return hit, both[:, 0], both[:, 1]
 
 
-def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
     for table in B.batched(batches, SHARD_BYTES, "text"):
         w = words(table.column("text"), ALNUM, lower=True)
         hit, docs, items = find(w, phrases)
@@ -246,10 +249,10 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Sche
                     last = int(w.end[base + s["end"] - 1]) - shift
                 clean[doc] = b"".join([*parts, data[last:]]).decode()
         out = {
-            "_n_words": pa.array(np.diff(w.first), pa.int64()), "_spans": pa.array(spans, schema.field("_spans").type),
+            "_n_words": pa.array(np.diff(w.first), pa.int64()), "_spans": pa.array(spans, SPANS),
             "_items": pa.array([sorted(x) for x in named], pa.list_(pa.string())), "_clean": pa.array(clean, pa.string()),
         }
-        yield from pa.table([out[n] if n in out else table.column(n).cast(schema.field(n).type) for n in schema.names], schema=schema).to_batches()
+        yield from pa.table({n: out[n] if n in out else table.column(n) for n in table.column_names}).to_batches()
 
 
 def offset_of(table: pa.Table, doc: int, w: Words) -> int:
@@ -260,15 +263,15 @@ def offset_of(table: pa.Table, doc: int, w: Words) -> int:
 
 def find_benchmark(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", phrase_bytes: int = 1 << 20,
+    item_col: str = "item_id", item_text_col: str = "text", phrase_bytes: int = 1 << 20, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Mark the words of ``docs`` that lie in any ``window`` consecutive words of a benchmark item.
 
     Words are runs of letters and digits after lower-casing A-Z (see ``hashing.ALNUM``). An item with
     fewer words than a window, but not none, is one window. Returns one row per input row:
     ``id_col``, ``n_words``, ``n_hit``, ``spans`` (merged word spans, end exclusive), ``items`` (ids
-    of items with an occurring window, as sorted strings), ``contaminated`` and ``clean_text`` (the
-    text without the spans). A null text has no words and stays null; a null or wordless item finds
+    of items with an occurring window, as sorted strings), ``contaminated``, ``clean_text`` (the text
+    without the spans) and the ``carry`` columns. A null text has no words and stays null; a null or wordless item finds
     nothing; an item without id marks words but is not listed; repeated ids stay separate rows.
     Other columns are ignored. An empty benchmark finds nothing; an empty table gives an empty result.
     """
@@ -281,16 +284,16 @@ def find_benchmark(
     out = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("_n_words"),
         F.array().cast(span).alias("_spans"), F.array().cast("array<string>").alias("_items"), F.lit(None).cast("string").alias("_clean"),
+        *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)],
     )
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema[id_col].dataType.simpleString()]
-    arrow = pa.schema([("id", id_type), ("text", pa.string()), ("_n_words", pa.int64()), ("_spans", spans), ("_items", pa.list_(pa.string())), ("_clean", pa.string())])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     for block in range(count):
         phrases = Phrases.of([(r.item, r.text) for r in items.where(F.col("block") == block).collect()], window)
         sent = spark.sparkContext.broadcast(phrases)
-        out = out.mapInArrow(lambda batches, sent=sent: _search(batches, sent.value, arrow), out.schema)
+        out = out.mapInArrow(lambda batches, sent=sent: _search(batches, sent.value), kinds)
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select(
         F.col("id").alias(id_col), F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.col("_spans").alias("spans"),
         F.col("_items").alias("items"), (n_hit > 0).alias("contaminated"), F.col("_clean").alias("clean_text"),
+        *[F.col(f"_c_{i}").alias(c) for i, c in enumerate(carry)],
     )
