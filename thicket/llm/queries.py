@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from thicket.llm.bpe import encode_texts
 from thicket.llm.decontaminate import find_benchmark
+from thicket.llm.html_render import extract_text
 from thicket.llm.jaccard_join import jaccard_groups
+from thicket.llm.licenses import MATCH, TEMPLATES, scan, template_bigrams
 from thicket.llm.pii import pseudonymise
 from thicket.llm.quality import apply_policy, ledger
 from thicket.llm.substring_dedup import dedup_substrings
@@ -170,3 +172,40 @@ PSEUDONYM_KEY = b"registered query"
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_found", "found")
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.concat_ws(",", "licenses").alias("licenses"), "n_matches", "best")
+
+
+def _license_sql() -> str:
+    num, den = MATCH
+    grams = template_bigrams(TEMPLATES)
+    rows = ", ".join(f"('{name}', [{', '.join(repr(x) for x in b)}])" for name, b in sorted(grams.items()))
+    high = max(len(b) * (2 * den - num) // num for b in grams.values())
+    low = min(-(-len(b) * num // (2 * den - num)) for b in grams.values())
+    return rf"""WITH
+templates(name, b) AS (VALUES {rows}),
+units AS (SELECT DISTINCT doc_id, u FROM (
+  SELECT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)),
+    regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09-\x0D]*\n'), [coalesce(text, '')])) AS u FROM documents)),
+words AS (SELECT doc_id, u, regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM units),
+bigrams AS (SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+  FROM words WHERE len(w) > {low} AND len(w) <= {high} + 1),
+rated AS (SELECT doc_id, u, name, len(list_intersect(bigrams.b, templates.b)) AS shared, len(bigrams.b) + len(templates.b) AS total
+  FROM bigrams, templates WHERE len(bigrams.b) * {2 * den - num} >= len(templates.b) * {num} AND len(bigrams.b) * {num} <= len(templates.b) * {2 * den - num}),
+hits AS (SELECT doc_id, u, max(struct_pack(v := (shared * 2000) // total, name := name)) AS m FROM rated
+  WHERE shared * {2 * den} >= total * {num} GROUP BY doc_id, u),
+found AS (SELECT doc_id, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS licenses, count(*) AS n, max(m.v) AS best FROM hits GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_matches, coalesce(best, 0)::BIGINT AS best
+FROM documents LEFT JOIN found ON found.doc_id = documents.doc_id"""
+
+
+ORACLES["op7_license_scan"] = _license_sql()
