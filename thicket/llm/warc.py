@@ -259,6 +259,6 @@ def lookup_captures(archive: Archive, pages: DataFrame, id_col: str = "page_id",
 
 
 def lookup_urls(archive: Archive, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """All captures of given URLs."""
+    """All captures of given URLs; a null URL stands for records without one."""
     key = url_key(F.col(url_col))
     return lookup(archive, urls.select(F.concat(key, F.lit(" ")).alias("low"), F.concat(key, F.lit(" ~")).alias("high")))
