@@ -1,5 +1,7 @@
 """Fixed inputs with expected results, and properties that hold at any size."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from thicket.functions import jsonpath, text
 from thicket.operators import access, changes, community, graphbuild, graphviews, inbox, retrieval, search, setops, trees
 from thicket.plans import datasource as ds
 from thicket.sources import files, graphs, tables, vectorstore
+from thicket.streaming import twins
 
 
 # ---- order
@@ -212,7 +215,8 @@ def test_keyword_limits(spark):
     )
     asked = spark.createDataFrame([(1, w) for w in ("aaa", "w0x", "w1x", "w2x", "w3x", "w4x", "w5x")], "query_id int, word string")
     # 50 nodes a word; after the fifth word 250 > 200 nodes are found, the rest is not read
-    assert retrieval.keyword_hits(asked, index).count() == 250
+    assert retrieval.keyword_hits(asked, index, 50, 200).count() == 250
+    assert retrieval.keyword_hits(asked, index).count() == 1100
 
 
 def test_type_filter_keeps_untyped_entities(spark, rows):
@@ -354,6 +358,38 @@ def test_cached_source_and_object(spark):
     assert ds.run_source(spark, s) is ds.run_source(spark, s)
 
 
+def test_cache_tells_tables_apart_and_expires(spark):
+    now = [0.0]
+    cache = ds.Cache(clock=lambda: now[0])
+    a, b = spark.range(3).toDF("id"), spark.range(5).toDF("id")
+    cache.put("source", {"t": a}, a.select("id"), 10)
+    assert cache.get("source", {"t": a}).count() == 3
+    assert cache.get("source", {"t": b}) is None and cache.get("other", {"t": a}) is None
+    now[0] = 11
+    assert cache.get("source", {"t": a}) is None
+
+
+def test_sources_see_their_own_tables_only(spark):
+    one, two = spark.range(2).toDF("id"), spark.range(7).toDF("id")
+    first = ds.run_sql(spark, "SELECT * FROM t", {}, {"t": one})
+    second = ds.run_sql(spark, "with x as (select * from t) select * from x", {}, {"t": two})
+    assert (first.count(), second.count()) == (2, 7) and not spark.catalog.tableExists("t")
+
+
+def test_tree_rows_keep_their_fields(spark):
+    rows_ = spark.createDataFrame([(1, None, "a"), (2, 1, "b")], "id long, parent_id long, name string")
+    s = ds.DataSource("t", "sql", sql="SELECT * FROM t", result_type="tree")
+    got = ds.run_source(spark, s, {}, {"t": rows_})
+    assert sorted((r["id"], r["depth"], r["name"]) for r in got.collect()) == [(1, 0, "a"), (2, 1, "b")]
+
+
+def test_lists_are_complete_without_a_cap(spark):
+    rows_ = spark.range(1500).toDF("id")
+    s = ds.DataSource("l", "sql", sql="SELECT * FROM t")
+    assert ds.run_source(spark, s, {}, {"t": rows_}).count() == 1500
+    assert [r["id"] for r in ds.run_source(spark, s, {}, {"t": rows_}, cap=3).collect()] == [0, 1, 2]
+
+
 def test_json_paths(spark):
     df = spark.createDataFrame([('{"a": {"b": [10, {"c": "x"}]}}',)], "j string")
     j = F.col("j")
@@ -423,6 +459,61 @@ def test_update_sets_null_only_when_named(spark, rows):
     assert rows(changes.update(t, ch)) == [(1, None, "b"), (2, "c", "d")]
 
 
+def test_several_changes_of_one_row(spark, rows):
+    t = spark.createDataFrame([(1, "a", "b")], "id int, x string, y string")
+    ch = spark.createDataFrame([(1, "z", "q", ["x"], 1), (1, "c", None, ["x", "y"], 2)], "id int, x string, y string, fields array<string>, at int")
+    assert rows(changes.update(t, ch, order=["at"])) == [(1, "c", None)]
+    assert rows(changes.update(t, ch.drop("at"))) == [(1, "z", None)]
+
+
+def test_links_of_an_owner_without_new_ones(spark, rows):
+    links = spark.createDataFrame([(1, 5), (2, 6)], "role_id int, menu_id int")
+    owners = spark.createDataFrame([(1,)], "role_id int")
+    assert rows(changes.replace_links(links, "role_id", links.limit(0), owners)) == [(2, 6)]
+
+
+def test_receipt_columns_stay_together(spark, rows):
+    old = spark.createDataFrame([], "a int, at int, who string")
+    new = spark.createDataFrame([(1, 2, "x"), (1, 3, "a")], "a int, at int, who string")
+    assert rows(changes.add_receipts(old, new, ["a"])) == [(1, 2, "x")]
+
+
+def test_ids_with_nulls(spark):
+    df = spark.createDataFrame([("a", None, "b"), ("a", "", "b")], "x string, y string, z string")
+    keys = df.select(graphbuild.key_of(F.col("x"), F.col("y"), F.col("z")).alias("k")).union(df.limit(1).select(graphbuild.key_of(F.col("x"), F.col("z")).alias("k")))
+    assert keys.distinct().count() == 3
+
+
+def test_array_files_keep_their_order(spark, tmp_path):
+    for i, name in enumerate(("b", "a")):
+        one = [{"start_node": {"label": "entity", "properties": {"name": "n", "description": name}}, "relation": f"r{k}", "end_node": {"label": "entity", "properties": {"name": f"{name}{k}"}}} for k in range(2)]
+        (tmp_path / f"{name}.json").write_text(json.dumps(one))
+    rels = graphs.read_relationships(spark, str(tmp_path), multiline=True)
+    assert rels.select("seq").distinct().count() == 4
+    nodes = graphs.graph_from_relationships(rels)[0]
+    assert [r.description for r in nodes.where("name = 'n'").collect()] == ["a"]
+
+
+def test_a_failing_batch_is_not_lost(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "in"))
+    seen, broken = [], [True]
+
+    def publish(df, number):
+        if broken[0]:
+            raise RuntimeError("disk is full")
+        seen.extend(r.id for r in df.collect())
+
+    def run(**more):
+        stream = twins.read_stream(spark, str(tmp_path / "in"), spark.range(1).schema)
+        return twins.refresh(stream, lambda b: b, publish, str(tmp_path / "ck"), once=True, **more)
+
+    with pytest.raises(Exception, match="disk is full"):
+        run().awaitTermination()
+    broken[0] = False
+    run().awaitTermination()
+    assert sorted(seen) == [0, 1, 2, 3]
+
+
 def test_receipts_are_idempotent(spark, rows):
     old = spark.createDataFrame([(1, 1, 5)], "a int, u int, at int")
     new = spark.createDataFrame([(1, 1, 9), (2, 1, 7), (2, 1, 6)], "a int, u int, at int")
@@ -456,9 +547,11 @@ def test_files(spark, tmp_path, rows):
 
 
 def test_database_urls():
-    assert tables.parse_database_url("postgresql+asyncpg://u:p@h/db") == {"db_type": "postgresql", "host": "h", "port": 5432, "user": "u", "password": "p", "database": "db"}
-    assert tables.parse_database_url("mysql://h:1/d")["port"] == 1
-    assert tables.parse_database_url("sqlite:///x") is None
+    got = tables.jdbc_options("postgresql+asyncpg://u:p@h/db", "t")
+    assert got == {"url": "jdbc:postgresql://h:5432/db", "dbtable": "t", "user": "u", "password": "p"}
+    assert tables.jdbc_options("mysql://h:1/d", "t")["url"] == "jdbc:mysql://h:1/d"
+    with pytest.raises(ValueError):
+        tables.jdbc_options("sqlite:///x", "t")
     assert tables.jdbc_options("mysql://h/d", "t", "id", (0, 9), 3)["numPartitions"] == "3"
 
 

@@ -72,15 +72,30 @@ def fill_template(template: Column, values: Mapping[str, Column]) -> Column:
     return F.regexp_replace(out, r"\$\{[^}]+\}", "")
 
 
+_INVISIBLE = "\u200b\u200c\u200d\ufeff"
+_OUTER = " \t\n\u000b\f\r"
+
+
 def clean_response(text: Column) -> Column:
-    """Model output without carriage returns, zero-width characters, code fence and 'json' line."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), "[​-‍﻿]", "")
-    fenced = F.regexp_extract(t, r"^\s*```(?:\s*\w+)?\s*\n([\s\S]*?)\n\s*```\s*$", 1)
-    bare = F.regexp_extract(t, r"^```([\s\S]*)```$", 1)
-    t = F.when(fenced != "", fenced).when(bare != "", bare).otherwise(t)
-    t = F.regexp_replace(t, r"^\s+|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(t, r"^(?i)json\n", ""), r"^\s+|\s+$", "")
+    """The answer inside a model's output.
+
+    Line ends become newlines and invisible characters go. If the rest stands between two code
+    fences, the part between them is the answer, without the line that names the language; a first
+    line that says only ``json`` goes too.
+    """
+    lines = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n|\r", "\n")
+    body = F.btrim(F.translate(F.btrim(lines, F.lit(_OUTER)), _INVISIBLE, ""), F.lit(_OUTER))
+    fence = F.lit("```")
+    between = F.when(
+        F.startswith(body, fence) & F.endswith(body, fence) & (F.length(body) >= 6), F.substring(body, F.lit(4), F.length(body) - 6)
+    )
+    first = F.btrim(F.substring_index(between, "\n", 1), F.lit(_OUTER))
+    named = between.contains("\n") & first.rlike("^[0-9A-Za-z_]*$")
+    inner = F.when(named, F.substring(between, F.instr(between, "\n") + 1, F.length(between))).otherwise(between)
+    answer = F.btrim(F.coalesce(inner, body), F.lit(_OUTER))
+    says_json = F.lower(F.substring_index(answer, "\n", 1)) == "json"
+    rest = F.substring(answer, F.lit(6), F.length(answer))
+    return F.when(says_json & answer.contains("\n"), F.btrim(rest, F.lit(_OUTER))).otherwise(answer)
 
 
 def decimals(value: Column, pattern: str = "0.00") -> Column:

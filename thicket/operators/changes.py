@@ -19,19 +19,24 @@ def insert(table: DataFrame, rows: DataFrame, id_from: Sequence[str], defaults:
     for name, value in (defaults or {}).items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(value))
-    key = F.md5(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in id_from]))
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0002"))  # noqa: E731  a null is a value of its own
+    key = F.md5(F.concat_ws("\u0001", *[part(c) for c in id_from]))
     return table.unionByName(rows.withColumn("id", key), allowMissingColumns=True)
 
 
-def update(table: DataFrame, changes: DataFrame, id: str = "id") -> DataFrame:
+def update(table: DataFrame, changes: DataFrame, id: str = "id", order: Sequence[str] = ()) -> DataFrame:
     """Partial update: ``changes`` has the id, new values and ``fields``, the names that were set.
 
-    A field that was set to null becomes null; one that was not set keeps its value.
+    A field that was set to null becomes null; one that was not set keeps its value. Of several
+    changes to a field of one row the last by ``order`` counts; without an order, or where it ties,
+    the one with the greatest value. The table keeps its rows.
     """
-    fields = [c for c in changes.columns if c not in (id, "fields") and c in table.columns]
-    new = changes.select(id, "fields", *[F.col(c).alias(f"_{c}") for c in fields])
+    fields = [c for c in changes.columns if c not in (id, "fields", *order) and c in table.columns]
+    was_set = lambda c: F.array_contains("fields", c)
+    entry = lambda c: F.when(was_set(c), F.struct(*[F.col(o).alias(f"o_{o}") for o in order], F.col(c).alias("value")))
+    new = changes.groupBy(id).agg(*[F.max(entry(c)).alias(f"_{c}") for c in fields]) if fields else changes.select(id).distinct()
     joined = table.join(new, id, "left")
-    value = lambda c: F.when(F.array_contains("fields", c), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    value = lambda c: F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}")["value"]).otherwise(F.col(c)).alias(c)
     return joined.select(*[value(c) if c in fields else F.col(c) for c in table.columns])
 
 
@@ -128,7 +133,10 @@ def delete_read(messages: DataFrame, user) -> DataFrame:
 def add_receipts(receipts: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """Append receipts that are not there yet; asking twice changes nothing."""
     rest = [c for c in new.columns if c not in key]
-    first = new.groupBy(*key).agg(*[F.min(c).alias(c) for c in rest]) if rest else new.distinct()
+    if rest:  # the smallest receipt as a whole, so that its columns stay together
+        first = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, *[F.col("_r")[c].alias(c) for c in rest])
+    else:
+        first = new.distinct()
     return receipts.unionByName(first.join(receipts, list(key), "left_anti"), allowMissingColumns=True)
 
 
@@ -140,9 +148,13 @@ def add_counts(table: DataFrame, events: DataFrame, key: str, column: str, id: s
     ).select(*table.columns)
 
 
-def replace_links(links: DataFrame, owner: str, new: DataFrame) -> DataFrame:
-    """Replace all links of the owners that ``new`` names."""
-    return links.join(new.select(owner).distinct(), owner, "left_anti").unionByName(new)
+def replace_links(links: DataFrame, owner: str, new: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """Replace all links of the listed owners by ``new``; an owner without new links loses all.
+
+    Without ``owners``, the owners are those that ``new`` names.
+    """
+    named = new.select(owner) if owners is None else owners.select(F.col(owners.columns[0]).alias(owner))
+    return links.join(named.distinct(), owner, "left_anti").unionByName(new)
 
 
 def set_member(users: DataFrame, ids: DataFrame, column: str, value: Any) -> DataFrame:

@@ -25,8 +25,8 @@ WORD = r"\p{Lu}\p{Ll}{2,}"
 
 
 def key_of(*parts: Column) -> Column:
-    """Deterministic id from its parts."""
-    return F.sha2(F.concat_ws(SEPARATOR, *[p.cast("string") for p in parts]), 256)
+    """Deterministic id from its parts; a null part differs from an absent and from an empty one."""
+    return F.sha2(F.concat_ws(SEPARATOR, *[F.coalesce(p.cast("string"), F.lit("\u0002")) for p in parts]), 256)
 
 
 def chunks(
@@ -39,13 +39,14 @@ def chunks(
     min_tail: int = 100,
     split: bool = True,
     tokenizer: Callable[[Column], Column] = tokens,
+    min_piece: int = 5,
 ) -> DataFrame:
     """(chunk_id, doc_id, ordinal, text, n_tokens).
 
     Windows of ``size`` tokens start every ``size - overlap``; a start with fewer than
     ``min_tail`` tokens left is dropped and the window before runs to the end. A text of at most
-    ``size`` tokens is one chunk, as is any text when ``split`` is off. Chunks under five tokens
-    or characters are dropped. Only the cut pieces leave the row, not the token array.
+    ``size`` tokens is one chunk, as is any text when ``split`` is off. Pieces of a cut text under
+    ``min_piece`` tokens or characters are dropped; 0 keeps all. Only the cut pieces leave the row, not the token array.
     """
     if min_tail > size:
         raise ValueError("min_tail may not exceed size")
@@ -69,7 +70,7 @@ def chunks(
             (end - s).cast("int").alias("n_tokens"),
         )
 
-    long_enough = lambda c: (c["n_tokens"] >= 5) & (F.length(F.trim(c["text"])) >= 5)
+    long_enough = lambda c: (c["n_tokens"] >= min_piece) & (F.length(F.trim(c["text"])) >= min_piece)
     pieces = F.filter(F.transform("_starts", piece), long_enough)
     cut = F.when(F.col("_n") > size, pieces).otherwise(whole) if split else whole
     # the outer form keeps the optimizer from testing the array first, which would cut twice
@@ -106,8 +107,9 @@ def extract(pieces: DataFrame, fn: Callable[[str], str]) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(response=[fn(t) for t in pdf["text"]]).drop(columns=["text"])
 
+    doc_type = dict(pieces.dtypes)["doc_id"]
     return pieces.select("chunk_id", "doc_id", "ordinal", "text").mapInPandas(
-        run, "chunk_id string, doc_id bigint, ordinal int, response string"
+        run, f"chunk_id string, doc_id {doc_type}, ordinal int, response string"
     )
 
 

@@ -20,8 +20,6 @@ from thicket.session import stage
 
 MIN_SCORE = 0.05
 TRIPLE_THRESHOLD = 0.1
-PER_WORD = 50
-STOP_AFTER = 200
 
 # Words that are no keywords.
 STOP_WORDS = (
@@ -67,15 +65,17 @@ def text_index(nodes: DataFrame) -> DataFrame:
     return rows.where(F.length("word") > 2)
 
 
-def keyword_hits(asked: DataFrame, index: DataFrame, per_word: int = PER_WORD, stop_after: int = STOP_AFTER) -> DataFrame:
-    """Nodes whose text has a query's keyword.
+def keyword_hits(asked: DataFrame, index: DataFrame, per_word: int | None = None, stop_after: int | None = None) -> DataFrame:
+    """Nodes whose text has a query's keyword; all of them unless a limit is given.
 
-    At most ``per_word`` nodes per word count (by id). Words are taken in order until more than
-    ``stop_after`` nodes are found. The per-word limit is on the index, before the join, so a
-    word in a third of all nodes sends few rows.
+    With ``per_word``, that many nodes per word count (by id); the limit is on the index, before the
+    join, so a word in a third of all nodes sends few rows. With ``stop_after``, words are taken in
+    order until more than that many nodes are found.
     """
     used = index.join(asked.select("word").distinct(), "word", "left_semi")
-    hits = asked.join(top_per_key(used, ["word"], ["node_id"], per_word), "word")
+    hits = asked.join(used if per_word is None else top_per_key(used, ["word"], ["node_id"], per_word), "word")
+    if stop_after is None:
+        return hits.select("query_id", "node_id").distinct()
     first = hits.groupBy("query_id", "node_id").agg(F.min("word").alias("word"))
     new = first.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("query_id").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,12 +93,9 @@ def substring_hits(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = node_texts(nodes).select("node_id", F.lower("txt").alias("txt"))
     starts = F.sequence(F.lit(1), F.greatest(F.length("txt") - 2, F.lit(1)))
     grams = F.array_distinct(F.transform(starts, lambda i: F.col("txt").substr(i, F.lit(3))))
-    found = (
-        texts.select("node_id", "txt", F.explode(grams).alias("gram"))
-        .join(words, "gram")
-        .where(F.contains("txt", F.col("word")))
-        .select("node_id", "word")
-    )
+    # only ids are multiplied by grams; a text meets each of its candidate words once
+    pairs = texts.select("node_id", F.explode(grams).alias("gram")).join(words, "gram").select("node_id", "word")
+    found = pairs.join(texts, "node_id").where(F.contains("txt", F.col("word"))).select("node_id", "word")
     return asked.join(found, "word").select("query_id", "node_id").distinct()
 
 
@@ -243,9 +240,9 @@ def edge_vectors(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     return edges.join(h, "src").join(t, "dst").select(F.col("seq").alias("id"), add(F.col("_h"), F.col("_t")).alias("emb"))
 
 
-def search_nodes(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Vector hits, ``min(3k, 50)`` per query."""
-    return top_k(queries, vectors, min(3 * k, 50)).withColumnRenamed("id", "node_id")
+def search_nodes(queries: DataFrame, vectors: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """Vector hits, ``3k`` per query, or ``most`` if that is less."""
+    return top_k(queries, vectors, 3 * k if most is None else min(3 * k, most)).withColumnRenamed("id", "node_id")
 
 
 def search_filtered(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -263,15 +260,14 @@ def scored_nodes(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> Da
     return joined.select("query_id", "node_id", F.round(similarity(F.col("_q"), F.col("_v")), 9).alias("score"))
 
 
-def triple_path(queries, edges, edge_vecs, node_vecs, k: int = 5) -> DataFrame:
+def triple_path(queries, edges, edge_vecs, node_vecs, k: int = 5, limit: int = 50) -> DataFrame:
     """Scored triples near the best ones: (query_id, seq, src, relation, dst, score).
 
-    The best ``k`` triples seed a three-hop neighbourhood; of the best ``min(2n, 50)`` triples
+    The best ``k`` triples seed a three-hop neighbourhood; of the best ``min(2n, limit)`` triples
     overall, those that lie in it (``n`` triples) and score at least 0.1 are kept, ``k`` of them.
-    Only the best 50 are tested for lying in it, by their ends; and ``n`` is counted up to 25,
-    above which ``min(2n, 50)`` does not change, so hubs are not expanded.
+    Only the best ``limit`` are tested for lying in it, by their ends; and ``n`` is counted up to
+    half of it, above which the minimum does not change, so hubs are not expanded.
     """
-    limit = 50
     wide = stage(top_k(queries, edge_vecs, limit).withColumnRenamed("id", "seq").join(edges, "seq"))
     key = ["query_id", "src", "relation", "dst"]
     seeds = wide.where(F.col("rank") <= k).select(*key)
@@ -326,10 +322,13 @@ def dual_path(queries, scored: DataFrame, inside: DataFrame, node_vecs: DataFram
     return merged.join(scored_nodes(merged, queries, node_vecs), ["query_id", "node_id"])
 
 
-def candidate_nodes(queries, nodes, node_vecs, k: int = 5) -> DataFrame:
-    """(query_id, node_id, score, rank): vector hits and keyword hits merged, the best ``k`` above 0.05."""
-    hits = search_nodes(queries, node_vecs, k).select("query_id", "node_id", F.greatest(F.lit(0.0), "score").alias("score"))
-    worded = keyword_hits(keywords(queries), text_index(nodes))
+def candidate_nodes(queries, nodes, node_vecs, k: int = 5, per_word: int | None = None, stop_after: int | None = None, most: int | None = None) -> DataFrame:
+    """(query_id, node_id, score, rank): vector hits and keyword hits merged, the best ``k`` above 0.05.
+
+    The limits are those of :func:`keyword_hits` and :func:`search_nodes`; without them all hits count.
+    """
+    hits = search_nodes(queries, node_vecs, k, most).select("query_id", "node_id", F.greatest(F.lit(0.0), "score").alias("score"))
+    worded = keyword_hits(keywords(queries), text_index(nodes), per_word, stop_after)
     extra = worded.join(hits, ["query_id", "node_id"], "left_anti")
     scored = scored_nodes(extra, queries, node_vecs).where(F.col("score") > MIN_SCORE)
     best = top_per_key(hits.unionByName(scored), ["query_id"], [F.desc("score"), "node_id"], k, rank="rank")
@@ -380,9 +379,9 @@ def rerank_triples(triples: DataFrame, queries, nodes, edges, edge_vecs) -> Data
     return joined.select("query_id", "seq", "src", "relation", "dst", score.alias("score")).where(F.col("score") > MIN_SCORE)
 
 
-def node_relation_path(queries, nodes, edges, node_vecs, relation_vecs, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(top nodes, triples): candidates and everything expanded from them."""
-    best = stage(candidate_nodes(queries, nodes, node_vecs, k))
+def node_relation_path(queries, nodes, edges, node_vecs, relation_vecs, k: int = 5, **limits: int) -> tuple[DataFrame, DataFrame]:
+    """(top nodes, triples): candidates, under their limits if any, and everything expanded from them."""
+    best = stage(candidate_nodes(queries, nodes, node_vecs, k, **limits))
     relations = top_k(queries, relation_vecs, k).select("query_id", F.col("id").alias("relation"))
     parts = [
         expand_neighbours(best, edges),
@@ -398,7 +397,7 @@ def typed_path(queries, nodes, edges, node_vecs, k: int = 5) -> tuple[DataFrame,
     return best, one_hop(best, edges, k).select("query_id", "src", "relation", "dst")
 
 
-def route_by_type(queries, nodes, edges, node_vecs, relation_vecs, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def route_by_type(queries, nodes, edges, node_vecs, relation_vecs, k: int = 5, **limits: int) -> tuple[DataFrame, DataFrame]:
     """Typed path for queries whose types exist in the graph, plain path for the rest."""
     present = nodes.where(type_tag().isNotNull()).select(type_tag().alias("t")).distinct()
     asked = queries.select("query_id", F.explode(F.array_append("types", F.lit(""))).alias("t"))
@@ -406,7 +405,7 @@ def route_by_type(queries, nodes, edges, node_vecs, relation_vecs, k: int = 5) -
     wants = queries.where(F.size("types") > 0)
     typed = wants.join(served, "query_id", "left_semi")
     plain = queries.where(F.size("types") == 0).unionByName(wants.join(served, "query_id", "left_anti"))
-    a, b = typed_path(typed, nodes, edges, node_vecs, k), node_relation_path(plain, nodes, edges, node_vecs, relation_vecs, k)
+    a, b = typed_path(typed, nodes, edges, node_vecs, k), node_relation_path(plain, nodes, edges, node_vecs, relation_vecs, k, **limits)
     cols = ["query_id", "node_id", "score", "rank"]
     return a[0].select(*cols).unionByName(b[0].select(*cols)), a[1].unionByName(b[1])
 

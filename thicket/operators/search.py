@@ -1,15 +1,15 @@
 """Exact nearest vectors for a table of queries.
 
 Scores are matrix products of Arrow batches with a block of queries; each task keeps only its
-best ``k`` per query, and a group limit merges the tasks' lists. Up to ``QUERY_BLOCK`` queries
-travel to the tasks as one broadcast block; the count is checked first. More queries than that
-are cut into blocks, vectors into slices, and every (block, slice) pair is one bounded task.
-Both ways are exact and give the same rows.
+best ``k`` per query, and a group limit merges the tasks' lists. Queries travel in blocks of about
+``QUERY_BLOCK`` by a hash of their id: one broadcast and one pass over the vectors, where they lie,
+for each block. Vectors are never shuffled, whatever the number of queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from thicket.ordering import top_per_key
 
 QUERY_BLOCK = 4096
-SLICE_ROWS = 65_536
 STEP = 1024
 
 
@@ -35,7 +34,9 @@ def _local_top(vectors: Iterator[pd.DataFrame], queries: pd.DataFrame, k: int, n
     """Best ``k`` rows per query among the given batches, ties by id."""
     q = _matrix(queries["emb"], normalize)
     ids = queries["query_id"].to_numpy()
-    allowed = [set(t) for t in queries["tags"]] if tagged else None
+    if tagged:  # queries with the same tags share a column of the test matrix
+        groups, group_of = np.unique([repr(sorted(set(t), key=repr)) for t in queries["tags"]], return_inverse=True)
+        some = {g: set(queries["tags"].iloc[i]) for i, g in enumerate(group_of)}
     best = pd.DataFrame({"query_id": [], "id": [], "score": []})
     floor = np.full(len(q), -np.inf)
     for batch in vectors:
@@ -43,9 +44,10 @@ def _local_top(vectors: Iterator[pd.DataFrame], queries: pd.DataFrame, k: int, n
             part = batch.iloc[start : start + STEP]
             scores = np.round(_matrix(part["emb"], normalize) @ q.T, 9) + 0.0
             if tagged:
-                tags = part["tag"].to_numpy()
-                fits = np.array([[t is not None and t in a for a in allowed] for t in tags])
-                scores = np.where(fits, scores, -np.inf)
+                tags, tag_of = np.unique([repr(t) for t in part["tag"]], return_inverse=True)
+                value = {i: t for i, t in zip(tag_of, part["tag"], strict=True)}
+                fits = np.array([[value[i] is not None and value[i] in some[g] for g in range(len(groups))] for i in range(len(tags))])
+                scores = np.where(fits[tag_of][:, group_of], scores, -np.inf)
             if len(part) > k:
                 kth = np.partition(scores, len(part) - k, axis=0)[len(part) - k]
                 floor_here = np.maximum(floor, kth)
@@ -83,26 +85,18 @@ def top_k(
     asked, pool = queries.select(*qcols), vectors.select(*vcols)
     types = dict(asked.dtypes)["query_id"], dict(pool.dtypes)["id"]
     schema = f"query_id {types[0]}, id {types[1]}, score double"
-    n = asked.select("query_id").limit(query_block + 1).count()
-    if n <= query_block:
-        block = asked.sparkSession.sparkContext.broadcast(asked.toPandas())
+    blocks = max(1, -(-asked.count() // query_block))
+    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+
+    def scan_for(number: int) -> DataFrame:
+        # about ``query_block`` rows, as the blocks are dealt by hash and counted
+        block = asked.sparkSession.sparkContext.broadcast(numbered.where(F.col("_block") == number).drop("_block").toPandas())
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(block.value):
                 yield _local_top(batches, block.value, k, normalize, tagged)
 
-        local = pool.mapInPandas(scan, schema)
-    else:
-        blocks = -(-asked.count() // query_block) * 2
-        slices = max(1, -(-pool.count() // SLICE_ROWS))
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("vb", each(slices))
-        right = pool.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("qb", each(blocks))
-
-        def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-            if q.empty or v.empty:
-                return pd.DataFrame({"query_id": [], "id": [], "score": []})
-            return _local_top(iter([v]), q, k, normalize, tagged)
+        return pool.mapInPandas(scan, schema)
 
-        local = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pair, schema)
+    local = reduce(DataFrame.unionByName, [scan_for(i) for i in range(blocks)])
     return top_per_key(local, ["query_id"], [F.desc("score"), "id"], k, rank="rank")

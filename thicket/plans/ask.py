@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ class Answer:
     """Both retrieval paths for every question, merged and cut; each result is made when asked for.
 
     ``k`` is the depth of the paths, ``keep`` the number of merged triples and searched chunks.
+    ``limits`` are those of ``retrieval.candidate_nodes``; none by default.
     Lists that several results read are staged once.
     """
 
@@ -31,17 +33,18 @@ class Answer:
         chunks: DataFrame,
         k: int = 5,
         keep: int = 20,
+        limits: Mapping[str, int] | None = None,
     ):
         self.queries, self.nodes, self.edges, self.chunk_table = stage(queries), nodes, edges, chunks
         self.node_vecs, self.relation_vecs = node_vecs, relation_vecs
         self.edge_vecs, self.chunk_vecs = edge_vecs, chunk_vecs
-        self.k, self.keep = k, keep
+        self.k, self.keep, self.limits = k, keep, dict(limits or {})
 
     @cached_property
     def by_node(self) -> tuple[DataFrame, DataFrame]:
         """Top nodes and the triples expanded from them."""
         return rt.node_relation_path(
-            self.queries, self.nodes, self.edges, self.node_vecs, self.relation_vecs, self.k
+            self.queries, self.nodes, self.edges, self.node_vecs, self.relation_vecs, self.k, **self.limits
         )
 
     @cached_property

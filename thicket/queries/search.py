@@ -11,6 +11,9 @@ from thicket.session import stage
 from thicket.sources import vectorstore as vs
 
 K = 5
+#: The limits of the published retrieval, which the oracles state too.
+WORD_LIMITS = {"per_word": 50, "stop_after": 200}
+LIMITS = {**WORD_LIMITS, "most": 50}
 
 
 def asked(t):
@@ -202,7 +205,7 @@ def _(t):
 
 @query("r01_node_search", sql("SELECT query_id, id AS node_id, round(score, 6) AS score, rank FROM hits", Q, NV, HITS))
 def _(t):
-    return rt.search_nodes(asked(t), t.node_vec, K).withColumn("score", F.round("score", 6))
+    return rt.search_nodes(asked(t), t.node_vec, K, most=50).withColumn("score", F.round("score", 6))
 
 
 @query("r01_all_neighbours", """
@@ -224,7 +227,7 @@ def _(t):
 
 
 def best(t):
-    return stage(rt.candidate_nodes(asked(t), t.kg_nodes, t.node_vec, K))
+    return stage(rt.candidate_nodes(asked(t), t.kg_nodes, t.node_vec, K, **LIMITS))
 
 
 @query("j07_one_hop", sql("""
@@ -318,7 +321,7 @@ def _(t):
 
 @query("r07_node_relation_triples", sql("SELECT query_id, src, relation, dst FROM onehop", *NODE_PATH))
 def _(t):
-    return rt.node_relation_path(asked(t), t.kg_nodes, t.kg_unique, t.node_vec, t.relation_vec, K)[1]
+    return rt.node_relation_path(asked(t), t.kg_nodes, t.kg_unique, t.node_vec, t.relation_vec, K, **LIMITS)[1]
 
 
 TAGGED = "tg AS (SELECT id, e, CASE WHEN coalesce(schema_type, '') <> '' THEN schema_type WHEN label = 'entity' THEN '' END AS tag FROM nv JOIN kg_nodes ON node_id = id)"
@@ -352,11 +355,16 @@ def _(t):
     return rt.text_index(t.kg_nodes)
 
 
-@query("r12_keyword_hits", sql("SELECT query_id, node_id FROM kh", Q, TX, KW, IDX, KH))
+@query("r12_all_keyword_hits", sql("SELECT DISTINCT query_id, node_id FROM kws JOIN idx USING (word)", Q, TX, KW, IDX))
 def _(t):
     return rt.keyword_hits(rt.keywords(asked(t)), rt.text_index(t.kg_nodes))
 
 
+@query("r12_keyword_hits", sql("SELECT query_id, node_id FROM kh", Q, TX, KW, IDX, KH))
+def _(t):
+    return rt.keyword_hits(rt.keywords(asked(t)), rt.text_index(t.kg_nodes), **WORD_LIMITS)
+
+
 @query("r12_substring_hits", sql("SELECT DISTINCT query_id, node_id FROM kws JOIN tx ON contains(lower(txt), word)", Q, TX, KW))
 def _(t):
     return rt.substring_hits(rt.keywords(asked(t)), t.kg_nodes)
@@ -370,7 +378,7 @@ def _(t):
 @query("r14_rerank_triples", sql("SELECT query_id, seq, src, relation, dst, round(score, 6) AS score FROM rr", *NODE_PATH, RR))
 def _(t):
     q, g = asked(t), Graph(t)
-    triples = rt.node_relation_path(q, g.nodes, g.edges, g.node_vecs, t.relation_vec, K)[1]
+    triples = rt.node_relation_path(q, g.nodes, g.edges, g.node_vecs, t.relation_vec, K, **LIMITS)[1]
     return rt.rerank_triples(triples, q, g.nodes, g.edges, g.edge_vecs).withColumn("score", F.round("score", 6))
 
 
@@ -389,7 +397,7 @@ def final(t):
     from thicket.plans.ask import Answer
 
     g = Graph(t)
-    return Answer(asked(t), g.nodes, g.edges, g.node_vecs, t.relation_vec, g.edge_vecs, t.chunk_vec, t.chunk, K)
+    return Answer(asked(t), g.nodes, g.edges, g.node_vecs, t.relation_vec, g.edge_vecs, t.chunk_vec, t.chunk, K, limits=LIMITS)
 
 
 @query("f03_merged_triples", sql("SELECT query_id, seq, rank, round(score, 6) AS score FROM lim", *BOTH))

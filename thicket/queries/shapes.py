@@ -1,12 +1,27 @@
 """Data sources, parameters, paths, chart shapes, set operations and scalar functions."""
 
+import json
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from thicket.functions import jsonpath, text
 from thicket.operators import charts, setops
-from thicket.plans.datasource import DataSource, preview_source, run_source, run_sql
+from thicket.plans.datasource import MAX_ROWS, DataSource, preview_source, run_source, run_sql
 from thicket.queries.registry import query
 
+
+
+def per_row(fn):
+    """A library function of plain values as a text column, called in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(first: pd.Series, *rest: pd.Series) -> pd.Series:
+        return pd.Series([fn(*row) for row in zip(first, *rest, strict=True)], dtype="object")
+
+    return run
+
+
 DAILY_SQL = """
 SELECT to_date(ts) AS day, count(*) AS total, count_if(status = 1) AS ok, count_if(status = 0) AS failed
 FROM login_log WHERE ts >= (SELECT max(ts) FROM login_log) - make_interval(0, 0, 0, :days)
@@ -40,7 +55,7 @@ def _(t):
         "failed", "sql", sql="SELECT id, status, duration FROM scheduler_log WHERE status = :status",
         params=({"name": "status", "required": True},), field_mapping={"duration": "seconds"}, order=(F.desc("seconds"), "id"),
     )
-    return run_source(t.spark, source, {"status": "failed"}, {"scheduler_log": t.scheduler_log})
+    return run_source(t.spark, source, {"status": "failed"}, {"scheduler_log": t.scheduler_log}, cap=MAX_ROWS)
 
 
 @query("s03_preview", "SELECT id, status FROM scheduler_log WHERE status = 'running' ORDER BY id LIMIT 100")
@@ -124,17 +139,20 @@ def _(t):
 SELECT l_orderkey, l_linenumber, coalesce(CAST(TRY_CAST(l_returnflag AS INTEGER) AS VARCHAR), l_returnflag) AS flag,
        coalesce(CAST(TRY_CAST(CAST(l_partkey AS VARCHAR) AS INTEGER) AS VARCHAR), '') AS part FROM lineitem""")
 def _(t):
-    soft = lambda c: F.coalesce(c.try_cast("int").cast("string"), c)
-    return t.lineitem.select(
-        "l_orderkey", "l_linenumber", soft(F.col("l_returnflag")).alias("flag"), soft(F.col("l_partkey").cast("string")).alias("part")
-    )
+    from thicket.plans.datasource import convert_param
+
+    soft = per_row(lambda value: str(convert_param(value, "integer")))
+    part = F.col("l_partkey").cast("string")
+    return t.lineitem.select("l_orderkey", "l_linenumber", soft("l_returnflag").alias("flag"), soft(part).alias("part"))
 
 
 @query("p07_fill_placeholders", "SELECT user_id, '{\"q\": \"user ' || user_id || ' of ' || event_type || '\"}' AS body FROM events")
 def _(t):
-    body = F.lit('{"q": "user {user} of {kind}"}')
-    filled = F.replace(F.replace(body, F.lit("{user}"), F.col("user_id").cast("string")), F.lit("{kind}"), F.col("event_type"))
-    return t.events.select("user_id", filled.alias("body"))
+    from thicket.plans.datasource import fill_placeholders
+
+    template = {"q": "user {user} of {kind}"}
+    filled = per_row(lambda user, kind: json.dumps(fill_placeholders(template, {"user": user, "kind": kind})))
+    return t.events.select("user_id", filled("user_id", "event_type").alias("body"))
 
 
 # ---- chart shapes
@@ -435,10 +453,10 @@ def _(t):
 
 @query("x19_cache_key", "SELECT o_orderkey, 'datasource:' || o_orderpriority || ':' || substr(md5('[(''a'', ' || o_orderkey || '), (''b'', ''' || o_orderstatus || ''')]'), 1, 8) AS key FROM orders")
 def _(t):
-    params = F.format_string("[('a', %d), ('b', '%s')]", "o_orderkey", "o_orderstatus")
-    return t.orders.select(
-        "o_orderkey", F.concat_ws(":", F.lit("datasource"), "o_orderpriority", F.substring(F.md5(params), 1, 8)).alias("key")
-    )
+    from thicket.plans.datasource import cache_key
+
+    key = per_row(lambda code, a, b: cache_key(code, {"a": int(a), "b": b}))
+    return t.orders.select("o_orderkey", key("o_orderpriority", "o_orderkey", "o_orderstatus").alias("key"))
 
 
 @query("x20_durations", """

@@ -263,12 +263,14 @@ def _(t):
     path = folder(t, "samples")
     samples.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(path)
     out, ck = folder(t, "rates"), folder(t, "ck")
-    t.spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    stream = twins.read_stream(t.spark, path, samples.schema)
-    twins.append_to(twins.counter_rates(stream), out, ck).awaitTermination()
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(store)
+    t.spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # for this stream only
+        stream = twins.read_stream(t.spark, path, samples.schema)
+        twins.append_to(twins.counter_rates(stream), out, ck).awaitTermination()
+    finally:
+        t.spark.conf.set(store, before)
     return t.spark.read.parquet(out).select("id", "host", F.round("rate", 6).alias("rate"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.operators.graphbuild import key_of
-from thicket.ordering import first_per_key
+from thicket.ordering import dense_index, first_per_key
 
 END = "struct<label: string, properties: map<string, string>>"
 RELATIONSHIP = f"seq bigint, start_node {END}, relation string, end_node {END}"
@@ -40,14 +40,15 @@ def save_graph_json(relationships: DataFrame, path: str) -> None:
 def read_relationships(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Relationships from JSON lines, or from JSON array files with ``multiline``.
 
-    Array files carry no sequence; the order inside a file is then its position.
+    Array files carry no sequence; relationships are then ordered by file name, then position.
     """
     if not multiline:
         return spark.read.schema(RELATIONSHIP).json(path)
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    place = dense_index(text.select("file").distinct(), [], ["file"], "place")
     items = F.from_json("value", f"array<struct<start_node: {END}, relation: string, end_node: {END}>>")
-    rows = text.select(F.posexplode(items).alias("seq", "r"))
-    return rows.select(F.col("seq").cast("long"), "r.*")
+    rows = text.select("file", F.posexplode(items).alias("at", "r")).join(place, "file")
+    return rows.select(((F.col("place") - 1) * (1 << 32) + F.col("at")).cast("long").alias("seq"), "r.*")
 
 
 def graph_from_relationships(relationships: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -32,18 +32,22 @@ def timed(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 def refresh(
     stream: DataFrame, statistic: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame, int], None],
-    checkpoint: str, every: str = "2 seconds", once: bool = False,
+    checkpoint: str, every: str = "2 seconds", once: bool = False, failed: Callable[[DataFrame, int, Exception], None] | None = None,
 ) -> StreamingQuery:
-    """Compute a statistic on every micro-batch and publish it; a failing batch is reported, not fatal.
+    """Compute a statistic on every micro-batch and publish it.
 
-    ``publish`` gets the statistic of one batch and its number, and adds it to what it keeps.
+    ``publish`` gets the statistic of one batch and its number, and adds it to what it keeps. A
+    batch that fails is not committed: the query ends with the error and a restart does the batch
+    again. With ``failed``, which must keep the batch's rows (a reject table), the stream goes on.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         try:
             publish(statistic(batch), number)
-        except Exception as error:  # the loop survives a bad batch, as a monitor must
-            print(f"batch {number} failed: {error}")
+        except Exception as error:
+            if failed is None:
+                raise
+            failed(batch, number, error)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
