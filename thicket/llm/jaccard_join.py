@@ -38,6 +38,8 @@ from thicket.session import stage
 BAND_RATIO = 1.5
 #: Members, and bytes of their differences, of one part of a pivot's members.
 MEMBERS, MEMBER_BYTES = 768, 8 << 20
+#: Members of one part where only sketches are compared.
+SKETCHES = 4096
 #: Elements in more differences than this are counted by a matrix product.
 FREQUENT = 24
 _SEEDS = tuple(U64(x) for x in (0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165))
@@ -316,9 +318,8 @@ class Join:
             if (new == label).all():
                 break
             label = new
-        ids = table["x_id"].to_numpy()
-        u, v = [ids, ids[linked]], [ids[label], table["p_id"].to_numpy()[linked]]
-        u, v = np.concatenate(u), np.concatenate(v)
+        u = table["x_id"].to_numpy()
+        v = u[label]
         return pa.table({"u": pa.array(u[u != v], pa.int64()), "v": pa.array(v[u != v], pa.int64())})
 
     def unresolved(self, table: pa.Table) -> pa.Table:
@@ -338,28 +339,36 @@ class Join:
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     @staticmethod
-    def parted(deltas: DataFrame, weight) -> DataFrame:
+    def parted(deltas: DataFrame, weight, members: int) -> DataFrame:
         """Deal the members of every pivot over parts so that each two parts meet under one ``(p, i, j)``.
 
-        A task then holds at most about ``2 * MEMBERS`` members or ``2 * MEMBER_BYTES``.
+        A task then holds at most about ``2 * members`` members or ``2 * MEMBER_BYTES``.
         """
-        parts = deltas.groupBy("p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum(weight) / MEMBER_BYTES), F.lit(1)).cast("int").alias("parts"))
+        parts = deltas.groupBy("p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / members), F.ceil(F.sum(weight) / MEMBER_BYTES), F.lit(1)).cast("int").alias("parts"))
         dealt = deltas.join(parts, "p").withColumn("own", F.pmod(F.xxhash64("x"), "parts").cast("int"))
         other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
         dealt = dealt.withColumn("other", F.explode(other)).where("parts = 1 OR own <> other")
         return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def edges(self, deltas: DataFrame) -> DataFrame:
-        """Pairs of ids that links join, from the near members of every pivot."""
-        dealt = self.parted(deltas.where("NOT far"), F.octet_length("ins") + F.octet_length("del"))
-        return dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.relate(t), "u long, v long")
+        """Pairs of ids that links join, from the near members of every pivot.
+
+        Members near to the same first pivot are related there; a pivot whose members all have the
+        same other first pivot has nothing to add but its own links.
+        """
+        near = deltas.where("NOT far")
+        near = near.join(near.groupBy("x").agg(F.min("p").alias("first")), "x")
+        needed = near.groupBy("p").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b OR a = p").select("p")
+        dealt = self.parted(near.join(needed, "p", "left_semi"), F.octet_length("ins") + F.octet_length("del"), MEMBERS)
+        related = dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.relate(t), "u long, v long")
+        return related.unionByName(near.where("linked").select(F.col("x_id").alias("u"), F.col("p_id").alias("v")))
 
     def leftovers(self, deltas: DataFrame) -> DataFrame:
         """Pairs with a far member that no common near pivot has settled and that sketches cannot exclude."""
         near = deltas.where("NOT far").groupBy("x").agg(F.collect_set("p").alias("near"))
         touched = deltas.where("far").select("p").distinct()
         members = deltas.join(touched, "p", "left_semi").select("p", "x", "x_id", "n_x", "sketch").join(near, "x", "left")
-        dealt = self.parted(members, F.octet_length("sketch"))
+        dealt = self.parted(members, F.octet_length("sketch"), SKETCHES)
         return dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.unresolved(t), "u long, v long")
 
     def verify(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
