@@ -9,12 +9,13 @@ import pytest
 
 import __spark_entry__ as entry
 from thicket.plans.standins import BASE
+from thicket.queries import load
 
 duckdb = pytest.importorskip("duckdb")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data is not there")
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load()
 TYPES = {
     "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean",
     "TIMESTAMP": "timestamp_ntz", "DATE": "date",
@@ -60,4 +61,5 @@ def test_runs_without_oracle(spark, key):
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
