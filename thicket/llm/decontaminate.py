@@ -240,10 +240,12 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.
                 spans[doc].append({"start": a - int(w.first[doc]), "end": b - int(w.first[doc])})
         text = table.column("text").to_pylist()
         clean = list(text)
+        sizes = pc.fill_null(pc.binary_length(table.column("text")), 0).to_numpy().astype(np.int64)
+        begin = np.cumsum(sizes) - sizes  # of each text in the joined data of the shard
         for doc, own in enumerate(spans):
             if own:
                 data, base, parts, last = text[doc].encode(), int(w.first[doc]), [], 0
-                shift = offset_of(table, doc, w)
+                shift = int(begin[doc])
                 for s in own:
                     parts.append(data[last : int(w.start[base + s["start"]]) - shift])
                     last = int(w.end[base + s["end"] - 1]) - shift
@@ -255,12 +257,6 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.
         yield from pa.table({n: out[n] if n in out else table.column(n) for n in table.column_names}).to_batches()
 
 
-def offset_of(table: pa.Table, doc: int, w: Words) -> int:
-    """Byte at which a text begins in the joined data of its shard."""
-    lengths = pc.fill_null(pc.binary_length(table.column("text").slice(0, doc)), 0)
-    return int(pc.sum(lengths).as_py() or 0)
-
-
 def find_benchmark(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", phrase_bytes: int = 1 << 20, carry: Sequence[str] = (),
