@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from thicket.llm import bpe, decontaminate, html_render, licenses, pii, quality, warc
 from thicket.llm.components import components
 from thicket.llm.hashing import NOT_BLANK, words
-from thicket.llm.jaccard_join import Bands, jaccard_groups, shared_elements
+from thicket.llm.jaccard_join import MEMBERS, Bands, Join, Sets, jaccard_groups, shared_elements
 from thicket.llm.queries import word_bpe
 from thicket.llm.substring_dedup import COVERS, dedup_substrings
 from thicket.llm.suffix_dedup import dedup_passages
@@ -133,6 +133,30 @@ def test_bands_bound_the_difference():
         assert k == 2 * (after - 1) * 20 // 180 and after > low
 
 
+def test_a_block_sends_each_signature_once():
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base, f"own{i}"]) for i in range(40)]  # near copies, all sets distinct
+    join = Join(3, 90, 100, 1)
+    f0 = Sets(pa.chunked_array([texts]), 3).sums()[0]
+    table = pa.table({"block": pa.array([0] * 40, pa.int32()), "id": list(range(40)), "text": texts})
+    sent = join.sign(table, pa.table({"block": pa.array([0] * 40, pa.int32()), "id": list(range(40)), "f0": f0}))
+    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in sent["key"].to_pylist() if k])
+    assert len(keys) == len(np.unique(keys))
+
+
+def test_linked_members_are_not_paired_with_each_other(spark):
+    n = 10 * MEMBERS
+    rows = spark.range(1, n + 1).selectExpr(
+        "0L AS p", "id AS x", "0L AS p_id", "id AS x_id", "100L AS n_p", "100L AS n_x", "X'0000000000000001' AS ins", "X'' AS del",
+        f"id <= {n} - 3 AS linked", "false AS far")
+    for some, most in ((rows, n + 40), (rows.where("linked"), 0)):
+        plan = Join(3, 90, 100, 1).parted(some, F.lit(16), MEMBERS, F.col("linked"))
+        assert plan.count() <= most
+    dealt = Join(3, 90, 100, 1).parted(rows, F.lit(16), MEMBERS, F.col("linked"))
+    met = dealt.where("NOT linked").select("i", "j", F.col("x").alias("y")).join(dealt, ["i", "j"]).where("x <> y")
+    assert met.select("x", "y").distinct().count() == 3 * (n - 1)
+
+
 def test_shared_elements():
     rng = np.random.default_rng(1)
     lists = [np.unique(rng.integers(0, 60, 20)).astype(np.uint64) for _ in range(40)]

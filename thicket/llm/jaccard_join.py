@@ -16,8 +16,12 @@ more and shingles they lack. Two near members of one pivot differ by the symmetr
 their differences, so whether they are linked follows exactly from the sizes of these and of what
 they share, counted with one sparse product per pivot. Pairs with a far member are settled by the
 sketches, by another pivot near to both, by being in one group already, or else by comparing the
-texts. A pivot with very many members has them dealt over parts; each two parts meet in a task of
-bounded size. Tasks return who is joined, not all pairs.
+texts. Tasks return who is joined, not all pairs.
+
+**Large groups.** A block sends a signature once, with its first member, however many of its members
+have it; the bucket returns the pivot, and the block pairs its own members with it. A pivot with very
+many members has them dealt over parts of bounded size. Members that are settled already (linked to
+the pivot, so to each other) meet only the parts of those that are not, never one another.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,21 +150,35 @@ def _node(block: int, row: np.ndarray) -> np.ndarray:
 
 
 def star_pairs(table: pa.Table) -> pa.Table:
-    """Of one bucket: each member of a shared signature with the first one, for both their blocks."""
-    block, key, row = B.unpack(table, row=np.uint32)
+    """Of one bucket: the pivot of each signature that several blocks have, for all of them but its own.
+
+    Kind 0 is a signature and its pivot, kind 1 who asks for a pivot, kind 2 the signed rows of a block.
+    """
+    signed = table.filter(pc.is_null(table["key"]))
+    block, key, row = B.unpack(table.filter(pc.is_valid(table["key"])), row=np.uint32)
     node = _node(0, row) | (block << 32)
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
-    start = np.flatnonzero(np.diff(key, prepend=key[:1] ^ U64(1)) != 0) if len(key) else np.empty(0, np.int64)
+    start = _starts(key)
     pivot = np.repeat(node[start], np.diff(np.append(start, len(key))))
-    pairs = np.unique(np.stack([node, pivot], axis=1)[node != pivot], axis=0)
-    return _requests(pairs[:, 0], pairs[:, 1])
+    other = node != pivot
+    told, pivot, block = key[other].view(np.int64), pivot[other], node[other] >> 32
+    rows = pa.table({"block": signed["block"], "kind": pa.array([2] * len(signed), pa.int32()), "a": signed["row"], "b": pa.nulls(len(signed), pa.binary())})
+    return pa.concat_tables([_messages(block, told, pivot, np.stack([pivot, block], axis=1)), rows])
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(ordered, prepend=ordered[:1] ^ U64(1)) != 0) if len(ordered) else np.empty(0, np.int64)
 
 
 def _requests(x: np.ndarray, p: np.ndarray) -> pa.Table:
     """Pairs for the block of ``x`` (kind 0), and who asks for ``p`` for the block of ``p`` (kind 1)."""
-    ask = np.unique(np.stack([p, x >> 32], axis=1), axis=0)
-    mine = B.to_blocks(x >> 32, a=x, b=p)
+    return _messages(x >> 32, x, p, np.stack([p, x >> 32], axis=1))
+
+
+def _messages(block: np.ndarray, a: np.ndarray, b: np.ndarray, ask: np.ndarray) -> pa.Table:
+    ask = np.unique(ask, axis=0)
+    mine = B.to_blocks(block, a=a, b=b)
     asked = B.to_blocks(ask[:, 0] >> 32, a=ask[:, 0], b=ask[:, 1])
     kind = pa.array([0] * len(mine) + [1] * len(asked), pa.int32())
     both = pa.concat_tables([mine, asked])
@@ -208,7 +227,7 @@ class Join:
             }).to_batches()
 
     def sign(self, table: pa.Table, reps: pa.Table) -> pa.Table:
-        """Packed signatures of the representatives in a block."""
+        """Packed signatures of the representatives in a block, each once, with its first row; without key the rows that signed."""
         block = (table if len(table) else reps).column("block")[0].as_py()
         wanted = set(zip(reps["id"].to_pylist(), reps["f0"].to_pylist(), strict=True))
         table = B.ordered(table)
@@ -218,13 +237,18 @@ class Join:
             if name in wanted:
                 wanted.discard(name)
                 rows.append(row)
-        key, owner = signatures(sets, np.array(rows, dtype=np.int64), self.bands)
-        return B.pack(block, self.buckets, key, row=owner.astype(np.uint32))
+        rows = np.array(rows, dtype=np.int64)
+        key, owner = signatures(sets, rows, self.bands)
+        order = np.lexsort((owner, key))
+        first = order[_starts(key[order])]
+        sent = B.pack(block, self.buckets, key[first], row=owner[first].astype(np.uint32))
+        signed = [block % self.buckets], [block], [None], [rows.astype(np.uint32).tobytes()]
+        return pa.concat_tables([sent, pa.table([pa.array(c, t) for c, t in zip(signed, sent.schema.types, strict=True)], schema=sent.schema)])
 
     def answer(self, table: pa.Table, asked: pa.Table, short: bool) -> pa.Table:
-        """Pass a block's pairs on to itself, and send the sets of its pivots, or in short their sketches, to the blocks that ask."""
+        """Pass a block's pairs, or in short the pivots of its signatures, on to itself, and send the sets of its pivots, or in short their sketches, to the blocks that ask."""
         own, want = _columns(asked, 0, "a", "b"), _columns(asked, 1, "a", "b")
-        away = asked.filter(pa.array(np.array(asked["kind"].to_pylist(), dtype=np.int64) == 3))
+        on = asked.filter(pa.array(np.array(asked["kind"].to_pylist(), dtype=np.int64) >= 2))
         block, kind, node, ids, size, data = [], [], [], [], [], []
 
         def send(*values) -> None:
@@ -233,8 +257,8 @@ class Join:
 
         if len(own):
             send(asked["block"][0].as_py(), 0, None, None, None, own.tobytes())
-        for b, a in zip(away["block"].to_pylist(), away["a"].to_pylist(), strict=True):
-            send(b, 3, None, None, None, a)
+        for b, k, a in zip(*(on[c].to_pylist() for c in ("block", "kind", "a")), strict=True):
+            send(b, k, None, None, None, a)
         if len(want):
             some, sets, place = _taken(table, want[:, 0], self.size)
             named = some["id"].to_pylist()
@@ -246,13 +270,20 @@ class Join:
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "kind", "p", "p_id", "n_p", "data"), (block, kind, node, ids, size, data), kinds, strict=True)})
 
     def triage(self, table: pa.Table, got: pa.Table) -> pa.Table:
-        """Part a block's pairs by the sketches: near ones ask for whole sets, far ones are only noted (kind 3)."""
-        pairs, pivots = self._received(got, 0, np.uint8)
+        """Pair a block's members with their pivots, and part the pairs by the sketches.
+
+        Near ones ask for whole sets, far ones are only noted (kind 3).
+        """
+        told, pivots = self._received(got, 0, np.uint8)
+        rows = [np.frombuffer(x, np.uint32) for k, x in zip(got["kind"].to_pylist(), got["data"].to_pylist(), strict=True) if k == 2]
         near, far = [], []
-        if len(pairs):
-            _, sets, place = _taken(table, pairs[:, 0], self.size)
-            for x, p in pairs.tolist():
-                mine, (_, n, other) = sets.of(place[x & 0xFFFFFFFF]), pivots[p]
+        if rows:
+            block, sets = got["block"][0].as_py(), Sets(B.ordered(table).column("text"), self.size)
+            for x, p in self.members(block, sets, np.concatenate(rows).astype(np.int64), told).tolist():
+                if p not in pivots:  # of this block
+                    first = sets.of(p & 0xFFFFFFFF)
+                    pivots[p] = None, len(first), sketch(first, len(first))
+                mine, (_, n, other) = sets.of(x & 0xFFFFFFFF), pivots[p]
                 differ = int(np.bitwise_count(sketch(mine, n) ^ other).sum())
                 if differ > FAR * 8 * len(other) and not self.linked(len(mine), n, differ):
                     far.append((x, p, n))
@@ -266,6 +297,18 @@ class Join:
             out = pa.concat_tables([out, note])
         return out
 
+    def members(self, block: int, sets: Sets, rows: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """Distinct pairs of a member and its pivot: the one told for a signature, else the block's first member that has it."""
+        key, owner = signatures(sets, rows, self.bands)
+        node = _node(block, owner)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        start = _starts(key)
+        pivot = node[start]
+        pivot[np.searchsorted(key[start], told[:, 0].view(U64))] = told[:, 1]
+        pivot = np.repeat(pivot, np.diff(np.append(start, len(key))))
+        return np.unique(np.stack([node, pivot], axis=1)[node != pivot], axis=0)
+
     @staticmethod
     def _received(got: pa.Table, kind: int, dtype: type) -> tuple[np.ndarray, dict]:
         pairs, pivots = [], {}
@@ -339,15 +382,22 @@ class Join:
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     @staticmethod
-    def parted(deltas: DataFrame, weight, members: int) -> DataFrame:
+    def parted(deltas: DataFrame, weight, members: int, settled) -> DataFrame:
         """Deal the members of every pivot over parts so that each two parts meet under one ``(p, i, j)``.
 
-        A task then holds at most about ``2 * members`` members or ``2 * MEMBER_BYTES``.
+        Two parts of settled members do not meet, and a pivot with no others is left out. A task then
+        holds at most about ``2 * members`` members or ``2 * MEMBER_BYTES``.
         """
-        parts = deltas.groupBy("p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / members), F.ceil(F.sum(weight) / MEMBER_BYTES), F.lit(1)).cast("int").alias("parts"))
-        dealt = deltas.join(parts, "p").withColumn("own", F.pmod(F.xxhash64("x"), "parts").cast("int"))
-        other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-        dealt = dealt.withColumn("other", F.explode(other)).where("parts = 1 OR own <> other")
+
+        def parts(some):
+            return F.greatest(F.ceil(F.count_if(some) / members), F.ceil(F.coalesce(F.sum(F.when(some, weight)), F.lit(0)) / MEMBER_BYTES)).cast("int")
+
+        parts = deltas.groupBy("p").agg(parts(~settled).alias("n_open"), parts(settled).alias("n_settled"), parts(F.lit(True)).alias("parts"))
+        dealt = deltas.join(parts.where("n_open > 0"), "p").withColumn("settled", settled & (F.col("parts") > 1))
+        place = F.pmod(F.xxhash64("x"), F.when(F.col("parts") == 1, 1).when(F.col("settled"), F.col("n_settled")).otherwise(F.col("n_open")))
+        dealt = dealt.withColumn("own", (place + F.when(F.col("settled"), F.col("n_open")).otherwise(0)).cast("int"))
+        last = F.when(F.col("parts") == 1, 0).when(F.col("settled"), F.col("n_open") - 1).otherwise(F.col("n_open") + F.col("n_settled") - 1)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("parts = 1 OR own <> other")
         return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def edges(self, deltas: DataFrame) -> DataFrame:
@@ -359,7 +409,7 @@ class Join:
         near = deltas.where("NOT far")
         near = near.join(near.groupBy("x").agg(F.min("p").alias("first")), "x")
         needed = near.groupBy("p").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b OR a = p").select("p")
-        dealt = self.parted(near.join(needed, "p", "left_semi"), F.octet_length("ins") + F.octet_length("del"), MEMBERS)
+        dealt = self.parted(near.join(needed, "p", "left_semi"), F.octet_length("ins") + F.octet_length("del"), MEMBERS, F.col("linked"))
         related = dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.relate(t), "u long, v long")
         return related.unionByName(near.where("linked").select(F.col("x_id").alias("u"), F.col("p_id").alias("v")))
 
@@ -367,8 +417,8 @@ class Join:
         """Pairs with a far member that no common near pivot has settled and that sketches cannot exclude."""
         near = deltas.where("NOT far").groupBy("x").agg(F.collect_set("p").alias("near"))
         touched = deltas.where("far").select("p").distinct()
-        members = deltas.join(touched, "p", "left_semi").select("p", "x", "x_id", "n_x", "sketch").join(near, "x", "left")
-        dealt = self.parted(members, F.octet_length("sketch"), SKETCHES)
+        members = deltas.join(touched, "p", "left_semi").select("p", "x", "x_id", "n_x", "sketch", "far").join(near, "x", "left")
+        dealt = self.parted(members, F.octet_length("sketch"), SKETCHES, ~F.col("far"))
         return dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.unresolved(t), "u long, v long")
 
     def verify(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
