@@ -6,15 +6,21 @@ different ones, and nothing but the key has to be kept. Card numbers stay valid
 real dates, addresses of the same shape.
 
 Formats: card numbers (Luhn), IBAN (remainder 97), US social security numbers, telephone numbers
-(7 to 15 digits with a plus sign or brackets or groups), IPv4 addresses, dates from 1900 to 2099
-(year first or last), e-mail addresses, access key ids, and values named as password, secret, token
-or key. A number that fails validation is left alone.
+(7 to 15 digits with a plus sign or brackets, 3-3-4 groups, a leading 0 and groups, or three groups and
+more joined by hyphens), IPv4 addresses, dates from 1900 to 2099 (year first or last, days and months
+of one or two digits), e-mail addresses, access key ids, and values of any length named as password,
+secret, token or key. Where a run of digits fails validation, its shorter prefixes and later starts are
+tried, so a card is found beside other digits; a table of numbers may hold one by chance. A number in
+which nothing is valid is left alone. Not told from other numbers, and so left: telephone numbers of
+groups parted by blanks or dots, other than 3-3-4, without plus sign, brackets or leading 0, those of
+one group, and those of two groups joined by a hyphen.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -26,23 +32,29 @@ from thicket.llm import blocks as B
 
 ROUNDS = 10
 BATCH_BYTES = 4 << 20
+#: Characters of a secret that are permuted together.
+SECRET = 192
 DIGITS, UPPER, LOWER, HEX = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
-NUMBER = re.compile(
-    r"""(?<![\w@+])(?<!\d[.-])(?:
-    (?P<ipv4>\d{1,3}(?:\.\d{1,3}){3})
-    |(?P<iso_date>\d{4}([-/.])\d{2}\3\d{2})
-    |(?P<date>\d{2}([-/.])\d{2}\5\d{4})
-    |(?P<ssn>\d{3}-\d{2}-\d{4})
-    |(?P<card>\d(?:[ -]?\d){12,18})
-    |(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[ .-]\d{3}[ .-]\d{4})
-    )(?!\w|[.-]\d)""",
-    re.VERBOSE,
-)
+#: Numbers by kind, in the order in which they are tried where one may start. A card may start and end at a hyphen.
+START = re.compile(r"(?<![\w@+])[+(\d]")
+NUMBER = {
+    kind: re.compile(("" if kind == "card" else r"(?<!\d[.-])") + f"(?:{pattern})")
+    for kind, pattern in {
+        "ipv4": r"\d{1,3}(?:\.\d{1,3}){3}",
+        "iso_date": r"\d{4}([-/.])\d{1,2}\1\d{1,2}",
+        "date": r"\d{1,2}([-/.])\d{1,2}\1\d{4}",
+        "ssn": r"\d{3}-\d{2}-\d{4}",
+        "card": r"(?<!\d\.)\d(?:[ -]?\d){12,18}",
+        "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,8}(?:[ .-]?\d{2,4}){0,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}"
+        r"|(?!\d{3}-\d\d-\d{4}(?![\d-])|\d{4}([-/.])\d\d\1\d\d(?![\d-])|\d\d([-/.])\d\d\2\d{4}(?![\d-]))(?:0\d{1,4}(?:[ ./-]\d{2,8}){1,5}|\d{2,5}(?:-\d{2,5}){2,5})",
+    }.items()
+}
+AFTER, AFTER_CARD = re.compile(r"\w|[.-]\d"), re.compile(r"\w|\.\d")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS_KEY = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])")
-NAMED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9+/_=-]{8,256})")
+NAMED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?((?:[A-Za-z0-9+/_=-]|\.(?=[A-Za-z0-9+/_=-])){8,})")
 
 
 class Permuter:
@@ -59,7 +71,7 @@ class Permuter:
 
     def number(self, label: str, value: int, size: int) -> int:
         """A permutation of ``range(size)``: Feistel over two unequal halves, walked until it lands in the range."""
-        a = max(2, int(size**0.5))
+        a = max(2, int(size**0.5) if size.bit_length() < 1000 else math.isqrt(size))
         b = -(-size // a)
         while True:
             left, right = divmod(value, b)
@@ -132,19 +144,21 @@ def _day(p: Permuter, year: int, month: int, day: int) -> datetime.date | None:
 
 
 def iso_date(p: Permuter, text: str) -> str | None:
-    new = _day(p, int(text[:4]), int(text[5:7]), int(text[8:]))
-    return new and f"{new.year:04}{text[4]}{new.month:02}{text[7]}{new.day:02}"
+    year, mark, month, _, day = re.split(r"(\D)", text)
+    new = _day(p, int(year), int(month), int(day))
+    return new and f"{new.year:04}{mark}{new.month:0{len(month)}}{mark}{new.day:0{len(day)}}"
 
 
 def date(p: Permuter, text: str) -> str | None:
     """Day first; month first where only that is a date."""
-    a, b, year = int(text[:2]), int(text[3:5]), int(text[6:])
+    first, mark, second, _, last = re.split(r"(\D)", text)
+    a, b, year = int(first), int(second), int(last)
     month_first = b > 12
     new = _day(p, year, a, b) if month_first else _day(p, year, b, a)
     if not new:
         return None
     x, y = (new.month, new.day) if month_first else (new.day, new.month)
-    return f"{x:02}{text[2]}{y:02}{text[5]}{new.year:04}"
+    return f"{x:0{len(first)}}{mark}{y:0{len(second)}}{mark}{new.year:04}"
 
 
 def ssn(p: Permuter, text: str) -> str | None:
@@ -187,7 +201,15 @@ def email(p: Permuter, text: str) -> str | None:
 
 
 def secret(p: Permuter, text: str) -> str | None:
-    return p.letters("secret", text) if any(c in DIGITS for c in text) else None
+    """Long ones in pieces, each under a label of what comes before it."""
+    if not any(c in DIGITS for c in text):
+        return None
+    out, before = [p.letters("secret", text[:SECRET])], hashlib.sha256(text[:SECRET].encode())
+    for at in range(SECRET, len(text), SECRET):
+        piece = text[at : at + SECRET]
+        out.append(p.letters(f"secret|{before.hexdigest()}", piece))
+        before.update(piece.encode())
+    return "".join(out)
 
 
 NUMBERS: dict[str, Callable[[Permuter, str], str | None]] = {
@@ -195,6 +217,24 @@ NUMBERS: dict[str, Callable[[Permuter, str], str | None]] = {
 }
 
 
+def numbers(p: Permuter, text: str) -> Iterator[tuple[int, int, str, str]]:
+    """The numbers of a text: at each start the first kind, and of it the longest prefix, that is valid."""
+    at = 0
+    while m := START.search(text, at):
+        at = m.start() + 1
+        for kind, pattern in NUMBER.items():
+            end = len(text)
+            while m := pattern.match(text, at - 1, end):
+                end = m.end() - 1
+                follows = AFTER_CARD if kind == "card" else AFTER
+                if not follows.match(text, m.end()) and (new := NUMBERS[kind](p, m.group())) is not None:
+                    yield *m.span(), kind, new
+                    at = m.end()
+                    break
+            if m:
+                break
+
+
 def find(p: Permuter, text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, pseudonym)`` of the values of a text, in order and without overlaps."""
     found = []
@@ -210,10 +250,7 @@ def find(p: Permuter, text: str) -> list[tuple[int, int, str, str]]:
         take(ACCESS_KEY, "access_key", lambda p, x: x[:4] + p.letters("access_key", x[4:]))
         take(NAMED, "secret", secret, 1)
         take(IBAN, "iban", iban)
-        for m in NUMBER.finditer(text):
-            kind = m.lastgroup
-            if (new := NUMBERS[kind](p, m.group())) is not None:
-                found.append((*m.span(), kind, new))
+        found += numbers(p, text)
     out, last = [], 0
     for one in sorted(found, key=lambda x: (x[0], -x[1])):
         if one[0] >= last:
