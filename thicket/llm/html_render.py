@@ -2,10 +2,11 @@
 
 A tree builder reads the markup as browsers do: void elements, implied end tags (a new ``p``,
 ``li``, ``tr``, ``td`` or ``option`` ends the one before), raw text in scripts and styles, end tags
-without a start, and unclosed elements. The renderer then walks the tree and emits every visible
+without a start, unclosed elements, and a head that the first visible content ends. The renderer then walks the tree and emits every visible
 text: blocks on lines of their own, paragraphs set apart, list items with bullets or numbers,
 preformatted text as it is, and table cells in aligned columns. Hidden elements (scripts, styles,
-templates, ``hidden``, ``display: none``, hidden inputs) give nothing.
+templates, ``hidden``, ``display: none``, hidden inputs) give nothing; ``aria-hidden`` ones and the text
+of ``svg`` and ``math`` are on the screen, so they count.
 
 Pages are independent, so Spark reads and renders them where they lie; nothing is shuffled.
 """
@@ -27,12 +28,15 @@ BATCH_BYTES = 4 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 NEVER_SHOWN = frozenset(
-    "head script style template title noscript iframe noembed noframes object svg math audio video canvas datalist input".split()
+    "head script style template title noscript iframe noembed noframes object audio video canvas datalist input"
+    " desc metadata defs symbol clippath mask marker annotation annotation-xml".split()  # of svg and math
 )
+#: Elements that may stand in a head; any other, or text, ends it.
+HEAD = frozenset("title meta link base basefont bgsound script style template noscript noframes".split())
 #: Blocks with a blank line before and after, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 BLOCKS = SPACED | frozenset(
-    "html body div article section nav aside header footer main address li dt dd form fieldset legend details summary figcaption center tr caption optgroup option".split()
+    "html body div article section nav aside header footer main address li dt dd form fieldset legend details summary figcaption center tr caption optgroup option text foreignobject mtr".split()
 )
 #: A start tag ends an open element of these names, if none of the fences lies between.
 ENDS: dict[str, tuple[frozenset, frozenset]] = {}
@@ -74,7 +78,7 @@ class Node:
     @property
     def shown(self) -> bool:
         a = self.attributes
-        return not (self.tag in NEVER_SHOWN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or ("style" in a and INVISIBLE.search(a["style"])))
+        return not (self.tag in NEVER_SHOWN or "hidden" in a or ("style" in a and INVISIBLE.search(a["style"])))
 
 
 def build(page: str) -> Node:
@@ -82,13 +86,20 @@ def build(page: str) -> Node:
     root = Node("#root")
     stack, at = [root], 0
     size = len(page)
+
+    def add_text(text: str) -> None:
+        text = html.unescape(text)
+        if stack[-1].tag == "head" and text.strip(" \t\n\f\r"):
+            stack.pop()
+        stack[-1].children.append(Node("#text", text=text))
+
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
-            stack[-1].children.append(Node("#text", text=html.unescape(page[at:])))
+            add_text(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(Node("#text", text=html.unescape(page[at : m.start()])))
+            add_text(page[at : m.start()])
         at = m.end()
         if m[1]:
             tag = m[1].lower()
@@ -105,6 +116,8 @@ def build(page: str) -> Node:
                 stack[-1].children.append(Node("p"))
         elif m[2]:
             tag = m[2].lower()
+            if stack[-1].tag == "head" and tag not in HEAD:
+                stack.pop()
             if tag in ENDS:
                 closed, fences = ENDS[tag]
                 depth = len(stack) - 1
@@ -201,6 +214,9 @@ def _walk(root: Node, out: Lines, depth: int) -> None:
         if tag == "hr":
             out.end(1), out.put("----"), out.end(1)
             continue
+        if tag in ("td", "th", "mtd"):  # a cell that no table aligns
+            out.space = True
+            todo.append(lambda: setattr(out, "space", True))
         if tag == "img":
             out.word(node.attributes.get("alt", ""))
             continue
