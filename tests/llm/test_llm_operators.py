@@ -157,6 +157,13 @@ def test_linked_members_are_not_paired_with_each_other(spark):
     assert met.select("x", "y").distinct().count() == 3 * (n - 1)
 
 
+def test_low_similarity_signs_far_enough_ahead(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(25))), (2, " ".join(f"w{i}" for i in range(62)))]  # 25/62 > 0.4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_groups(df, 1, 40, 100).collect()
+    assert {(r.n_shingles, r.component_id) for r in got} == {(25, 1), (62, 1)}
+
+
 def test_shared_elements():
     rng = np.random.default_rng(1)
     lists = [np.unique(rng.integers(0, 60, 20)).astype(np.uint64) for _ in range(40)]

@@ -5,8 +5,8 @@
 **Signatures.** Sets are put into size bands. Two sets of a band with the wanted similarity differ
 in at most ``k`` shingles. Shingles are dealt by hash over ``k // 2 + 1`` partitions, each cut into
 three parts: in some partition the sets differ in at most one shingle, so two of its three parts
-agree. Every pair of parts of every partition is a signature; a set also signs for the next band if
-a partner can lie there. So every similar pair shares a signature.
+agree. Every pair of parts of every partition is a signature; a set also signs for the next bands, as
+far as a partner can lie there. So every similar pair shares a signature.
 
 **Pivots.** A signature shared by many sets is not expanded into pairs: each member is compared with
 the first one, its pivot. A parity sketch (a few bits per ten shingles, which bounds the difference
@@ -115,13 +115,15 @@ def signatures(sets: Sets, rows: np.ndarray, bands: Bands) -> tuple[np.ndarray,
     size = sets.size[rows]
     own = bands.own(size)
     last = len(bands.low) - 1
-    for ahead in (0, 1, 2):
+    for ahead in range(last + 1):
         band = np.minimum(own + ahead, last)
         pick = bands.k[band] > 0
         if ahead:  # a partner of that band can be similar
             pick &= (own + ahead <= last) & (bands.low[band] * bands.num <= size * bands.den)
         pick = np.flatnonzero(pick)
         if not len(pick):
+            if ahead and not ((own + ahead <= last) & (bands.low[band] * bands.num <= size * bands.den)).any():
+                break  # bands further on are larger still
             continue
         parts = bands.k[band[pick]] // 2 + 1
         base = np.concatenate([[0], np.cumsum(parts)])
