@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from thicket.llm.bpe import encode_texts
 from thicket.llm.decontaminate import find_benchmark
+from thicket.llm.filter_audit import failures, interactions, postings, subset_sums
+from thicket.llm.fim_frames import digests, fill_in_middle, store_frames
 from thicket.llm.html_render import extract_text
 from thicket.llm.jaccard_join import jaccard_groups
 from thicket.llm.licenses import MATCH, TEMPLATES, scan, template_bigrams
 from thicket.llm.pii import pseudonymise
 from thicket.llm.quality import apply_policy, ledger
+from thicket.llm.source_mix import mix_sources
 from thicket.llm.substring_dedup import dedup_substrings
 from thicket.llm.suffix_dedup import dedup_passages
 from thicket.llm.warc import lookup_captures, write_archive
@@ -209,3 +212,59 @@ FROM documents LEFT JOIN found ON found.doc_id = documents.doc_id"""
 
 
 ORACLES["op7_license_scan"] = _license_sql()
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = digests(fill_in_middle(store_frames(table(spark, sf_dir, "documents")), seed=1))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op11_fill_in_middle"] = r"""WITH
+texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, length(t) AS n, ('0x' || h[1:8])::BIGINT % (length(t) + 1) AS a, ('0x' || h[9:16])::BIGINT % (length(t) + 1) AS b,
+  ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS d FROM texts),
+cut AS (SELECT doc_id, t, n, substr(t, 1, least(a, b)) AS p, substr(t, least(a, b) + 1, abs(a - b)) AS m, substr(t, greatest(a, b) + 1) AS s,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain'
+    WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM cut"""
+
+
+@query
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_copies=3)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return interactions(subset_sums(postings(flags)))
+
+
+ORACLES["op13_filter_audit"] = r"""WITH RECURSIVE
+texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+flags AS (SELECT part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(texts.doc_id > first, false)::INT AS bits, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM texts JOIN firsts USING (t) LEFT JOIN marks ON marks.doc_id = texts.doc_id),
+cells AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, bits),
+orders(o, used) AS (SELECT '', 0 UNION ALL
+  SELECT o || f, used | b FROM orders, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(f, b) WHERE used & b = 0),
+steps AS (SELECT o, s, 1 << (ascii(o[s]) - 65) AS own, (SELECT sum(1 << (ascii(c) - 65)) FROM (SELECT unnest(string_split(o[1:s], '')) AS c)) AS upto
+  FROM (SELECT o, unnest([1, 2, 3, 4, 5]) AS s FROM orders WHERE length(o) = 5)),
+sums AS (SELECT part, o, s, own, coalesce(sum(n) FILTER (bits & upto = 0), 0) AS kept,
+  coalesce(sum(n) FILTER (bits & own <> 0 AND bits & (upto - own) = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (bits & own <> 0 AND bits & (upto - own) <> 0), 0) AS redundant,
+  coalesce(sum(n) FILTER (bits = own), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (bits & own <> 0 AND bits & (upto - own) = 0), 0) AS good_lost,
+  coalesce(sum(toxic) FILTER (bits & own <> 0 AND bits & (upto - own) = 0), 0) AS toxic_lost
+  FROM cells, (SELECT o, s, own, upto::INT AS upto FROM steps) GROUP BY part, o, s, own)
+SELECT part, o AS filter_order, s::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM sums"""
