@@ -27,6 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_ROUNDS = 200
 #: Bins of each of the two histograms of distances to the next rounding.
 BINS = 1 << 12
+#: Shares of a source that are joined apart.
+SALTS = 64
 EXACT = "decimal(38,6)"
 #: Rounds of mending; large sources need one, sources of a few documents more.
 MEND_ROUNDS = 6
@@ -137,7 +139,10 @@ def mended(rated: DataFrame, gap: DataFrame, max_copies: int) -> DataFrame:
     movable = room & ~F.col("moved") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))
 
     def moving(extra: DataFrame) -> DataFrame:
-        return rated.select("sid", "size", "base", "part", "moved").join(extra, "sid").where(movable).select("*", away.alias("away"))
+        # Salted, so that a hot source is spread over tasks and its bins are summed before they meet.
+        salted = rated.select("sid", "size", "base", "part", "moved", F.floor(F.col("part") * SALTS).alias("salt"))
+        extra = extra.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        return salted.join(extra, ["sid", "salt"]).where(movable).select("*", away.alias("away"))
 
     wide = gap.select("sid", "up", F.col("need").alias("gap"))
     coarse = moving(wide).groupBy("sid", F.floor(F.col("away") / BINS).alias("bin")).agg(F.sum("size").alias("size"))
