@@ -1,13 +1,15 @@
 """Fixed inputs with expected results, and properties that hold at any size."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from thicket import ordering
 from thicket.functions import jsonpath, text
-from thicket.operators import access, changes, community, graphbuild, graphviews, inbox, retrieval, search, setops, trees
+from thicket.operators import access, changes, community, graphbuild, graphviews, inbox, kmeans, retrieval, search, setops, trees
 from thicket.plans import datasource as ds
 from thicket.sources import files, graphs, tables, vectorstore
 from thicket.streaming import twins
@@ -289,21 +291,54 @@ def test_every_node_has_one_community(small_graph):
     nodes, edges, v = small_graph
     got = community.detect(nodes, edges, v)
     assert got.count() == got.select("node_id").distinct().count() == 240
-    strict = community.detect(nodes, edges, v, strict_cap=True)
-    assert strict.select("comm_id").distinct().count() <= community.community_cap(240)
+    cap = community.community_cap(240, 9)
+    strict = community.detect(nodes, edges, v, cap=cap, strict_cap=True)
+    assert strict.select("comm_id").distinct().count() <= cap == 9
+    assert community.detect(nodes, edges, v, cap=cap).select("node_id").distinct().count() == 240
 
 
-def test_large_clusters_are_split_the_distributed_way(small_graph):
+def test_subclusters_merge_in_pairs(small_graph):
     nodes, edges, v = small_graph
     clusters = community.first_clusters(nodes, v)
-    subs = community.split_clusters(clusters, v, in_task=10)
+    subs = community.split_clusters(clusters, v)
     assert subs.select("node_id").distinct().count() == 240
-    merged = community.merge_subclusters(subs, edges, v)
-    sizes = subs.join(merged, ["cluster", "sub"]).groupBy("cluster", "merged").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("sub").alias("parts")
-    )
-    assert sizes.where("parts > 1 and n > 100").count() == 0
-    assert sizes.where("parts > 2").count() == 0
+    for rounds in (1, 3):
+        merged = community.merge_subclusters(subs, edges, v, largest=100, rounds=rounds)
+        sizes = subs.join(merged, ["cluster", "sub"]).groupBy("cluster", "merged").agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("sub").alias("parts")
+        )
+        assert sizes.where("parts > 1 and n > 100").count() == 0
+        assert sizes.where(f"parts > {2**rounds}").count() == 0
+
+
+def test_kmeans_labels_do_not_depend_on_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    middle = rng.normal(size=(6, 16))
+    x = middle[rng.integers(0, 6, 900)] + rng.normal(size=(900, 16)) * 0.05
+    rows = [(i % 2, f"n{i}", x[i].tolist()) for i in range(900)] + [(7, "a", [0.0] * 16), (7, "b", [0.0] * 16), (8, "c", None)]
+    df = spark.createDataFrame(rows, "group long, node_id string, emb array<double>")
+    wanted = spark.createDataFrame([(0, 6), (1, 20), (7, 2)], "group long, k int")
+    one = sorted(map(tuple, kmeans.cluster(df.repartition(1), wanted).collect()))
+    monkeypatch.setattr(kmeans, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(kmeans, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, kmeans.cluster(df.repartition(7), wanted).collect())) == one
+    assert len(one) == 902 and {c for g, _, c in one if g == 7} == {0}
+    nearest = {f"n{i}": int(((middle - x[i]) ** 2).sum(1).argmin()) for i in range(900)}
+    assert len({(nearest[n], c) for g, n, c in one if g == 0}) == 6
+    assert kmeans.cluster(df.limit(0), wanted.limit(0)).count() == 0
+
+
+def test_greedy_matching_equals_the_plain_loop(spark):
+    rng = random.Random(2)
+    rows = {(c, *sorted(rng.sample(range(40), 2))): rng.choice([0.5, 0.6, rng.random()]) for c in range(3) for _ in range(200)}
+    rows |= {(9, i, i + 1): 1.0 for i in range(12)}  # equal scores along a path
+    pairs = spark.createDataFrame([(*k, s) for k, s in rows.items()], "cluster int, a long, b long, score double")
+    want, used = set(), set()
+    for (c, a, b), _ in sorted(rows.items(), key=lambda r: (-r[1], r[0])):
+        if (c, a) not in used and (c, b) not in used:
+            want.add((c, a, b))
+            used |= {(c, a), (c, b)}
+    assert set(map(tuple, community.greedy_matching(pairs).collect())) == want
 
 
 def test_level4_invariants(small_graph):

@@ -3,8 +3,12 @@
 from pyspark.sql import functions as F
 
 from thicket.operators import community as cm
+from thicket.operators import kmeans
+from thicket.operators.graphbuild import hashed_terms, hashed_vectors, triple_strings
+from thicket.ordering import top_per_key
 from thicket.queries.registry import query
 from thicket.queries.search import NV, sql
+from thicket.session import stage
 
 PAIRS = "pr AS (SELECT concat('P', p_partkey) AS a, concat('P', p_partkey + 1) AS b FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part))"
 ADJ = "adj AS (SELECT DISTINCT src, dst FROM kg_unique WHERE src IN (SELECT node_id FROM kg_nodes WHERE level = 2) AND dst IN (SELECT node_id FROM kg_nodes WHERE level = 2)), dg AS (SELECT src, count(*) AS n FROM adj GROUP BY 1)"
@@ -44,9 +48,6 @@ def _(t):
 
 def vectored(t):
     """Level-2 nodes with hashed vectors of their one-hop strings: every node has one."""
-    from thicket.operators.graphbuild import hashed_terms, hashed_vectors, triple_strings
-    from thicket.session import stage
-
     return stage(hashed_vectors(hashed_terms(triple_strings(t.kg_nodes, t.kg_unique))))
 
 
@@ -57,24 +58,119 @@ def _(t):
     return v.select("id", F.size("emb").alias("dim"), norm2.alias("norm2"))
 
 
+#: The published limits of clustering.
+MOST, LARGEST = 200, 100
+
+
+def limits(t):
+    return {"most_clusters": MOST, "cap": cm.community_cap(entities(t).count(), MOST), "largest": LARGEST}
+
+
 @query("k16_first_clusters")
 def _(t):
-    return cm.first_clusters(entities(t), vectored(t))
+    return cm.first_clusters(entities(t), vectored(t), MOST)
+
+
+# one grid of whole numbers, three fixed centres for every nation's customers
+GRID = f"""sc AS (SELECT {kmeans.GRID} / pow(2, ceil(log2(max(abs(x))))) AS s FROM (SELECT unnest(e) AS x FROM nv JOIN assigned ON id = node_id)),
+gr AS (SELECT comm_id AS g, node_id, list_transform(e, lambda x: CAST(round(x * s) AS BIGINT)) AS q FROM assigned JOIN nv ON id = node_id, sc),
+c0 AS (SELECT g, centre, q AS c FROM (SELECT g, q, row_number() OVER (PARTITION BY g ORDER BY node_id) - 1 AS centre FROM gr) WHERE centre < 3)"""
+
+
+def assign_sql(r):
+    return f"""a{r} AS (SELECT g, node_id, q, centre, d FROM (SELECT g, node_id, q, centre, d, row_number() OVER (PARTITION BY g, node_id ORDER BY d, centre) AS best FROM
+  (SELECT g, node_id, q, centre, list_sum(list_transform(range(1, 65), lambda i: (q[i] - c[i]) * (q[i] - c[i]))) AS d FROM gr JOIN c{r} USING (g))) WHERE best = 1)"""
+
+
+def move_sql(r):
+    return f"""m{r} AS (SELECT g, centre, list(CAST((2 * s + n - ((2 * s + n) % (2 * n) + 2 * n) % (2 * n)) // (2 * n) AS BIGINT) ORDER BY i) AS m FROM
+  (SELECT g, centre, i, sum(q[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) x(i) GROUP BY g, centre, i) GROUP BY g, centre),
+c{r + 1} AS (SELECT g, centre, coalesce(m, c) AS c FROM c{r} LEFT JOIN m{r} USING (g, centre))"""
+
+
+def fixed_centres(t):
+    rows = t.assigned.join(t.node_vec, F.col("node_id") == F.col("id")).select(F.col("comm_id").alias("group"), "node_id", "emb")
+    grid = stage(kmeans.on_grid(rows))
+    first = top_per_key(grid, ["group"], ["node_id"], 3, rank="rank")
+    return kmeans.packed(grid), first.select("group", (F.col("rank") - 1).cast("int").alias("centre"), F.col("q").cast("array<bigint>").alias("c"))
+
+
+@query("k16_labels_of_fixed_centres", sql('SELECT g AS "group", node_id, centre::INTEGER AS centre, d::BIGINT AS distance FROM a0', NV, GRID, assign_sql(0)))
+def _(t):
+    return kmeans.labels(*fixed_centres(t))
+
+
+@query("k16_three_rounds", sql('SELECT g AS "group", node_id, centre::INTEGER AS centre, d::BIGINT AS distance FROM a3', NV, GRID,
+                               *[x for r in range(3) for x in (assign_sql(r), move_sql(r))], assign_sql(3)))
+def _(t):
+    blocks, centres = fixed_centres(t)
+    return kmeans.labels(blocks, kmeans.lloyd(blocks, centres, rounds=3))
 
 
 @query("k17_communities", "SELECT node_id, 1::BIGINT AS communities FROM kg_nodes WHERE level = 2")
 def _(t):
-    found = cm.detect(entities(t), t.kg_unique, vectored(t))
+    found = cm.detect(entities(t), t.kg_unique, vectored(t), **limits(t))
     return found.groupBy("node_id").agg(F.count(F.lit(1)).alias("communities"))
 
 
-@query("k18_merged_subclusters")
+# given clusters (nations) and sub-clusters of customers, with edges inside a nation
+SUBBED = """ck AS (SELECT comm_id AS cluster, node_id, CAST(substr(node_id, 2) AS BIGINT) AS k FROM assigned),
+subbed AS (SELECT cluster, k % 6 AS sub, cluster * 6 + k % 6 AS comm_id, node_id FROM ck),
+inner_edges AS (SELECT x.node_id AS src, y.node_id AS dst FROM ck x JOIN ck y ON x.cluster = y.cluster AND (x.k + y.k) % 3 = 0 AND x.k <> y.k)"""
+HEADS = """heads AS (SELECT comm_id // 6 AS cluster, comm_id % 6 AS sub, node_id FROM key5 WHERE rank = 1),
+ha AS (SELECT x.cluster, src, dst FROM inner_edges JOIN heads x ON src = x.node_id JOIN heads y ON dst = y.node_id AND x.cluster = y.cluster),
+hd AS (SELECT src, count(*) AS n FROM ha GROUP BY src),
+hp AS (SELECT x.cluster, x.sub AS a, y.sub AS b, x.node_id AS na, y.node_id AS nb, round(list_cosine_similarity(p.e, q.e), 9) AS cos
+  FROM heads x JOIN heads y ON x.cluster = y.cluster AND x.sub < y.sub JOIN nv p ON p.id = x.node_id JOIN nv q ON q.id = y.node_id),
+hb AS (SELECT hp.cluster, a, b, count(*) AS n FROM hp JOIN ha u ON u.src = na JOIN ha v ON v.src = nb AND u.dst = v.dst GROUP BY 1, 2, 3),
+ss AS (SELECT cluster, sub, count(*) AS n FROM subbed GROUP BY 1, 2),
+may AS (SELECT * FROM (SELECT hp.cluster, a, b, round(0.3 * coalesce(hb.n, 0) / (coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(hb.n, 0) + 1e-9) + 0.7 * cos, 9) AS score, cos
+  FROM hp LEFT JOIN hb USING (cluster, a, b) LEFT JOIN hd x ON x.src = na LEFT JOIN hd y ON y.src = nb
+  JOIN ss s1 ON s1.cluster = hp.cluster AND s1.sub = a JOIN ss s2 ON s2.cluster = hp.cluster AND s2.sub = b WHERE s1.n + s2.n <= 40)
+  WHERE score >= 0.35)"""
+GREEDY = """ends AS (SELECT cluster, a, b, score, a AS e FROM may UNION ALL SELECT cluster, a, b, score, b FROM may),
+loop(cluster, a, b, score, e, state, r) AS (SELECT cluster, a, b, score, e, 0, 0 FROM ends UNION ALL
+  SELECT cluster, a, b, score, e, CASE WHEN n_best = 2 THEN 1 ELSE 0 END, r + 1 FROM (
+    SELECT *, sum(CASE WHEN best = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY cluster, a, b) AS n_best FROM (
+      SELECT *, row_number() OVER (PARTITION BY cluster, e ORDER BY score DESC, a, b) AS best FROM (
+        SELECT *, max(hit) OVER (PARTITION BY cluster, a, b) AS dropped FROM (
+          SELECT *, max(state) OVER (PARTITION BY cluster, e) AS hit FROM loop))
+      WHERE dropped = 0))),
+matched AS (SELECT DISTINCT cluster, a, b FROM loop WHERE state = 1)"""
+FIXED = [NV, SUBBED, KEYS.replace("FROM assigned", "FROM subbed"), HEADS, GREEDY]
+NUMBERED = """mg2 AS (SELECT s.cluster, coalesce(a, s.sub) AS merged, node_id FROM subbed s LEFT JOIN matched m ON m.cluster = s.cluster AND m.b = s.sub),
+gz AS (SELECT cluster, merged, count(*) AS n, sum(count(*)) OVER (PARTITION BY cluster) AS size FROM mg2 GROUP BY 1, 2),
+gp AS (SELECT cluster, merged, row_number() OVER (ORDER BY size DESC, cluster, n DESC, merged) AS place FROM gz),
+gq AS (SELECT cluster, merged, CASE WHEN place <= 60 THEN place ELSE min(place) FILTER (place > 60) OVER (PARTITION BY cluster) END AS place FROM gp),
+gn AS (SELECT cluster, merged, dense_rank() OVER (ORDER BY place) - 1 AS comm_id FROM gq)"""
+
+
+def given_clusters(t):
+    k = F.substring("node_id", 2, 20).cast("long")
+    rows = t.assigned.select(F.col("comm_id").cast("int").alias("cluster"), k.alias("k"), "node_id")
+    other = rows.select("cluster", F.col("k").alias("k2"), F.col("node_id").alias("dst"))
+    edges = rows.join(other, "cluster").where("(k + k2) % 3 = 0 AND k <> k2").select(F.col("node_id").alias("src"), "dst")
+    return stage(rows.select("cluster", (k % 6).alias("sub"), "node_id")), stage(edges)
+
+
+@query("k17_numbered_communities", sql("SELECT comm_id::BIGINT AS comm_id, node_id FROM mg2 JOIN gn USING (cluster, merged)", *FIXED, NUMBERED))
 def _(t):
-    from thicket.session import stage
+    subs, edges = given_clusters(t)
+    merged = cm.merge_subclusters(subs, edges, t.node_vec, merge_at=0.35, largest=40)
+    return cm.number_communities(subs.join(merged, ["cluster", "sub"]), cap=60)
 
+
+@query("k18_greedy_matching", sql("SELECT cluster::INTEGER AS cluster, a, b FROM matched", *FIXED))
+def _(t):
+    subs, edges = given_clusters(t)
+    return cm.greedy_matching(cm.merge_candidates(subs, edges, t.node_vec, merge_at=0.35, largest=40))
+
+
+@query("k18_merged_subclusters")
+def _(t):
     v = vectored(t)
-    subs = stage(cm.split_clusters(cm.first_clusters(entities(t), v), v))
-    return cm.merge_subclusters(subs, t.kg_unique, v)
+    subs = stage(cm.split_clusters(cm.first_clusters(entities(t), v, MOST), v, MOST))
+    return cm.merge_subclusters(subs, t.kg_unique, v, largest=LARGEST)
 
 
 @query("k19_centers", sql("SELECT comm_id, node_id FROM key5 WHERE rank = 1", NV, KEYS))
@@ -128,6 +224,6 @@ def _(t):
 
 @query("k24_level4")
 def _(t):
-    nodes, edges = cm.build_level4(t.kg_nodes, t.kg_unique, vectored(t))
+    nodes, edges = cm.build_level4(t.kg_nodes, t.kg_unique, vectored(t), **limits(t))
     kinds = nodes.select(F.col("label").alias("kind")).unionByName(edges.select(F.col("relation").alias("kind")))
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
