@@ -71,8 +71,8 @@ def failures(
             yield from pa.table([table.column("id"), table.column("part"), bits, text], names=["id", "part", "own", "digest"]).to_batches()
 
     measured = stage(given.mapInArrow(run, "id bigint, part string, own int, digest binary"))
-    # Only texts that occur again are looked up, and the hot ones are split by the join.
-    first = measured.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "first")
+    # Only texts that occur again are looked up. They are written, so that the join can split hot ones.
+    first = stage(measured.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "first"))
     later = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     out = measured.join(first, F.col("digest") == F.col("_d"), "left").select(
         "id", "part", F.col("own").bitwiseOR(F.when(later, 1 << 4).otherwise(0)).alias("fails")
