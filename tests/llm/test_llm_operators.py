@@ -265,6 +265,15 @@ def test_bpe_cases(spark):
     assert bpe.encode_texts(df.limit(0), word_bpe()).count() == 0
 
 
+def test_bpe_merges_many_words_as_one_by_one():
+    v = bpe.vocabulary(word_bpe())
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeinrstl" if rng.random() < 0.8 else "qzéß0-") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    data = [w.encode() for w in words] + [b"\xff", b"a\xc3"]
+    want = [np.array(v.merge(x.decode("utf-8", "surrogateescape")), "<u4").tobytes() for x in data]
+    assert v.merge_all(data) == want and v.merge_all([]) == []
+
+
 def test_automaton_numbers_words(tmp_path):
     some = sorted({w.encode() for w in "tap taps top tops stop stops a ab abc über".split()})
     uri = f"file://{tmp_path}/lexicon.arrow"

@@ -66,7 +66,14 @@ class Vocabulary:
         self.token_list = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # The merges as sorted arrays, for many words at once.
+        pair = np.array([a * len(self.ids) + b for a, b in self.merges], dtype=np.int64)
+        self.pair_order = np.argsort(pair)
+        self.pair_keys = pair[self.pair_order]
+        self.merged = np.array([new for _, new in self.merges.values()], dtype=np.int64)
         self.letters = byte_letters()
+        self.letter_ids = np.array([self.ids[c] for c in self.letters])
+        self.last_ids = np.array([self.ids[c + self.suffix] for c in self.letters])
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         model["vocab"], model["merges"] = {"a": 0}, []
@@ -104,6 +111,49 @@ class Vocabulary:
                     heapq.heappush(heap, (self.merges[ids[a], ids[b]][0], a, self.merges[ids[a], ids[b]][1]))
         return [x for x, dropped in zip(ids, gone, strict=True) if not dropped]
 
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each two ids, ``len(merges)`` where there is none."""
+        key = a * len(self.ids) + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_order[at], len(self.merges))
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of every word, as :meth:`merge` gives them.
+
+        Words of one length are rows of a matrix. In a round every row merges its first pair of lowest
+        rank and so gets one id shorter; rows without a pair leave. Long words, which are rare, go one by one.
+        """
+        out: list[bytes] = [b""] * len(words)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        for size in np.unique(length).tolist():
+            rows = np.flatnonzero(length == size)
+            if size > LEXICON_BYTES:
+                for i in rows.tolist():
+                    out[i] = np.array(self.merge(words[i].decode("utf-8", "surrogateescape")), dtype="<u4").tobytes()
+                continue
+            letters = np.frombuffer(b"".join(words[i] for i in rows.tolist()), np.uint8).reshape(len(rows), size)
+            ids = self.letter_ids[letters]
+            ids[:, -1] = self.last_ids[letters[:, -1]]
+            rank = self.ranks(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                at = rank.argmin(1) if rank.shape[1] else np.zeros(len(rows), np.int64)
+                best = rank[np.arange(len(rows)), at] if rank.shape[1] else np.full(len(rows), len(self.merges))
+                live = best < len(self.merges)
+                for i, own in zip(rows[~live].tolist(), ids[~live].astype("<u4"), strict=True):
+                    out[i] = own.tobytes()
+                rows, ids, rank, at, best = rows[live], ids[live], rank[live], at[live], best[live]
+                if not len(rows):
+                    break
+                row, column = np.arange(len(rows)), np.arange(ids.shape[1] - 1)
+                ids = np.take_along_axis(ids, column + (column > at[:, None]), 1)
+                ids[row, at] = self.merged[best]
+                column = column[:-1]
+                rank = np.take_along_axis(rank, column + (column >= at[:, None]), 1)
+                for left in (at - 1, at):
+                    some = np.flatnonzero((left >= 0) & (left < rank.shape[1]))
+                    rank[some, left[some]] = self.ranks(ids[some, left[some]], ids[some, left[some] + 1])
+        return out
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -208,30 +258,31 @@ class Encoder:
         self.vocabulary, self.lexicon, self.known = vocabulary(path), lexicon(uri), {}
 
     def learn(self, words: set[str]) -> None:
+        """Remember the ids of words: those of the lexicon by its automaton, the others by merging."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(words)
-        number = self.lexicon.find([w.encode("utf-8", "surrogateescape") for w in new])
+        data = [w.encode("utf-8", "surrogateescape") for w in new]
+        number = self.lexicon.find(data)
         first, ids = self.lexicon.first, self.lexicon.ids
-        for word, n in zip(new, number.tolist(), strict=True):
-            own = ids[first[n] : first[n + 1]] if n >= 0 else np.array(self.vocabulary.merge(word), dtype="<u4")
-            self.known[word] = own.tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
-        v, out = self.vocabulary, []
-        for part in v.split.split(text) if v.split else [text]:
-            if part in v.special:
-                out.append(np.uint32(v.special[part]).tobytes())
-                continue
-            words = v.words(part)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                self.learn(set(words))
-                out.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(out)
+        for i in np.flatnonzero(number >= 0).tolist():
+            self.known[new[i]] = ids[first[number[i]] : first[number[i] + 1]].astype("<u4").tobytes()
+        rest = np.flatnonzero(number < 0).tolist()
+        for i, own in zip(rest, self.vocabulary.merge_all([data[i] for i in rest]), strict=True):
+            self.known[new[i]] = own
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers. New words of all texts are learnt at once."""
+        v = self.vocabulary
+        parts = [v.split.split(text) if v.split else [text] for text in texts]
+        words = [[None if part in v.special else v.words(part) for part in own] for own in parts]
+        self.learn({w for own in words for some in own if some for w in some})
+        known = self.known.__getitem__
+        return [
+            b"".join([np.uint32(v.special[part]).tobytes() if some is None else b"".join(map(known, some)) for part, some in zip(own, found, strict=True)])
+            for own, found in zip(parts, words, strict=True)
+        ]
 
 
 def decode(ids: bytes, v: Vocabulary) -> str:
@@ -273,7 +324,7 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text_co
     words = sorted(w for r in top if 0 < len(w := r.word.encode()) <= LEXICON_BYTES)
     v = vocabulary(path)
     uri = f"{new_folder(docs.sparkSession, 'lexicon')}/words.arrow"
-    Lexicon.save(uri, words, [v.merge(w.decode()) for w in words])
+    Lexicon.save(uri, words, [np.frombuffer(x, "<u4") for x in v.merge_all(words)])
     return uri
 
 
@@ -293,7 +344,7 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, uri)
         for table in B.batched(batches, BATCH_BYTES, "text"):
-            ids = [encoder.encode(text or "") for text in table.column("text").to_pylist()]
+            ids = encoder.encode([text or "" for text in table.column("text").to_pylist()])
             yield from pa.table({
                 "id": table.column("id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                 "ids": pa.array(ids, pa.binary()), "decoded": pa.array([decode(x, encoder.vocabulary) for x in ids], pa.string()),
