@@ -157,6 +157,20 @@ def test_linked_members_are_not_paired_with_each_other(spark):
     assert met.select("x", "y").distinct().count() == 3 * (n - 1)
 
 
+def test_parts_of_one_pivot_run_in_many_tasks(spark):
+    rows = spark.range(1, 9 * MEMBERS).selectExpr("0L AS p", "id AS x", "X'0000000000000001' AS ins", "false AS linked")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(held, ("-1", "false", "16"), strict=True):
+            spark.conf.set(k, v)
+        dealt = Join(3, 90, 100, 1).parted(rows, F.lit(16), MEMBERS, F.col("linked"))
+        groups = dealt.groupBy("p", "i", "j").applyInArrow(lambda t: pa.table({"n": [len(t)]}), "n long")
+        assert groups.select(F.spark_partition_id().alias("t")).distinct().count() > 8
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_low_similarity_signs_far_enough_ahead(spark):
     rows = [(1, " ".join(f"w{i}" for i in range(25))), (2, " ".join(f"w{i}" for i in range(62)))]  # 25/62 > 0.4
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -400,7 +400,8 @@ class Join:
         dealt = dealt.withColumn("own", (place + F.when(F.col("settled"), F.col("n_open")).otherwise(0)).cast("int"))
         last = F.when(F.col("parts") == 1, 0).when(F.col("settled"), F.col("n_open") - 1).otherwise(F.col("n_open") + F.col("n_settled") - 1)
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("parts = 1 OR own <> other")
-        return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        # Hash partitions by p would do for groups by (p, i, j), so without this all parts of a pivot run in one task.
+        return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).repartition("p", "i", "j")
 
     def edges(self, deltas: DataFrame) -> DataFrame:
         """Pairs of ids that links join, from the near members of every pivot.
