@@ -18,6 +18,10 @@ they share, counted with one sparse product per pivot. Pairs with a far member a
 sketches, by another pivot near to both, by being in one group already, or else by comparing the
 texts. Tasks return who is joined, not all pairs.
 
+**First pivots.** A member that is near to several pivots asks for the set of the first one only. What
+these links join is settled; another pivot is compared with its members only if it and they are not in
+one group yet, so in a group of near copies sets are sent once per block, not once per signature.
+
 **Large groups.** A block sends a signature once, with its first member, however many of its members
 have it; the bucket returns the pivot, and the block pairs its own members with it. A pivot with very
 many members has them dealt over parts of bounded size. Members that are settled already (linked to
@@ -41,6 +45,7 @@ from thicket.session import stage
 
 #: Upper over lower size of a band.
 BAND_RATIO = 1.5
+MESSAGE = "block int, kind int, a binary, b binary"
 #: Members, and bytes of their differences, of one part of a pivot's members.
 MEMBERS, MEMBER_BYTES = 768, 8 << 20
 #: Members of one part where only sketches are compared.
@@ -50,7 +55,10 @@ FREQUENT = 24
 _SEEDS = tuple(U64(x) for x in (0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165))
 #: A member is far from its pivot if more than this share of the bits of their sketches differ.
 FAR = 0.38
-DELTA = "p long, x long, p_id long, x_id long, n_p long, n_x long, ins binary, del binary, linked boolean, far boolean, sketch binary"
+DELTA = "p long, x long, p_id long, x_id long, n_p long, n_x long, ins binary, del binary, linked boolean, far boolean, noted boolean, sketch binary"
+#: Kinds of messages between blocks: a pair of member and pivot, who asks for a pivot, far members, near members of later
+#: pivots, and those of them that only need a sketch.
+PAIR, ASK, FAR_NOTE, LATER, SKETCHED = 0, 1, 3, 4, 5
 
 
 class Sets:
@@ -187,6 +195,31 @@ def _messages(block: np.ndarray, a: np.ndarray, b: np.ndarray, ask: np.ndarray)
     return pa.table({"block": both["block"], "kind": kind, "a": both["a"], "b": both["b"]})
 
 
+def _note(block: int, kind: int, triples: list | np.ndarray) -> pa.Table:
+    """Members, pivots and sizes of the pivots' sets, kept for the block itself."""
+    data = np.array(triples, dtype=np.int64).tobytes()
+    columns = {"block": pa.array([block], pa.int32()), "kind": pa.array([kind], pa.int32()), "a": pa.array([data], pa.binary()), "b": pa.nulls(1, pa.binary())}
+    return pa.table(columns)
+
+
+def later_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Noted pairs as rows."""
+    for batch in batches:
+        for data in batch.column("a").to_pylist():
+            x, p, n = np.frombuffer(data, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(p), pa.array(n)], ["x", "p", "n"])
+
+
+def later_messages(table: pa.Table) -> pa.Table:
+    """Of the later pairs of one block: requests for the sets of open pivots, and notes where a sketch is enough."""
+    x, p, n = (table[c].to_numpy() for c in ("x", "p", "n"))
+    full = np.array(table["full"].to_pylist(), dtype=bool)
+    out = _requests(x[full], p[full])
+    if full.all():
+        return out
+    return pa.concat_tables([out, _note(table["block"][0].as_py(), SKETCHED, np.stack([x, p, n], axis=1)[~full])])
+
+
 def _columns(table: pa.Table, kind: int, *names: str) -> np.ndarray:
     """The packed numbers of the rows of one kind, as the distinct rows of a matrix."""
     some = table.filter(pa.array(np.array(table["kind"].to_pylist(), dtype=np.int64) == kind))
@@ -274,11 +307,12 @@ class Join:
     def triage(self, table: pa.Table, got: pa.Table) -> pa.Table:
         """Pair a block's members with their pivots, and part the pairs by the sketches.
 
-        Near ones ask for whole sets, far ones are only noted (kind 3).
+        A member asks for the set of its first near pivot; its later near pivots and its far ones are
+        only noted.
         """
         told, pivots = self._received(got, 0, np.uint8)
         rows = [np.frombuffer(x, np.uint32) for k, x in zip(got["kind"].to_pylist(), got["data"].to_pylist(), strict=True) if k == 2]
-        near, far = [], []
+        near, far, later = [], [], []
         if rows:
             block, sets = got["block"][0].as_py(), Sets(B.ordered(table).column("text"), self.size)
             for x, p in self.members(block, sets, np.concatenate(rows).astype(np.int64), told).tolist():
@@ -289,15 +323,13 @@ class Join:
                 differ = int(np.bitwise_count(sketch(mine, n) ^ other).sum())
                 if differ > FAR * 8 * len(other) and not self.linked(len(mine), n, differ):
                     far.append((x, p, n))
+                elif near and near[-1][0] == x:  # pairs come by member, then pivot
+                    later.append((x, p, n))
                 else:
                     near.append((x, p))
         near = np.array(near, dtype=np.int64).reshape(-1, 2)
-        out = _requests(near[:, 0], near[:, 1])
-        if far:
-            note = pa.table({"block": pa.array([got["block"][0].as_py()], pa.int32()), "kind": pa.array([3], pa.int32()),
-                             "a": pa.array([np.array(far, dtype=np.int64).tobytes()], pa.binary()), "b": pa.array([None], pa.binary())})
-            out = pa.concat_tables([out, note])
-        return out
+        notes = [_note(got["block"][0].as_py(), kind, some) for kind, some in ((FAR_NOTE, far), (LATER, later)) if some]
+        return pa.concat_tables([_requests(near[:, 0], near[:, 1]), *notes])
 
     def members(self, block: int, sets: Sets, rows: np.ndarray, told: np.ndarray) -> np.ndarray:
         """Distinct pairs of a member and its pivot: the one told for a signature, else the block's first member that has it."""
@@ -322,12 +354,12 @@ class Join:
         return np.concatenate(pairs) if pairs else np.empty((0, 2 if kind == 0 else 3), np.int64), pivots
 
     def differences(self, table: pa.Table, got: pa.Table) -> pa.Table:
-        """Compare a block's near members with their pivots; note the far ones."""
-        pairs, pivots = self._received(got, 0, U64)
-        far, _ = self._received(got, 3, U64)
+        """Compare a block's near members with their pivots; take the sketches of those that are only noted."""
+        pairs, pivots = self._received(got, PAIR, U64)
+        notes = {kind: self._received(got, kind, U64)[0] for kind in (FAR_NOTE, SKETCHED)}
         out = []
-        if len(pairs) or len(far):
-            some, sets, place = _taken(table, np.concatenate([pairs[:, 0], far[:, 0]]), self.size)
+        if len(pairs) or any(map(len, notes.values())):
+            some, sets, place = _taken(table, np.concatenate([pairs[:, 0], *[x[:, 0] for x in notes.values()]]), self.size)
             named = some["id"].to_pylist()
             for x, p in pairs.tolist():
                 row = place[x & 0xFFFFFFFF]
@@ -336,11 +368,12 @@ class Join:
                 ins = np.setdiff1d(mine, shared, assume_unique=True)
                 gone = np.setdiff1d(other, shared, assume_unique=True)
                 link = self.linked(len(mine), n, len(ins) + len(gone))
-                out.append((p, x, p_id, named[row], n, len(mine), ins.tobytes(), gone.tobytes(), link, False, sketch(mine, n).tobytes()))
-            for x, p, n in far.tolist():
-                row = place[x & 0xFFFFFFFF]
-                mine = sets.of(row)
-                out.append((p, x, None, named[row], n, len(mine), b"", b"", False, True, sketch(mine, n).tobytes()))
+                out.append((p, x, p_id, named[row], n, len(mine), ins.tobytes(), gone.tobytes(), link, False, False, sketch(mine, n).tobytes()))
+            for kind, triples in notes.items():
+                for x, p, n in triples.tolist():
+                    row = place[x & 0xFFFFFFFF]
+                    mine = sets.of(row)
+                    out.append((p, x, None, named[row], n, len(mine), b"", b"", False, kind == FAR_NOTE, True, sketch(mine, n).tobytes()))
         return _delta_table(out)
 
     def relate(self, table: pa.Table) -> pa.Table:
@@ -368,10 +401,10 @@ class Join:
         return pa.table({"u": pa.array(u[u != v], pa.int64()), "v": pa.array(v[u != v], pa.int64())})
 
     def unresolved(self, table: pa.Table) -> pa.Table:
-        """Of some members of one pivot: pairs that may be linked by their sketches and have no near pivot in common."""
+        """Of some members of one pivot: pairs that may be linked by their sketches, are in different groups and have no near pivot in common."""
         n, ids = table["n_x"].to_numpy(), table["x_id"].to_numpy()
         near = [frozenset(x or ()) for x in table["near"].to_pylist()]
-        label = np.array([min(x, default=-1 - i) for i, x in enumerate(near)])
+        label = table["component"].to_numpy()
         rows = np.stack([np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()])
         rows = rows.view(np.uint64) if rows.shape[1] % 8 == 0 else rows
         u, v = [], []
@@ -409,18 +442,19 @@ class Join:
         Members near to the same first pivot are related there; a pivot whose members all have the
         same other first pivot has nothing to add but its own links.
         """
-        near = deltas.where("NOT far")
+        near = deltas.where("NOT far AND NOT noted")
         near = near.join(near.groupBy("x").agg(F.min("p").alias("first")), "x")
         needed = near.groupBy("p").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b OR a = p").select("p")
         dealt = self.parted(near.join(needed, "p", "left_semi"), F.octet_length("ins") + F.octet_length("del"), MEMBERS, F.col("linked"))
         related = dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.relate(t), "u long, v long")
         return related.unionByName(near.where("linked").select(F.col("x_id").alias("u"), F.col("p_id").alias("v")))
 
-    def leftovers(self, deltas: DataFrame) -> DataFrame:
-        """Pairs with a far member that no common near pivot has settled and that sketches cannot exclude."""
-        near = deltas.where("NOT far").groupBy("x").agg(F.collect_set("p").alias("near"))
+    def leftovers(self, deltas: DataFrame, groups: DataFrame) -> DataFrame:
+        """Pairs with a far member that no group or common near pivot has settled and that sketches cannot exclude."""
+        near = deltas.where("NOT far AND NOT noted").groupBy("x").agg(F.collect_set("p").alias("near"))
         touched = deltas.where("far").select("p").distinct()
         members = deltas.join(touched, "p", "left_semi").select("p", "x", "x_id", "n_x", "sketch", "far").join(near, "x", "left")
+        members = members.join(groups.select(F.col("node").alias("x_id"), "component"), "x_id", "left").withColumn("component", F.coalesce("component", "x_id"))
         dealt = self.parted(members, F.octet_length("sketch"), SKETCHES, ~F.col("far"))
         return dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.unresolved(t), "u long, v long")
 
@@ -467,11 +501,31 @@ def shared_elements(lists: list[np.ndarray]) -> np.ndarray:
 
 
 def _delta_table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64()] * 6 + [pa.binary()] * 2 + [pa.bool_()] * 2 + [pa.binary()]
-    names = ["p", "x", "p_id", "x_id", "n_p", "n_x", "ins", "del", "linked", "far", "sketch"]
+    kinds = [pa.int64()] * 6 + [pa.binary()] * 2 + [pa.bool_()] * 3 + [pa.binary()]
+    names = ["p", "x", "p_id", "x_id", "n_p", "n_x", "ins", "del", "linked", "far", "noted", "sketch"]
     return pa.table({n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)})
 
 
+def open_pairs(notes: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The later pairs ``(x, p, n, full)`` that the links to first pivots leave open, as a written table.
+
+    A pivot that is in one group with all its members has nothing to add. Its members only need their
+    sketches (not ``full``), and that if it has far members too, which are compared with all of them.
+    """
+    pairs = stage(notes.select("a").mapInArrow(later_pairs, "x long, p long, n long"))
+    groups = components(stage(deltas.where("linked").select(F.col("x_id").alias("u"), F.col("p_id").alias("v"))))
+    named = deltas.where("NOT far").select(F.inline(F.array(F.struct(F.col("x").alias("row"), F.col("x_id").alias("node")), F.struct(F.col("p").alias("row"), F.col("p_id").alias("node"))))).distinct()
+    member = stage(named.join(groups, "node").select("row", "component"))
+    group = F.struct("component", F.when(F.col("component").isNull(), F.col("row")).alias("row"))  # a row that nothing is linked to yet is its own
+    first = deltas.where("NOT far").select("p", F.col("x").alias("row"))
+    ends = first.unionByName(pairs.select("p", F.col("x").alias("row"))).join(member, "row", "left").select("p", group.alias("g"))
+    own = pairs.select("p").distinct().select("p", F.col("p").alias("row")).join(member, "row", "left").select("p", group.alias("g"))
+    spans = ends.join(pairs.select("p").distinct(), "p", "left_semi").unionByName(own).groupBy("p").agg(F.min("g").alias("a"), F.max("g").alias("b"))
+    touched = deltas.where("far").select("p").distinct().withColumn("touched", F.lit(True))
+    asked = spans.join(touched, "p", "left").select("p", (F.col("a") != F.col("b")).alias("full"), "touched").where("full OR touched")
+    return stage(pairs.join(asked, "p").select("x", "p", "n", "full"))
+
+
 def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Distinct pairs whose ends are not in one group yet, as a written table."""
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
@@ -507,12 +561,20 @@ def jaccard_groups(
     pairs = sent.groupBy("bucket").applyInArrow(star_pairs, "block int, kind int, a binary, b binary")
     sets = "block int, kind int, p long, p_id long, n_p long, data binary"
     hints = B.cogroup(texts, pairs, lambda a, b: join.answer(a, b, short=True), sets)
-    near = B.cogroup(texts, hints, join.triage, "block int, kind int, a binary, b binary")
-    given = B.cogroup(texts, near, lambda a, b: join.answer(a, b, short=False), sets)
-    deltas = stage(B.cogroup(texts, given, join.differences, DELTA))
+    near = stage(B.cogroup(texts, hints, join.triage, MESSAGE))
+
+    def compared(messages: DataFrame) -> DataFrame:
+        given = B.cogroup(texts, messages, lambda a, b: join.answer(a, b, short=False), sets)
+        return stage(B.cogroup(texts, given, join.differences, DELTA))
+
+    deltas = compared(near.where(F.col("kind") != LATER))
+    later = open_pairs(near.where(F.col("kind") == LATER), deltas)
+    if not later.isEmpty():
+        asked = later.withColumn("block", F.shiftright("x", 32).cast("int")).groupBy("block").applyInArrow(later_messages, MESSAGE)
+        deltas = deltas.unionByName(compared(asked))
     edges = stage(join.edges(deltas))
     groups = components(edges)
-    open_ = _across(join.leftovers(deltas), groups)
+    open_ = _across(join.leftovers(deltas, groups), groups)
     if open_.count():  # rare: links that only unrelated pivots have seen
         named = docs.where("id IS NOT NULL").dropDuplicates(["id"])
         both = open_.join(named.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(named.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
