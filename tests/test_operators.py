@@ -28,14 +28,20 @@ def test_dense_index_with_one_hot_key(spark, rows):
     assert got.where((F.col("k") >= 0) & (F.col("idx") != 1)).count() == 0
 
 
-def test_blocked_window_equals_plain_window(spark, rows):
+@pytest.mark.parametrize("halo,block", [(4, 37), (60, 61), (9, 2000), (4, 10_000)])
+def test_blocked_window_equals_plain_window(spark, rows, halo, block):
     from pyspark.sql import Window
 
-    df = spark.range(5000).select((F.col("id") % 2).alias("k"), "id", (F.hash("id") % 100).alias("v"))
-    cut, w, real = ordering.blocked(df, ["k"], ["id"], halo=4, block=37)
-    got = ordering.unblocked(cut.withColumn("s", F.sum("v").over(w.rowsBetween(-4, 0))), real).drop("_idx")
-    plain = df.withColumn("s", F.sum("v").over(Window.partitionBy("k").orderBy("id").rowsBetween(-4, 0)))
+    # two long keys, one of them null; short ones; ties and nulls in the first order column
+    k = F.when(F.col("id") % 5 == 0, F.col("id") + 9).when(F.col("id") % 2 == 0, F.lit(1))
+    ts = F.when(F.col("id") % 7 > 0, F.floor(F.col("id") / 900))
+    df = spark.range(6000).select(k.alias("k"), ts.alias("ts"), "id", (F.hash("id") % 100).alias("v"))
+    cut, w, real = ordering.blocked(df, ["k"], ["ts", "id"], halo=halo, block=block)
+    got = ordering.unblocked(cut.withColumn("s", F.sum("v").over(w.rowsBetween(-halo, 0))), real)
+    plain = df.withColumn("s", F.sum("v").over(Window.partitionBy("k").orderBy("ts", "id").rowsBetween(-halo, 0)))
     assert rows(got) == rows(plain)
+    slices = cut.where(real).groupBy("k", "_slice").count()
+    assert slices.count() > 1200 and (block > 6000 or slices.agg(F.max("count")).first()[0] < max(12 * block, 1600))
 
 
 def test_first_per_key_keeps_first_with_nulls(spark, rows):
@@ -196,8 +202,6 @@ def test_block_search_equals_broadcast_search_and_full_sort(spark, rows):
     a = search.top_k(queries, df, 7)
     b = search.top_k(queries, df, 7, query_block=40)
     assert rows(a) == rows(b)
-    import numpy as np
-
     x = np.stack([r.emb for r in df.orderBy("id").collect()]).astype("float64")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     s = np.round(x @ x.T, 9)
@@ -205,6 +209,27 @@ def test_block_search_equals_broadcast_search_and_full_sort(spark, rows):
     assert {(r.query_id, r.id) for r in a.collect()} == want
 
 
+@pytest.mark.parametrize("normalize", [True, False])
+def test_pruned_search_equals_full_search(spark, monkeypatch, rows, normalize):
+    monkeypatch.setattr(search, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(search, "DIRECTORY", 7)
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(20, 12)) * 3
+    x = middle[rng.integers(0, 20, 1500)] + rng.normal(size=(1500, 12)) * 0.05
+    data = [(i, [float(f) for f in x[i].astype("float32")], "ab"[i % 2] if i % 3 else None) for i in range(1500)]
+    data += [(2000, data[0][1], "a"), (2001, [0.0] * 12, "b"), (2002, None, "a")]
+    df = spark.createDataFrame(data, "id long, emb array<float>, tag string")
+    asked = df.where("id % 5 = 0 AND emb IS NOT NULL").select(F.col("id").alias("query_id"), "emb", F.array("tag").alias("tags"))
+    index = search.Index(df, normalize=normalize)
+    found, pairs = index.search(asked, 6, query_block=64)
+    full = search.top_k(asked, df.where("emb IS NOT NULL"), 6, normalize=normalize)
+    assert rows(found) == rows(full)
+    share = index.share(pairs).first()
+    assert share.pairs == 301 * 1502 and 0 < share.share < 0.5
+    tagged = search.top_k(asked, search.Index(df, normalize=normalize, tag="tag"), 4, tags="tags")
+    assert rows(tagged) == rows(search.top_k(asked, df.where("emb IS NOT NULL"), 4, normalize=normalize, tag="tag", tags="tags"))
+
+
 def test_tagged_search(spark, rows):
     v = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.9, 0.1], "y"), (3, [0.0, 1.0], None)], "id long, emb array<float>, tag string")
     q = spark.createDataFrame([(1, [1.0, 0.0], ["y"]), (2, [1.0, 0.0], [])], "query_id long, emb array<float>, tags array<string>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,6 +76,15 @@ _INVISIBLE = "\u200b\u200c\u200d\ufeff"
 _OUTER = " \t\n\u000b\f\r"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used.
+
+    A column that is used several times is put in place of each use, so steps that build on one another
+    would multiply; the variable of a lambda is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_response(text: Column) -> Column:
     """The answer inside a model's output.
 
@@ -83,19 +92,24 @@ def clean_response(text: Column) -> Column:
     fences, the part between them is the answer, without the line that names the language; a first
     line that says only ``json`` goes too.
     """
+    trimmed = lambda c: F.btrim(c, F.lit(_OUTER))
     lines = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n|\r", "\n")
-    body = F.btrim(F.translate(F.btrim(lines, F.lit(_OUTER)), _INVISIBLE, ""), F.lit(_OUTER))
+    body = trimmed(F.translate(trimmed(lines), _INVISIBLE, ""))
     fence = F.lit("```")
-    between = F.when(
-        F.startswith(body, fence) & F.endswith(body, fence) & (F.length(body) >= 6), F.substring(body, F.lit(4), F.length(body) - 6)
-    )
-    first = F.btrim(F.substring_index(between, "\n", 1), F.lit(_OUTER))
-    named = between.contains("\n") & first.rlike("^[0-9A-Za-z_]*$")
-    inner = F.when(named, F.substring(between, F.instr(between, "\n") + 1, F.length(between))).otherwise(between)
-    answer = F.btrim(F.coalesce(inner, body), F.lit(_OUTER))
-    says_json = F.lower(F.substring_index(answer, "\n", 1)) == "json"
-    rest = F.substring(answer, F.lit(6), F.length(answer))
-    return F.when(says_json & answer.contains("\n"), F.btrim(rest, F.lit(_OUTER))).otherwise(answer)
+
+    def without_language(between: Column) -> Column:
+        named = between.contains("\n") & trimmed(F.substring_index(between, "\n", 1)).rlike("^[0-9A-Za-z_]*$")
+        return F.when(named, F.substring(between, F.instr(between, "\n") + 1, F.length(between))).otherwise(between)
+
+    def unfenced(body: Column) -> Column:
+        fenced = F.startswith(body, fence) & F.endswith(body, fence) & (F.length(body) >= 6)
+        return F.when(fenced, bound(F.substring(body, F.lit(4), F.length(body) - 6), without_language)).otherwise(body)
+
+    def without_json(answer: Column) -> Column:
+        says_json = (F.lower(F.substring_index(answer, "\n", 1)) == "json") & answer.contains("\n")
+        return F.when(says_json, trimmed(F.substring(answer, F.lit(6), F.length(answer)))).otherwise(answer)
+
+    return bound(trimmed(bound(body, unfenced)), without_json)
 
 
 def decimals(value: Column, pattern: str = "0.00") -> Column:

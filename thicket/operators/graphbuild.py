@@ -8,11 +8,12 @@ shuffle; nothing is gathered per entity.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.functions.text import clean_response, tokens
+from thicket.functions.text import bound, clean_response, tokens
 from thicket.ordering import first_per_key
 from thicket.session import stage
 
@@ -123,15 +124,12 @@ def parse(responses: DataFrame) -> DataFrame:
 
 
 def _parse(responses: DataFrame) -> DataFrame:
-    return responses.withColumn("r", F.from_json(clean_response(F.col("response")), RESPONSE)).withColumn(
-        "r",
-        F.when(
-            F.coalesce("r.attributes", F.lit(None)).isNotNull()
-            | F.col("r.triples").isNotNull()
-            | F.col("r.entity_types").isNotNull(),
-            F.col("r"),
-        ),
-    )
+    parts = ("attributes", "triples", "entity_types")
+
+    def usable(r: Column) -> Column:
+        return F.when(reduce(Column.__or__, [r[p].isNotNull() for p in parts]), r)
+
+    return responses.withColumn("r", bound(F.from_json(clean_response(F.col("response")), RESPONSE), usable))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operators over counter samples, table statistics and slow logs.
 
-Histories of one host can be as long as the table, so look-back windows run on blocks of a
-dense index (see :func:`thicket.ordering.blocked`) and never on a whole host at once.
+Histories of one host can be as long as the table, so look-back windows run on slices of long
+hosts (see :func:`thicket.ordering.blocked`) and never on a whole one at once.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ def moving_averages(
     for n in spans:
         frame = w.rowsBetween(-(n - 1), 0)
         mean = F.round(F.sum(F.coalesce(F.col(value), F.lit(0))).over(frame) / n, 2)
-        rows = rows.withColumn(f"ma{n}", F.when(F.col("_idx") >= n, mean))
-    return unblocked(rows, real).drop("_idx")
+        rows = rows.withColumn(f"ma{n}", F.when(F.count(F.lit(1)).over(frame) == n, mean))
+    return unblocked(rows, real)
 
 
 def counter_rates(df: DataFrame, key: str, ts: str, value: str, tie: str) -> DataFrame:
@@ -34,7 +34,7 @@ def counter_rates(df: DataFrame, key: str, ts: str, value: str, tie: str) -> Dat
     seconds = F.timestamp_diff("MICROSECOND", F.lag(ts).over(w), F.col(ts)) / 1e6
     change = F.col(value) - F.lag(value).over(w)
     rate = F.when(seconds > 0, F.greatest(F.lit(0.0), change / seconds)).otherwise(F.lit(0.0))
-    return unblocked(rows.withColumn("rate", F.coalesce(rate, F.lit(0.0))), real).drop("_idx")
+    return unblocked(rows.withColumn("rate", F.coalesce(rate, F.lit(0.0))), real)
 
 
 def rolling_history(df: DataFrame, key: str, order: Sequence[str], value: str, points: int = 60) -> DataFrame:
@@ -44,7 +44,7 @@ def rolling_history(df: DataFrame, key: str, order: Sequence[str], value: str, p
     rows = rows.withColumn("mean_value", F.avg(value).over(frame)).withColumn(
         "max_value", F.max(value).over(frame)
     )
-    return unblocked(rows, real).drop("_idx")
+    return unblocked(rows, real)
 
 
 def ranking(df: DataFrame, name: str, value: str) -> DataFrame:

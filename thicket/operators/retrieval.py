@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from thicket.functions.text import decimals, node_text, property_list, valid_node_text
 from thicket.functions.vector import add, cosine, similarity, triple_score
 from thicket.operators.graphbuild import first_relations
-from thicket.operators.search import top_k
+from thicket.operators.search import Index, all_scores, top_k
 from thicket.ordering import first_per_key, top_per_key
 from thicket.session import stage
 
@@ -245,13 +245,26 @@ def search_nodes(queries: DataFrame, vectors: DataFrame, k: int, most: int | Non
     return top_k(queries, vectors, 3 * k if most is None else min(3 * k, most)).withColumnRenamed("id", "node_id")
 
 
-def search_filtered(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def typed_index(nodes: DataFrame, vectors: DataFrame) -> Index:
+    """An index of node vectors with what a type filter sees."""
+    return Index(vectors.join(nodes.select(F.col("node_id").alias("id"), type_tag().alias("tag")), "id"), tag="tag")
+
+
+def search_filtered(queries: DataFrame, nodes: DataFrame, vectors: DataFrame | Index, k: int) -> DataFrame:
     """Vector hits among the nodes a query's types admit (untyped entities always)."""
-    tagged = vectors.join(nodes.select(F.col("node_id").alias("id"), type_tag().alias("tag")), "id")
     asked = queries.withColumn("_tags", F.array_append("types", F.lit("")))
+    if isinstance(vectors, Index):
+        return top_k(asked, vectors, k, tags="_tags").withColumnRenamed("id", "node_id")
+    tagged = vectors.join(nodes.select(F.col("node_id").alias("id"), type_tag().alias("tag")), "id")
     return top_k(asked, tagged, k, tag="tag", tags="_tags").withColumnRenamed("id", "node_id")
 
 
+def similarities(queries: DataFrame, vectors: DataFrame, clipped: bool = True) -> DataFrame:
+    """(query_id, id, score): the cosine of every query with every vector, none below 0 if ``clipped``."""
+    scored = all_scores(queries, vectors)
+    return scored.withColumn("score", F.greatest(F.lit(0.0), "score")) if clipped else scored
+
+
 def scored_nodes(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, node_id, score): clipped cosine of given pairs."""
     v = vectors.select(F.col("id").alias("node_id"), F.col("emb").alias("_v"))

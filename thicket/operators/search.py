@@ -1,72 +1,166 @@
-"""Exact nearest vectors for a table of queries.
+"""Exact nearest vectors for a table of queries, of any number.
 
-Scores are matrix products of Arrow batches with a block of queries; each task keeps only its
-best ``k`` per query, and a group limit merges the tasks' lists. Queries travel in blocks of about
-``QUERY_BLOCK`` by a hash of their id: one broadcast and one pass over the vectors, where they lie,
-for each block. Vectors are never shuffled, whatever the number of queries.
+Queries are packed into blocks of about ``QUERY_BLOCK`` and vectors into blocks where they lie; every
+block of the one meets every block of the other in one matrix product, and a task keeps the best ``k``
+per query. No query passes through the driver: Spark broadcasts the packed queries by their measured
+size or else reads them next to each part of the vectors. Vectors are never shuffled.
+
+An :class:`Index` holds the vectors in blocks of near ones, each with its centre and radius. By the
+triangle inequality no vector of a block scores above ``query . centre + |query| * radius``, so a
+query first visits its most promising blocks and then only those whose bound reaches its k-th score
+so far. The result is the same; what is scored is a share that the index reports.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.operators import kmeans
 from thicket.ordering import top_per_key
+from thicket.session import stage
 
 QUERY_BLOCK = 4096
 STEP = 1024
+#: Vectors of an index that its coarse clustering is fitted on, at most about this many; all are assigned.
+SAMPLE = 200_000
+BLOCK_ROWS = 1024
+MOST_CELLS = 4096
+#: Blocks of a directory part, which meets a block of queries at once.
+DIRECTORY = 4096
+#: Blocks that a query visits before its bounds are used.
+FIRST = 2
+#: Scores are rounded to nine digits; a bound has to clear a score by more than this to exclude a block.
+MARGIN = 1e-8
 
 
-def _matrix(column: pd.Series, normalize: bool) -> np.ndarray:
-    m = np.stack(column.to_numpy()).astype("float64") if len(column) else np.zeros((0, 0))
-    if normalize and len(m):
+def _matrix(column: pa.Array | pa.ChunkedArray, normalize: bool) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 0))
+    m = column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
+    if normalize:
         length = np.linalg.norm(m, axis=1, keepdims=True)
         m = m / np.where(length > 0, length, 1.0)
     return m
 
 
-def _local_top(vectors: Iterator[pd.DataFrame], queries: pd.DataFrame, k: int, normalize: bool, tagged: bool) -> pd.DataFrame:
-    """Best ``k`` rows per query among the given batches, ties by id."""
-    q = _matrix(queries["emb"], normalize)
-    ids = queries["query_id"].to_numpy()
-    if tagged:  # queries with the same tags share a column of the test matrix
-        groups, group_of = np.unique([repr(sorted(set(t), key=repr)) for t in queries["tags"]], return_inverse=True)
-        some = {g: set(queries["tags"].iloc[i]) for i, g in enumerate(group_of)}
-    best = pd.DataFrame({"query_id": [], "id": [], "score": []})
-    floor = np.full(len(q), -np.inf)
-    for batch in vectors:
-        for start in range(0, len(batch), STEP):
-            part = batch.iloc[start : start + STEP]
-            scores = np.round(_matrix(part["emb"], normalize) @ q.T, 9) + 0.0
-            if tagged:
-                tags, tag_of = np.unique([repr(t) for t in part["tag"]], return_inverse=True)
-                value = {i: t for i, t in zip(tag_of, part["tag"], strict=True)}
-                fits = np.array([[value[i] is not None and value[i] in some[g] for g in range(len(groups))] for i in range(len(tags))])
-                scores = np.where(fits[tag_of][:, group_of], scores, -np.inf)
-            if len(part) > k:
-                kth = np.partition(scores, len(part) - k, axis=0)[len(part) - k]
-                floor_here = np.maximum(floor, kth)
-            else:
-                floor_here = floor
-            rows, cols = np.nonzero((scores >= floor_here) & np.isfinite(scores))
-            found = pd.DataFrame({"query_id": ids[cols], "id": part["id"].to_numpy()[rows], "score": scores[rows, cols]})
-            best = found if best.empty else pd.concat([best, found])
-            best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-            best = best.groupby("query_id", sort=False).head(k)
-            full = best.groupby("query_id")["score"].agg(["size", "min"])
-            full = full[full["size"] >= k]["min"]
-            floor = pd.Series(ids).map(full).fillna(-np.inf).to_numpy()
-    return best
+class Best:
+    """The best ``k`` vectors of each query of a block so far, ties by id."""
+
+    def __init__(self, ids: pa.Array, queries: np.ndarray, tags: pa.Array | None, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.floor = np.full(len(queries), -np.inf)
+        self.found: pa.Table | None = None
+        if tags is not None:  # queries with the same tags share a column of the test matrix
+            listed = [tuple(sorted(set(t or ()), key=repr)) for t in tags.to_pylist()]
+            self.groups = list(dict.fromkeys(listed))
+            place = {g: i for i, g in enumerate(self.groups)}
+            self.group_of = np.array([place[t] for t in listed], np.int64)
+
+    def add(self, ids: pa.Array, x: np.ndarray, tags: pa.Array | None) -> None:
+        for at in range(0, len(x), STEP):
+            part = x[at : at + STEP]
+            scores = np.round(part @ self.queries.T, 9) + 0.0
+            if tags is not None:
+                coded = tags.slice(at, len(part)).dictionary_encode()
+                names = coded.dictionary.to_pylist()
+                fits = np.array([[n in g for g in self.groups] for n in names] + [[False] * len(self.groups)])
+                code = coded.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)
+                scores = np.where(fits[code][:, self.group_of], scores, -np.inf)
+            low = self.floor
+            if len(part) > self.k:
+                low = np.maximum(low, np.partition(scores, len(part) - self.k, axis=0)[len(part) - self.k])
+            row, query = np.nonzero((scores >= low) & np.isfinite(scores))
+            self.merge(pa.table({"q": pa.array(query), "id": ids.slice(at, len(part)).take(pa.array(row)), "score": pa.array(scores[row, query])}))
+
+    def merge(self, new: pa.Table) -> None:
+        both = new if self.found is None else pa.concat_tables([self.found, new])
+        both = both.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
+        q = both["q"].to_numpy()
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        self.found = both.filter(pa.array(rank < self.k))
+        full = both.filter(pa.array(rank == self.k - 1))
+        self.floor[full["q"].to_numpy()] = full["score"].to_numpy()
+
+    def result(self) -> pa.Table:
+        return pa.table({"query_id": self.ids.take(self.found["q"].combine_chunks()), "id": self.found["id"], "score": self.found["score"]})
+
+
+def packed_queries(queries: DataFrame, normalize: bool, block: int = QUERY_BLOCK, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Written blocks of queries: ``qb``, ``q_ids``, ``q_tags``, ``q_data`` and a list of each extra column of doubles."""
+    count = max(1, -(-queries.count() // block))
+    tagged = "tags" in queries.columns
+    kinds = dict(queries.dtypes)
+    dealt = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        one = {"qb": table["qb"][0].as_py(), "q_ids": table["query_id"].to_pylist(), "q_tags": table["tags"].to_pylist() if tagged else None}
+        one |= {"q_data": _matrix(table["emb"], normalize).tobytes(), **{c: table[c].to_pylist() for c in extra}}
+        return pa.table({n: pa.array([v], t) for (n, v), t in zip(one.items(), types, strict=True)})
+
+    types = [pa.int32(), pa.list_(_arrow(queries, "query_id")), pa.list_(_arrow(queries, "tags") if tagged else pa.string()), pa.binary(), *[pa.list_(pa.float64())] * len(extra)]
+    schema = f"qb int, q_ids array<{kinds['query_id']}>, q_tags array<{kinds.get('tags', 'string')}>, q_data binary" + "".join(f", {c} array<double>" for c in extra)
+    return stage(dealt.groupBy("qb").applyInArrow(pack, schema))
+
+
+def _arrow(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def _best_of(batch: pa.RecordBatch, row: int, k: int, tagged: bool) -> Best:
+    data = np.frombuffer(batch.column("q_data")[row].as_py())
+    ids = batch.column("q_ids")[row].values
+    return Best(ids, data.reshape(len(ids), -1), batch.column("q_tags")[row].values if tagged else None, k)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], k: int, tagged: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of one block of vectors and one block of queries each: the best of every block of queries that a task sees."""
+    best: dict[int, Best] = {}
+    for batch in batches:
+        for row in range(len(batch)):
+            number = batch.column("qb")[row].as_py()
+            if number not in best:
+                best[number] = _best_of(batch, row, k, tagged)
+            own, ids = best[number], batch.column("ids")[row].values
+            if len(ids) and len(own.queries):
+                own.add(ids, np.frombuffer(batch.column("data")[row].as_py()).reshape(len(ids), -1), batch.column("tags")[row].values if tagged else None)
+    for own in best.values():
+        if own.found is not None:
+            yield from own.result().to_batches()
+
+
+def packed_vectors(vectors: DataFrame, normalize: bool) -> DataFrame:
+    """Vectors in blocks where they lie: ``ids``, ``tags`` and ``data``."""
+    kinds, tagged = dict(vectors.dtypes), "tag" in vectors.columns
+    id_type, tag_type = _arrow(vectors, "id"), _arrow(vectors, "tag") if tagged else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                tags = part.column("tag").to_pylist() if tagged else None
+                columns = [pa.array([part.column("id").to_pylist()], pa.list_(id_type)), pa.array([tags], pa.list_(tag_type)), pa.array([_matrix(part.column("emb"), normalize).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "tags", "data"])
+
+    return vectors.mapInArrow(run, f"ids array<{kinds['id']}>, tags array<{kinds.get('tag', 'string')}>, data binary")
+
+
+def _columns(queries: DataFrame, vectors: DataFrame, tag: str | None, tags: str | None) -> tuple[DataFrame, DataFrame]:
+    asked = queries.select("query_id", "emb", *([F.col(tags).alias("tags")] if tag else []))
+    return asked, vectors.select("id", "emb", *([F.col(tag).alias("tag")] if tag else []))
 
 
 def top_k(
     queries: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | Index,
     k: int,
     normalize: bool = True,
     tag: str | None = None,
@@ -75,28 +169,160 @@ def top_k(
 ) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` best vectors of every query, ties by id.
 
-    ``queries`` has (query_id, emb), ``vectors`` (id, emb). Cosine by default; the raw inner
-    product with ``normalize=False``. With ``tag`` (a column of ``vectors``) and ``tags`` (an
-    array column of ``queries``) a query only sees vectors whose tag it lists.
+    ``queries`` has (query_id, emb), ``vectors`` (id, emb) or is an :class:`Index` of them. Cosine by
+    default; the raw inner product with ``normalize=False``. With ``tag`` (a column of ``vectors``)
+    and ``tags`` (an array column of ``queries``) a query only sees vectors whose tag it lists.
     """
-    tagged = tag is not None
-    qcols = ["query_id", "emb"] + ([F.col(tags).alias("tags")] if tagged else [])
-    vcols = ["id", "emb"] + ([F.col(tag).alias("tag")] if tagged else [])
-    asked, pool = queries.select(*qcols), vectors.select(*vcols)
-    types = dict(asked.dtypes)["query_id"], dict(pool.dtypes)["id"]
-    schema = f"query_id {types[0]}, id {types[1]}, score double"
-    blocks = max(1, -(-asked.count() // query_block))
-    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-
-    def scan_for(number: int) -> DataFrame:
-        # about ``query_block`` rows, as the blocks are dealt by hash and counted
-        block = asked.sparkSession.sparkContext.broadcast(numbered.where(F.col("_block") == number).drop("_block").toPandas())
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if len(block.value):
-                yield _local_top(batches, block.value, k, normalize, tagged)
-
-        return pool.mapInPandas(scan, schema)
-
-    local = reduce(DataFrame.unionByName, [scan_for(i) for i in range(blocks)])
+    if isinstance(vectors, Index):
+        return vectors.top_k(queries, k, tags, query_block)
+    asked, pool = _columns(queries, vectors, tag, tags)
+    blocks = packed_queries(asked, normalize, query_block)
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(pool.dtypes)['id']}, score double"
+    pairs = packed_vectors(pool, normalize).crossJoin(blocks)  # of blocks
+    local = pairs.mapInArrow(partial(_scan, k=k, tagged=tag is not None), schema)
     return top_per_key(local, ["query_id"], [F.desc("score"), "id"], k, rank="rank")
+
+
+def all_scores(queries: DataFrame, vectors: DataFrame, normalize: bool = True) -> DataFrame:
+    """(query_id, id, score) of every query with every vector, for reports that want them all."""
+    asked, pool = _columns(queries, vectors, None, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                names, ids = batch.column("q_ids")[row].values, batch.column("ids")[row].values
+                if not len(names) or not len(ids):
+                    continue
+                q = np.frombuffer(batch.column("q_data")[row].as_py()).reshape(len(names), -1)
+                x = np.frombuffer(batch.column("data")[row].as_py()).reshape(len(ids), -1)
+                for i in range(len(names)):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array([i] * len(ids))), ids, pa.array(x @ q[i])], ["query_id", "id", "score"])
+
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(pool.dtypes)['id']}, score double"
+    return packed_vectors(pool, normalize).crossJoin(packed_queries(asked, normalize)).mapInArrow(run, schema)  # of blocks
+
+
+class Index:
+    """Vectors written in blocks of near ones, with the directory of their centres and radii.
+
+    A coarse k-means, fitted on about ``SAMPLE`` vectors chosen by a hash of their ids, gives the cells;
+    every vector is written to the cell of its nearest centre, in blocks of about ``BLOCK_ROWS``. The
+    centre and radius of a block are those of its own vectors, so bounds hold whatever the cells are.
+    """
+
+    def __init__(self, vectors: DataFrame, normalize: bool = True, tag: str | None = None):
+        self.normalize, self.tagged = normalize, tag is not None
+        pool = stage(vectors.where(F.col("emb").isNotNull()).select("id", "emb", *([F.col(tag).alias("tag")] if tag else [])))
+        self.kind, self.count = dict(pool.dtypes)["id"], pool.count()
+        cells = min(MOST_CELLS, -(-self.count // BLOCK_ROWS))
+        named = pool.select(F.lit(0).alias("group"), F.col("id").cast("string").alias("node_id"), "emb")
+        keep = max(1, self.count // SAMPLE)
+        grid = stage(kmeans.on_grid(named))
+        fitted = grid.where(F.pmod(F.xxhash64("node_id", F.lit(7)), F.lit(keep)) == 0)
+        wanted = pool.sparkSession.createDataFrame([(0, max(1, cells))], "group long, k int")
+        some = kmeans.packed(fitted)
+        centres = kmeans.lloyd(some, kmeans.seeds(fitted, some, wanted), rounds=5)
+        cell = kmeans.labels(kmeans.packed(grid) if keep > 1 else some, centres).select(F.col("node_id").alias("_n"), F.col("centre").alias("cell"))
+        placed = pool.join(cell, F.col("id").cast("string") == F.col("_n")).drop("_n")
+        parts = cell.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("parts"))
+        dealt = placed.join(parts, "cell").withColumn("slice", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
+        self.blocks = stage(dealt.groupBy("cell", "slice").applyInArrow(*self._packer(pool)))
+        self.directory = stage(self._directory())
+
+    def _packer(self, pool: DataFrame) -> tuple[Callable[[pa.Table], pa.Table], str]:
+        normalize, tagged = self.normalize, self.tagged
+        id_type, tag_type = _arrow(pool, "id"), _arrow(pool, "tag") if tagged else pa.string()
+
+        def pack(table: pa.Table) -> pa.Table:
+            table = table.sort_by("id")
+            x = _matrix(table["emb"], normalize)
+            centre = x.mean(0)
+            radius = float(np.sqrt(((x - centre) ** 2).sum(1)).max())
+            block = table["cell"][0].as_py() << 32 | table["slice"][0].as_py()
+            tags = table["tag"].to_pylist() if tagged else None
+            values = (block, len(table), table["id"].to_pylist(), tags, x.tobytes(), centre.tobytes(), radius)
+            types = (pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(tag_type), pa.binary(), pa.binary(), pa.float64())
+            names = ("block", "n", "ids", "tags", "data", "centre", "radius")
+            return pa.table({n: pa.array([v], t) for n, v, t in zip(names, values, types, strict=True)})
+
+        kinds = dict(pool.dtypes)
+        return pack, f"block long, n long, ids array<{kinds['id']}>, tags array<{kinds.get('tag', 'string')}>, data binary, centre binary, radius double"
+
+    def _directory(self) -> DataFrame:
+        rows = self.blocks.select("block", "centre", "radius")
+        parts = max(1, -(-rows.count() // DIRECTORY))
+
+        def pack(table: pa.Table) -> pa.Table:
+            return pa.table({
+                "blocks": pa.array([table["block"].to_pylist()], pa.list_(pa.int64())), "centres": pa.array([b"".join(table["centre"].to_pylist())], pa.binary()),
+                "radii": pa.array([table["radius"].to_pylist()], pa.list_(pa.float64())),
+            })
+
+        return rows.groupBy(F.pmod(F.xxhash64("block"), F.lit(parts)).alias("part")).applyInArrow(pack, "blocks array<long>, centres binary, radii array<double>")
+
+    def _bounds(self, packed: DataFrame, kind: str, choose: Callable[[np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """(query_id, block, bound) for the pairs that ``choose`` picks from the matrix of bounds of two blocks."""
+        floors = "floor" in packed.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(len(batch)):
+                    ids, blocks = batch.column("q_ids")[row].values, batch.column("blocks")[row].values
+                    q = np.frombuffer(batch.column("q_data")[row].as_py()).reshape(len(ids), -1)
+                    c = np.frombuffer(batch.column("centres")[row].as_py()).reshape(len(blocks), -1)
+                    radius = batch.column("radii")[row].values.to_numpy()
+                    bound = q @ c.T + np.linalg.norm(q, axis=1)[:, None] * radius[None] + MARGIN
+                    a, b = choose(bound, batch.column("floor")[row].values.to_numpy() if floors else None)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), blocks.take(pa.array(b)), pa.array(bound[a, b])], ["query_id", "block", "bound"])
+
+        return self.directory.crossJoin(packed).mapInArrow(run, f"query_id {kind}, block long, bound double")  # of blocks
+
+    def _visit(self, pairs: DataFrame, asked: DataFrame, k: int, query_block: int) -> DataFrame:
+        """(query_id, id, score): the best ``k`` of every pair of a query and a block; a block many queries visit is read in several tasks."""
+        tagged, kinds = self.tagged, dict(asked.dtypes)
+        chunks = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("chunks"))
+        dealt = pairs.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks")).select("query_id", "block", "chunk")
+        asking = dealt.join(asked, "query_id")
+        read = dealt.select(F.col("block").alias("b"), F.col("chunk").alias("c")).distinct()
+        where = read.join(self.blocks.select(F.col("block").alias("b"), "ids", "tags", "data"), "b")
+        normalize = self.normalize
+
+        def score(one: pa.Table, vectors: pa.Table) -> pa.Table:
+            best = Best(one["query_id"].combine_chunks(), _matrix(one["emb"], normalize), one["tags"].combine_chunks() if tagged else None, k)
+            ids = vectors["ids"][0].values
+            best.add(ids, np.frombuffer(vectors["data"][0].as_py()).reshape(len(ids), -1), vectors["tags"][0].values if tagged else None)
+            return best.result()
+
+        schema = f"query_id {kinds['query_id']}, id {self.kind}, score double"
+        return asking.groupBy("block", "chunk").cogroup(where.groupBy("b", "c")).applyInArrow(lambda a, b: score(a, b), schema)
+
+    def search(self, queries: DataFrame, k: int, tags: str | None = None, query_block: int = QUERY_BLOCK) -> tuple[DataFrame, DataFrame]:
+        """The result of :func:`top_k`, and the pairs ``(query_id, block)`` that were scored for it."""
+        asked = stage(queries.select("query_id", "emb", *([F.col(tags).alias("tags")] if self.tagged else [])))
+        kind = dict(asked.dtypes)["query_id"]
+
+        def leading(bound: np.ndarray, _floor: None) -> tuple[np.ndarray, np.ndarray]:
+            some = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+            return np.repeat(np.arange(len(bound)), some.shape[1]), some.ravel()
+
+        def reaching(bound: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return np.nonzero(bound >= floor[:, None])
+
+        promising = self._bounds(packed_queries(asked, self.normalize, query_block), kind, leading)
+        first = stage(top_per_key(promising, ["query_id"], [F.desc("bound"), "block"], FIRST).select("query_id", "block"))
+        seen = stage(top_per_key(self._visit(first, asked, k, query_block), ["query_id"], [F.desc("score"), "id"], k))
+        floor = seen.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+        floored = asked.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        second = self._bounds(packed_queries(floored, self.normalize, query_block, ("floor",)), kind, reaching)
+        second = stage(second.select("query_id", "block").join(first, ["query_id", "block"], "left_anti"))
+        both = seen.unionByName(self._visit(second, asked, k, query_block))
+        return top_per_key(both, ["query_id"], [F.desc("score"), "id"], k, rank="rank"), first.unionByName(second)
+
+    def top_k(self, queries: DataFrame, k: int, tags: str | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
+        return self.search(queries, k, tags, query_block)[0]
+
+    def share(self, pairs: DataFrame) -> DataFrame:
+        """(scored, pairs, share): how many pairs of a query and a vector the pairs of :meth:`search` stand for, of all."""
+        asked = pairs.select("query_id").distinct().count()
+        scored = pairs.join(self.blocks.select("block", "n"), "block").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scored"))
+        return scored.select("scored", F.lit(asked * self.count).alias("pairs"), (F.col("scored") / F.greatest(F.lit(asked * self.count), F.lit(1))).alias("share"))

@@ -130,6 +130,17 @@ def _(t):
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("k10_build_rows", BUILD + """
+SELECT 'node' AS kind, node_id AS id, 'entity' AS label, name AS value FROM entities
+UNION ALL SELECT 'node', sha256(concat_ws(chr(1), 'attribute', chunk_id, entity, 0, j)), 'attribute', attribute FROM attrs
+UNION ALL SELECT 'edge', sha256('entity' || chr(1) || entity), 'has_attribute', sha256(concat_ws(chr(1), 'attribute', chunk_id, entity, 0, j)) FROM attrs
+UNION ALL SELECT DISTINCT 'edge', sha256('entity' || chr(1) || h), 'co_occurs', sha256('entity' || chr(1) || t) FROM pairs""")
+def _(t):
+    nodes, edges = gb.to_graph(parsed(t))
+    rows = nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "label", F.col("name").alias("value"))
+    return rows.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("id"), F.col("relation").alias("label"), F.col("dst").alias("value")))
+
+
 @query("k11_adjacency", "SELECT DISTINCT src, dst FROM kg_edges")
 def _(t):
     return gb.adjacency(t.kg_edges)

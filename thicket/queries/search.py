@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from thicket.functions.vector import cosine, similarity, triple_score
+from thicket.functions.vector import triple_score
 from thicket.operators import retrieval as rt
 from thicket.operators import search
 from thicket.queries.registry import query
@@ -21,11 +21,6 @@ def asked(t):
     return t.question.select("query_id", "emb", "text", types.alias("types"))
 
 
-def one_vector(t, query_id):
-    """The vector of one question as a literal."""
-    return F.lit([float(x) for x in t.question.where(F.col("query_id") == query_id).first()["emb"]])
-
-
 class Graph:
     """The graph's tables as a retrieval service keeps them: built once, stored, then read."""
 
@@ -180,24 +175,23 @@ def _(t):
     return sums(stored, "kind", "id")
 
 
-@query("x13_similarity", sql("SELECT id, round(greatest(0, list_cosine_similarity(qe, e)), 6) AS score FROM nv, q WHERE query_id = 0", Q, NV))
+@query("x13_similarity", sql("SELECT query_id, id, round(greatest(0, list_cosine_similarity(qe, e)), 6) AS score FROM nv, q", Q, NV))
 def _(t):
-    one = one_vector(t, 0)
-    return t.node_vec.select("id", F.round(similarity(one, F.col("emb")), 6).alias("score"))
+    return rt.similarities(asked(t), t.node_vec).withColumn("score", F.round("score", 6))
 
 
-@query("x14_entity_similarity", sql("SELECT node_id, round(greatest(0, list_cosine_similarity(qe, e)), 6) AS score FROM tx JOIN nv ON id = node_id, q WHERE query_id = 3 AND txt <> ''", Q, NV, TX))
+@query("x14_entity_similarity", sql("SELECT query_id, node_id, round(greatest(0, list_cosine_similarity(qe, e)), 6) AS score FROM tx JOIN nv ON id = node_id, q WHERE txt <> ''", Q, NV, TX))
 def _(t):
-    one = one_vector(t, 3)
     usable = rt.node_texts(t.kg_nodes).where(rt.valid_node_text(F.col("txt"))).select(F.col("node_id").alias("id"))
-    return t.node_vec.join(usable, "id").select(F.col("id").alias("node_id"), F.round(similarity(one, F.col("emb")), 6).alias("score"))
+    scored = rt.similarities(asked(t), t.node_vec.join(usable, "id"))
+    return scored.select("query_id", F.col("id").alias("node_id"), F.round("score", 6).alias("score"))
 
 
-@query("x15_triple_score", sql(f"SELECT seq, relation, round({RR_SCORE}, 6) AS score FROM ev, q WHERE query_id = 1", Q, NV, EV))
+@query("x15_triple_score", sql(f"SELECT query_id, seq, relation, round({RR_SCORE}, 6) AS score FROM ev, q", Q, NV, EV))
 def _(t):
-    one = one_vector(t, 1)
-    edges = t.kg_unique.join(edge_vecs(t).withColumnRenamed("id", "seq"), "seq")
-    return edges.select("seq", "relation", F.round(triple_score(cosine(one, F.col("emb")), F.col("relation")), 6).alias("score"))
+    cosines = rt.similarities(asked(t), edge_vecs(t), clipped=False).withColumnRenamed("id", "seq")
+    edges = cosines.join(t.kg_unique.select("seq", "relation"), "seq")
+    return edges.select("query_id", "seq", "relation", F.round(triple_score(F.col("score"), F.col("relation")), 6).alias("score"))
 
 
 # ---- searches
@@ -216,6 +210,14 @@ def _(t):
     return search.top_k(vectors.withColumnRenamed("id", "query_id"), vectors, 10).drop("score")
 
 
+@query("r01_pruned_neighbours", """
+SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id) AS rank
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b) WHERE rank <= 10""")
+def _(t):
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
+    return search.top_k(vectors.withColumnRenamed("id", "query_id"), search.Index(vectors), 10).drop("score")
+
+
 @query("r02_relation_search", sql("SELECT query_id, id, rank FROM rs", Q, RV, RS))
 def _(t):
     return search.top_k(asked(t), t.relation_vec, K).drop("score")
@@ -333,6 +335,12 @@ def _(t):
     return rt.search_filtered(asked(t), t.kg_nodes, t.node_vec, K).withColumn("score", F.round("score", 6))
 
 
+@query("r08_pruned_filtered_search", sql("SELECT query_id, id AS node_id, round(score, 6) AS score, rank FROM fs", Q, NV, TAGGED, FS))
+def _(t):
+    index = rt.typed_index(t.kg_nodes, t.node_vec)
+    return rt.search_filtered(asked(t), t.kg_nodes, index, K).withColumn("score", F.round("score", 6))
+
+
 TYPED_ONE = """tyt AS (SELECT DISTINCT query_id, seq, src, relation, dst FROM fs JOIN kg_unique ON id = src OR id = dst),
 ty1 AS (SELECT query_id, src, relation, dst FROM tyt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY seq) <= 5)"""
 
