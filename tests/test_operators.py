@@ -11,6 +11,7 @@ from thicket import ordering
 from thicket.functions import jsonpath, text
 from thicket.operators import access, changes, community, graphbuild, graphviews, inbox, kmeans, retrieval, search, setops, trees
 from thicket.plans import datasource as ds
+from thicket.session import stage
 from thicket.sources import files, graphs, tables, vectorstore
 from thicket.streaming import twins
 
@@ -76,6 +77,30 @@ def test_orphans_and_cycles(spark, rows):
     assert {r.id for r in trees.forest(df, orphans="drop", root_value="nowhere").collect()} == {"a", "b", "c", "d"}
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(trees, "stage", lambda df: rounds.append(1) or stage(df))
+    chain = spark.range(1000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    loop = spark.createDataFrame([(5000, 5002), (5001, 5000), (5002, 5001), (5003, 5001), (5004, 9999)], "id long, parent_id long")
+    df = chain.unionByName(loop)
+    tree = trees.forest(df, orphans="drop")
+    assert tree.count() == 1000 and tree.where("root_id = 0 AND depth = id AND size(path) = id + 1 AND path[id] = id").count() == 1000
+    assert len(rounds) <= 13
+    assert {r.id for r in trees.unrooted(df, tree).collect()} == {5000, 5001, 5002, 5003, 5004}
+
+
+def test_intervals_are_subtrees(spark):
+    tree = trees.forest(spark.createDataFrame(NUMBERS, "id int, parent_id int"))
+    got = {r.id: (r.first, r.last) for r in trees.intervals(tree).collect()}
+    parents = dict(NUMBERS)
+    for a in got:
+        for d in got:
+            up = d
+            while up is not None and up != a:
+                up = parents[up]
+            assert (up == a) == (got[a][0] <= got[d][0] <= got[a][1])
+
+
 def test_move_refuses_cycles(spark, rows):
     df = spark.createDataFrame(
         [("a", None, "/", 0), ("b", "a", "/a/", 1), ("c", "b", "/a/b/", 2), ("d", None, "/", 0)],

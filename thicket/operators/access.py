@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.ordering import running_total
+
 ALL_METHODS = 5
 PLACEHOLDER = r"\{[^}]+\}"
 
@@ -199,6 +201,46 @@ def allowed_departments(users: DataFrame, scope: DataFrame, departments: DataFra
     return own.unionByName(deeper).unionByName(custom).distinct()
 
 
+def scope_ranges(users: DataFrame, scope: DataFrame, places: DataFrame, role_dept: DataFrame) -> DataFrame:
+    """(user_id, first, last): the departments that each user may read, as ranges of places.
+
+    ``places`` is ``(id, first, last)`` as ``trees.intervals`` gives it, so a department with everything
+    below it is one row per user, whatever the size of the subtree. Departments attached to a role
+    are joined to ranges where their places follow one another, once per role.
+    """
+    who = users.select(F.col("id").alias("user_id"), "dept_id", "role_id").join(scope, "user_id")
+    at = places.withColumnRenamed("id", "dept_id")
+    last = F.when(F.col("scope") == 3, F.col("last")).otherwise(F.col("first"))
+    own = who.where(F.col("scope").isin(2, 3)).join(at, "dept_id").select("user_id", "first", last.alias("last"))
+    attached = role_dept.select("role_id", "dept_id").distinct().join(at, "dept_id")
+    run = F.col("first") - F.row_number().over(Window.partitionBy("role_id").orderBy("first"))
+    joined = attached.withColumn("_run", run).groupBy("role_id", "_run").agg(F.min("first").alias("first"), F.max("first").alias("last"))
+    custom = who.where(F.col("scope") == 4).join(joined, "role_id").select("user_id", "first", "last")
+    return own.unionByName(custom)
+
+
+def readable_counts(ranges: DataFrame, facts: DataFrame, dept: str, places: DataFrame) -> DataFrame:
+    """(user_id, n): rows of a fact table in a user's ranges, from running counts over the places.
+
+    Facts are counted per department first; a range takes the difference of two running counts, so
+    neither facts nor departments are paired with users.
+    """
+    counts = facts.groupBy(F.col(dept).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    placed = places.join(counts, "id", "left").select("first", F.coalesce("n", F.lit(0)).alias("n"))
+    upto = running_total(placed, "first", "n")
+    end = upto.select(F.col("first").alias("last"), F.col("total").alias("_end"))
+    begin = upto.select("first", (F.col("total") - F.col("n")).alias("_begin"))
+    return ranges.join(end, "last").join(begin, "first").groupBy("user_id").agg(F.sum(F.col("_end") - F.col("_begin")).alias("n"))
+
+
+def in_ranges(facts: DataFrame, dept: str, ranges: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of a fact table whose department lies in one of the given ranges (of one user)."""
+    mine = ranges.agg(F.collect_set(F.struct("first", "last")).alias("_mine"))
+    at = places.select(F.col("id").alias(dept), F.col("first").alias("_place"))
+    inside = F.exists("_mine", lambda r: (F.col("_place") >= r["first"]) & (F.col("_place") <= r["last"]))
+    return facts.join(at, dept).crossJoin(F.broadcast(mine)).where(inside).select(*facts.columns)  # one row
+
+
 def scoped_rows(facts: DataFrame, owner: str, dept: str, scope: int, user_id, dept_ids: DataFrame | None) -> DataFrame:
     """Rows of a fact table that one user may read."""
     if scope == 0:

@@ -1,8 +1,10 @@
 """Hierarchies given by parent ids or by materialized paths.
 
 A tree is a frame of (id, parent, root, depth, path) rows, never a nested value, so it can be as
-large as the table. Levels are joined top-down, one equi-join per level, and each level is
-staged so that neither the plan nor a lost executor makes earlier levels run again.
+large as the table. Ways to the root are put together by doubling: every node knows the way to the
+node 1, 2, 4, … above it, so a tree of any shape takes as many rounds as the logarithm of its depth.
+Each round is one equi-join and is staged, so that neither the plan nor a lost executor makes
+earlier ones run again.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ def forest(
     """(id, parent_id, root_id, depth, path, order_path) of every node that hangs on a root.
 
     A root has no parent, an empty one or ``root_value``. A node with an unknown parent is a root
-    (``orphans='root'``) or left out (``'drop'``). Cycles have no root and drop out. ``path`` runs
+    (``orphans='root'``) or left out (``'drop'``). Cycles have no root and drop out (see
+    :func:`unrooted`). ``path`` runs
     from the root to the node; ordering by ``order_path`` gives pre-order with siblings in
     ``order``. Ids must be unique.
     """
@@ -46,34 +49,39 @@ def forest(
     if orphans == "root":
         known = base.select(F.col("id").alias("_p"))
         roots = roots.unionByName(linked.join(known, F.col("parent_id") == F.col("_p"), "left_anti"))
-    level = stage(
-        roots.select(
-            "id",
-            "parent_id",
-            F.col("id").alias("root_id"),
-            F.lit(0).alias("depth"),
-            F.array("id").alias("path"),
-            F.array("_key").alias("order_path"),
-        )
-    )
-    levels = [level]
-    while True:
-        above = level.select(
-            F.col("id").alias("_p"), "root_id", "depth", F.col("path").alias("_path"), F.col("order_path").alias("_op")
-        )
-        level = stage(
-            linked.join(above, F.col("parent_id") == F.col("_p")).select(
-                "id",
-                "parent_id",
-                "root_id",
-                (F.col("depth") + 1).alias("depth"),
-                F.array_append("_path", F.col("id")).alias("path"),
-                F.array_append("_op", F.col("_key")).alias("order_path"),
+        linked = linked.join(known, F.col("parent_id") == F.col("_p"), "left_semi")
+    kind = base.schema["id"].dataType
+    above = lambda c: c.cast(kind).alias("up")
+    alone = [F.array("id").alias("path"), F.array("_key").alias("order_path")]
+    done = [stage(roots.select("id", "parent_id", above(F.lit(None)), *alone))]
+    hanging = stage(linked.select("id", "parent_id", above(F.col("parent_id")), *alone))
+    while not hanging.isEmpty():
+        every = reduce(DataFrame.unionByName, [*done, hanging]).select(F.col("id").alias("_p"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("order_path").alias("_op"))
+        # who meets an id of its own way again hangs on a cycle
+        joined = stage(
+            hanging.where(~F.array_contains("path", F.col("up"))).join(every, F.col("up") == F.col("_p")).select(
+                "id", "parent_id", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), F.concat("_op", "order_path").alias("order_path")
             )
         )
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(level)
+        done.append(joined.where(F.col("up").isNull()))
+        hanging = joined.where(F.col("up").isNotNull())
+    rooted = reduce(DataFrame.unionByName, done)
+    return rooted.select("id", "parent_id", F.get("path", F.lit(0)).alias("root_id"), (F.size("path") - 1).alias("depth"), "path", "order_path")
+
+
+def unrooted(nodes: DataFrame, tree: DataFrame, id: str = "id") -> DataFrame:
+    """Nodes that :func:`forest` left out: those on a cycle, below one, or below an unknown parent."""
+    return nodes.where(F.col(id).isNotNull()).join(tree.select(F.col("id").alias("_t")), F.col(id) == F.col("_t"), "left_anti")
+
+
+def intervals(tree: DataFrame) -> DataFrame:
+    """(id, first, last): the node's place in pre-order, and the last place of its subtree.
+
+    ``d`` lies in the subtree of ``a`` if and only if ``a.first <= d.first <= a.last``: a subtree is one range.
+    """
+    sizes = tree.select(F.explode("path").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    placed = pre_order(tree).select("id", F.col("position").alias("first"))
+    return placed.join(sizes, "id").select("id", "first", (F.col("first") + F.col("n") - 1).alias("last"))
 
 
 def closure(tree: DataFrame) -> DataFrame:

@@ -75,6 +75,19 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: Order, name: str = "i
     return joined.select(*df.columns, (F.col("_pos") + F.col("_start")).cast("long").alias(name))
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str = "total") -> DataFrame:
+    """Sum of ``value`` up to and with every row in ``order`` (unique), without one task for all rows.
+
+    Slices add up their own rows; the start of a slice is the sum of earlier slices, one row each.
+    """
+    sliced = stage(df.repartitionByRange(order).withColumn("_slice", F.spark_partition_id()))
+    sums = sliced.groupBy("_slice").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    own = F.sum(value).over(Window.partitionBy("_slice").orderBy(order))
+    return sliced.withColumn("_own", own).join(starts, "_slice").select(*df.columns, (F.col("_own") + F.col("_start")).alias(name))
+
+
 #: Rows sampled for each cut of a long key.
 SAMPLED = 20
 

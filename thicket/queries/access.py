@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from thicket.operators import access, filters, inbox, logstats
+from thicket.operators import access, filters, inbox, logstats, trees
 from thicket.ordering import first_per_key
 from thicket.queries.registry import query
+from thicket.session import stage
 
 AS_OF = "1999-06-01 00:00:00"
 LIVE = f"status = 'published' AND (expire_time IS NULL OR expire_time > TIMESTAMP '{AS_OF}')"
@@ -204,12 +205,44 @@ SELECT user_id, dept_id FROM s WHERE scope IN (2, 3)
 UNION SELECT user_id, d.id FROM s JOIN dept d ON scope = 3 AND d.path LIKE '%/' || s.dept_id || '/%'
 UNION SELECT user_id, r.dept_id FROM s JOIN role_dept r USING (role_id) WHERE scope = 4""")
 def _(t):
+    return access.allowed_departments(t.users, scopes(t), t.dept, t.role_dept)
+
+
+def scopes(t):
     b = F.col("balance")
-    scope = t.users.select(
-        F.col("id").alias("user_id"),
-        F.when(b < 2000, 0).when(b < 4000, 1).when(b < 6000, 2).when(b < 8000, 3).otherwise(4).alias("scope"),
-    )
-    return access.allowed_departments(t.users, scope, t.dept, t.role_dept)
+    level = F.when(b < 2000, 0).when(b < 4000, 1).when(b < 6000, 2).when(b < 8000, 3).otherwise(4)
+    return t.users.select(F.col("id").alias("user_id"), level.alias("scope"))
+
+
+PLACED = """WITH RECURSIVE tree AS (
+  SELECT id, [id] AS path FROM dept WHERE parent_id IS NULL UNION ALL SELECT c.id, list_append(t.path, c.id) FROM dept c JOIN tree t ON c.parent_id = t.id),
+pl AS (SELECT id, path, row_number() OVER (ORDER BY path) AS first FROM tree),
+pi AS (SELECT a.id, a.first, max(d.first) AS last FROM pl a JOIN pl d ON list_contains(d.path, a.id) GROUP BY 1, 2),
+s AS (SELECT id AS user_id, dept_id, role_id, CASE WHEN balance < 2000 THEN 0 WHEN balance < 4000 THEN 1 WHEN balance < 6000 THEN 2 WHEN balance < 8000 THEN 3 ELSE 4 END AS scope FROM users)"""
+
+
+@query("p29_scope_ranges", PLACED + """,
+rr AS (SELECT role_id, first, first - row_number() OVER (PARTITION BY role_id ORDER BY first) AS run FROM (SELECT DISTINCT role_id, dept_id FROM role_dept) JOIN pi ON id = dept_id)
+SELECT user_id, first, CASE WHEN scope = 3 THEN last ELSE first END AS last FROM s JOIN pi ON id = dept_id WHERE scope IN (2, 3)
+UNION ALL SELECT user_id, min(first), max(first) FROM s JOIN rr USING (role_id) WHERE scope = 4 GROUP BY user_id, run""")
+def _(t):
+    return access.scope_ranges(t.users, scopes(t), trees.intervals(trees.forest(t.dept)), t.role_dept)
+
+
+@query("p29_readable_counts", PLACED + """
+SELECT user_id, count(u.id) AS n FROM (SELECT user_id, dept_id FROM s WHERE scope IN (2, 3)
+  UNION SELECT user_id, d.id FROM s JOIN dept d ON scope = 3 AND d.path LIKE '%/' || s.dept_id || '/%'
+  UNION SELECT user_id, r.dept_id FROM s JOIN role_dept r USING (role_id) WHERE scope = 4) a JOIN dept d ON d.id = a.dept_id LEFT JOIN users u ON u.dept_id = a.dept_id GROUP BY 1""")
+def _(t):
+    places = stage(trees.intervals(trees.forest(t.dept)))
+    ranges = access.scope_ranges(t.users, scopes(t), places, t.role_dept)
+    return access.readable_counts(ranges, t.users, "dept_id", places)
+
+
+@query("p29_rows_in_ranges", "SELECT id, dept_id FROM users WHERE dept_id = 'R2' OR dept_id IN (SELECT id FROM dept WHERE path LIKE '%/R2/%')")
+def _(t):
+    places = stage(trees.intervals(trees.forest(t.dept)))
+    return access.in_ranges(t.users.select("id", "dept_id"), "dept_id", places.where(F.col("id") == "R2"), places)
 
 
 @query("p29_scoped_rows", """
