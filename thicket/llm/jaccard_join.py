@@ -50,15 +50,16 @@ MESSAGE = "block int, kind int, a binary, b binary"
 MEMBERS, MEMBER_BYTES = 768, 8 << 20
 #: Members of one part where only sketches are compared.
 SKETCHES = 4096
+#: Ids of open pairs that are broadcast to pick their texts, eight bytes each.
+MOST_IDS = 1 << 20
 #: Elements in more differences than this are counted by a matrix product.
 FREQUENT = 24
 _SEEDS = tuple(U64(x) for x in (0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165))
 #: A member is far from its pivot if more than this share of the bits of their sketches differ.
 FAR = 0.38
 DELTA = "p long, x long, p_id long, x_id long, n_p long, n_x long, ins binary, del binary, linked boolean, far boolean, noted boolean, sketch binary"
-#: Kinds of messages between blocks: a pair of member and pivot, who asks for a pivot, far members, near members of later
-#: pivots, and those of them that only need a sketch.
-PAIR, ASK, FAR_NOTE, LATER, SKETCHED = 0, 1, 3, 4, 5
+#: Kinds of messages between blocks: a pair of member and pivot, far members, and near members of later pivots.
+PAIR, FAR_NOTE, LATER = 0, 3, 4
 
 
 class Sets:
@@ -202,24 +203,6 @@ def _note(block: int, kind: int, triples: list | np.ndarray) -> pa.Table:
     return pa.table(columns)
 
 
-def later_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Noted pairs as rows."""
-    for batch in batches:
-        for data in batch.column("a").to_pylist():
-            x, p, n = np.frombuffer(data, np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(p), pa.array(n)], ["x", "p", "n"])
-
-
-def later_messages(table: pa.Table) -> pa.Table:
-    """Of the later pairs of one block: requests for the sets of open pivots, and notes where a sketch is enough."""
-    x, p, n = (table[c].to_numpy() for c in ("x", "p", "n"))
-    full = np.array(table["full"].to_pylist(), dtype=bool)
-    out = _requests(x[full], p[full])
-    if full.all():
-        return out
-    return pa.concat_tables([out, _note(table["block"][0].as_py(), SKETCHED, np.stack([x, p, n], axis=1)[~full])])
-
-
 def _columns(table: pa.Table, kind: int, *names: str) -> np.ndarray:
     """The packed numbers of the rows of one kind, as the distinct rows of a matrix."""
     some = table.filter(pa.array(np.array(table["kind"].to_pylist(), dtype=np.int64) == kind))
@@ -356,7 +339,7 @@ class Join:
     def differences(self, table: pa.Table, got: pa.Table) -> pa.Table:
         """Compare a block's near members with their pivots; take the sketches of those that are only noted."""
         pairs, pivots = self._received(got, PAIR, U64)
-        notes = {kind: self._received(got, kind, U64)[0] for kind in (FAR_NOTE, SKETCHED)}
+        notes = {kind: self._received(got, kind, U64)[0] for kind in (FAR_NOTE, LATER)}
         out = []
         if len(pairs) or any(map(len, notes.values())):
             some, sets, place = _taken(table, np.concatenate([pairs[:, 0], *[x[:, 0] for x in notes.values()]]), self.size)
@@ -506,24 +489,23 @@ def _delta_table(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)})
 
 
-def open_pairs(notes: DataFrame, deltas: DataFrame) -> DataFrame:
-    """The later pairs ``(x, p, n, full)`` that the links to first pivots leave open, as a written table.
+def open_pairs(deltas: DataFrame) -> DataFrame:
+    """The noted pairs ``(x, p)`` of later pivots that the links to first pivots leave open, as a written table.
 
-    A pivot that is in one group with all its members has nothing to add. Its members only need their
-    sketches (not ``full``), and that if it has far members too, which are compared with all of them.
+    A pivot that is in one group with all its members has nothing to add to them. Its members are met
+    by its far members through their sketches, which the notes hold.
     """
-    pairs = stage(notes.select("a").mapInArrow(later_pairs, "x long, p long, n long"))
+    near = deltas.where("NOT far")
+    pairs = near.where("noted")
     groups = components(stage(deltas.where("linked").select(F.col("x_id").alias("u"), F.col("p_id").alias("v"))))
-    named = deltas.where("NOT far").select(F.inline(F.array(F.struct(F.col("x").alias("row"), F.col("x_id").alias("node")), F.struct(F.col("p").alias("row"), F.col("p_id").alias("node"))))).distinct()
+    ends = F.inline(F.array(F.struct(F.col("x").alias("row"), F.col("x_id").alias("node")), F.struct(F.col("p").alias("row"), F.col("p_id").alias("node"))))
+    named = near.where("NOT noted").select(ends).distinct()
     member = stage(named.join(groups, "node").select("row", "component"))
     group = F.struct("component", F.when(F.col("component").isNull(), F.col("row")).alias("row"))  # a row that nothing is linked to yet is its own
-    first = deltas.where("NOT far").select("p", F.col("x").alias("row"))
-    ends = first.unionByName(pairs.select("p", F.col("x").alias("row"))).join(member, "row", "left").select("p", group.alias("g"))
-    own = pairs.select("p").distinct().select("p", F.col("p").alias("row")).join(member, "row", "left").select("p", group.alias("g"))
-    spans = ends.join(pairs.select("p").distinct(), "p", "left_semi").unionByName(own).groupBy("p").agg(F.min("g").alias("a"), F.max("g").alias("b"))
-    touched = deltas.where("far").select("p").distinct().withColumn("touched", F.lit(True))
-    asked = spans.join(touched, "p", "left").select("p", (F.col("a") != F.col("b")).alias("full"), "touched").where("full OR touched")
-    return stage(pairs.join(asked, "p").select("x", "p", "n", "full"))
+    later = pairs.select("p").distinct()
+    rows = near.join(later, "p", "left_semi").select("p", F.col("x").alias("row")).unionByName(later.select("p", F.col("p").alias("row")))
+    spans = rows.join(member, "row", "left").select("p", group.alias("g")).groupBy("p").agg(F.min("g").alias("a"), F.max("g").alias("b"))
+    return stage(pairs.join(spans.where("a <> b").select("p"), "p", "left_semi").select("x", "p"))
 
 
 def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -561,22 +543,27 @@ def jaccard_groups(
     pairs = sent.groupBy("bucket").applyInArrow(star_pairs, "block int, kind int, a binary, b binary")
     sets = "block int, kind int, p long, p_id long, n_p long, data binary"
     hints = B.cogroup(texts, pairs, lambda a, b: join.answer(a, b, short=True), sets)
-    near = stage(B.cogroup(texts, hints, join.triage, MESSAGE))
 
     def compared(messages: DataFrame) -> DataFrame:
         given = B.cogroup(texts, messages, lambda a, b: join.answer(a, b, short=False), sets)
         return stage(B.cogroup(texts, given, join.differences, DELTA))
 
-    deltas = compared(near.where(F.col("kind") != LATER))
-    later = open_pairs(near.where(F.col("kind") == LATER), deltas)
+    deltas = compared(B.cogroup(texts, hints, join.triage, MESSAGE))
+    later = open_pairs(deltas)
     if not later.isEmpty():
-        asked = later.withColumn("block", F.shiftright("x", 32).cast("int")).groupBy("block").applyInArrow(later_messages, MESSAGE)
-        deltas = deltas.unionByName(compared(asked))
+        asked = later.withColumn("block", F.shiftright("x", 32).cast("int")).groupBy("block")
+        more = compared(asked.applyInArrow(lambda t: _requests(t["x"].to_numpy(), t["p"].to_numpy()), MESSAGE))
+        noted = F.col("noted") & ~F.col("far")
+        rest = deltas.where(noted).join(later.select("p").distinct(), "p", "left_anti").select(*deltas.columns)
+        deltas = deltas.where(~noted).unionByName(rest).unionByName(more)
     edges = stage(join.edges(deltas))
     groups = components(edges)
     open_ = _across(join.leftovers(deltas, groups), groups)
     if open_.count():  # rare: links that only unrelated pivots have seen
-        named = docs.where("id IS NOT NULL").dropDuplicates(["id"])
+        ids = stage(open_.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+        few = ids.count() <= MOST_IDS  # else Spark joins the texts by id
+        wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        named = stage(wanted.dropDuplicates(["id"]))
         both = open_.join(named.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(named.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
         more = both.select("u", "v", "a", "b").mapInArrow(join.verify, "u long, v long")
         groups = components(edges.unionByName(more))
