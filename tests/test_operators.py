@@ -261,6 +261,50 @@ def test_tagged_search(spark, rows):
     assert rows(search.top_k(q, v, 5, tag="tag", tags="tags"), "query_id", "id") == [(1, 2)]
 
 
+def test_many_sources_search_at_once(spark):
+    rng = random.Random(7)
+    edges = {(rng.choice([0, rng.randrange(60)]), rng.randrange(60)) for _ in range(150)}
+    seeds = {(q, rng.randrange(64)) for q in range(150) for _ in range(2)}
+    known = set(range(55))
+    node = lambda n: f"n{n}"
+    e = spark.createDataFrame([(node(a), node(b)) for a, b in edges], "src string, dst string")
+    s = spark.createDataFrame([(q, node(n)) for q, n in seeds], "query_id long, node_id string")
+    k = spark.createDataFrame([(node(n),) for n in known], "id string")
+    want = set()
+    for q in range(150):
+        level = {n for x, n in seeds if x == q and n in known}
+        seen = set()
+        for hop in range(4):
+            want |= {(q, node(n), hop) for n in level}
+            seen |= level
+            level = {b for a, b in edges if a in level and b in known} - seen
+    assert set(map(tuple, retrieval.reachable(s, e, k).collect())) == want
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_paths_meet_in_the_middle(spark, depth):
+    rng = random.Random(depth)
+    edges = sorted({(rng.choice([0, rng.randrange(25)]), rng.randrange(25)) for _ in range(70)})
+    text = {n: f"node {rng.choice(['apple', 'pear', 'plum', 'fig'])}{n}" for n in range(25)}
+    e = spark.createDataFrame([(i, f"n{a}", f"r{i}", f"n{b}") for i, (a, b) in enumerate(edges)], "seq long, src string, relation string, dst string")
+    nodes = spark.createDataFrame([(f"n{n}", t, None) for n, t in text.items()], "node_id string, name string, description string")
+    seeds = spark.createDataFrame([(1, "n0"), (1, "n3"), (2, "n5")], "query_id long, node_id string")
+    asked = spark.createDataFrame([(1, "apple"), (1, "plum"), (2, "fig")], "query_id long, word string")
+    want = set()
+
+    def walk(q, words, way, hops):
+        if hops and any(w in text[way[-1]] for w in words):
+            want.update((q, f"n{a}", f"r{edges.index((a, b))}", f"n{b}") for a, b in hops)
+        if len(hops) < depth:
+            for a, b in edges:
+                if a == way[-1] and b not in way:
+                    walk(q, words, [*way, b], [*hops, (a, b)])
+
+    for q, start, words in ((1, 0, ["apple", "plum"]), (1, 3, ["apple", "plum"]), (2, 5, ["fig"])):
+        walk(q, words, [start], [])
+    assert set(map(tuple, retrieval.paths_to_keywords(seeds, e, nodes, asked, depth).collect())) == want
+
+
 def test_keyword_limits(spark):
     index = spark.range(500).select(F.lit("aaa").alias("word"), F.format_string("n%04d", "id").alias("node_id")).unionByName(
         spark.range(600).select(F.concat(F.lit("w"), (F.col("id") % 6).cast("string"), F.lit("x")).alias("word"), F.format_string("m%04d", "id").alias("node_id"))

@@ -8,6 +8,8 @@ are handled by the join's skew splitting, and lists are cut by group limits befo
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from thicket.functions.text import decimals, node_text, property_list, valid_nod
 from thicket.functions.vector import add, cosine, similarity, triple_score
 from thicket.operators.graphbuild import first_relations
 from thicket.operators.search import Index, all_scores, top_k
-from thicket.ordering import first_per_key, top_per_key
+from thicket.ordering import dense_index, first_per_key, top_per_key
 from thicket.session import stage
 
 MIN_SCORE = 0.05
@@ -164,38 +166,50 @@ def expand_neighbours(seeds: DataFrame, edges: DataFrame, cumulative: bool = Fal
 
 
 def relation_matched(seeds: DataFrame, edges: DataFrame, relations: DataFrame) -> DataFrame:
-    """Edges that touch a query's seeds and have one of its relations (query_id, relation)."""
+    """Edges that touch a query's seeds and have one of its relations (query_id, relation).
+
+    Seeds meet edges by node and relation at once, so the other edges of a hub are not expanded.
+    """
     wanted = relations.select("query_id", "relation").distinct()
-    return touching(seeds, edges).join(wanted, ["query_id", "relation"], "left_semi").select(
-        "query_id", "src", "relation", "dst"
-    )
+    s = seeds.select("query_id", F.col("node_id").alias("_n")).distinct().join(wanted, "query_id")
+    triples = edges.select("src", "relation", "dst")
+    found = [triples.join(s.withColumnRenamed("_n", end), [end, "relation"]) for end in ("src", "dst")]
+    return found[0].unionByName(found[1]).select("query_id", "src", "relation", "dst").distinct()
 
 
-def out_neighbourhood(centers: DataFrame, edges: DataFrame, known: DataFrame, hops: int = 3) -> DataFrame:
-    """(center, node_id, hop): nodes within ``hops`` out-edges, the center at hop 0.
+def reachable(seeds: DataFrame, edges: DataFrame, known: DataFrame, hops: int = 3, key: str = "query_id") -> DataFrame:
+    """(key, node_id, hop): nodes that a key's seeds reach within ``hops`` out-edges, seeds at hop 0.
 
-    Only nodes in ``known`` count. Each hop joins the distinct frontier with distinct adjacency
-    and drops what was visited, so a hub is entered once per center. Hops are staged: the next
-    one reads the frontier and everything visited, and would run them again.
+    Only nodes in ``known`` count. All keys search at once: they are numbered, and a row holds the keys
+    that have reached a node, 64 of them in the bits of a number. A hop joins the bits that are new
+    with the distinct edges and merges them by a bitwise OR, which combines before the shuffle; so it
+    ships at most edges times words of bits, however many keys pass through a hub.
     """
     ids = known.select(F.col("id").alias("dst")).distinct()
-    steps = edges.select("src", "dst").distinct().join(ids, "dst", "left_semi")
-    visited = stage(
-        centers.select("center").distinct().join(
-            known.select(F.col("id").alias("center")), "center", "left_semi"
-        ).select("center", F.col("center").alias("node_id"), F.lit(0).alias("hop"))
-    )
-    frontier = visited
+    steps = stage(edges.select("src", "dst").distinct().join(ids, "dst", "left_semi"))
+    numbered = stage(dense_index(seeds.select(F.col(key).alias("_key")).distinct(), [], ["_key"], "_no"))
+    merged = F.bit_or("bits").alias("bits")
+    own = seeds.select(F.col(key).alias("_key"), "node_id").join(ids, F.col("node_id") == F.col("dst"), "left_semi").join(numbered, "_key")
+    own = own.select("node_id", F.floor((F.col("_no") - 1) / 64).alias("word"), F.expr("shiftleft(1L, cast((_no - 1) % 64 AS int))").alias("bits"))
+    new = stage(own.groupBy("node_id", "word").agg(merged))
+    found, visited = [new.withColumn("hop", F.lit(0))], new
     for hop in range(1, hops + 1):
-        reached = (
-            frontier.select("center", F.col("node_id").alias("src"))
-            .join(steps, "src")
-            .select("center", F.col("dst").alias("node_id"))
-            .distinct()
-        )
-        frontier = stage(reached.join(visited, ["center", "node_id"], "left_anti").withColumn("hop", F.lit(hop)))
-        visited = visited.unionByName(frontier)
-    return visited
+        reached = new.join(steps, F.col("node_id") == F.col("src")).groupBy(F.col("dst").alias("node_id"), "word").agg(merged)
+        seen = visited.groupBy("node_id", "word").agg(F.bit_or("bits").alias("_seen"))
+        left = reached.join(seen, ["node_id", "word"], "left")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long"))))
+        new = stage(left.select("node_id", "word", fresh.alias("bits")).where("bits <> 0"))
+        visited = visited.unionByName(new)
+        found.append(new.withColumn("hop", F.lit(hop)))
+    every = reduce(DataFrame.unionByName, found)
+    bits = F.expr("explode(filter(sequence(0, 63), i -> (shiftrightunsigned(bits, i) & 1L) = 1L))")
+    rows = every.select("node_id", "word", "hop", bits.alias("_bit")).withColumn("_no", F.col("word") * 64 + F.col("_bit") + 1)
+    return rows.join(numbered, "_no").select(F.col("_key").alias(key), "node_id", "hop")
+
+
+def out_neighbourhood(centers: DataFrame, edges: DataFrame, known: DataFrame, hops: int = 3) -> DataFrame:
+    """(center, node_id, hop): nodes within ``hops`` out-edges, the center at hop 0."""
+    return reachable(centers.select("center", F.col("center").alias("node_id")), edges, known, hops, key="center")
 
 
 def neighbour_triples(around: DataFrame, edges: DataFrame, known: DataFrame, key: str = "center") -> DataFrame:
@@ -284,9 +298,7 @@ def triple_path(queries, edges, edge_vecs, node_vecs, k: int = 5, limit: int = 5
     wide = stage(top_k(queries, edge_vecs, limit).withColumnRenamed("id", "seq").join(edges, "seq"))
     key = ["query_id", "src", "relation", "dst"]
     seeds = wide.where(F.col("rank") <= k).select(*key)
-    ends = triple_ends(seeds).withColumnRenamed("node_id", "center")
-    around = out_neighbourhood(ends, edges, node_vecs)
-    near = stage(ends.join(around, "center").select("query_id", "node_id").distinct())
+    near = stage(reachable(triple_ends(seeds), edges, node_vecs).select("query_id", "node_id"))
     src_near = near.select("query_id", F.col("node_id").alias("src"))
     dst_near = near.select("query_id", F.col("node_id").alias("dst"))
     src_known = node_vecs.select(F.col("id").alias("src"))
@@ -349,30 +361,34 @@ def candidate_nodes(queries, nodes, node_vecs, k: int = 5, per_word: int | None
 
 
 def paths_to_keywords(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, asked: DataFrame, depth: int = 2) -> DataFrame:
-    """Edges on paths of up to ``depth`` out-steps from seeds to nodes whose text has a keyword."""
+    """Edges on paths of up to ``depth`` out-steps from seeds to nodes whose text has a keyword.
+
+    Searches meet in the middle: nodes are labelled backwards from those with a keyword, by the steps
+    that are left, and a path is only taken over edges into a label. So a hub's edges that lead to no
+    keyword in time are never walked. Paths visit no node twice.
+    """
     first = first_relations(edges)
-    words = asked.groupBy("query_id").agg(F.collect_set("word").alias("words"))
-    texts = node_texts(nodes).select("node_id", F.lower("txt").alias("txt"))
+    label = stage(substring_hits(asked, nodes))
+    steps = []  # edges into nodes that have a keyword, or reach one in 1, 2, … further steps
+    for left in range(depth):
+        steps.append(stage(first.join(label.withColumnRenamed("node_id", "dst"), "dst").select("query_id", "src", "relation", "dst")))
+        if left + 1 < depth:
+            label = steps[-1].select("query_id", F.col("src").alias("node_id")).unionByName(label).distinct()
+    hits = steps[0].select("query_id", F.col("dst").alias("end")).distinct()
     path = seeds.select("query_id", F.array("node_id").alias("path"), F.col("node_id").alias("end")).distinct()
-    hop = F.array().cast("array<struct<src:string,relation:string,dst:string>>")
-    path = path.withColumn("hops", hop)
-    found = None
-    for _ in range(depth):
-        step = F.struct(F.col("end").alias("src"), "relation", F.col("dst").alias("dst"))
+    path = path.withColumn("hops", F.array().cast("array<struct<src:string,relation:string,dst:string>>"))
+    found = []
+    for left in reversed(range(depth)):
+        step = F.struct("src", "relation", "dst")
         path = (
-            path.join(first, F.col("end") == F.col("src"))
+            path.join(steps[left].withColumnRenamed("query_id", "_q"), (F.col("query_id") == F.col("_q")) & (F.col("end") == F.col("src")))
             .where(~F.array_contains("path", F.col("dst")))
             .select(
-                "query_id",
-                F.array_append("path", F.col("dst")).alias("path"),
-                F.array_append("hops", step).alias("hops"),
-                F.col("dst").alias("end"),
+                "query_id", F.array_append("path", F.col("dst")).alias("path"), F.array_append("hops", step).alias("hops"), F.col("dst").alias("end")
             )
         )
-        found = path if found is None else found.unionByName(path)
-    hit = F.exists("words", lambda w: F.contains(F.col("txt"), w))
-    ended = found.join(texts, F.col("end") == F.col("node_id")).join(words, "query_id").where(hit)
-    return ended.select("query_id", F.inline("hops")).distinct()
+        found.append(path if left == 0 else path.join(hits, ["query_id", "end"], "left_semi").select(*path.columns))
+    return reduce(DataFrame.unionByName, found).select("query_id", F.inline("hops")).distinct()
 
 
 def rerank_triples(triples: DataFrame, queries, nodes, edges, edge_vecs) -> DataFrame:

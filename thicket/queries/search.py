@@ -1,5 +1,7 @@
 """Vector tables, neighbourhoods and retrieval for the question table."""
 
+from __future__ import annotations
+
 from pyspark.sql import functions as F
 
 from thicket.functions.vector import triple_score
@@ -22,7 +24,9 @@ def asked(t):
 
 
 class Graph:
-    """The graph's tables as a retrieval service keeps them: built once, stored, then read."""
+    """The graph's tables as a retrieval service keeps them: built once per session and folder, stored, then read."""
+
+    stored: dict[tuple[str, str], Graph] = {}
 
     def __init__(self, t):
         self.nodes = stage(t.kg_nodes)
@@ -30,6 +34,13 @@ class Graph:
         self.node_vecs = stage(t.node_vec)
         self.edge_vecs = stage(rt.edge_vectors(self.edges, self.node_vecs))
 
+    @classmethod
+    def of(cls, t) -> Graph:
+        key = t.spark.sparkContext.applicationId, t.folder
+        if key not in cls.stored:
+            cls.stored[key] = cls(t)
+        return cls.stored[key]
+
 
 def edge_vecs(t):
     return rt.edge_vectors(t.kg_unique, t.node_vec)
@@ -259,21 +270,20 @@ def _(t):
 
 
 @query("j10_out_neighbourhood", sql("""
-SELECT center, node_id, min(hop) AS hop FROM w GROUP BY 1, 2""", NV, """st AS (SELECT DISTINCT src, dst FROM kg_unique WHERE dst IN (SELECT id FROM nv))""",
-"w0 AS (SELECT id AS center, id AS node_id, 0 AS hop FROM nv)", "w1 AS (SELECT DISTINCT center, dst AS node_id, 1 AS hop FROM w0 JOIN st ON src = node_id)",
+SELECT center, node_id, min(hop) AS hop FROM w GROUP BY 1, 2""", Q, NV, TX, HITS, KW, IDX, KH, CAND, """st AS (SELECT DISTINCT src, dst FROM kg_unique WHERE dst IN (SELECT id FROM nv))""",
+"w0 AS (SELECT DISTINCT node_id AS center, node_id, 0 AS hop FROM cand)", "w1 AS (SELECT DISTINCT center, dst AS node_id, 1 AS hop FROM w0 JOIN st ON src = node_id)",
 "w2 AS (SELECT DISTINCT center, dst AS node_id, 2 AS hop FROM w1 JOIN st ON src = node_id)", "w3 AS (SELECT DISTINCT center, dst AS node_id, 3 AS hop FROM w2 JOIN st ON src = node_id)",
 "w AS (FROM w0 UNION ALL FROM w1 UNION ALL FROM w2 UNION ALL FROM w3)"))
 def _(t):
-    return rt.out_neighbourhood(t.node_vec.select(F.col("id").alias("center")), t.kg_unique, t.node_vec)
+    return rt.out_neighbourhood(best(t).select(F.col("node_id").alias("center")).distinct(), t.kg_unique, t.node_vec)
 
 
 @query("j13_neighbour_triples", sql("SELECT query_id, src, relation, dst FROM near", Q, NV, EV, WIDE, AROUND))
 def _(t):
-    g = Graph(t)
+    g = Graph.of(t)
     wide = search.top_k(asked(t), g.edge_vecs, K).withColumnRenamed("id", "seq").join(g.edges, "seq")
     seeds = stage(wide.select("query_id", "src", "relation", "dst"))
-    ends = rt.triple_ends(seeds).withColumnRenamed("node_id", "center")
-    around = ends.join(rt.out_neighbourhood(ends, g.edges, g.node_vecs), "center").select("query_id", "node_id").distinct()
+    around = rt.reachable(rt.triple_ends(seeds), g.edges, g.node_vecs)
     return rt.neighbour_triples(around, g.edges, g.node_vecs, key="query_id").unionByName(seeds).distinct()
 
 
@@ -289,14 +299,14 @@ def _(t):
 
 @query("j16_chunk_ids", sql("SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, unnest([src, dst]) AS node_id FROM tp) JOIN kg_nodes USING (node_id) WHERE chunk_id IS NOT NULL", Q, NV, EV, WIDE, AROUND, TP))
 def _(t):
-    g = Graph(t)
+    g = Graph.of(t)
     scored = rt.triple_path(asked(t), g.edges, g.edge_vecs, g.node_vecs, K)
     return rt.chunk_ids(rt.triple_ends(scored), g.nodes)
 
 
 @query("r04_triple_path", sql("SELECT query_id, seq, src, relation, dst, round(score, 6) AS score FROM tp", Q, NV, EV, WIDE, AROUND, TP))
 def _(t):
-    g = Graph(t)
+    g = Graph.of(t)
     return rt.triple_path(asked(t), g.edges, g.edge_vecs, g.node_vecs, K).withColumn("score", F.round("score", 6))
 
 
@@ -310,7 +320,7 @@ SELECT query_id, node_id, bool_or(a) AS by_triple, bool_or(NOT a) AS by_communit
 FROM (SELECT query_id, unnest([src, dst]) AS node_id, true AS a FROM tp UNION ALL SELECT query_id, node_id, false FROM cp) JOIN q USING (query_id) JOIN nv ON nv.id = node_id
 GROUP BY query_id, node_id, qe, e""", Q, NV, EV, WIDE, AROUND, TP, CV, CS, CP))
 def _(t):
-    q, g = asked(t), Graph(t)
+    q, g = asked(t), Graph.of(t)
     scored = rt.triple_path(q, g.edges, g.edge_vecs, g.node_vecs, K)
     inside = stage(rt.community_path(q, t.comm_vec, t.comm_member, g.nodes, g.node_vecs))
     return rt.dual_path(q, scored, inside, g.node_vecs).withColumn("score", F.round("score", 6))
@@ -385,7 +395,7 @@ def _(t):
 
 @query("r14_rerank_triples", sql("SELECT query_id, seq, src, relation, dst, round(score, 6) AS score FROM rr", *NODE_PATH, RR))
 def _(t):
-    q, g = asked(t), Graph(t)
+    q, g = asked(t), Graph.of(t)
     triples = rt.node_relation_path(q, g.nodes, g.edges, g.node_vecs, t.relation_vec, K, **LIMITS)[1]
     return rt.rerank_triples(triples, q, g.nodes, g.edges, g.edge_vecs).withColumn("score", F.round("score", 6))
 
@@ -404,7 +414,7 @@ def _(t):
 def final(t):
     from thicket.plans.ask import Answer
 
-    g = Graph(t)
+    g = Graph.of(t)
     return Answer(asked(t), g.nodes, g.edges, g.node_vecs, t.relation_vec, g.edge_vecs, t.chunk_vec, t.chunk, K, limits=LIMITS)
 
 
