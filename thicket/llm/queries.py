@@ -184,7 +184,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(table(spark, sf_dir, "documents"), sentences=False)  # its SQL has lines, paragraphs and wholes
+    out = scan(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.concat_ws(",", "licenses").alias("licenses"), "n_matches", "best")
 
 
@@ -197,8 +197,9 @@ def _license_sql() -> str:
     return rf"""WITH
 templates(name, b) AS (VALUES {rows}),
 units AS (SELECT DISTINCT doc_id, u FROM (
-  SELECT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)),
-    regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09-\x0D]*\n'), [coalesce(text, '')])) AS u FROM documents)),
+  SELECT doc_id, unnest(list_concat(list_concat(string_split(coalesce(text, ''), chr(10)),
+    regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09-\x0D]*\n')), list_concat([coalesce(text, '')],
+    string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1))))) AS u FROM documents)),
 words AS (SELECT doc_id, u, regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM units),
 bigrams AS (SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
   FROM words WHERE len(w) > {low} AND len(w) <= {high} + 1),
