@@ -216,6 +216,8 @@ def test_decontamination_cases(spark, docs):
         assert [r.clean_text for r in got if r.doc_id == 2] == [None]
     assert decontaminate.find_benchmark(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.find_benchmark(docs.limit(0), bench).count() == 0
+    plan = decontaminate.find_benchmark(docs, bench, 10, phrase_bytes=1)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1  # however many blocks the benchmark has
 
 
 @settings(max_examples=60, deadline=None)

@@ -7,14 +7,18 @@ separators, are indexed: suffix array, Burrows-Wheeler transform, and a wavelet
 "how often does this word stand in front" by bit ranks. All phrases are searched backwards at once;
 their places come from sampled suffix positions; overlapping places merge into removal spans.
 
-The benchmark is searched for in blocks of at most about ``phrase_bytes`` of text: each block is
-collected, measured and broadcast by itself, so neither the driver nor a task holds more.
+The benchmark's windows are written to the shared folder in blocks of about ``phrase_bytes`` of text,
+by the tasks that cut them, and so are the distinct word hashes of the whole benchmark, which are the
+vocabulary. A shard is indexed once; then the blocks are mapped from their files and searched one by
+one. The driver only learns the names of the files.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 
 from thicket.llm import blocks as B
 from thicket.llm.hashing import ALNUM, Words, words
+from thicket.llm.shared_files import mapped, new_folder, write
+from thicket.session import stage
 
 SHARD_BYTES = 4 << 20
 #: Every so many places of a shard, the suffix array keeps the position.
@@ -148,8 +154,8 @@ class Phrases:
     names: list[str | None]
 
     @classmethod
-    def of(cls, rows: list[tuple], window: int) -> Phrases:
-        w = words(pa.array([r[1] for r in rows], pa.string()), ALNUM, lower=True)
+    def of(cls, names: list, texts: pa.ChunkedArray, window: int) -> Phrases:
+        w = words(texts, ALNUM, lower=True)
         vocabulary = np.unique(w.hashes())
         number = np.searchsorted(vocabulary, w.hashes()) + 1
         count = np.diff(w.first)
@@ -166,20 +172,47 @@ class Phrases:
         which = which.reshape(-1)
         pair = np.unique(np.stack([which, item], axis=1), axis=0) if len(which) else np.zeros((0, 2), np.int64)
         first = np.searchsorted(pair[:, 0], np.arange(len(phrase) + 1))
-        return cls(vocabulary, phrase, (phrase > 0).sum(axis=1), first, pair[:, 1], [None if r[0] is None else str(r[0]) for r in rows])
+        return cls(vocabulary, phrase, (phrase > 0).sum(axis=1), first, pair[:, 1], [None if n is None else str(n) for n in names])
 
+    def save(self, uri: str) -> None:
+        """One row with a list for each part."""
+        arrays = {"vocabulary": self.vocabulary, "phrase": self.phrase.ravel(), "length": self.length, "item_first": self.item_first, "item": self.item}
+        columns = {n: pa.array([a], pa.list_(pa.from_numpy_dtype(a.dtype))) for n, a in arrays.items()}
+        save(uri, pa.table(columns | {"names": pa.array([self.names], pa.list_(pa.string()))}))
 
-def index_shard(w: Words, phrases: Phrases) -> tuple[FMIndex | None, np.ndarray]:
-    """The index of a shard's segments, and the word that stands at each of its places."""
+    @classmethod
+    def load(cls, uri: str, known: np.ndarray) -> Phrases:
+        """A mapped block, its phrases numbered in the vocabulary ``known`` of the whole benchmark."""
+        table = load(uri)
+        parts = {n: table[n].chunk(0).flatten() for n in table.column_names}
+        own = {n: parts[n].to_numpy() for n in ("vocabulary", "phrase", "length", "item_first", "item")}
+        number = np.concatenate([[0], np.searchsorted(known, own["vocabulary"]) + 1])
+        phrase = number[own["phrase"]].reshape(len(own["length"]), -1)
+        return cls(known, phrase, own["length"], own["item_first"], own["item"], parts["names"].to_pylist())
+
+
+def save(uri: str, table: pa.Table) -> None:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, table.schema) as out:
+        out.write_table(table)
+    write(uri, sink.getvalue())
+
+
+def load(uri: str) -> pa.Table:
+    return pa.ipc.open_file(mapped(uri)).read_all()
+
+
+def index_shard(w: Words, vocabulary: np.ndarray, shortest: int) -> tuple[FMIndex | None, np.ndarray]:
+    """The index of a shard's segments of ``shortest`` words or more, and the word that stands at each of its places."""
     h = w.hashes()
-    at = np.minimum(np.searchsorted(phrases.vocabulary, h), len(phrases.vocabulary) - 1)
-    known = np.flatnonzero(phrases.vocabulary[at] == h)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    known = np.flatnonzero(vocabulary[at] == h) if len(vocabulary) else np.empty(0, np.int64)
     if not len(known):
         return None, known
     begins = (np.diff(known, prepend=-2) != 1) | (np.diff(w.doc[known], prepend=-1) != 0)
     start = np.flatnonzero(begins)
     length = np.diff(np.append(start, len(known)))
-    enough = length >= phrases.length.min()
+    enough = length >= shortest
     known, segment = known[np.repeat(enough, length)], np.repeat(np.arange(int(enough.sum())), length[enough])
     if not len(known):
         return None, known
@@ -188,18 +221,11 @@ def index_shard(w: Words, phrases: Phrases) -> tuple[FMIndex | None, np.ndarray]
     symbols[place] = at[known] + 1
     word = np.full(len(symbols), -1, dtype=np.int64)
     word[place] = known
-    return FMIndex(symbols, len(phrases.vocabulary)), word
-
-
-def find(w: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which words are hit, and the distinct (text, item) pairs."""
-    hit = np.zeros(len(w), dtype=bool)
-    none = np.empty(0, dtype=np.int64)
-    if not len(w) or not len(phrases.length):
-        return hit, none, none
-    index, word = index_shard(w, phrases)
-    if index is None:
-        return hit, none, none
+    return FMIndex(symbols, len(vocabulary)), word
+
+
+def find(w: Words, index: FMIndex, word: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words the phrases of one block hit, and the distinct (text, item) pairs."""
     low, high = index.search(phrases.phrase, phrases.length)
     count = high - low
     which = np.repeat(np.arange(len(count)), count)
@@ -220,17 +246,21 @@ def find(w: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], blocks: list[str], vocabulary: str, shortest: int) -> Iterator[pa.RecordBatch]:
+    known = load(vocabulary)["hash"].combine_chunks().to_numpy().view(np.uint64)
+    one = Phrases.load(blocks[0], known) if len(blocks) == 1 else None  # a single block is read once
     for table in B.batched(batches, SHARD_BYTES, "text"):
         w = words(table.column("text"), ALNUM, lower=True)
-        hit, docs, items = find(w, phrases)
-        for doc, known in enumerate(table.column("_spans").to_pylist()):
-            for s in known:  # of earlier blocks of the benchmark
-                hit[w.first[doc] + s["start"] : w.first[doc] + s["end"]] = True
-        named = [set(x) for x in table.column("_items").to_pylist()]
-        for doc, item in zip(docs.tolist(), items.tolist(), strict=True):
-            if phrases.names[item] is not None:
-                named[doc].add(phrases.names[item])
+        hit = np.zeros(len(w), dtype=bool)
+        named = [set() for _ in range(len(table))]
+        index, word = index_shard(w, known, shortest) if len(w) else (None, None)
+        for uri in blocks if index is not None else []:
+            phrases = one or Phrases.load(uri, known)
+            own, docs, items = find(w, index, word, phrases)
+            hit |= own
+            for doc, item in zip(docs.tolist(), items.tolist(), strict=True):
+                if phrases.names[item] is not None:
+                    named[doc].add(phrases.names[item])
         spans = [[] for _ in named]
         if hit.any():
             change = np.flatnonzero(hit & (np.diff(hit.astype(np.int8), prepend=0) > 0) | hit & (np.diff(w.doc, prepend=-1) != 0))
@@ -257,6 +287,49 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.
         yield from pa.table({n: out[n] if n in out else table.column(n) for n in table.column_names}).to_batches()
 
 
+def write_phrases(benchmark: DataFrame, window: int, item_col: str, text_col: str, phrase_bytes: int) -> tuple[list[str], str, int]:
+    """Write the benchmark's windows in blocks and its vocabulary; the files of both, and the length of the shortest window.
+
+    A retried task writes new files; only those of tasks that counted are named.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, -(-total // phrase_bytes))
+    folder = new_folder(spark, "phrases")
+
+    def block(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("item", "ascending"), ("text", "ascending")])
+        phrases = Phrases.of(table["item"].to_pylist(), table["text"], window)
+        uri = f"{folder}/{uuid.uuid4().hex}.arrow"
+        if len(phrases.length):
+            phrases.save(uri)
+        return pa.table({"uri": [uri], "shortest": pa.array([int(phrases.length.min(initial=window))], pa.int32()), "n": pa.array([len(phrases.length)], pa.int64())})
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in B.batched(batches, SHARD_BYTES, "text"):
+            own = np.unique(words(table.column("text"), ALNUM, lower=True).hashes())
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["hash"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        uri = f"{folder}/{uuid.uuid4().hex}.arrow"
+        own = np.sort(table["hash"].to_numpy().view(np.uint64))
+        save(uri, pa.table({"hash": own.view(np.int64)}))
+        return pa.table({"uri": [uri]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count)))
+    written = stage(dealt.groupBy("block").applyInArrow(block, "uri string, shortest int, n long"))
+    rows = written.where("n > 0").orderBy("uri").collect()
+    # every task needs the vocabulary whole: eight bytes for each distinct word of the benchmark
+    distinct = items.select("text").mapInArrow(hashes, "hash long").distinct()
+    named = stage(distinct.groupBy(F.lit(0).alias("all")).applyInArrow(joined, "uri string")).collect()
+    if not rows or not named:
+        empty = f"{folder}/empty.arrow"
+        save(empty, pa.table({"hash": pa.array([], pa.int64())}))
+        return [], empty, window
+    return [r.uri for r in rows], named[0].uri, min(r.shortest for r in rows)
+
+
 def find_benchmark(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", phrase_bytes: int = 1 << 20, carry: Sequence[str] = (),
@@ -271,11 +344,7 @@ def find_benchmark(
     nothing; an item without id marks words but is not listed; repeated ids stay separate rows.
     Other columns are ignored. An empty benchmark finds nothing; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // phrase_bytes))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count)))
+    blocks, vocabulary, shortest = write_phrases(benchmark, window, item_col, item_text_col, phrase_bytes)
     span = "array<struct<start:long,end:long>>"
     out = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("_n_words"),
@@ -283,10 +352,7 @@ def find_benchmark(
         *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)],
     )
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    for block in range(count):
-        phrases = Phrases.of([(r.item, r.text) for r in items.where(F.col("block") == block).collect()], window)
-        sent = spark.sparkContext.broadcast(phrases)
-        out = out.mapInArrow(lambda batches, sent=sent: _search(batches, sent.value), kinds)
+    out = out.mapInArrow(partial(_search, blocks=blocks, vocabulary=vocabulary, shortest=shortest), kinds)
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select(
         F.col("id").alias(id_col), F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.col("_spans").alias("spans"),
