@@ -7,9 +7,12 @@ real dates, addresses of the same shape.
 
 Formats: card numbers (Luhn), IBAN (remainder 97), US social security numbers, telephone numbers
 (7 to 15 digits with a plus sign or brackets, 3-3-4 groups, a leading 0 and groups, or three groups and
-more joined by hyphens), IPv4 addresses, dates from 1900 to 2099 (year first or last, days and months
-of one or two digits), e-mail addresses, access key ids, and values of any length named as password,
-secret, token or key. Where a run of digits fails validation, its shorter prefixes and later starts are
+more joined by hyphens), IPv4 and IPv6 addresses, dates from 1900 to 2099 (year first or last, days and
+months of one or two digits), e-mail addresses in any script, access keys by their prefixes, bearer
+tokens with a digit or a dot, and values of any length named as password, secret, token or key. A named value
+runs to the next blank or quote. After an equals sign, a colon without a blank or an opening quote
+every value counts; after a colon and a blank only one with a character other than the letters of a
+plain word, as that is how prose reads on. Where a run of digits fails validation, its shorter prefixes and later starts are
 tried, so a card is found beside other digits; a table of numbers may hold one by chance. A number in
 which nothing is valid is left alone. Not told from other numbers, and so left: telephone numbers of
 groups parted by blanks or dots, other than 3-3-4, without plus sign, brackets or leading 0, those of
@@ -20,9 +23,12 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +42,9 @@ BATCH_BYTES = 4 << 20
 SECRET = 192
 DIGITS, UPPER, LOWER, HEX = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
+#: What may stand before the @ of an address, and what follows it.
+LOCAL = re.compile(r"[\w.%+-]")
+HOST = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
 #: Numbers by kind, in the order in which they are tried where one may start. A card may start and end at a hyphen.
 START = re.compile(r"(?<![\w@+])[+(\d]")
 NUMBER = {
@@ -53,8 +61,31 @@ NUMBER = {
 }
 AFTER, AFTER_CARD = re.compile(r"\w|[.-]\d"), re.compile(r"\w|\.\d")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-ACCESS_KEY = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])")
-NAMED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?((?:[A-Za-z0-9+/_=-]|\.(?=[A-Za-z0-9+/_=-])){8,})")
+ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)(?=[A-Z0-9]{16}(?![A-Za-z0-9]))|gh[oprsu]_|github_pat_|glpat-|sk-|xox[abprs]-|AIza)([A-Za-z0-9_-]{16,})")
+NAMED = re.compile(
+    r"(?i)(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?"
+    r"(?:\s*[=:]\s*(?P<q>[\"'])(?P<quoted>[^\"'\n]+)(?P=q)|\s*=\s*(?P<set>[^\s\"']+)|:(?P<told>[^\s\"']+)|\s*:\s+(?P<prose>[^\s\"']+))"
+)
+#: What a text holds that has a named value, or a key told by its prefix.
+NAMES = ("password", "passwd", "pwd", "secret", "token", "key")
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghr_", "ghu_", "github_pat_", "glpat-", "sk-", "xox", "AIza")
+#: Marks that end a sentence or an element, not a value.
+CLOSING = ".,;:!?)]}>&"
+PLAIN_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+BEARER = re.compile(r"\bBearer\s+([A-Za-z0-9._~+/=-]+)")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{3,39}(?![\w:])")
+
+
+@lru_cache(maxsize=4096)
+def alphabet(c: str) -> str:
+    """The characters among which one is permuted: digits, capitals, small letters, or those of its kind near it in other scripts."""
+    for known in (DIGITS, UPPER, LOWER):
+        if c in known:
+            return known
+    if not c.isalnum():
+        return ""
+    kind, start = unicodedata.category(c), ord(c) & ~63
+    return "".join(x for x in map(chr, range(start, start + 64)) if unicodedata.category(x) == kind)
 
 
 class Permuter:
@@ -84,14 +115,14 @@ class Permuter:
 
     def letters(self, label: str, text: str) -> str:
         """Every digit and letter within its own kind; other characters stay."""
-        kinds = [next((k for k in (DIGITS, UPPER, LOWER) if c in k), "") for c in text]
+        kinds = [alphabet(c) for c in text]
         size, value = 1, 0
         for c, kind in zip(text, kinds, strict=True):
             if kind:
                 value, size = value * len(kind) + kind.index(c), size * len(kind)
         if size < 2:
             return text
-        shape = "".join("9Aa"[(DIGITS, UPPER, LOWER).index(k)] if k else c for c, k in zip(text, kinds, strict=True))
+        shape = "".join({DIGITS: "9", UPPER: "A", LOWER: "a"}.get(k, k[0]) if k else c for c, k in zip(text, kinds, strict=True))
         value, out = self.number(f"{label}|{shape}", value, size), []
         for c, kind in zip(reversed(text), reversed(kinds), strict=True):
             if kind:
@@ -192,23 +223,72 @@ def iban(p: Permuter, text: str) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
+def chained(p: Permuter, label: str, text: str) -> str:
+    """Letters and digits permuted; long texts in pieces, each under a label of what comes before it."""
+    out, before = [p.letters(label, text[:SECRET])], hashlib.sha256(text[:SECRET].encode())
+    for at in range(SECRET, len(text), SECRET):
+        piece = text[at : at + SECRET]
+        out.append(p.letters(f"{label}|{before.hexdigest()}", piece))
+        before.update(piece.encode())
+    return "".join(out)
+
+
 def email(p: Permuter, text: str) -> str | None:
     name, _, host = text.partition("@")
     *own, site, top = host.split(".")
     if not name.strip(".") or not top.isalpha():
         return None
-    return "@".join([p.letters("name|" + host, name), ".".join([*(p.letters("host", x) for x in own), site, top])])
+    return "@".join([chained(p, "name|" + host, name), ".".join([*(chained(p, "host", x) for x in [*own, site]), top])])
+
+
+def emails(p: Permuter, text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Addresses, found from their @: the run before it and the host after it, each character seen once."""
+    last = 0
+    for m in re.finditer("@", text):
+        start = m.start()
+        while start > last and LOCAL.match(text[start - 1]):
+            start -= 1
+        last = m.end()
+        host = HOST.match(text, m.end())
+        if host and start < m.start() and (new := email(p, text[start : host.end()])) is not None:
+            yield start, host.end(), "email", new
 
 
 def secret(p: Permuter, text: str) -> str | None:
-    """Long ones in pieces, each under a label of what comes before it."""
-    if not any(c in DIGITS for c in text):
+    return chained(p, "secret", text) if any(map(str.isalnum, text)) else None
+
+
+def secrets(p: Permuter, text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Named values, bearer tokens and keys that their prefixes tell. A text without any of the names is not searched."""
+    lower = text.lower()
+    for m in NAMED.finditer(text) if any(name in lower for name in NAMES) else ():
+        kind = next(k for k in ("quoted", "set", "told", "prose") if m.group(k) is not None)
+        value = m.group(kind) if kind == "quoted" else m.group(kind).rstrip(CLOSING)
+        if kind == "prose" and PLAIN_WORD.fullmatch(value):
+            continue
+        if (new := secret(p, value)) is not None:
+            yield m.start(kind), m.start(kind) + len(value), "secret", new
+    for m in BEARER.finditer(text) if "Bearer" in text else ():
+        value = m.group(1).rstrip(CLOSING)
+        if any(c in DIGITS or c == "." for c in value) and (new := secret(p, value)) is not None:
+            yield m.start(1), m.start(1) + len(value), "secret", new
+    for m in ACCESS_KEY.finditer(text) if any(name in text for name in KEY_PREFIXES) else ():
+        yield *m.span(2), "access_key", chained(p, "access_key", m.group(2))
+
+
+def ipv6(p: Permuter, text: str) -> str | None:
+    """Hexadecimal digits permuted in their places, each in the case of its own."""
+    places = [i for i, c in enumerate(text) if c != ":"]
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
         return None
-    out, before = [p.letters("secret", text[:SECRET])], hashlib.sha256(text[:SECRET].encode())
-    for at in range(SECRET, len(text), SECRET):
-        piece = text[at : at + SECRET]
-        out.append(p.letters(f"secret|{before.hexdigest()}", piece))
-        before.update(piece.encode())
+    if len(places) < 4:  # ``::1`` and the like name nobody
+        return None
+    value = p.number(f"ipv6|{''.join('x' if c != ':' else c for c in text)}", int("".join(text[i] for i in places), 16), 16 ** len(places))
+    upper, out = any(c in "ABCDEF" for c in text), list(text)
+    for i, c in zip(places, f"{value:0{len(places)}x}", strict=True):
+        out[i] = c.upper() if upper else c
     return "".join(out)
 
 
@@ -245,12 +325,13 @@ def find(p: Permuter, text: str) -> list[tuple[int, int, str, str]]:
                 found.append((m.start(group), m.end(group), kind, new))
 
     if "@" in text:
-        take(EMAIL, "email", email)
+        found += emails(p, text)
+    found += secrets(p, text)
     if any(c in text for c in DIGITS):
-        take(ACCESS_KEY, "access_key", lambda p, x: x[:4] + p.letters("access_key", x[4:]))
-        take(NAMED, "secret", secret, 1)
         take(IBAN, "iban", iban)
         found += numbers(p, text)
+    if "::" in text or text.count(":") > 6:
+        take(IPV6, "ipv6", ipv6)
     out, last = [], 0
     for one in sorted(found, key=lambda x: (x[0], -x[1])):
         if one[0] >= last:
