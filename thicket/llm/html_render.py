@@ -2,11 +2,15 @@
 
 A tree builder reads the markup as browsers do: void elements, implied end tags (a new ``p``,
 ``li``, ``tr``, ``td`` or ``option`` ends the one before), raw text in scripts and styles, end tags
-without a start, unclosed elements, and a head that the first visible content ends. The renderer then walks the tree and emits every visible
-text: blocks on lines of their own, paragraphs set apart, list items with bullets or numbers,
-preformatted text as it is, and table cells in aligned columns. Hidden elements (scripts, styles,
-templates, ``hidden``, ``display: none``, hidden inputs) give nothing; ``aria-hidden`` ones and the text
-of ``svg`` and ``math`` are on the screen, so they count.
+without a start, unclosed elements, and a head that the first visible content ends. Open elements are
+found by name, not by a walk, so broken markup takes no longer than other. The renderer then walks
+the tree and emits every visible text: blocks on lines of their own, paragraphs set apart, list items
+with bullets or numbers, preformatted text as it is, and table cells in aligned columns, with their
+column and row spans. Hidden elements (scripts, styles, templates, ``hidden``, ``display: none``, hidden
+inputs, closed dialogs) give nothing; of ``visibility: hidden`` only what is visible inside. ``aria-hidden``
+ones and the text of ``svg`` and ``math`` are on the screen, so they count. Cells wider than ``WIDTH``
+are whole but push their own line only, as one such cell would else widen every row; tables nested
+deeper than ``NESTED`` are written as blocks.
 
 Pages are independent, so Spark reads and renders them where they lie; nothing is shuffled.
 """
@@ -15,7 +19,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +34,7 @@ BATCH_BYTES = 4 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 NEVER_SHOWN = frozenset(
-    "head script style template title noscript iframe noembed noframes object audio video canvas datalist input"
+    "head script style template title noscript iframe noembed noframes object audio video canvas datalist input rp"
     " desc metadata defs symbol clippath mask marker annotation annotation-xml".split()  # of svg and math
 )
 #: Elements that may stand in a head; any other, or text, ends it.
@@ -47,6 +53,10 @@ def _ends(tags: str, closed: str, fences: str) -> None:
         ENDS[tag] = (frozenset(closed.split()), frozenset(fences.split()))
 
 
+#: Elements that hold back the end tags of others, and the end tags that pass them.
+CELLS = ("table", "td", "th")
+THROUGH_CELLS = frozenset("table tr tbody thead tfoot body html".split())
+
 _ends("p div article section nav aside header footer main address h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr form fieldset details center", "p", "button td th caption table")
 _ends("li", "li p", "ul ol menu")
 _ends("dt dd", "dt dd p", "dl")
@@ -57,9 +67,13 @@ _ends("option", "option", "select datalist")
 _ends("optgroup", "option optgroup", "select")
 _ends("body", "head", "")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+#: A quoted value begins after an equals sign only; an apostrophe elsewhere in a tag is a character like others.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.DOTALL)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+INVISIBLE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
+#: The largest spans of a cell that browsers take.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 #: Widest table column that is padded; wider cells only push their own line.
 WIDTH = 40
@@ -78,20 +92,46 @@ class Node:
     @property
     def shown(self) -> bool:
         a = self.attributes
-        return not (self.tag in NEVER_SHOWN or "hidden" in a or ("style" in a and INVISIBLE.search(a["style"])))
+        closed = self.tag == "dialog" and "open" not in a
+        return not (self.tag in NEVER_SHOWN or closed or "hidden" in a or ("style" in a and INVISIBLE.search(a["style"])))
+
+
+class Stack:
+    """The open elements, with the places of each name, so that no element is walked over to find another."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Close the elements from ``depth`` on."""
+        while len(self.nodes) > depth:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def first_below(self, tags: Iterable[str], fence: int) -> int:
+        """Place of the outermost open element of these names inside ``fence``, 0 if there is none."""
+        inside = (own[k] for t in tags if (own := self.places.get(t)) and (k := bisect_right(own, fence)) < len(own))
+        return min(inside, default=0)
 
 
 def build(page: str) -> Node:
     """The tree of a page; every input gives one."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at = Stack(root), 0
     size = len(page)
 
     def add_text(text: str) -> None:
         text = html.unescape(text)
-        if stack[-1].tag == "head" and text.strip(" \t\n\f\r"):
-            stack.pop()
-        stack[-1].children.append(Node("#text", text=text))
+        if stack.nodes[-1].tag == "head" and text.strip(" \t\n\f\r"):
+            stack.cut(len(stack.nodes) - 1)
+        stack.nodes[-1].children.append(Node("#text", text=text))
 
     while at < size:
         m = TOKEN.search(page, at)
@@ -103,34 +143,25 @@ def build(page: str) -> Node:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    depth = 0
-                    break
-            else:
-                depth = 0
-            if tag == "p" and depth == 0:  # an end tag alone stands for an empty paragraph
-                stack[-1].children.append(Node("p"))
+            depth = stack.last([tag])
+            if depth and (tag in THROUGH_CELLS or depth >= stack.last(CELLS)):
+                stack.cut(depth)
+            elif tag == "p":  # an end tag alone stands for an empty paragraph
+                stack.nodes[-1].children.append(Node("p"))
         elif m[2]:
             tag = m[2].lower()
-            if stack[-1].tag == "head" and tag not in HEAD:
-                stack.pop()
+            if stack.nodes[-1].tag == "head" and tag not in HEAD:
+                stack.cut(len(stack.nodes) - 1)
             if tag in ENDS:
                 closed, fences = ENDS[tag]
-                depth = len(stack) - 1
-                while depth > 0 and stack[depth].tag not in fences:
-                    if stack[depth].tag in closed:
-                        del stack[depth:]
-                    depth -= 1
+                if depth := stack.first_below(closed, stack.last(fences)):
+                    stack.cut(depth)
             attributes = {}
             if m[3].strip("/ \t\r\n"):
                 for a in ATTRIBUTE.finditer(m[3]):
                     attributes.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
             node = Node(tag, attributes)
-            stack[-1].children.append(node)
+            stack.nodes[-1].children.append(node)
             if tag in RAW:
                 close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
                 end = close.start() if close else size
@@ -138,10 +169,24 @@ def build(page: str) -> Node:
                     node.children.append(Node("#text", text=html.unescape(page[at:end]) if tag in ("title", "textarea") else page[at:end]))
                 at = close.end() if close else size
             elif tag not in VOID:
-                stack.append(node)
+                stack.push(node)
+    hide(root)
     return root
 
 
+def hide(root: Node) -> None:
+    """Take the text out of what ``visibility`` hides; a visible element inside stays."""
+    todo = [(root, False)]
+    while todo:
+        node, hidden = todo.pop()
+        if (style := node.attributes.get("style")) and (found := VISIBILITY.findall(style)):
+            hidden = found[-1].lower() != "visible"
+        if hidden:
+            node.text = ""
+            node.tag = {"li": "div", "img": "span", "hr": "div"}.get(node.tag, node.tag)
+        todo.extend((child, hidden) for child in node.children)
+
+
 class Lines:
     """Finished lines, and the one being written."""
 
@@ -242,6 +287,8 @@ def _walk(root: Node, out: Lines, depth: int) -> None:
                 after.append(counters.pop)
             elif tag == "li":
                 kind = counters[-1] if counters else ["ul", 1]
+                if kind[0] == "ol" and re.fullmatch(r"-?\d{1,9}", number := node.attributes.get("value", "")):
+                    kind[1] = int(number)
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
                 kind[1] += 1
                 old = out.indent
@@ -272,6 +319,7 @@ def _plain(node: Node) -> str:
 def _table(table: Node, depth: int) -> list[str]:
     """Captions, then rows with aligned cells. A cell of several lines, also a table in a cell, takes several."""
     lines, rows, todo = [], [], list(reversed(table.children))
+    taken: dict[int, int] = {}  # columns that a cell of an earlier row covers, and up to which row
     while todo:
         node = todo.pop()
         if node.tag == "#text" or not node.shown:
@@ -279,38 +327,59 @@ def _table(table: Node, depth: int) -> list[str]:
                 lines.append(" ".join(x for x in BLANKS.split(node.text) if x))
             continue
         if node.tag == "tr":
-            cells = []
+            cells, column = [], 0
             for cell in node.children:
                 if cell.tag == "#text":
-                    if cell.text.strip(" \t\n\f\r"):
-                        cells.append(([" ".join(x for x in BLANKS.split(cell.text) if x)], 1))
+                    if not cell.text.strip(" \t\n\f\r"):
+                        continue
+                    text, wide, high = [" ".join(x for x in BLANKS.split(cell.text) if x)], 1, 1
                 elif cell.shown:
-                    span = cell.attributes.get("colspan", "1") if cell.tag in ("td", "th") else "1"
-                    cells.append((_cell(cell, depth), min(int(span), 50) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1))
+                    text, wide, high = _cell(cell, depth), _span(cell, "colspan", MOST_COLUMNS), _span(cell, "rowspan", MOST_ROWS)
+                else:
+                    continue
+                while taken.get(column, 0) > len(rows):  # by a cell of an earlier row
+                    column += 1
+                cells.append((column, text, wide))
+                if high > 1:
+                    taken.update((column + k, len(rows) + high) for k in range(wide))
+                column += wide
             rows.append(cells)
         elif node.tag in ("thead", "tbody", "tfoot"):
             todo.extend(reversed(node.children))
         else:
             lines += _cell(node, depth)
-    widths: list[int] = []
+    # Only columns in which a cell begins take room, so a wide span of nothing takes none.
+    begins = sorted({column for cells in rows for column, _, _ in cells})
+    widths = [0] * len(begins)
+    placed = []
     for cells in rows:
-        column = 0
-        for text, span in cells:
-            widths += [0] * (column + span - len(widths))
-            if span == 1:
-                widths[column] = max(widths[column], min(max(map(len, text), default=0), WIDTH))
-            column += span
-    for cells in rows:
-        for k in range(max((len(text) for text, _ in cells), default=0)):
-            line, column = "", 0
-            for text, span in cells:
-                width = sum(widths[column : column + span]) + 3 * (span - 1)
-                line += (text[k] if k < len(text) else "").ljust(width) + " | "
-                column += span
+        own = [(bisect_left(begins, column), bisect_left(begins, column + wide), text) for column, text, wide in cells]
+        placed.append(own)
+        for a, b, text in own:
+            if b - a == 1:
+                widths[a] = max(widths[a], min(max(map(len, text), default=0), WIDTH))
+    ends = [0]
+    for width in widths:
+        ends.append(ends[-1] + width + 3)
+    for own in placed:
+        for k in range(max((len(text) for _, _, text in own), default=0)):
+            line, at = "", 0
+            for a, b, text in own:
+                line += "".join(" " * widths[c] + " | " for c in range(at, a))  # columns of cells from earlier rows, and missing ones
+                line += (text[k] if k < len(text) else "").ljust(ends[b] - ends[a] - 3) + " | "
+                at = b
             lines.append(line[:-3].rstrip())
     return lines
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    """Columns or rows of a cell; a rowspan of 0 runs to the end of the table."""
+    value = cell.attributes.get(name, "1") if cell.tag in ("td", "th") else "1"
+    if not re.fullmatch(r"\d{1,9}", value):
+        return 1
+    return min(int(value), most) or (most if name == "rowspan" else 1)
+
+
 def _cell(node: Node, depth: int) -> list[str]:
     inner = Node("div")
     inner.children = node.children
