@@ -468,6 +468,18 @@ def test_guard_refuses(sql):
         ds.check_sql(sql)
 
 
+def test_column_forms_equal_plain_forms(spark):
+    texts = ["a", "it's", 'say "x"', "both ' and \"", "back\\slash", "{n}", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "n long, s string")
+    key = ds.cache_key_column(F.lit("c"), {"s": F.col("s"), "n": F.col("n")}, texts=["s"])
+    filled = ds.filled_column("{s} and {n}, {other}", {"s": F.col("s"), "n": F.col("n")})
+    for r in rows.select("n", "s", key.alias("key"), filled.alias("filled")).collect():
+        assert r.key == ds.cache_key("c", {"n": r.n, "s": r.s})
+        assert r.filled == ds.fill_placeholders("{s} and {n}, {other}", {"s": r.s, "n": r.n})
+    words = spark.createDataFrame([("12",), ("x1",), ("1.5",), (None,)], "s string")
+    assert [r[0] for r in words.select(ds.soft_column(F.col("s"), "integer")).collect()] == ["12", "x1", "1.5", None]
+
+
 def test_guard_accepts():
     assert ds.check_sql("  select updated_at from t") and ds.check_sql("with a as (select 1) select * from a")
 

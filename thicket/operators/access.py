@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from thicket.ordering import running_total
 
 ALL_METHODS = 5
+# Labels of permission types, and the type of a permission without one.
+PERMISSION_TYPES = {0: "按钮权限", 1: "API权限", 2: "数据权限", 3: "其他权限"}
+OTHER_TYPE = 3
 PLACEHOLDER = r"\{[^}]+\}"
 
 
@@ -89,13 +92,21 @@ def role_permissions(grants: DataFrame, permissions: DataFrame) -> DataFrame:
 
 
 def menu_permissions(menus: DataFrame, permissions: DataFrame, role_menu: DataFrame, grants: DataFrame, role: str) -> DataFrame:
-    """One row per menu and permission with the role's ``checked`` flags; leaf menus carry permissions."""
+    """One row per menu and permission with the role's ``checked`` flags; leaf menus carry permissions.
+
+    Permissions come with name, code, type and the type's label; a missing type counts as the last one.
+    """
+    labels = F.create_map(*[F.lit(x) for pair in PERMISSION_TYPES.items() for x in pair])
+    kind = F.coalesce("permission_type", F.lit(OTHER_TYPE))
     my_menus = role_menu.where(F.col("role_id") == role).select("menu_id", F.lit(True).alias("_m")).distinct()
     my_perms = grants.where(F.col("role_id") == role).select("permission_id", F.lit(True).alias("_p")).distinct()
     parents = menus.select(F.col("parent_id").alias("menu_id")).where(F.col("parent_id").isNotNull()).distinct()
     perms = (
         permissions.where(F.col("is_active") & ~F.col("is_deleted"))
-        .select("menu_id", F.col("id").alias("permission_id"), "permission_type")
+        .select(
+            "menu_id", F.col("id").alias("permission_id"), F.col("name").alias("permission_name"), F.col("code").alias("permission_code"),
+            kind.alias("permission_type"), F.coalesce(F.try_element_at(labels, kind), F.lit(PERMISSION_TYPES[OTHER_TYPE])).alias("permission_type_label"),
+        )
         .join(parents, "menu_id", "left_anti")
         .join(my_perms, "permission_id", "left")
     )
@@ -109,7 +120,10 @@ def menu_permissions(menus: DataFrame, permissions: DataFrame, role_menu: DataFr
             "name",
             F.col("_m").isNotNull().alias("menu_checked"),
             "permission_id",
+            "permission_name",
+            "permission_code",
             "permission_type",
+            "permission_type_label",
             F.col("_p").isNotNull().alias("permission_checked"),
         )
     )

@@ -111,8 +111,15 @@ def triple_parts(text: Column) -> Column:
     return F.transform(F.split(text, ","), _stripped)
 
 
-def retrieved_links(triples: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Links (source, target, name) of written triples; a text without commas is a lone source."""
+def _short(text: Column, shown: int | None) -> Column:
+    return text if shown is None else F.substring(text, 1, shown)
+
+
+def retrieved_links(triples: DataFrame, text: str, keep: Sequence[str] = (), shown: int | None = None) -> DataFrame:
+    """Links (source, target, name, relation) of written triples; a text without commas is a lone source.
+
+    ``name`` is the relation cut to ``shown`` characters, where a limit is given.
+    """
     parts = F.when(F.col(text).contains(","), triple_parts(F.col(text))).otherwise(
         F.array(F.col(text), F.lit(""), F.lit(""))
     )
@@ -121,38 +128,46 @@ def retrieved_links(triples: DataFrame, text: str, keep: Sequence[str] = ()) ->
         *keep,
         F.col("p")[0].alias("source"),
         F.col("p")[2].alias("target"),
-        F.substring(F.col("p")[1], 1, 15).alias("name"),
+        _short(F.col("p")[1], shown).alias("name"),
+        F.col("p")[1].alias("relation"),
     )
 
 
-def retrieved_nodes(links: DataFrame) -> DataFrame:
-    """Distinct non-empty ends with a short name."""
+def retrieved_nodes(links: DataFrame, shown: int | None = None) -> DataFrame:
+    """Distinct non-empty ends; ``name`` is cut to ``shown`` characters, where a limit is given."""
     ends = links.select(F.explode(F.array("source", "target")).alias("id")).where(F.col("id") != "").distinct()
-    return ends.select("id", F.substring("id", 1, 20).alias("name"))
+    return ends.select("id", _short(F.col("id"), shown).alias("name"))
+
 
+def question_triples(
+    triples: DataFrame, question: str, position: str, text: str, k: int | None = None, link_shown: int | None = None, node_shown: int | None = None
+) -> DataFrame:
+    """Links from a question to its triples, the first ``k`` if given; ``position`` counts from 0 per question.
 
-def question_triples(triples: DataFrame, question: str, position: str, text: str, k: int = 5) -> DataFrame:
-    """Links from a question to its first ``k`` triples; ``position`` counts from 0 per question."""
+    ``link_name`` and ``node_name`` may be cut for display; ``head`` and ``relation`` are whole.
+    """
     parts = triple_parts(F.col(text))
     ids = F.concat_ws("_", F.lit("triple"), F.col(question), F.col(position))
     return (
-        triples.where(F.col(position) < k)
+        (triples if k is None else triples.where(F.col(position) < k))
         .select(question, position, ids.alias("triple_id"), parts.alias("p"))
         .where(F.size("p") >= 3)
         .select(
             F.concat(F.lit("sq_"), F.col(question)).alias("source"),
             F.col("triple_id").alias("target"),
-            F.substring(F.col("p")[0], 1, 15).alias("link_name"),
-            F.substring(F.col("p")[1], 1, 20).alias("node_name"),
+            _short(F.col("p")[0], link_shown).alias("link_name"),
+            _short(F.col("p")[1], node_shown).alias("node_name"),
+            F.col("p")[0].alias("head"),
+            F.col("p")[1].alias("relation"),
         )
     )
 
 
-def reasoning_chain(steps: DataFrame, chain: str, position: str, label: str) -> DataFrame:
-    """Steps as a linked list; the source is the step before, or the question for the first."""
+def reasoning_chain(steps: DataFrame, chain: str, position: str, label: str, shown: int | None = None) -> DataFrame:
+    """Steps as a linked list; the source is the step before, or the question for the first. ``text`` is whole."""
     at = F.col(position)
     source = F.when(at == 0, "question").otherwise(F.concat(F.lit("step_"), (at - 1).cast("string")))
     return steps.select(
         chain, source.alias("source"), F.concat(F.lit("step_"), at.cast("string")).alias("target"),
-        F.substring(label, 1, 20).alias("name"),
+        _short(F.col(label), shown).alias("name"), F.col(label).alias("text"),
     )

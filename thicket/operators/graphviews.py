@@ -25,10 +25,11 @@ def _ends(rels: DataFrame) -> DataFrame:
     return rels.select("seq", F.inline(ends)).where(F.coalesce("id", F.lit("")) != "")
 
 
-def view_nodes(rels: DataFrame) -> DataFrame:
-    """Nodes by name; the first occurrence gives the category."""
+def view_nodes(rels: DataFrame, shown: int | None = None) -> DataFrame:
+    """Nodes by name; the first occurrence gives the category. ``name`` may be cut for display, ``id`` is whole."""
     first = first_per_key(_ends(rels), ["id"], ["seq", "end"])
-    return first.select("id", F.substring("id", 1, 30).alias("name"), "category", F.lit(25).alias("size"))
+    name = F.col("id") if shown is None else F.substring("id", 1, shown)
+    return first.select("id", name.alias("name"), "category", F.lit(25).alias("size"))
 
 
 def view_links(rels: DataFrame) -> DataFrame:

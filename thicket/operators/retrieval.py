@@ -477,10 +477,11 @@ def format_triples(scored: DataFrame, nodes: DataFrame, props: Column | None = N
     return rows.select("query_id", "rank", text.alias("txt"))
 
 
-def format_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunk previews: id, first 200 characters, score."""
+def format_chunks(ranked: DataFrame, chunks: DataFrame, shown: int | None = None) -> DataFrame:
+    """Chunk previews: id, text (its first ``shown`` characters, if given), score."""
+    text = F.col("text") if shown is None else F.substring("text", 1, shown)
     text = F.concat(
-        F.lit("[Chunk "), "chunk_id", F.lit("] "), F.substring("text", 1, 200), F.lit("... [score: "),
+        F.lit("[Chunk "), "chunk_id", F.lit("] "), text, F.lit("... [score: "),
         decimals(F.col("score"), "0.000"), F.lit("]"),
     )
     return chunk_texts(ranked, chunks).select("query_id", "rank", "chunk_id", text.alias("preview"))

@@ -91,4 +91,4 @@ class Answer:
     @property
     def previews(self) -> DataFrame:
         """(query_id, rank, chunk_id, preview)."""
-        return rt.format_chunks(self.ranked_chunks, self.chunk_table)
+        return rt.format_chunks(self.ranked_chunks, self.chunk_table, shown=200)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions.jsonpath import rows_at_path
@@ -161,6 +161,39 @@ def cache_key(code: str, params: Mapping[str, Any]) -> str:
     return f"datasource:{code}:{digest[:8]}"
 
 
+# ---- the same for columns, where every row brings its own values
+
+
+def soft_column(value: Column, kind: str) -> Column:
+    """The typed value as text; what does not convert stays as it is."""
+    types = {"integer": "bigint", "float": "double", "boolean": "boolean"}
+    return F.coalesce(value.try_cast(types[kind]).cast("string"), value) if kind in types else value.cast("string")
+
+
+def filled_column(template: str, values: Mapping[str, Column]) -> Column:
+    """A text with columns for its ``{name}`` places, null as nothing; values are not expanded again."""
+    parts = re.split(r"\{(" + "|".join(map(re.escape, values)) + r")\}", template) if values else [template]
+    text = [F.coalesce(values[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)]
+    return F.concat(*text)
+
+
+def cache_key_column(code: Column, params: Mapping[str, Column], texts: Sequence[str] = ()) -> Column:
+    """:func:`cache_key` of every row; ``texts`` names the parameters that are texts, of printable characters."""
+
+    def quoted(text: Column) -> Column:
+        escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+        double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+        single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        return F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(single)
+
+    shown = [
+        F.concat(F.lit(f"({name!r}, "), F.coalesce(quoted(value) if name in texts else value.cast("string"), F.lit("None")), F.lit(")"))
+        for name, value in sorted(params.items())
+    ]
+    listed = F.concat(F.lit("["), F.concat_ws(", ", *shown), F.lit("]"))
+    return F.concat(F.lit("datasource:"), code, F.lit(":"), F.substring(F.md5(listed), 1, 8))
+
+
 def run_sql(spark: SparkSession, sql: str, params: Mapping[str, Any], tables: Mapping[str, DataFrame]) -> DataFrame:
     """Run a checked query with bound ``:name`` parameters over the given tables.
 

@@ -124,6 +124,12 @@ SELECT p_partkey AS id, concat(p_type, ':', p_brand) AS menu_id, p_name AS name,
        p_size % 5 AS data_scope, p_brand <> 'Brand#1' AS is_active, p_size = 50 AS is_deleted
 FROM {part}
 """
+# the same permissions on the menus that have no menus below
+STANDINS["leaf_permission"] = """
+SELECT id, CASE WHEN p_size < 40 THEN concat(menu_id, ':', p_size) WHEN p_size % 2 = 0 THEN menu_id ELSE concat('orphan:', p_size) END AS menu_id,
+       name, code, permission_type, is_active, is_deleted
+FROM {permission} JOIN {part} ON id = p_partkey
+"""
 STANDINS["role_permission"] = """
 SELECT DISTINCT c_mktsegment AS role_id, l_partkey AS permission_id
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey

@@ -380,12 +380,15 @@ def _(t):
 
 
 @query("j17_menu_permissions", """
-SELECT m.id AS menu_id, m.parent_id, m.name, m.id IN (SELECT menu_id FROM role_menu WHERE role_id = 'BUILDING') AS menu_checked,
-       p.id AS permission_id, p.permission_type, coalesce(p.id IN (SELECT permission_id FROM role_permission WHERE role_id = 'BUILDING'), false) AS permission_checked
-FROM menu m LEFT JOIN permission p ON p.menu_id = m.id AND p.is_active AND NOT p.is_deleted
-  AND m.id NOT IN (SELECT parent_id FROM menu WHERE parent_id IS NOT NULL)""")
-def _(t):
-    return access.menu_permissions(t.menu, t.permission, t.role_menu, t.role_permission, "BUILDING")
+WITH parents AS (SELECT DISTINCT parent_id AS id FROM menu WHERE parent_id IS NOT NULL),
+mine AS (SELECT DISTINCT permission_id AS id FROM role_permission WHERE role_id = 'BUILDING'), menus AS (SELECT DISTINCT menu_id AS id FROM role_menu WHERE role_id = 'BUILDING'),
+perms AS (SELECT p.* FROM leaf_permission p LEFT JOIN parents ON parents.id = p.menu_id WHERE parents.id IS NULL AND is_active AND NOT is_deleted)
+SELECT m.id AS menu_id, m.parent_id, m.name, menus.id IS NOT NULL AS menu_checked, p.id AS permission_id, p.name AS permission_name, p.code AS permission_code,
+  p.permission_type, CASE p.permission_type WHEN 0 THEN '按钮权限' WHEN 1 THEN 'API权限' WHEN 2 THEN '数据权限' WHEN 3 THEN '其他权限' END AS permission_type_label,
+  mine.id IS NOT NULL AS permission_checked
+FROM menu m LEFT JOIN menus ON menus.id = m.id LEFT JOIN perms p ON p.menu_id = m.id LEFT JOIN mine ON mine.id = p.id""")
+def _(t):
+    return access.menu_permissions(t.menu, t.leaf_permission, t.role_menu, t.role_permission, "BUILDING")
 
 
 @query("j18_permissions_of_menu", """

@@ -108,10 +108,13 @@ def _(t):
 
 
 @query("m09_mark_all_read", f"""
-SELECT id, recipient_id, CASE WHEN recipient_id = 77 AND msg_type = '2-HIGH' THEN 'read' ELSE status END AS status,
-       CASE WHEN recipient_id = 77 AND msg_type = '2-HIGH' AND status = 'unread' THEN {NOW_SQL} END AS read_at FROM message""")
+WITH busy AS (SELECT recipient_id AS u FROM message WHERE status = 'unread' AND msg_type = '2-HIGH' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT id, recipient_id, CASE WHEN u IS NOT NULL AND msg_type = '2-HIGH' THEN 'read' ELSE status END AS status,
+       CASE WHEN u IS NOT NULL AND msg_type = '2-HIGH' AND status = 'unread' THEN {NOW_SQL} END AS read_at FROM message LEFT JOIN busy ON recipient_id = u""")
 def _(t):
-    return changes.mark_all_read(t.message, 77, "2-HIGH", now()).select("id", "recipient_id", "status", "read_at")
+    unread = t.message.where("status = 'unread' AND msg_type = '2-HIGH'").groupBy("recipient_id").agg(F.count(F.lit(1)).alias("n"))
+    busiest = unread.orderBy(F.desc("n"), "recipient_id").first()["recipient_id"]
+    return changes.mark_all_read(t.message, busiest, "2-HIGH", now()).select("id", "recipient_id", "status", "read_at")
 
 
 @query("m09_delete_read", "SELECT id, recipient_id, status FROM message WHERE NOT (recipient_id = 77 AND status = 'read')")

@@ -6,6 +6,7 @@ from thicket.operators import community as cm
 from thicket.operators import kmeans
 from thicket.operators.graphbuild import hashed_terms, hashed_vectors, triple_strings
 from thicket.ordering import top_per_key
+from thicket.queries.graphs import TRIPLE_STRINGS
 from thicket.queries.registry import query
 from thicket.queries.search import NV, sql
 from thicket.session import stage
@@ -51,11 +52,15 @@ def vectored(t):
     return stage(hashed_vectors(hashed_terms(triple_strings(t.kg_nodes, t.kg_unique))))
 
 
-@query("k13_hashed_vectors", "SELECT node_id AS id, 64 AS dim, 1.0::DOUBLE AS norm2 FROM kg_nodes")
+@query("k13_hashed_vectors", f"""WITH {TRIPLE_STRINGS.replace('kg_edges', 'kg_unique')},
+w AS (SELECT node_id, unnest(string_split(lower(txt), ' ')) AS w FROM strings),
+b AS (SELECT node_id, CAST(('0x' || substr(md5(w), 1, 4)) AS BIGINT) % 64 AS bucket, count(*) AS n FROM w WHERE w <> '' GROUP BY 1, 2),
+f AS (SELECT node_id, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY node_id)) AS FLOAT) AS DOUBLE) AS x FROM b)
+SELECT node_id AS id, 64 AS dim, round(sum((bucket + 1) * x), 6) AS weighted, round(max(x), 6) AS largest FROM f GROUP BY 1""")
 def _(t):
     v = vectored(t)
-    norm2 = F.round(F.aggregate("emb", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4)
-    return v.select("id", F.size("emb").alias("dim"), norm2.alias("norm2"))
+    weighted = F.aggregate(F.transform("emb", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return v.select("id", F.size("emb").alias("dim"), F.round(weighted, 6).alias("weighted"), F.round(F.array_max("emb").cast("double"), 6).alias("largest"))
 
 
 #: The published limits of clustering.

@@ -168,7 +168,7 @@ def _(t):
 WITH ends AS (SELECT s_name AS id FROM kg_triples UNION ALL SELECT t_name FROM kg_triples), d AS (SELECT id, count(*) AS degree FROM ends GROUP BY 1)
 SELECT id, degree, CAST(floor(5 + 15 * sqrt((degree - (SELECT min(degree) FROM d)) / ((SELECT max(degree) FROM d) - (SELECT min(degree) FROM d))) + 0.5) AS BIGINT) AS size FROM d""")
 def _(t):
-    return gv.node_sizes(gv.view_nodes(t.kg_triples), gv.view_links(t.kg_triples))
+    return gv.node_sizes(gv.view_nodes(t.kg_triples, shown=30), gv.view_links(t.kg_triples))
 
 
 VIEW = """
@@ -178,12 +178,12 @@ vnodes AS (SELECT id, substr(id, 1, 30) AS name, arg_min(category, k) AS categor
 
 @query("a19_view_stats", f"WITH {VIEW} SELECT (SELECT count(*) FROM vnodes) AS total_nodes, (SELECT count(*) FROM kg_triples) AS total_edges, (SELECT count(DISTINCT category) FROM vnodes) AS categories")
 def _(t):
-    return gv.view_stats(gv.view_nodes(t.kg_triples), gv.view_links(t.kg_triples))
+    return gv.view_stats(gv.view_nodes(t.kg_triples, shown=30), gv.view_links(t.kg_triples))
 
 
 @query("l01_view_nodes", f"WITH {VIEW} SELECT * FROM vnodes")
 def _(t):
-    return gv.view_nodes(t.kg_triples)
+    return gv.view_nodes(t.kg_triples, shown=30)
 
 
 @query("l01_view_links", "SELECT seq, s_name AS source, t_name AS target, relation AS name, 1 AS value FROM kg_triples")
@@ -193,7 +193,7 @@ def _(t):
 
 @query("l01_view_categories", f"WITH {VIEW} SELECT DISTINCT category FROM vnodes")
 def _(t):
-    return gv.view_categories(gv.view_nodes(t.kg_triples))
+    return gv.view_categories(gv.view_nodes(t.kg_triples, shown=30))
 
 
 @query("l02_standard_view", "SELECT p_partkey AS id, coalesce(CASE WHEN p_size > 10 THEN p_size END, 25) AS size FROM part")
@@ -268,7 +268,7 @@ def _(t):
 
 @query("p28_search_nodes", f"WITH {VIEW} SELECT id, category FROM vnodes WHERE name ILIKE '%ring%' OR category ILIKE '%ring%' ORDER BY id LIMIT 10")
 def _(t):
-    return gv.search_nodes(gv.view_nodes(t.kg_triples), "ring").select("id", "category")
+    return gv.search_nodes(gv.view_nodes(t.kg_triples, shown=30), "ring").select("id", "category")
 
 
 @query("p25_nodes_of_types", "SELECT node_id FROM kg_nodes WHERE schema_type IN ('nation', 'supplier') OR (schema_type IS NULL AND label = 'entity')")
@@ -282,4 +282,4 @@ def _(t):
 def _(t):
     from thicket.ordering import page
 
-    return page(gv.view_nodes(t.kg_triples).select("id", "category"), ["id"], 2)
+    return page(gv.view_nodes(t.kg_triples, shown=30).select("id", "category"), ["id"], 2)

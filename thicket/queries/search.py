@@ -126,11 +126,13 @@ BOTH = [*NODE_PATH, WIDE, AROUND, TP, RR, MG]
 
 
 def sums(df, *keys):
-    """Two checks per vector that do not need nested output: its length and its first part."""
-    return df.select(*keys, F.round(F.aggregate("emb", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"), F.round(F.col("emb")[0], 6).alias("first"))
+    """Checks per vector that do not need nested output: its length, its first part, and all parts weighted by place."""
+    weighted = F.aggregate(F.transform("emb", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return df.select(*keys, F.round(weighted, 5).alias("weighted"), F.round(F.aggregate("emb", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"), F.round(F.col("emb")[0], 6).alias("first"))
 
 
-UNIT = "round(list_dot_product(e, e) / list_dot_product(e, e), 6) AS norm2, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first"
+PLACED = "list_sum(list_transform(range(1, 65), lambda i: i * e[i]))"
+UNIT = f"round({PLACED} / sqrt(list_dot_product(e, e)), 5) AS weighted, round(list_dot_product(e, e) / list_dot_product(e, e), 6) AS norm2, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first"
 
 
 @query("s26_node_vectors", sql(f"SELECT 'node' AS kind, id, {UNIT} FROM nv", NV))
@@ -167,7 +169,7 @@ def _(t):
     return sums(vs.index("community", vs.community_texts(nodes), t.comm_vec), "kind", "id")
 
 
-@query("s30_chunk_vectors", sql("SELECT 'chunk' AS kind, id, round(list_dot_product(e, e), 6) AS norm2, round(e[1], 6) AS first FROM chv WHERE id IN (SELECT chunk_id FROM chunk)", CHV))
+@query("s30_chunk_vectors", sql("SELECT 'chunk' AS kind, id, round(list_sum(list_transform(range(1, 65), lambda i: i * e[i])), 5) AS weighted, round(list_dot_product(e, e), 6) AS norm2, round(e[1], 6) AS first FROM chv WHERE id IN (SELECT chunk_id FROM chunk)", CHV))
 def _(t):
     return sums(vs.index("chunk", t.chunk.select(F.col("chunk_id").alias("id")), t.chunk_vec, normalize=False), "kind", "id")
 

@@ -2,26 +2,13 @@
 
 import json
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from thicket.functions import jsonpath, text
 from thicket.operators import charts, setops
-from thicket.plans.datasource import MAX_ROWS, DataSource, preview_source, run_source, run_sql
+from thicket.plans.datasource import MAX_ROWS, DataSource, cache_key_column, filled_column, preview_source, run_source, run_sql, soft_column
 from thicket.queries.registry import query
 
-
-
-def per_row(fn):
-    """A library function of plain values as a text column, called in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def run(first: pd.Series, *rest: pd.Series) -> pd.Series:
-        return pd.Series([fn(*row) for row in zip(first, *rest, strict=True)], dtype="object")
-
-    return run
-
-
 DAILY_SQL = """
 SELECT to_date(ts) AS day, count(*) AS total, count_if(status = 1) AS ok, count_if(status = 0) AS failed
 FROM login_log WHERE ts >= (SELECT max(ts) FROM login_log) - make_interval(0, 0, 0, :days)
@@ -139,20 +126,14 @@ def _(t):
 SELECT l_orderkey, l_linenumber, coalesce(CAST(TRY_CAST(l_returnflag AS INTEGER) AS VARCHAR), l_returnflag) AS flag,
        coalesce(CAST(TRY_CAST(CAST(l_partkey AS VARCHAR) AS INTEGER) AS VARCHAR), '') AS part FROM lineitem""")
 def _(t):
-    from thicket.plans.datasource import convert_param
-
-    soft = per_row(lambda value: str(convert_param(value, "integer")))
     part = F.col("l_partkey").cast("string")
-    return t.lineitem.select("l_orderkey", "l_linenumber", soft("l_returnflag").alias("flag"), soft(part).alias("part"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", soft_column(F.col("l_returnflag"), "integer").alias("flag"), soft_column(part, "integer").alias("part"))
 
 
 @query("p07_fill_placeholders", "SELECT user_id, '{\"q\": \"user ' || user_id || ' of ' || event_type || '\"}' AS body FROM events")
 def _(t):
-    from thicket.plans.datasource import fill_placeholders
-
-    template = {"q": "user {user} of {kind}"}
-    filled = per_row(lambda user, kind: json.dumps(fill_placeholders(template, {"user": user, "kind": kind})))
-    return t.events.select("user_id", filled("user_id", "event_type").alias("body"))
+    body = json.dumps({"q": "user {user} of {kind}"})
+    return t.events.select("user_id", filled_column(body, {"user": F.col("user_id"), "kind": F.col("event_type")}).alias("body"))
 
 
 # ---- chart shapes
@@ -233,28 +214,28 @@ def _written(t):
     return t.kg_edges.select("seq", F.format_string("['%s', '%s', '%s']", "src", "relation", "dst").alias("txt"))
 
 
-@query("c10_retrieved_links", "SELECT seq, src AS source, dst AS target, substr(relation, 1, 15) AS name FROM kg_edges")
+@query("c10_retrieved_links", "SELECT seq, src AS source, dst AS target, substr(relation, 1, 15) AS name, relation FROM kg_edges")
 def _(t):
-    return charts.retrieved_links(_written(t), "txt", ["seq"])
+    return charts.retrieved_links(_written(t), "txt", ["seq"], shown=15)
 
 
 @query("c10_retrieved_nodes", "SELECT DISTINCT id, substr(id, 1, 20) AS name FROM (SELECT src AS id FROM kg_edges UNION ALL SELECT dst FROM kg_edges)")
 def _(t):
-    return charts.retrieved_nodes(charts.retrieved_links(_written(t), "txt"))
+    return charts.retrieved_nodes(charts.retrieved_links(_written(t), "txt"), shown=20)
 
 
 @query("c11_question_triples", """
-SELECT 'sq_' || conv_id AS source, 'triple_' || conv_id || '_' || turn AS target, substr(role, 1, 15) AS link_name, substr('turn ' || turn, 1, 20) AS node_name
+SELECT 'sq_' || conv_id AS source, 'triple_' || conv_id || '_' || turn AS target, substr(role, 1, 15) AS link_name, substr('turn ' || turn, 1, 20) AS node_name, role AS head, 'turn ' || turn AS relation
 FROM conversations WHERE turn < 5""")
 def _(t):
     said = t.conversations.select("conv_id", "turn", F.format_string("[%s, 'turn %d', end]", "role", "turn").alias("txt"))
-    return charts.question_triples(said, "conv_id", "turn", "txt")
+    return charts.question_triples(said, "conv_id", "turn", "txt", k=5, link_shown=15, node_shown=20)
 
 
 @query("c12_reasoning_chain", """
-SELECT conv_id, CASE WHEN turn = 0 THEN 'question' ELSE 'step_' || (turn - 1) END AS source, 'step_' || turn AS target, substr(text, 1, 20) AS name FROM conversations""")
+SELECT conv_id, CASE WHEN turn = 0 THEN 'question' ELSE 'step_' || (turn - 1) END AS source, 'step_' || turn AS target, substr(text, 1, 20) AS name, text FROM conversations""")
 def _(t):
-    return charts.reasoning_chain(t.conversations, "conv_id", "turn", "text")
+    return charts.reasoning_chain(t.conversations, "conv_id", "turn", "text", shown=20)
 
 
 # ---- set operations
@@ -453,10 +434,8 @@ def _(t):
 
 @query("x19_cache_key", "SELECT o_orderkey, 'datasource:' || o_orderpriority || ':' || substr(md5('[(''a'', ' || o_orderkey || '), (''b'', ''' || o_orderstatus || ''')]'), 1, 8) AS key FROM orders")
 def _(t):
-    from thicket.plans.datasource import cache_key
-
-    key = per_row(lambda code, a, b: cache_key(code, {"a": int(a), "b": b}))
-    return t.orders.select("o_orderkey", key("o_orderpriority", "o_orderkey", "o_orderstatus").alias("key"))
+    key = cache_key_column(F.col("o_orderpriority"), {"a": F.col("o_orderkey"), "b": F.col("o_orderstatus")}, texts=["b"])
+    return t.orders.select("o_orderkey", key.alias("key"))
 
 
 @query("x20_durations", """

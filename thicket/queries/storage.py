@@ -223,6 +223,11 @@ def _(t):
     return files.seeded_sizes(ids, docs, "source")
 
 
+@query("s32_seeded_texts", "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position, doc_id, text FROM documents")
+def _(t):
+    return files.seeded_rows(t.documents, "source")
+
+
 # ---- streams, run to the end of the data and compared with their batch twins
 
 
@@ -233,13 +238,12 @@ def stream_of(t, df, name, parts=3):
 
 
 def drained(t, stream, name, mode="complete"):
-    """Run a query over everything that is there, and read its final table."""
-    target = "out_" + uuid.uuid4().hex
-    q = stream.writeStream.format("memory").queryName(target).outputMode(mode).option(
-        "checkpointLocation", folder(t, name)
-    ).trigger(availableNow=True).start()
+    """Run a query over everything that is there, and read its last table; each batch replaces it."""
+    target = folder(t, "table")
+    write = lambda df, number: df.write.parquet(f"{target}/{number}")
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", folder(t, name)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return t.spark.table(target)
+    return t.spark.read.parquet(f"{target}/{q.lastProgress['batchId']}")
 
 
 @query("n01_refresh_kpis", """
@@ -291,6 +295,19 @@ def _(t):
     return drained(t, twins.daily_counts(stream_of(t, log, "log")), "ck").drop("unique_users")
 
 
+@query("n04_daily_users", """
+SELECT CAST(ts AS DATE) AS date, count(*) AS total_logins, count(*) FILTER (status = 1) AS success_logins, count(*) FILTER (status = 0) AS failed_logins,
+  count(DISTINCT user_id) AS unique_users FROM login_log GROUP BY 1
+HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM login_log) - INTERVAL 1 HOUR""")
+def _(t):
+    log = t.login_log.select("ts", "user_id", "status")
+    path, out = folder(t, "log"), folder(t, "days")
+    log.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(path)  # as a log arrives
+    stream = twins.read_stream(t.spark, path, log.schema)
+    twins.append_to(twins.daily_users(stream), out, folder(t, "ck")).awaitTermination()
+    return t.spark.read.parquet(out)
+
+
 @query("n05_file_chunks", "SELECT string_agg(n_name || ' is a nation', chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM nation GROUP BY n_regionkey")
 def _(t):
     path = folder(t, "arriving")

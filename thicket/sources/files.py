@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thicket.ordering import dense_index
+
 
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8 text; bytes that are not UTF-8 are left out."""
@@ -91,6 +93,11 @@ def seed_chunks(chunk_ids: DataFrame, docs: DataFrame, corpus: str) -> tuple[Dat
     return ids, docs.select(corpus, "doc_id", "text")
 
 
+def seeded_rows(docs: DataFrame, corpus: str) -> DataFrame:
+    """(corpus, position, doc_id, text): the text of a corpus as its rows in order, for readers that join or stream it."""
+    return dense_index(docs.select(corpus, "doc_id", "text"), [corpus], ["doc_id"], "position")
+
+
 def seeded_sizes(ids: DataFrame, docs: DataFrame, corpus: str) -> DataFrame:
     """(chunk_id, documents, characters) of texts joined with a blank line between documents."""
     per = docs.groupBy(corpus).agg(

@@ -68,6 +68,24 @@ def daily_counts(log: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
+def daily_users(log: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Logins per closed day with its exact number of users.
+
+    State holds one row per user of a day that is still open; when the watermark has passed the day,
+    these rows are emitted once and counted. Rows later than ``late`` are not counted, as elsewhere.
+    """
+    per_user = (
+        timed(log).withWatermark("ts", late)
+        .groupBy(F.window("ts", "1 day"), "user_id")
+        .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == 1).alias("success"), F.count_if(F.col("status") == 0).alias("failed"))
+    )
+    days = per_user.groupBy(F.window(F.window_time("window"), "1 day")).agg(
+        F.sum("total").alias("total_logins"), F.sum("success").alias("success_logins"), F.sum("failed").alias("failed_logins"),
+        F.count("user_id").alias("unique_users"),
+    )
+    return days.select(F.to_date("window.start").alias("date"), "total_logins", "success_logins", "failed_logins", "unique_users")
+
+
 def suspicious(log: DataFrame, threshold: int = 5, span: str = "1 hour", slide: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Users and addresses with many failures in a sliding window."""
     return (
