@@ -459,6 +459,22 @@ def test_small_communities_list_all_members(spark, rows, small_graph):
     assert rows(community.super_nodes(members), "node_id", "name") == [("comm_4_1", "Community_1")]
 
 
+def test_records_keep_every_text(spark, tmp_path, monkeypatch):
+    texts = ["", None, "a\nb\r\nc", "\n", "x" * 100_000, f"mark {files.RECORD_END} and {files.ESCAPE}1 {files.ESCAPE}", "ü𝄞"]
+    df = spark.createDataFrame([(f"d/{i}.txt", x) for i, x in enumerate(texts)] * 30, "name string, text string")
+    path = str(tmp_path / "records")
+    files.write_records(df.coalesce(1), path, F.col("name"), F.col("text"))
+    assert len(list((tmp_path / "records").glob("part-*"))) == 1
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")  # many tasks read the one file
+    try:
+        back = files.read_records(spark, path)
+        assert back.rdd.getNumPartitions() > 10
+        assert sorted(((r.path, r.content) for r in back.collect()), key=repr) == sorted([(f"d/{i}.txt", x) for i, x in enumerate(texts)] * 30, key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
 # ---- data sources
 
 

@@ -35,6 +35,18 @@ def _(t):
     return docs.select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), "text")
 
 
+def recorded(t):
+    """The documents, written as a few files of many records."""
+    path = folder(t, "records")
+    files.write_records(t.documents.repartition(4), path, F.format_string("lang/doc%d.txt", "doc_id"), F.col("text"))
+    return path
+
+
+@query("s06_record_documents", "SELECT 'lang/doc' || doc_id || '.txt' AS path, 'doc' || doc_id || '.txt' AS filename, text FROM documents")
+def _(t):
+    return files.read_records(t.spark, recorded(t)).select("path", "filename", F.col("content").alias("text"))
+
+
 @query("s07_sheet_documents", "SELECT n_regionkey, string_agg(n_nationkey || ', ' || n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM nation GROUP BY 1")
 def _(t):
     path = folder(t, "sheets")
@@ -56,6 +68,13 @@ def _(t):
     return stored.select("kb_id", "file_type", "has_graph", F.length("content").cast("long").alias("characters"))
 
 
+@query("s08_ingest_records", """
+SELECT sha256('base:lang/doc' || doc_id || '.txt') AS id, 'doc' || doc_id || '.txt' AS filename, '.txt' AS file_type, CAST(strlen(text) AS BIGINT) AS file_size, md5(text) AS digest, false AS has_graph FROM documents""")
+def _(t):
+    stored = files.ingest(files.read_records(t.spark, recorded(t)), "base", "{}")
+    return stored.select("id", "filename", "file_type", "file_size", F.md5("content").alias("digest"), "has_graph")
+
+
 LOADED = """
 WITH e AS (SELECT seq * 2 AS k, s_label AS label, s_name AS name, s_type AS schema_type FROM kg_triples UNION ALL SELECT seq * 2 + 1, t_label, t_name, t_type FROM kg_triples)
 SELECT sha256(label || chr(1) || name) AS node_id, label, CASE label WHEN 'attribute' THEN 1 ELSE 2 END AS level, name, schema_type FROM e
@@ -319,6 +338,13 @@ def _(t):
     return t.spark.read.parquet(out).select("text")
 
 
+@query("n05_record_chunks", "WITH " + chunk_sql() + " SELECT 'lang/doc' || doc_id || '.txt' AS doc_id, ordinal, text FROM pieces")
+def _(t):
+    out = folder(t, "chunks")
+    twins.append_to(twins.record_chunks(t.spark, recorded(t)), out, folder(t, "ck")).awaitTermination()
+    return t.spark.read.parquet(out).select("doc_id", "ordinal", "text")
+
+
 @query("n06_auto_refresh", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(t):
     parts = folder(t, "panel")

@@ -35,6 +35,46 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Ends a record in a file of many documents. Inside a record it and the escape mark are written as two characters.
+RECORD_END, ESCAPE = "\x1e", "\x1b"
+
+
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "0")), F.lit(RECORD_END), F.lit(ESCAPE + "1"))
+
+
+def _unescaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(ESCAPE + "1"), F.lit(RECORD_END)), F.lit(ESCAPE + "0"), F.lit(ESCAPE))
+
+
+def write_records(docs: DataFrame, path: str, name: Column, text: Column) -> None:
+    """Write many documents per file: a first line with the name, then the text; a null text has no line end.
+
+    The number of files is that of the frame's partitions, whatever the number of documents. Line
+    breaks in names become blanks.
+    """
+    head = F.translate(_escaped(F.coalesce(name.cast("string"), F.lit(""))), "\r\n", "  ")
+    record = F.concat(head, F.coalesce(F.concat(F.lit("\n"), _escaped(text)), F.lit("")))
+    docs.select(record.alias("value")).write.option("lineSep", RECORD_END).text(path)
+
+
+def records(raw: DataFrame) -> DataFrame:
+    """(path, filename, file_type, file_size, content) of records as read by their end mark; path is the document's name."""
+    at = F.instr("value", "\n")
+    name = _unescaped(F.when(at > 0, F.substring("value", F.lit(1), at - 1)).otherwise(F.col("value")))
+    content = F.when(at > 0, _unescaped(F.substring("value", at + 1, F.length("value"))))
+    rows = raw.select(name.alias("path"), content.alias("content"))
+    return rows.select(
+        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), extension(F.col("path")).alias("file_type"),
+        F.octet_length("content").cast("long").alias("file_size"), "content",
+    )
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of :func:`write_records`. Files are split at record marks, so one file is read by many tasks."""
+    return records(spark.read.option("lineSep", RECORD_END).option("recursiveFileLookup", "true").text(path))
+
+
 def text_documents(files: DataFrame) -> DataFrame:
     """(path, text) of text files."""
     return files.select("path", decoded(F.col("content")).alias("text"))
@@ -42,7 +82,7 @@ def text_documents(files: DataFrame) -> DataFrame:
 
 def _sheet_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        yield batch.map(lambda t: "".join(", ".join(row) + "\n" for row in csv.reader(io.StringIO(t, newline=""))))
+        yield batch.map(lambda t: "".join(", ".join(row) + "\n" for row in csv.reader(io.StringIO(t, newline=""))), na_action="ignore")
 
 
 def sheet_documents(files: DataFrame) -> DataFrame:
@@ -55,11 +95,11 @@ def sheet_documents(files: DataFrame) -> DataFrame:
 
 
 def ingest(files: DataFrame, kb_id: str, schema_json: str) -> DataFrame:
-    """Rows of the file table for a batch of files, ready to append."""
+    """Rows of the file table for a batch of files or records, ready to append. Files are read once."""
     is_sheet = F.col("file_type") == ".csv"
-    sheets = sheet_documents(files.where(is_sheet)).withColumnRenamed("text", "content")
-    texts = text_documents(files.where(~is_sheet)).withColumnRenamed("text", "content")
-    rows = files.drop("content").join(sheets.unionByName(texts), "path")
+    flatten = F.pandas_udf(_sheet_text, "string")
+    content = decoded(F.col("content"))
+    rows = files.withColumn("content", F.when(is_sheet, flatten(F.when(is_sheet, content))).otherwise(content))
     kind = F.when(F.col("file_type") == "", ".txt").otherwise(F.col("file_type"))
     return rows.select(
         F.sha2(F.concat_ws(":", F.lit(kb_id), "path"), 256).alias("id"),

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from thicket.operators.graphbuild import chunks
-from thicket.sources.files import decoded
+from thicket.sources.files import RECORD_END, decoded, records
 
 
 def read_stream(spark, path: str, schema: StructType, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
@@ -146,6 +146,13 @@ def file_chunks(spark, path: str, **chunking) -> DataFrame:
     return chunks(docs, **chunking)
 
 
+def record_chunks(spark, path: str, **chunking) -> DataFrame:
+    """Chunks of the documents in record files (``files.write_records``) as the files arrive; the name is the document's id."""
+    raw = spark.readStream.format("text").option("lineSep", RECORD_END).schema("value string").load(path)
+    docs = records(raw).select(F.col("path").alias("doc_id"), F.col("content").alias("text"))
+    return chunks(docs, **chunking)
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append a stream to a parquet folder, exactly once."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
