@@ -1,5 +1,6 @@
 """Reads, writes, imports, dumps and streams, as round trips over the test tables."""
 
+import contextlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -278,6 +279,18 @@ def _(t):
     return t.spark.read.parquet(parts).agg(F.sum("total").alias("total"), F.sum("success").alias("success"))
 
 
+@contextlib.contextmanager
+def rocks(t):
+    """The state store that Python state needs, for one stream only."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(store)
+    t.spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        t.spark.conf.set(store, before)
+
+
 @query("n02_counter_rates", """
 SELECT id, host, coalesce(CASE WHEN d > 0 THEN greatest(0, round((counter - p) / d, 6)) ELSE 0 END, 0) AS rate
 FROM (SELECT id, host, counter, lag(counter) OVER w AS p, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS d FROM samples WINDOW w AS (PARTITION BY host ORDER BY ts, id))""")
@@ -286,15 +299,27 @@ def _(t):
     path = folder(t, "samples")
     samples.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(path)
     out, ck = folder(t, "rates"), folder(t, "ck")
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(store)
-    t.spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:  # for this stream only
+    with rocks(t):
         stream = twins.read_stream(t.spark, path, samples.schema)
         twins.append_to(twins.counter_rates(stream), out, ck).awaitTermination()
-    finally:
-        t.spark.conf.set(store, before)
-    return t.spark.read.parquet(out).select("id", "host", F.round("rate", 6).alias("rate"))
+    return t.spark.read.parquet(out).where("NOT late").select("id", "host", F.round("rate", 6).alias("rate"))
+
+
+@query("n02_late_samples", """
+WITH part AS (SELECT id, host, ts, CASE WHEN id % 10 = 0 THEN 2 ELSE 1 END AS file FROM samples),
+seen AS (SELECT host, max(ts) AS ts, max_by(id, [epoch_us(ts), id]) AS id FROM part WHERE file = 1 GROUP BY 1),
+moved AS (SELECT p.id, p.host, file = 2 AND s.host IS NOT NULL AND (p.ts < s.ts OR (p.ts = s.ts AND p.id <= s.id)) AS late FROM part p LEFT JOIN seen s ON s.host = p.host)
+SELECT host, count(*) FILTER (late) AS late, count(*) FILTER (NOT late) AS reported FROM moved GROUP BY 1""")
+def _(t):
+    samples = t.samples.select("id", "host", "ts", "counter")
+    path = folder(t, "samples")
+    for part in (1, 2):  # a tenth arrives after everything else
+        samples.where((F.col("id") % 10 == 0) == F.lit(part == 2)).coalesce(1).write.mode("append").parquet(path)
+    out, ck = folder(t, "rates"), folder(t, "ck")
+    with rocks(t):
+        stream = twins.read_stream(t.spark, path, samples.schema, per_trigger=1)
+        twins.append_to(twins.counter_rates(stream), out, ck).awaitTermination()
+    return t.spark.read.parquet(out).groupBy("host").agg(F.count_if("late").alias("late"), F.count_if(~F.col("late")).alias("reported"))
 
 
 @query("n03_suspicious_stream", """

@@ -98,7 +98,7 @@ def suspicious(log: DataFrame, threshold: int = 5, span: str = "1 hour", slide:
 
 
 class _Rate(StatefulProcessor):
-    """Keeps the last sample of a host."""
+    """Keeps the last sample of a host. Samples older than it are passed on as late ones, without a rate."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "ts timestamp, value double, id bigint")
@@ -110,14 +110,15 @@ class _Rate(StatefulProcessor):
         for r in batch.itertuples(index=False):
             at = (pd.Timestamp(r.ts), int(r.id))
             if previous is not None and at <= (pd.Timestamp(previous[0]), int(previous[2])):
-                continue  # older than what was reported
+                out.append((key[0], r.id, r.ts, r.value, None, True))  # older than what was reported
+                continue
             seconds = (at[0] - pd.Timestamp(previous[0])).total_seconds() if previous is not None else 0
             rate = max(0.0, (r.value - previous[1]) / seconds) if seconds > 0 else 0.0
-            out.append((key[0], r.id, r.ts, r.value, rate))
+            out.append((key[0], r.id, r.ts, r.value, rate, False))
             previous = (at[0].to_pydatetime(), float(r.value), int(r.id))
         if previous is not None:
             self.last.update(previous)
-        yield pd.DataFrame(out, columns=["host", "id", "ts", "value", "rate"])
+        yield pd.DataFrame(out, columns=["host", "id", "ts", "value", "rate", "late"])
 
     def close(self) -> None:
         pass
@@ -126,13 +127,14 @@ class _Rate(StatefulProcessor):
 def counter_rates(samples: DataFrame) -> DataFrame:
     """Rate of change per host with the previous sample kept as state between micro-batches.
 
-    A host's rows of one micro-batch are handled together, so bound the batch at the source
-    (``per_trigger``) when hosts report a lot.
+    Every sample gives one row: a sample older than the last reported one is ``late`` and has no rate, so
+    rows reported and rows rejected add up to rows read. A host's rows of one micro-batch are handled
+    together, so bound the batch at the source (``per_trigger``) when hosts report a lot.
     """
     rows = timed(samples).select("host", "id", "ts", F.col("counter").cast("double").alias("value"))
     return rows.groupBy("host").transformWithStateInPandas(
         statefulProcessor=_Rate(),
-        outputStructType="host string, id bigint, ts timestamp, value double, rate double",
+        outputStructType="host string, id bigint, ts timestamp, value double, rate double, late boolean",
         outputMode="append",
         timeMode="None",
     )
