@@ -105,8 +105,8 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
 
 
 def _words(text: Column) -> Column:
-    ascii_lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(ascii_lower, "[^a-z0-9]+"), lambda w: w != "")
+    """Runs of ASCII letters and digits, as they stand; they are lower-cased where they are compared."""
+    return F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
 
 
 def scan(
@@ -142,7 +142,7 @@ def scan(
         return F.array(*[_against(unit, name, b, num, den) for name, b in sorted(grams.items())])
 
     fits = F.transform(
-        units,
+        F.transform(units, lambda w: F.transform(w, F.lower)),
         lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))),
     )
     rows = docs.select(F.col(id_col).alias("_id"), fits.alias("_units"))
