@@ -435,9 +435,11 @@ class Join:
     def leftovers(self, deltas: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs with a far member that no group or common near pivot has settled and that sketches cannot exclude."""
         near = deltas.where("NOT far AND NOT noted").groupBy("x").agg(F.collect_set("p").alias("near"))
+        grouped = deltas.select("x", "x_id").distinct().join(groups.select(F.col("node").alias("x_id"), "component"), "x_id", "left")
+        known = grouped.select("x", F.coalesce("component", "x_id").alias("component")).join(near, "x", "left")
         touched = deltas.where("far").select("p").distinct()
-        members = deltas.join(touched, "p", "left_semi").select("p", "x", "x_id", "n_x", "sketch", "far").join(near, "x", "left")
-        members = members.join(groups.select(F.col("node").alias("x_id"), "component"), "x_id", "left").withColumn("component", F.coalesce("component", "x_id"))
+        # sketches are shipped by member, by pivot and by part; what is known of a member is joined before, without them
+        members = deltas.select("p", "x", "x_id", "n_x", "sketch", "far").join(known, "x").join(touched, "p", "left_semi")
         dealt = self.parted(members, F.octet_length("sketch"), SKETCHES, ~F.col("far"))
         return dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.unresolved(t), "u long, v long")
 
