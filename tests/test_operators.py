@@ -1,6 +1,7 @@
 """Fixed inputs with expected results, and properties that hold at any size."""
 
 import json
+import os
 import random
 
 import numpy as np
@@ -330,6 +331,20 @@ def test_three_hops(spark, rows):
     assert rows(retrieval.out_neighbourhood(spark.createDataFrame([("n0",)], "center string"), edges, some), "node_id") == [("n0",), ("n1",)]
 
 
+def test_every_known_node_is_a_centre(spark):
+    from thicket.plans.standins import Tables
+    from thicket.queries import load
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test data is not there")
+    found = load()[0]["j10_out_neighbourhood"](spark, sf)
+    known = Tables(spark, sf).node_vec.select("id")
+    centres = found.where("hop = 0 AND center = node_id").select("center")
+    assert centres.count() == known.count() > 0
+    assert known.join(centres, known["id"] == centres["center"], "left_anti").isEmpty()
+
+
 @pytest.mark.parametrize("seed, n_nodes, n_edges", [(1, 8, 6), (2, 12, 14), (3, 9, 40)])
 def test_triple_path_equals_brute_force(spark, rows, seed, n_nodes, n_edges):
     import numpy as np
