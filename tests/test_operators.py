@@ -345,6 +345,19 @@ def test_every_known_node_is_a_centre(spark):
     assert known.join(centres, known["id"] == centres["center"], "left_anti").isEmpty()
 
 
+def test_allowed_departments_pairs_are_not_shuffled(spark, rows):
+    depts = spark.createDataFrame([("a", ""), ("b", "/a/"), ("c", "/a/b/"), ("c", "/a/b/"), ("d", "/a/a/"), ("e", "/e/")], "id string, path string")
+    users = spark.createDataFrame([(1, "a", "r"), (2, "b", "r"), (3, "a", "r"), (4, "a", "r"), (4, "b", "r"), (5, "e", "s"), (6, None, "s")], "id int, dept_id string, role_id string")
+    scope = spark.createDataFrame([(1, 3), (2, 2), (3, 4), (4, 3), (5, 3), (5, 4), (6, 3)], "user_id int, scope int")
+    role_dept = spark.createDataFrame([("r", "b"), ("r", "b"), ("s", "e"), ("s", "a")], "role_id string, dept_id string")
+    found = access.allowed_departments(users, scope, depts, role_dept)
+    want = [(1, d) for d in "abcd"] + [(2, "b"), (3, "b")] + [(4, d) for d in "abcd"] + [(5, "a"), (5, "e"), (6, None)]
+    assert rows(found, "user_id", "dept_id") == sorted(want, key=repr)
+    # pairs of users with one department, role and scope meet no exchange above the join
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("Union")
+
+
 @pytest.mark.parametrize("seed, n_nodes, n_edges", [(1, 8, 6), (2, 12, 14), (3, 9, 40)])
 def test_triple_path_equals_brute_force(spark, rows, seed, n_nodes, n_edges):
     import numpy as np
