@@ -358,6 +358,45 @@ def test_allowed_departments_pairs_are_not_shuffled(spark, rows):
     assert plan.splitlines()[0].startswith("Union")
 
 
+def test_samples_of_a_host_are_held_as_numbers():
+    import tracemalloc
+
+    import pandas as pd
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    def batches(n, step):
+        for k in range(0, n, step):
+            i = np.arange(k, k + step)
+            yield pd.DataFrame({"host": ["h"] * step, "id": i, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(i, unit="s"), "value": i * 2.0})
+
+    rate = twins._Rate()
+    rate.last = Held()
+    tracemalloc.start()
+    n, rows, total = 200_000, 0, 0.0
+    for out in rate.handleInputRows(("h",), batches(n, 10_000), None):
+        assert len(out) <= 100_000 and not out["late"].any()
+        rows, total = rows + len(out), total + out["rate"].sum()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (rows, total) == (n, 2.0 * (n - 1))
+    assert peak < 160 * n  # bytes; rows as Python tuples took more
+    # again, and one newer sample: only that one is reported
+    newer = pd.DataFrame({"host": ["h"], "id": [n], "ts": [pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=n)], "value": [0.0]})
+    out = pd.concat(list(rate.handleInputRows(("h",), iter([*batches(1000, 500), newer, newer]), None)))
+    assert len(out) == 1002 and out["late"].sum() == 1001 and out["rate"].isna().sum() == 1001 and out["rate"].max() == 0.0
+
+
 @pytest.mark.parametrize("seed, n_nodes, n_edges", [(1, 8, 6), (2, 12, 14), (3, 9, 40)])
 def test_triple_path_equals_brute_force(spark, rows, seed, n_nodes, n_edges):
     import numpy as np
