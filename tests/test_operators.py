@@ -256,6 +256,33 @@ def test_pruned_search_equals_full_search(spark, monkeypatch, rows, normalize):
     assert rows(tagged) == rows(search.top_k(asked, df.where("emb IS NOT NULL"), 4, normalize=normalize, tag="tag", tags="tags"))
 
 
+def test_pruned_search_has_no_rows_per_pair(spark):
+    """Pairs of a query and a block pack to small files, which Spark would broadcast from the driver."""
+    df = spark.range(400).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.sin((F.col("id") + 1) * (i + 1)).cast("float")).alias("emb"))
+    found, _ = search.Index(df).search(df.withColumnRenamed("id", "query_id"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" in plan
+
+
+def test_scan_holds_a_bounded_number_of_blocks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "HELD", 2)
+    x = np.random.default_rng(4).normal(size=(40, 6))
+    rows = [(b, q) for b in range(4) for q in range(5)]  # blocks of ten vectors, of eight queries
+    data = {
+        "ids": [list(range(10 * b, 10 * b + 10)) for b, _ in rows], "data": [x[10 * b : 10 * b + 10].tobytes() for b, _ in rows],
+        "qb": [q for _, q in rows], "q_ids": [list(range(8 * q, 8 * q + 8)) for _, q in rows], "q_data": [x[8 * q : 8 * q + 8].tobytes() for _, q in rows],
+    }
+    batch = pa.RecordBatch.from_pydict(data)
+    got = [(r["query_id"], r["id"], r["score"]) for part in search._scan(iter([batch]), 3, False) for r in part.to_pylist()]
+    assert len(got) > 40 * 3  # a block of queries was sent more than once
+    s = np.round(x @ x.T, 9)
+    for q in range(40):
+        best = sorted({(-score, i) for p, i, score in got if p == q})[:3]
+        assert [i for _, i in best] == sorted(range(40), key=lambda j: (-s[q, j], j))[:3]
+
+
 def test_tagged_search(spark, rows):
     v = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.9, 0.1], "y"), (3, [0.0, 1.0], None)], "id long, emb array<float>, tag string")
     q = spark.createDataFrame([(1, [1.0, 0.0], ["y"]), (2, [1.0, 0.0], [])], "query_id long, emb array<float>, tags array<string>")
