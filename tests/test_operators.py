@@ -283,6 +283,15 @@ def test_scan_holds_a_bounded_number_of_blocks(monkeypatch):
         assert [i for _, i in best] == sorted(range(40), key=lambda j: (-s[q, j], j))[:3]
 
 
+def test_graph_tables_are_built_when_read():
+    from thicket.queries.search import Graph
+
+    class Nothing:
+        """Any table that is asked for fails."""
+
+    assert set(vars(Graph(Nothing()))) == {"tables"}
+
+
 def test_tagged_search(spark, rows):
     v = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.9, 0.1], "y"), (3, [0.0, 1.0], None)], "id long, emb array<float>, tag string")
     q = spark.createDataFrame([(1, [1.0, 0.0], ["y"]), (2, [1.0, 0.0], [])], "query_id long, emb array<float>, tags array<string>")
