@@ -292,6 +292,15 @@ def test_graph_tables_are_built_when_read():
     assert set(vars(Graph(Nothing()))) == {"tables"}
 
 
+def test_hashed_vectors_build_a_row_s_map_once(spark):
+    terms = spark.createDataFrame([("a", 3, 2), ("a", 63, 1), ("b", 0, 5)], "node_id string, bucket long, n long")
+    got = graphbuild.hashed_vectors(terms)
+    emb = {r.id: r.emb for r in got.collect()}
+    assert emb["b"] == [1.0] + [0.0] * 63 and [i for i, x in enumerate(emb["a"]) if x] == [3, 63]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" in plan and "element_at(map_from_entries" not in plan
+
+
 def test_tagged_search(spark, rows):
     v = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.9, 0.1], "y"), (3, [0.0, 1.0], None)], "id long, emb array<float>, tag string")
     q = spark.createDataFrame([(1, [1.0, 0.0], ["y"]), (2, [1.0, 0.0], [])], "query_id long, emb array<float>, tags array<string>")
