@@ -350,3 +350,16 @@ def test_license_cases(spark):
     got = {r.doc_id: (r.licenses, r.n_matches) for r in licenses.scan(df).collect()}
     assert got == {1: (["MIT"], 1), 2: ([], 0), 3: ([], 0), 4: (["MIT-grant"], 2), 5: ([], 0), 6: (["All-Rights-Reserved"], 1), 7: ([], 0)}
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_leftovers_are_placed_without_their_sketches(spark, monkeypatch):
+    from thicket.llm.jaccard_join import DELTA, Join
+
+    placed, dealt = [], Join.dealt
+    monkeypatch.setattr(Join, "dealt", staticmethod(lambda rows, *rest: placed.append(rows.columns) or dealt(rows, *rest)))
+    sketch = bytes(8)  # two equal ones, of a near and of a far member that are not in one group
+    rows = [(1, 2, 10, 20, 5, 5, b"", b"", False, False, False, sketch), (1, 3, 10, 30, 5, 5, b"", b"", False, True, True, sketch)]
+    groups = spark.createDataFrame([], "node long, component long")
+    found = Join(3, 90, 100, 1).leftovers(spark.createDataFrame(rows, DELTA), groups).collect()
+    assert [sorted(r) for r in found] == [[20, 30]]
+    assert placed and all("sketch" not in columns for columns in placed)

@@ -406,6 +406,12 @@ class Join:
         Two parts of settled members do not meet, and a pivot with no others is left out. A task then
         holds at most about ``2 * members`` members or ``2 * MEMBER_BYTES``.
         """
+        # Hash partitions by p would do for groups by (p, i, j), so without this all parts of a pivot run in one task.
+        return Join.dealt(deltas, weight, members, settled).repartition("p", "i", "j")
+
+    @staticmethod
+    def dealt(deltas: DataFrame, weight, members: int, settled) -> DataFrame:
+        """The rows of :meth:`parted`, still where they lie."""
 
         def parts(some):
             return F.greatest(F.ceil(F.count_if(some) / members), F.ceil(F.coalesce(F.sum(F.when(some, weight)), F.lit(0)) / MEMBER_BYTES)).cast("int")
@@ -416,8 +422,7 @@ class Join:
         dealt = dealt.withColumn("own", (place + F.when(F.col("settled"), F.col("n_open")).otherwise(0)).cast("int"))
         last = F.when(F.col("parts") == 1, 0).when(F.col("settled"), F.col("n_open") - 1).otherwise(F.col("n_open") + F.col("n_settled") - 1)
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("parts = 1 OR own <> other")
-        # Hash partitions by p would do for groups by (p, i, j), so without this all parts of a pivot run in one task.
-        return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).repartition("p", "i", "j")
+        return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def edges(self, deltas: DataFrame) -> DataFrame:
         """Pairs of ids that links join, from the near members of every pivot.
@@ -434,13 +439,15 @@ class Join:
 
     def leftovers(self, deltas: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs with a far member that no group or common near pivot has settled and that sketches cannot exclude."""
-        near = deltas.where("NOT far AND NOT noted").groupBy("x").agg(F.collect_set("p").alias("near"))
-        grouped = deltas.select("x", "x_id").distinct().join(groups.select(F.col("node").alias("x_id"), "component"), "x_id", "left")
-        known = grouped.select("x", F.coalesce("component", "x_id").alias("component")).join(near, "x", "left")
         touched = deltas.where("far").select("p").distinct()
-        # sketches are shipped by member, by pivot and by part; what is known of a member is joined before, without them
-        members = deltas.select("p", "x", "x_id", "n_x", "sketch", "far").join(known, "x").join(touched, "p", "left_semi")
-        dealt = self.parted(members, F.octet_length("sketch"), SKETCHES, ~F.col("far"))
+        # where a member goes is settled without its sketch, which joins it then
+        met = deltas.select("p", "x", "x_id", "n_x", "far", F.octet_length("sketch").alias("bytes")).join(touched, "p", "left_semi")
+        near = deltas.where("NOT far AND NOT noted").join(met.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.collect_set("p").alias("near"))
+        grouped = met.select("x", "x_id").distinct().join(groups.select(F.col("node").alias("x_id"), "component"), "x_id", "left")
+        known = grouped.select("x", F.coalesce("component", "x_id").alias("component")).join(near, "x", "left")
+        sketches = deltas.select("p", "x", "sketch").join(touched, "p", "left_semi")
+        placed = self.dealt(met.join(known, "x"), F.col("bytes"), SKETCHES, ~F.col("far"))
+        dealt = placed.join(sketches, ["p", "x"]).repartition("p", "i", "j")
         return dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.unresolved(t), "u long, v long")
 
     def verify(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
