@@ -363,3 +363,21 @@ def test_leftovers_are_placed_without_their_sketches(spark, monkeypatch):
     found = Join(3, 90, 100, 1).leftovers(spark.createDataFrame(rows, DELTA), groups).collect()
     assert [sorted(r) for r in found] == [[20, 30]]
     assert placed and all("sketch" not in columns for columns in placed)
+
+
+def test_no_plan_of_the_join_holds_the_plans_before_it(spark, monkeypatch):
+    from thicket.llm import jaccard_join
+
+    exchanges, stage = [], jaccard_join.stage
+
+    def counted(df):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return stage(df)
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]  # near copies of one text, so that later pivots are asked for
+    texts = [(k, " ".join(w if rng.random() > 0.01 else f"own{k}" for w in base)) for k in range(60)]
+    got = jaccard_groups(spark.createDataFrame(texts, "doc_id long, text string"), 3, 80, 100, block_bytes=5_000)
+    assert got.select("component_id").distinct().count() < 60
+    assert max(exchanges) <= 24

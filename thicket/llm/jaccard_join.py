@@ -424,29 +424,36 @@ class Join:
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("parts = 1 OR own <> other")
         return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
-    def edges(self, deltas: DataFrame) -> DataFrame:
+    def edges(self, near: DataFrame) -> DataFrame:
         """Pairs of ids that links join, from the near members of every pivot.
 
         Members near to the same first pivot are related there; a pivot whose members all have the
         same other first pivot has nothing to add but its own links.
         """
-        near = deltas.where("NOT far AND NOT noted")
-        near = near.join(near.groupBy("x").agg(F.min("p").alias("first")), "x")
-        needed = near.groupBy("p").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b OR a = p").select("p")
-        dealt = self.parted(near.join(needed, "p", "left_semi"), F.octet_length("ins") + F.octet_length("del"), MEMBERS, F.col("linked"))
+        near = near.select("p", "x", "p_id", "x_id", "n_x", "ins", "del", "linked")
+        first = near.groupBy("x").agg(F.min("p").alias("first"))
+        ends = near.select("p", "x").join(first, "x").groupBy("p").agg(F.min("first").alias("a"), F.max("first").alias("b"))
+        needed = stage(ends.where("a <> b OR a = p").select("p"))  # else all of it is part of the next plan, once for each use
+        dealt = self.parted(near.drop("p_id").join(needed, "p", "left_semi"), F.octet_length("ins") + F.octet_length("del"), MEMBERS, F.col("linked"))
         related = dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.relate(t), "u long, v long")
         return related.unionByName(near.where("linked").select(F.col("x_id").alias("u"), F.col("p_id").alias("v")))
 
-    def leftovers(self, deltas: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs with a far member that no group or common near pivot has settled and that sketches cannot exclude."""
-        touched = deltas.where("far").select("p").distinct()
+    def leftovers(self, deltas: DataFrame, groups: DataFrame, near: DataFrame | None = None) -> DataFrame:
+        """Pairs with a far member that no group or common near pivot has settled and that sketches cannot exclude.
+
+        ``near`` are the near members of every pivot, by default those of ``deltas``. Small tables are
+        written on the way: as one plan this is so large that the driver is short of memory for it.
+        """
+        near = deltas.where("NOT far AND NOT noted") if near is None else near
+        touched = stage(deltas.where("far").select("p").distinct())
         # where a member goes is settled without its sketch, which joins it then
-        met = deltas.select("p", "x", "x_id", "n_x", "far", F.octet_length("sketch").alias("bytes")).join(touched, "p", "left_semi")
-        near = deltas.where("NOT far AND NOT noted").join(met.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.collect_set("p").alias("near"))
-        grouped = met.select("x", "x_id").distinct().join(groups.select(F.col("node").alias("x_id"), "component"), "x_id", "left")
-        known = grouped.select("x", F.coalesce("component", "x_id").alias("component")).join(near, "x", "left")
+        met = stage(deltas.select("p", "x", "x_id", "n_x", "far", F.octet_length("sketch").alias("bytes")).join(touched, "p", "left_semi"))
+        members = met.select("x", "x_id").distinct()
+        pivots = near.select("p", "x").join(members.select("x"), "x", "left_semi").groupBy("x").agg(F.collect_set("p").alias("near"))
+        grouped = members.join(groups.select(F.col("node").alias("x_id"), "component"), "x_id", "left")
+        known = stage(grouped.select("x", F.coalesce("component", "x_id").alias("component")).join(pivots, "x", "left"))
         sketches = deltas.select("p", "x", "sketch").join(touched, "p", "left_semi")
-        placed = self.dealt(met.join(known, "x"), F.col("bytes"), SKETCHES, ~F.col("far"))
+        placed = self.dealt(met, F.col("bytes"), SKETCHES, ~F.col("far")).select("p", "x", "x_id", "n_x", "i", "j").join(known, "x")
         dealt = placed.join(sketches, ["p", "x"]).repartition("p", "i", "j")
         return dealt.groupBy("p", "i", "j").applyInArrow(lambda t: self.unresolved(t), "u long, v long")
 
@@ -558,16 +565,14 @@ def jaccard_groups(
         return stage(B.cogroup(texts, given, join.differences, DELTA))
 
     deltas = compared(B.cogroup(texts, hints, join.triage, MESSAGE))
+    near = deltas.where("NOT far AND NOT noted")
     later = open_pairs(deltas)
     if not later.isEmpty():
         asked = later.withColumn("block", F.shiftright("x", 32).cast("int")).groupBy("block")
-        more = compared(asked.applyInArrow(lambda t: _requests(t["x"].to_numpy(), t["p"].to_numpy()), MESSAGE))
-        noted = F.col("noted") & ~F.col("far")
-        rest = deltas.where(noted).join(later.select("p").distinct(), "p", "left_anti").select(*deltas.columns)
-        deltas = deltas.where(~noted).unionByName(rest).unionByName(more)
-    edges = stage(join.edges(deltas))
+        near = near.unionByName(compared(asked.applyInArrow(lambda t: _requests(t["x"].to_numpy(), t["p"].to_numpy()), MESSAGE)))
+    edges = stage(join.edges(near))
     groups = components(edges)
-    open_ = _across(join.leftovers(deltas, groups), groups)
+    open_ = _across(stage(join.leftovers(deltas, groups, near)), groups)
     if open_.count():  # rare: links that only unrelated pivots have seen
         ids = stage(open_.select(F.explode(F.array("u", "v")).alias("id")).distinct())
         few = ids.count() <= MOST_IDS  # else Spark joins the texts by id
