@@ -845,3 +845,11 @@ def test_index_is_reused_until_it_no_longer_fits(spark, tmp_path):
     assert vectorstore.build_or_reuse(spark, path, v.limit(10), build)[1] is True
     assert vectorstore.build_or_reuse(spark, path, v, build)[1] is False
     assert vectorstore.build_or_reuse(spark, path, v, build)[0].count() == 20
+
+
+def test_requests_meet_one_permission_of_equal_path_and_method(spark, rows):
+    perms = spark.range(2000).selectExpr("id", "if(id % 2 = 0, '/a/1', '/a/{n}') AS api_path", "cast(id % 4 AS int) AS http_method", "id > 9 AS is_active", "false AS is_deleted")
+    asked = spark.createDataFrame([("/a/1", 0), ("/a/7", 1)], "path string, method int")
+    out = access.match_requests(asked, perms)
+    assert rows(out) == [("/a/1", 0, 1, 12), ("/a/7", 1, 3, 13)]
+    assert "Aggregate [api_path" in out._jdf.queryExecution().optimizedPlan().toString()

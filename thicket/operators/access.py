@@ -29,9 +29,11 @@ def match_requests(requests: DataFrame, permissions: DataFrame) -> DataFrame:
     template, and a request joins under each blanking that some template uses; only those pairs
     are tested in full. No request is compared with every template. Requests are reduced to
     distinct (path, method) first, so a hot path costs one row. Among several matches, exact
-    wins, then any-method, then the smallest permission id.
+    wins, then any-method, then the smallest permission id. Of permissions with one path and method only
+    the smallest id can win, so only that one meets requests.
     """
     usable = permissions.where(F.col("is_active") & ~F.col("is_deleted"))
+    usable = usable.groupBy("api_path", "http_method").agg(F.min("id").alias("id"))
     has_slot = F.col("api_path").contains("{")
     slots = F.transform(F.split("api_path", "/"), lambda p: F.when(p.contains("{"), "*").otherwise(p))
     exact = usable.select(
