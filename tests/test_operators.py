@@ -853,3 +853,14 @@ def test_requests_meet_one_permission_of_equal_path_and_method(spark, rows):
     out = access.match_requests(asked, perms)
     assert rows(out) == [("/a/1", 0, 1, 12), ("/a/7", 1, 3, 13)]
     assert "Aggregate [api_path" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nodes_of_a_category_are_found_once(spark, rows):
+    rels = spark.createDataFrame(
+        [(1, "entity", "a", "x", "r", "entity", "b", "y"), (2, "entity", "b", "x", "r", "entity", "a", None), (3, "entity", "a", "z", "r", "entity", "c", "x")],
+        "seq long, s_label string, s_name string, s_type string, relation string, t_label string, t_name string, t_type string")
+    nodes = graphviews.view_nodes(rels)
+    assert rows(nodes.select("id", "category")) == [("a", "x"), ("b", "y"), ("c", "x")]
+    kept, inside = graphviews.category_subgraph(nodes, graphviews.view_links(rels.unionByName(rels)), "x")
+    assert rows(kept.select("id")) == [("a",), ("c",)] and rows(inside.select("source", "target")) == [("a", "c"), ("a", "c")]
+    assert "Aggregate" not in inside._jdf.queryExecution().executedPlan().toString()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.ordering import first_per_key, top
+from thicket.session import stage
 
 
 def _ends(rels: DataFrame) -> DataFrame:
@@ -26,8 +27,13 @@ def _ends(rels: DataFrame) -> DataFrame:
 
 
 def view_nodes(rels: DataFrame, shown: int | None = None) -> DataFrame:
-    """Nodes by name; the first occurrence gives the category. ``name`` may be cut for display, ``id`` is whole."""
-    first = first_per_key(_ends(rels), ["id"], ["seq", "end"])
+    """Nodes by name; the first occurrence gives the category. ``name`` may be cut for display, ``id`` is whole.
+
+    The first ``seq`` of each name, category and end is a number per group, which is kept by hash; only
+    these few rows are sorted by name for the rest.
+    """
+    least = _ends(rels).groupBy("id", "category", "end").agg(F.min("seq").alias("seq"))
+    first = first_per_key(least, ["id"], ["seq", "end"])
     name = F.col("id") if shown is None else F.substring("id", 1, shown)
     return first.select("id", name.alias("name"), "category", F.lit(25).alias("size"))
 
@@ -63,8 +69,12 @@ def standard_view(df: DataFrame, column: str, default: int) -> DataFrame:
 
 
 def category_subgraph(nodes: DataFrame, links: DataFrame, category: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes of one category and the links with both ends among them."""
-    kept = nodes.where(F.col("category") == category)
+    """Nodes of one category and the links with both ends among them.
+
+    The nodes are written once: the optimizer moves the joins below into every table that links are made
+    from, and one task would find the nodes anew for each of them.
+    """
+    kept = stage(nodes.where(F.col("category") == category))
     inside = links.join(kept.select(F.col("id").alias("source")), "source", "left_semi").join(
         kept.select(F.col("id").alias("target")), "target", "left_semi"
     )
