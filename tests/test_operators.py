@@ -864,3 +864,46 @@ def test_nodes_of_a_category_are_found_once(spark, rows):
     kept, inside = graphviews.category_subgraph(nodes, graphviews.view_links(rels.unionByName(rels)), "x")
     assert rows(kept.select("id")) == [("a",), ("c",)] and rows(inside.select("source", "target")) == [("a", "c"), ("a", "c")]
     assert "Aggregate" not in inside._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_seeds_read_only_the_edges_around_them(spark, monkeypatch):
+    n = 400
+    edges = spark.range(n).selectExpr("id AS seq", "concat('n', id) AS src", "'r' AS relation", f"concat('n', (id + 1) % {n}) AS dst")
+    nodes = spark.range(n).selectExpr(
+        "concat('n', id) AS node_id", "'entity' AS label", "concat('word', id % 2) AS name", "'' AS description", "'' AS schema_type", "'' AS chunk_id")
+    seeds = spark.createDataFrame([(1, "n0")], "query_id int, node_id string")
+    asked = spark.createDataFrame([(1, "word0")], "query_id int, word string")
+    vecs = spark.range(n).selectExpr("concat('n', id) AS id", "array(1.0D, double(id)) AS emb")
+    queries = spark.createDataFrame([(1, [1.0, 1.0])], "query_id int, emb array<double>")
+    written, made, plain = [], [], retrieval.stage
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "stage", counted)
+
+    def vectors_of(some):
+        made.append(some.count())
+        return retrieval.edge_vectors(some, vecs)
+
+    paths = retrieval.paths_to_keywords(seeds, edges, nodes, asked)
+    assert sorted(r.dst for r in paths.collect()) == ["n1", "n2"]
+    assert [tuple(r) for r in retrieval.expand_neighbours(seeds, edges).collect()] == [(1, "n0", "r", "n1")]
+    scored = retrieval.rerank_triples(paths, queries, nodes, edges, None, vectors_of)
+    assert sorted(r.seq for r in scored.collect()) == [0, 1] and made == [2]
+    assert max(written) < 10
+
+
+def test_edge_vectors_of_the_stored_graph_are_not_written(spark, monkeypatch):
+    from thicket.plans.standins import Tables
+    from thicket.queries import search as asking
+
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    written = []
+    for module in (asking, retrieval):
+        monkeypatch.setattr(module, "stage", lambda df: written.append(dict(df.dtypes)) or stage(df))
+    graph = asking.Graph(Tables(spark, folder))
+    retrieval.triple_path(asking.asked(graph.tables), graph.edges, graph.edge_vecs, graph.node_vecs).count()
+    assert written and all(columns.get("emb") != "array<double>" for columns in written)
