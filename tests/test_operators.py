@@ -283,6 +283,44 @@ def test_scan_holds_a_bounded_number_of_blocks(monkeypatch):
         assert [i for _, i in best] == sorted(range(40), key=lambda j: (-s[q, j], j))[:3]
 
 
+def test_scores_are_held_in_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(5).normal(size=(4096, 8))
+    best = search.Best(pa.array(range(4096)), x, None, 3)
+    tracemalloc.start()
+    try:
+        best.add(pa.array(range(1024)), x[:1024], None)
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20  # a block of queries by 1024 vectors takes as much
+    finally:
+        tracemalloc.stop()
+    s = np.round(x @ x[:1024].T, 9)
+    got = best.result().to_pylist()
+    assert [r["id"] for r in got] == [i for q in range(4096) for i in sorted(range(1024), key=lambda j: (-s[q, j], j))[:3]]
+
+
+def test_pairs_of_blocks_come_in_small_batches(spark, monkeypatch):
+    scan = search._scan
+
+    def counted(batches, k, tagged):
+        def single():
+            for batch in batches:
+                assert len(batch) == 1
+                yield batch
+
+        return scan(single(), k, tagged)
+
+    df = spark.range(200, numPartitions=2).select("id", F.array(F.sin("id"), F.cos("id")).alias("emb"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    monkeypatch.setattr(search, "PAIR_BYTES", 1, raising=False)
+    monkeypatch.setattr(search, "_scan", counted)
+    assert search.top_k(df.withColumnRenamed("id", "query_id"), df, 3, query_block=50).count() == 600
+    assert spark.conf.get(key) == held
+
+
 def test_graph_tables_are_built_when_read():
     from thicket.queries.search import Graph
 
