@@ -572,6 +572,51 @@ def test_kmeans_labels_do_not_depend_on_partitions(spark, monkeypatch):
     assert kmeans.cluster(df.limit(0), wanted.limit(0)).count() == 0
 
 
+def test_blocks_of_one_group_lie_in_many_tasks_and_reach_workers_a_few_at_a_time(spark, monkeypatch):
+    x = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: (F.xxhash64("id", i) % 1000).cast("double"))
+    df = spark.range(6000).select(F.lit(0).alias("group"), F.format_string("n%04d", "id").alias("node_id"), x.alias("emb"))
+    monkeypatch.setattr(kmeans, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(kmeans, "BATCH_BYTES", 64 << 10, raising=False)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        grid = stage(kmeans.on_grid(df))
+        blocks = kmeans.packed(grid)
+        tasks = blocks.withColumn("file", F.input_file_name()).groupBy("file").agg(F.sum(F.size("ids")).alias("n")).collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(tasks) > 4 and max(r.n for r in tasks) < 3000 and sum(r.n for r in tasks) == 6000
+    met = kmeans.met
+
+    def few(batches):
+        for batch in batches:
+            assert len(batch) <= 20, len(batch)  # a block and its centre are about four kilobytes
+            yield from met(iter([batch]))
+
+    monkeypatch.setattr(kmeans, "met", few)
+    one = grid.limit(1).select("group", F.lit(0).alias("centre"), F.col("q").cast("array<bigint>").alias("c"))
+    assert kmeans.labels(blocks.coalesce(1), stage(one)).count() == 6000
+
+
+def test_seeds_sent_in_parts_are_the_same(spark, monkeypatch):
+    x = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.xxhash64("id", i) % 1000).cast("double"))
+    df = spark.range(600).select((F.col("id") % 3).alias("group"), F.format_string("n%04d", "id").alias("node_id"), x.alias("emb"))
+    wanted = stage(spark.range(3).select(F.col("id").alias("group"), F.lit(5).alias("k")))
+    grid = stage(kmeans.on_grid(df))
+    monkeypatch.setattr(kmeans, "BLOCK_ROWS", 32)
+    blocks = kmeans.packed(grid)
+    whole = sorted(map(str, kmeans.seeds(grid, blocks, wanted).collect()))
+    sampled = kmeans.sampled
+
+    def often(batches, turn):
+        held, kmeans.HELD_BYTES = kmeans.HELD_BYTES, 0  # in the worker
+        yield from sampled(batches, turn)
+        kmeans.HELD_BYTES = held
+
+    monkeypatch.setattr(kmeans, "sampled", often)
+    assert sorted(map(str, kmeans.seeds(grid, blocks, wanted).collect())) == whole and len(whole) == 15
+
+
 def test_greedy_matching_equals_the_plain_loop(spark):
     rng = random.Random(2)
     rows = {(c, *sorted(rng.sample(range(40), 2))): rng.choice([0.5, 0.6, rng.random()]) for c in range(3) for _ in range(200)}
