@@ -399,6 +399,40 @@ def test_keyword_limits(spark):
     assert retrieval.keyword_hits(asked, index).count() == 1100
 
 
+@pytest.fixture(scope="module")
+def many_small_parts(spark, tmp_path_factory):
+    """A folder of tables with 300 parts whose names have a word of the later questions."""
+    folder = str(tmp_path_factory.mktemp("parts"))
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "AFRICA")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "NATION_0", 0)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", [(i, f"Customer#{i}", 0, 1.0, "BUILDING") for i in range(5)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(0, "Supplier#0", 0, 1.0)]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", [(i, "small ring", "Brand#7", "LARGE", 1, 9.0) for i in range(300)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string", [(i, i, 0, 1, "R") for i in range(300)]),
+        "embeddings": ("vec_id long, embedding array<float>, label int", [(i, np.random.default_rng(i).normal(size=64).tolist(), i % 10) for i in range(400)]),
+        "documents": ("doc_id long, text string, lang string, source string, n_chars long", [(i, f"text {i}", "en", "src0", 6) for i in range(50)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("key", ["r07_node_relation_triples"])
+def test_every_keyword_hit_is_a_candidate(spark, many_small_parts, monkeypatch, key):
+    from thicket.queries import load
+
+    found, plain = [], retrieval.keyword_hits
+
+    def seen(*args, **limits):
+        found.append(plain(*args, **limits))
+        return found[-1]
+
+    monkeypatch.setattr(retrieval, "keyword_hits", seen)
+    assert load()[0][key](spark, many_small_parts).count() > 0
+    assert len(found) == 1 and found[0].where("query_id = 7").distinct().count() == 300  # 50 a word under the published limits
+
+
 def test_type_filter_keeps_untyped_entities(spark, rows):
     df = spark.createDataFrame([("a", "entity", "x"), ("b", "entity", None), ("c", "keyword", None), ("d", "entity", "y")], "node_id string, label string, schema_type string")
     assert rows(retrieval.nodes_of_types(df, ["x"]), "node_id") == [("a",), ("b",)]
