@@ -418,7 +418,7 @@ def many_small_parts(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("key", ["r07_node_relation_triples"])
+@pytest.mark.parametrize("key", ["r07_node_relation_triples", "r17_result_chunks"])
 def test_every_keyword_hit_is_a_candidate(spark, many_small_parts, monkeypatch, key):
     from thicket.queries import load
 
